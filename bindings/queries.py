@@ -154,8 +154,7 @@ def q4_violation_rollup(r: Roles) -> DataFrame:
 
 @query
 def q4_chain_of_custody(r: Roles) -> DataFrame:
-    report = custody.custody_report(_affected(r), r.specimen(), r.project(), r.researcher(), SPECIMEN_KEY)
-    return _plain(report)
+    return custody.custody_report(_affected(r), r.specimen(), r.project(), r.researcher(), SPECIMEN_KEY)
 
 
 @query
@@ -168,7 +167,7 @@ def q4_institution_trace(r: Roles) -> DataFrame:
     """Specimens that name no trial share only an institution with trials."""
     specimen = r.specimen().withColumnRenamed("ProtocolID", "l_orderkey")
     key = ["l_orderkey", "l_linenumber", "l_partkey"]
-    return _plain(custody.custody_report(_affected(r), specimen, r.project(), r.researcher(), key))
+    return custody.custody_report(_affected(r), specimen, r.project(), r.researcher(), key)
 
 
 @query
@@ -176,18 +175,6 @@ def q4_candidate_trials(r: Roles) -> DataFrame:
     return custody.candidate_trials(_affected(r), r.specimen(), r.project(), r.researcher(), SPECIMEN_KEY)
 
 
-def _plain(report: DataFrame) -> DataFrame:
-    """A key column may repeat ``ProtocolID``; keep the first of each name."""
-    seen, keep = set(), []
-    for i, name in enumerate(report.columns):
-        if name not in seen:
-            seen.add(name)
-            keep.append(i)
-    names = report.columns
-    unique = report.toDF(*[f"c{i}" for i in range(len(names))])
-    return unique.select(*[F.col(f"c{i}").alias(names[i]) for i in keep])
-
-
 # --- data quality --------------------------------------------------------------
 
 LINE_KEY = ["l_orderkey", "l_linenumber", "l_partkey"]

@@ -9,6 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from labmesh.operators.lookup import lookup_join
+from labmesh.streaming.run import read_folder
+
 MONEY = "decimal(15,2)"
 
 
@@ -131,22 +134,18 @@ class Roles:
 
     def employment(self) -> DataFrame:
         """Posts are order lines; an open line is a current post."""
-        start, ship = F.to_date("o_orderdate"), F.to_date("l_shipdate")
-        return (
-            self.raw("lineitem")
-            .join(self.raw("orders"), F.col("l_orderkey") == F.col("o_orderkey"))
-            .select(
-                F.col("l_orderkey").alias("ExperienceRecordID"),
-                F.col("o_custkey").alias("ResearcherID"),
-                F.col("l_suppkey").alias("InstitutionID"),
-                F.col("l_returnflag").alias("Department"),
-                F.col("l_discount").cast("decimal(3,2)").alias("FTEPercentage"),
-                start.alias("StartDate"),
-                ship.alias("__ship"),
-                F.when(F.col("l_linestatus") == "F", ship).alias("EndDate"),
-                F.col("l_linenumber"),
-                F.col("l_partkey"),
-            )
+        orders = self.raw("orders").select("o_orderkey", "o_custkey", "o_orderdate")
+        lines = lookup_join(
+            self.raw("lineitem"), orders, {"l_orderkey": "o_orderkey"}, spread_by=["l_partkey", "l_suppkey", "l_shipdate"]
+        )
+        return lines.select(
+            F.col("l_orderkey").alias("ExperienceRecordID"),
+            F.col("o_custkey").alias("ResearcherID"),
+            F.col("l_suppkey").alias("InstitutionID"),
+            F.col("l_returnflag").alias("Department"),
+            F.col("l_discount").cast("decimal(3,2)").alias("FTEPercentage"),
+            F.to_date("o_orderdate").alias("StartDate"),
+            F.when(F.col("l_linestatus") == "F", F.to_date("l_shipdate")).alias("EndDate"),
         )
 
     def degree(self) -> DataFrame:
@@ -187,8 +186,6 @@ class Roles:
     # --- streams ---
 
     def _event_stream(self) -> DataFrame:
-        from labmesh.streaming.run import read_folder
-
         # A stream takes a folder or a pattern; this pattern matches one name.
         return read_folder(self.spark, f"{self.folder}/events.parque[t]", self.raw("events").schema)
 

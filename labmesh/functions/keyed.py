@@ -6,6 +6,7 @@ partitioning or a recomputed task gives the same answer.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -91,7 +92,7 @@ def stretched_hash(salt: str, iterations: int = 100_000):
     if not salt:
         raise ValueError("a salt is required")
 
-    def stretch(values):
+    def stretch(values: pd.Series) -> pd.Series:
         import hashlib
 
         return values.map(
@@ -99,4 +100,6 @@ def stretched_hash(salt: str, iterations: int = 100_000):
             na_action="ignore",
         )
 
-    return F.pandas_udf(stretch, "string", F.PandasUDFType.SCALAR)
+    # Real types, not their names: Spark reads them to choose the kind of UDF.
+    stretch.__annotations__ = {"values": pd.Series, "return": pd.Series}
+    return F.pandas_udf(stretch, "string")

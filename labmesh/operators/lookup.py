@@ -32,17 +32,22 @@ def broadcast_limit(df: DataFrame) -> int:
     return _bytes(df.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold", "10MB"))
 
 
-def fits_broadcast(df: DataFrame) -> bool:
-    """True if Spark would broadcast ``df`` by its own size check."""
-    return planned_bytes(df) <= broadcast_limit(df)
-
-
 def input_bytes(df: DataFrame) -> int:
     """Size estimate of everything a plan reads."""
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
     return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
 
 
+def fits_broadcast(df: DataFrame) -> bool:
+    """True if ``df``, or all it is computed from, passes Spark's broadcast check.
+
+    Spark estimates a join as the product of its sides. The size of the inputs
+    is the better guide for a lookup that was joined from others; the choice to
+    broadcast stays with Spark, which measures the side at run time.
+    """
+    return min(planned_bytes(df), input_bytes(df)) <= broadcast_limit(df)
+
+
 def too_small_to_skew(rows: DataFrame) -> bool:
     """True if all input together is less than one partition Spark calls skewed.
 
@@ -72,6 +77,7 @@ def lookup_join(
     spread_by: list[str],
     how: str = "inner",
     null_safe: bool = False,
+    keys_from: DataFrame | None = None,
     strategy: str = "auto",
 ) -> DataFrame:
     """Join ``rows`` to ``lookup``, which holds at most one row per key.
@@ -87,6 +93,8 @@ def lookup_join(
     the few hot lookup rows are repeated. The salt is a function of the row, so
     a recomputed task puts its rows where the lost one did.
 
+    ``keys_from`` is a table to count keys in instead of ``rows``: the base that
+    ``rows`` was joined from, so that counting does not repeat those joins.
     ``strategy`` "salt" or "plain" overrides the size check.
     """
     if isinstance(on, str):
@@ -108,7 +116,7 @@ def lookup_join(
     if strategy == "plain" or (strategy == "auto" and (fits_broadcast(side) or too_small_to_skew(rows))):
         return rows.join(side, matches(), how).drop(*names)
 
-    hot = hot_keys(rows, keys)
+    hot = hot_keys(rows if keys_from is None else keys_from, keys)
     hot_names = [f"__h{i}" for i in range(len(keys))]
     salted = _mark(rows, keys, hot, hot_names).withColumn(
         _SALT,

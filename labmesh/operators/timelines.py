@@ -45,26 +45,22 @@ def concurrent_posts(employment: DataFrame) -> DataFrame:
     posts is ever formed. Posts that only touch do not overlap.
     """
     spans = _spans(employment)
-    edges = spans.select(
+    # Copies of a span collapse at once. All that follows reads these shapes.
+    shapes = spans.groupBy("ResearcherID", "InstitutionID", "from_day", "to_day").agg(F.count("*").alias("copies"))
+    none = F.lit(0).cast("bigint")
+    edges = shapes.select(
         "ResearcherID",
         "InstitutionID",
         F.explode(
             F.array(
-                F.struct(F.col("from_day").alias("edge"), F.lit(1).alias("starts"), F.lit(0).alias("ends")),
-                F.struct(F.col("to_day").alias("edge"), F.lit(0).alias("starts"), F.lit(1).alias("ends")),
+                F.struct(F.col("from_day").alias("edge"), F.col("copies").alias("starts"), none.alias("ends")),
+                F.struct(F.col("to_day").alias("edge"), none.alias("starts"), F.col("copies").alias("ends")),
             )
         ).alias("x"),
-    ).select("ResearcherID", "InstitutionID", "x.edge", "x.starts", "x.ends")
-    # One row per researcher, institution and day from here on.
-    edges = edges.groupBy("ResearcherID", "InstitutionID", "edge").agg(
-        F.sum("starts").alias("starts"), F.sum("ends").alias("ends")
-    )
+    ).select("ResearcherID", "InstitutionID", "x.*")
     everywhere = _running(edges, ["ResearcherID"])
     local = _running(edges, ["ResearcherID", "InstitutionID"])
 
-    # Overlaps depend on researcher, institution and span only.
-    shapes = spans.groupBy("ResearcherID", "InstitutionID", "from_day", "to_day").agg(F.count("*").alias("copies"))
-
     def counted(shape: DataFrame, running: DataFrame, keys: list[str], alias: str) -> DataFrame:
         at_end = running.select(*keys, F.col("edge").alias("to_day"), F.col("starts_before").alias("__s"))
         at_start = running.select(*keys, F.col("edge").alias("from_day"), F.col("ends_until").alias("__e"))

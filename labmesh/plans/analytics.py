@@ -149,7 +149,9 @@ def trial_features(
         .agg(F.count("*").alias("LeadProjects"))
     )
     rows = lookup_join(project, sites, "InstitutionID", spread_by=["ProtocolID"], how="left")
-    rows = lookup_join(rows, leads, "PrincipalInvestigatorID", spread_by=["ProtocolID"], how="left")
+    rows = lookup_join(
+        rows, leads, "PrincipalInvestigatorID", spread_by=["ProtocolID"], how="left", keys_from=project
+    )
 
     def whole(name: str):
         return F.coalesce(F.col(name), F.lit(0)).cast("bigint").alias(name)

@@ -13,6 +13,28 @@ PAST_DUE, DUE_SOON, MISSING, CURRENT = "PAST DUE", "DUE WITHIN 30 DAYS", "MISSIN
 RED, YELLOW, GREY, GREEN = "🔴 RED", "🟡 YELLOW", "⚪ GREY", "🟢 GREEN"
 
 
+def _departments(employment: DataFrame) -> DataFrame:
+    """Current departments per researcher and institution, as one text.
+
+    Duplicates go before the list is built, so it holds department names only.
+    """
+    return (
+        employment.where(F.col("EndDate").isNull())
+        .select(F.col("ResearcherID").alias("__lead"), F.col("InstitutionID").alias("__site"), "Department")
+        .distinct()
+        .groupBy("__lead", "__site")
+        .agg(F.expr("listagg(Department, '; ') WITHIN GROUP (ORDER BY Department)").alias("Department"))
+    )
+
+
+def _placed(rows: DataFrame, sites: DataFrame, departments: DataFrame | None, key: str) -> DataFrame:
+    """Add the site, and optionally the departments there, to rows with both keys."""
+    out = lookup_join(rows, sites, {"__site": "InstitutionID"}, spread_by=[key])
+    if departments is None:
+        return out
+    return lookup_join(out, departments, ["__lead", "__site"], spread_by=[key], how="left", keys_from=rows)
+
+
 def renewal_report(
     project: DataFrame,
     researcher: DataFrame,
@@ -38,46 +60,32 @@ def renewal_report(
     past = asof.before(renewal, as_of, by_day)
     soon = renewal <= asof.days_after(as_of, horizon_days, by_day)
 
+    sites = institution.select(
+        "InstitutionID", F.col("LegalName").alias("Institution"), F.col("Type").alias("InstitutionType")
+    )
     leads = researcher.where(renewal.isNull() | soon).select(
-        "ResearcherID",
+        F.col("ResearcherID").alias("__lead"),
         F.concat(F.col("FirstName"), F.lit(" "), F.col("LastName")).alias("PrincipalInvestigator"),
         F.col("Email").alias("PI_Contact"),
         "IRBRenewalDate",
-        F.col("InstitutionID").alias("__home"),
+        F.col("InstitutionID").alias("__site"),
         F.when(past, 0).when(soon, 1).otherwise(2).alias("__rank"),
     )
     trials = project.select(
         "ProtocolID",
         "ProjectTitle",
         F.col("PrincipalInvestigatorID").alias("__lead"),
-        *([F.col("InstitutionID").alias("__site")] if institution_via == "project" else []),
+        F.col("InstitutionID").alias("__site"),
     )
-    led = lookup_join(trials, leads, {"__lead": "ResearcherID"}, spread_by=["ProtocolID"])
-    place = "__site" if institution_via == "project" else "__home"
-    sites = institution.select(
-        "InstitutionID", F.col("LegalName").alias("Institution"), F.col("Type").alias("InstitutionType")
-    )
-    out = lookup_join(led, sites, {place: "InstitutionID"}, spread_by=["ProtocolID"])
-
-    extra = []
-    if employment is not None:
-        # Department names per investigator and site are few; duplicates go
-        # before the list is built.
-        departments = (
-            employment.where(F.col("EndDate").isNull())
-            .select("ResearcherID", "InstitutionID", "Department")
-            .distinct()
-            .groupBy("ResearcherID", "InstitutionID")
-            .agg(F.expr("listagg(Department, '; ') WITHIN GROUP (ORDER BY Department)").alias("Department"))
-        )
-        out = lookup_join(
-            out,
-            departments,
-            {"__lead": "ResearcherID", place: "InstitutionID"},
-            spread_by=["ProtocolID"],
-            how="left",
-        )
-        extra = ["Department"]
+    departments = None if employment is None else _departments(employment)
+    if institution_via == "pi":
+        # Small tables meet first; trials join once.
+        leads = _placed(leads, sites, departments, "__lead")
+        out = lookup_join(trials.drop("__site"), leads, "__lead", spread_by=["ProtocolID"])
+    else:
+        out = _placed(trials, sites, departments, "ProtocolID")
+        out = lookup_join(out, leads.drop("__site"), "__lead", spread_by=["ProtocolID"], keys_from=trials)
+    extra = [] if departments is None else ["Department"]
 
     rank = F.col("__rank")
     if by_day:

@@ -34,9 +34,9 @@ def affected_freezers(
     else:
         every = units.join(rollup, "FreezerID", "left")
         places = every.where(F.col("ViolationCount").isNotNull()).select("LocationID").distinct()
-        hit = lookup_join(every, places, "LocationID", spread_by=["FreezerID"], how="left_semi")
+        hit = lookup_join(every, places, "LocationID", spread_by=["FreezerID"], how="left_semi", keys_from=units)
     place = location.select("LocationID", F.col("Address").alias("Location"))
-    return lookup_join(hit, place, "LocationID", spread_by=["FreezerID"])
+    return lookup_join(hit, place, "LocationID", spread_by=["FreezerID"], keys_from=units)
 
 
 def _leads(project: DataFrame, researcher: DataFrame) -> DataFrame:
@@ -68,7 +68,9 @@ def custody_report(
     stored = lookup_join(biospecimen, freezers, "FreezerID", spread_by=specimen_key)
     if "ProtocolID" in biospecimen.columns:
         origin = _leads(project, researcher).drop("InstitutionID")
-        traced = lookup_join(stored, origin, "ProtocolID", spread_by=specimen_key, how="left")
+        traced = lookup_join(
+            stored, origin, "ProtocolID", spread_by=specimen_key, how="left", keys_from=biospecimen
+        )
         extra = []
     else:
         # Trials per institution shrink to one row before they meet specimens.
@@ -80,10 +82,11 @@ def custody_report(
         )
         origin = _leads(project, researcher).drop("InstitutionID")
         sites = per_site.join(origin, "ProtocolID", "left")
-        traced = lookup_join(stored, sites, "InstitutionID", spread_by=specimen_key, how="left").withColumn(
-            "CandidateTrials", F.coalesce("CandidateTrials", F.lit(0))
-        )
+        traced = lookup_join(
+            stored, sites, "InstitutionID", spread_by=specimen_key, how="left", keys_from=biospecimen
+        ).withColumn("CandidateTrials", F.coalesce("CandidateTrials", F.lit(0)))
         extra = ["CandidateTrials"]
+    trial = [] if "ProtocolID" in specimen_key else ["ProtocolID"]
     return traced.orderBy(F.desc_nulls_last("MaxViolationTemp"), "FreezerID", *specimen_key).select(
         "FreezerID",
         "FreezerName",
@@ -93,7 +96,7 @@ def custody_report(
         "AliquotCounts",
         "InstitutionID",
         *extra,
-        "ProtocolID",
+        *trial,
         "ProjectTitle",
         "PrincipalInvestigatorID",
         "PrincipalInvestigator",
@@ -130,4 +133,5 @@ def candidate_trials(
         {"PrincipalInvestigatorID": "ResearcherID"},
         spread_by=["ProtocolID"],
         how="left",
+        keys_from=project,
     ).orderBy("InstitutionID", "ProtocolID")

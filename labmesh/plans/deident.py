@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from labmesh.functions import keyed
 from labmesh.operators.lookup import lookup_join
+from labmesh.sources.tables import replace_table
 
 def add_hash(ids: DataFrame, id_col: str, salt: str) -> DataFrame:
     """Fast keyed hash of the id, inside the JVM."""
@@ -102,6 +103,30 @@ def anonymize_participants(
     return joined.drop(id_col, "original_id", *direct_identifiers)
 
 
+def release(
+    participant: DataFrame,
+    mapping_path: str,
+    release_path: str,
+    salt: str,
+    id_col: str = "ParticipantID",
+    iterations: int | None = 100_000,
+) -> DataFrame:
+    """Extend the stored mapping, write the released table and return it.
+
+    The mapping folder holds the real keys and needs its own access rights. Ids
+    that it knows keep their pseudonyms. An empty table is released empty.
+    """
+    spark = participant.sparkSession
+    schema = generate_mapping(participant, salt, id_col, iterations).schema
+    spark.createDataFrame([], schema).write.mode("append").parquet(mapping_path)
+    stored = spark.read.schema(schema).parquet(mapping_path)
+    extend_mapping(stored, participant, salt, id_col, iterations).write.mode("append").parquet(mapping_path)
+    complete = spark.read.schema(schema).parquet(mapping_path)
+    out = anonymize_participants(participant, complete, salt, id_col)
+    replace_table(out, release_path)
+    return spark.read.schema(out.schema).parquet(release_path)
+
+
 def small_groups(rows: DataFrame, quasi_identifiers: list[str], k: int) -> DataFrame:
     """Combinations of quasi-identifiers shared by fewer than ``k`` rows."""
     return rows.groupBy(*quasi_identifiers).agg(F.count("*").alias("GroupSize")).where(F.col("GroupSize") < k)

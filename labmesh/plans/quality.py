@@ -61,28 +61,35 @@ def _explode_rules(df: DataFrame, table: str, keys: list[str], broken: dict[str,
     return _report(found, table, F.col("__hit.rule"), keys, F.col("__hit.detail"), F.lit(1))
 
 
+def _check_tests(rules: dict[str, str], as_of: asof.AsOf | None) -> dict[str, tuple[Column, Column]]:
+    now = "current_timestamp()" if as_of is None else asof.sql_literal(as_of)
+    texts = {rule: text.replace("{as_of}", now) for rule, text in rules.items()}
+    return {rule: (~F.expr(text), F.lit(text)) for rule, text in texts.items()}
+
+
+def _null_tests(columns: list[str]) -> dict[str, tuple[Column, Column]]:
+    return {f"{c}_required": (F.col(c).isNull(), F.lit("NULL")) for c in columns}
+
+
+def _length_tests(limits: dict[str, int]) -> dict[str, tuple[Column, Column]]:
+    return {f"{c}_length": (F.length(c) > n, F.length(c)) for c, n in limits.items()}
+
+
 def broken_checks(
     df: DataFrame, table: str, keys: list[str], rules: dict[str, str], as_of: asof.AsOf | None = None
 ) -> DataFrame:
     """Rows for which a rule is false. An unknown outcome passes."""
-    now = "current_timestamp()" if as_of is None else asof.sql_literal(as_of)
-    broken = {}
-    for rule, text in rules.items():
-        text = text.replace("{as_of}", now)
-        broken[rule] = (~F.expr(text), F.lit(text))
-    return _explode_rules(df, table, keys, broken)
+    return _explode_rules(df, table, keys, _check_tests(rules, as_of))
 
 
 def missing_values(df: DataFrame, table: str, keys: list[str], columns: list[str]) -> DataFrame:
     """Rows with NULL in a required column."""
-    broken = {f"{c}_required": (F.col(c).isNull(), F.lit("NULL")) for c in columns}
-    return _explode_rules(df, table, keys, broken)
+    return _explode_rules(df, table, keys, _null_tests(columns))
 
 
 def overlong_text(df: DataFrame, table: str, keys: list[str], limits: dict[str, int]) -> DataFrame:
     """Rows whose text exceeds its declared length."""
-    broken = {f"{c}_length": (F.length(c) > n, F.length(c)) for c, n in limits.items()}
-    return _explode_rules(df, table, keys, broken)
+    return _explode_rules(df, table, keys, _length_tests(limits))
 
 
 def cascade_delete(
@@ -94,17 +101,17 @@ def cascade_delete(
 
 
 def check_table(df: DataFrame, table: Table, as_of: asof.AsOf) -> list[DataFrame]:
-    """All checks of one table that need no other table."""
+    """All checks of one table that need no other table.
+
+    Every row rule is tested in the same pass.
+    """
     key = [table.key]
     required = [f.name for f in table.columns if not f.nullable]
     limits = {f.name: f.metadata["limit"] for f in table.columns if "limit" in f.metadata}
-    out = [duplicate_keys(df, table.name, key, "primary_key"), missing_values(df, table.name, key, required)]
+    tests = _null_tests(required) | _length_tests(limits) | _check_tests(table.rules(), as_of)
+    out = [duplicate_keys(df, table.name, key, "primary_key"), _explode_rules(df, table.name, key, tests)]
     # A unique constraint on the primary key repeats the first check.
     out += [duplicate_keys(df, table.name, list(u), "unique_" + "_".join(u)) for u in table.unique if list(u) != key]
-    if limits:
-        out.append(overlong_text(df, table.name, key, limits))
-    if table.rules():
-        out.append(broken_checks(df, table.name, key, table.rules(), as_of))
     return out
 
 

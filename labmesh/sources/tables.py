@@ -102,11 +102,24 @@ def append_with_keys(existing: DataFrame, batch: DataFrame, key: str, order_by:
     return numbered.withColumn(key, F.col("__n") + highest).drop("__n")
 
 
-def replace_table(df: DataFrame, path: str | None = None, table: str | None = None, by: Iterable[str] = ()) -> None:
-    """Write ``df`` in place of whatever is there; ``by`` names partition columns."""
+def replace_table(
+    df: DataFrame,
+    path: str | None = None,
+    table: str | None = None,
+    by: Iterable[str] = (),
+    bucket_by: str | None = None,
+    buckets: int = 0,
+) -> None:
+    """Write ``df`` in place of whatever is there, to a path or a catalog table.
+
+    ``by`` names partition columns. Tables bucketed by the same key and number
+    join on that key without a shuffle; only catalog tables keep buckets.
+    """
     writer = df.write.mode("overwrite")
     if by:
         writer = writer.partitionBy(*by)
+    if bucket_by:
+        writer = writer.bucketBy(buckets, bucket_by).sortBy(bucket_by)
     if table:
         writer.saveAsTable(table)
     else:
@@ -114,8 +127,12 @@ def replace_table(df: DataFrame, path: str | None = None, table: str | None = No
 
 
 def write_log(readings: DataFrame, path: str) -> None:
-    """Append readings partitioned by day, so that recency filters skip days."""
-    dated = readings.withColumn("ReadingDay", F.to_date("ReadingTime"))
+    """Append readings partitioned by day, so that recency filters skip days.
+
+    Rebalancing gathers the rows of a day into few files and splits a day that
+    is too large for one task.
+    """
+    dated = readings.withColumn("ReadingDay", F.to_date("ReadingTime")).hint("rebalance", "ReadingDay")
     dated.write.mode("append").partitionBy("ReadingDay").parquet(path)
 
 
