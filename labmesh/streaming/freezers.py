@@ -125,7 +125,8 @@ def alarms(states_path: str, like: DataFrame, length: int) -> DataFrame:
             if run == length:
                 found.append((key[0], first, start, peak))
         state.update((run, first, peak))
-        yield pd.DataFrame(found, columns=["FreezerID", "FirstWindow", "AlarmWindow", "PeakValue"])
+        if found:
+            yield pd.DataFrame(found, columns=["FreezerID", "FirstWindow", "AlarmWindow", "PeakValue"])
 
     states = read_folder(like.sparkSession, states_path, like.schema)
     return states.groupBy("FreezerID").applyInPandasWithState(
