@@ -15,19 +15,19 @@ from labmesh.streaming.run import read_folder
 MONEY = "decimal(15,2)"
 
 
-def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
-
-
 class Roles:
     """Domain tables on top of one folder of given tables."""
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark = spark
         self.folder = folder
+        self._tables: dict[str, DataFrame] = {}
 
     def raw(self, name: str) -> DataFrame:
-        return table(self.spark, self.folder, name)
+        """A given table; its schema is read from the files once."""
+        if name not in self._tables:
+            self._tables[name] = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        return self._tables[name]
 
     # --- institutions are customers ---
 

@@ -53,17 +53,24 @@ def permuted(df: DataFrame, key: Column, ident: str, factors: tuple[int, int], p
     """
     a, b = factors
     refused = F.raise_error(F.concat(F.lit("negative id "), F.col(ident).cast("string"))).cast("bigint")
-    out = df.withColumn("__k", key).withColumn(
-        "__x", F.when(F.col(ident) >= 0, F.col(ident).cast("bigint")).when(F.col(ident) < 0, refused)
+    number = F.when(F.col(ident) >= 0, F.col(ident).cast("bigint")).when(F.col(ident) < 0, refused)
+    out = df.withColumns({"__k": key, "__x": number}).withColumns(
+        {
+            "block": F.expr(f"__x div {a * b}"),
+            "__l": F.expr(f"__x % {a * b} div {b}"),
+            "__r": F.expr(f"__x % {b}"),
+        }
     )
-    out = out.withColumn("block", F.expr(f"__x div {a * b}")).withColumn("__x", F.col("__x") % (a * b))
-    out = out.withColumn("__l", F.expr(f"__x div {b}")).withColumn("__r", F.col("__x") % b)
-    for i in range(ROUNDS):
-        tag = F.concat(F.lit(f":{purpose}:{i}:"), F.col("block").cast("string"), F.lit(":"))
-        if i % 2 == 0:
-            out = out.withColumn("__l", (F.col("__l") + keyed_int(F.col("__k"), tag, F.col("__r"))) % a)
-        else:
-            out = out.withColumn("__r", (F.col("__r") + keyed_int(F.col("__k"), tag, F.col("__l"))) % b)
+    # Four rounds share a projection, in which common parts are computed once.
+    for first in range(0, ROUNDS, 4):
+        left, right = F.col("__l"), F.col("__r")
+        for i in range(first, first + 4):
+            tag = F.concat(F.lit(f":{purpose}:{i}:"), F.col("block").cast("string"), F.lit(":"))
+            if i % 2 == 0:
+                left = (left + keyed_int(F.col("__k"), tag, right)) % a
+            else:
+                right = (right + keyed_int(F.col("__k"), tag, left)) % b
+        out = out.withColumns({"__l": left, "__r": right})
     return out.withColumn("place", F.col("__l") * b + F.col("__r")).drop("__k", "__x", "__l", "__r")
 
 

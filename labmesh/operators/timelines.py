@@ -6,7 +6,7 @@ however many posts the table holds for them.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from labmesh.operators.lookup import lookup_join
@@ -14,71 +14,87 @@ from labmesh.operators.lookup import lookup_join
 OPEN_END = "9999-12-31"
 
 
+SPAN = ["ResearcherID", "InstitutionID", "from_day", "to_day"]
+
+
 def _spans(employment: DataFrame) -> DataFrame:
     """Posts with an institution as half-open day spans."""
-    return employment.select(
-        "ExperienceRecordID",
-        "ResearcherID",
-        "InstitutionID",
-        F.col("StartDate").alias("from_day"),
-        F.coalesce(F.col("EndDate"), F.lit(OPEN_END).cast("date")).alias("to_day"),
-    ).where(F.col("from_day") < F.col("to_day"))
-
-
-def _running(edges: DataFrame, keys: list[str]) -> DataFrame:
-    """Starts and ends up to and before each edge day of a key."""
-    daily = edges.groupBy(*keys, "edge").agg(F.sum("starts").alias("s"), F.sum("ends").alias("e"))
-    w = Window.partitionBy(*keys).orderBy("edge").rowsBetween(Window.unboundedPreceding, 0)
-    return daily.select(
-        *keys,
-        "edge",
-        (F.sum("s").over(w) - F.col("s")).alias("starts_before"),
-        F.sum("e").over(w).alias("ends_until"),
+    return (
+        employment.where(F.col("InstitutionID").isNotNull())
+        .select(
+            "ExperienceRecordID",
+            "ResearcherID",
+            "InstitutionID",
+            F.col("StartDate").alias("from_day"),
+            F.coalesce(F.col("EndDate"), F.lit(OPEN_END).cast("date")).alias("to_day"),
+        )
+        .where(F.col("from_day") < F.col("to_day"))
     )
 
 
-def concurrent_posts(employment: DataFrame) -> DataFrame:
-    """One row per post: how many posts elsewhere overlap it in time.
+def _overlaps(spans: DataFrame) -> DataFrame:
+    """One row per distinct span: its copies and the posts elsewhere it overlaps.
 
     A post overlaps those that start before its end, less those that end by its
-    start. The same count within its own institution is taken off. No pair of
-    posts is ever formed. Posts that only touch do not overlap.
+    start. Both numbers are running counts over days, taken once for all posts
+    of the researcher and once for those at the same institution; the difference
+    is the answer. No pair of posts is ever formed.
     """
-    spans = _spans(employment)
     # Copies of a span collapse at once. All that follows reads these shapes.
-    shapes = spans.groupBy("ResearcherID", "InstitutionID", "from_day", "to_day").agg(F.count("*").alias("copies"))
-    none = F.lit(0).cast("bigint")
+    shapes = spans.groupBy(*SPAN).agg(F.count("*").alias("copies"))
+    nowhere = F.lit(0).cast(spans.schema["InstitutionID"].dataType)
+
+    def scoped(here: bool, day: str, **columns) -> Column:
+        site = F.col("InstitutionID") if here else nowhere
+        fields = {"here": F.lit(here), "site": site, "day": F.col(day), **columns}
+        return F.struct(*[v.alias(k) for k, v in fields.items()])
+
+    none, copies = F.lit(0).cast("bigint"), F.col("copies")
     edges = shapes.select(
         "ResearcherID",
-        "InstitutionID",
         F.explode(
             F.array(
-                F.struct(F.col("from_day").alias("edge"), F.col("copies").alias("starts"), none.alias("ends")),
-                F.struct(F.col("to_day").alias("edge"), none.alias("starts"), F.col("copies").alias("ends")),
+                *[scoped(h, "from_day", starts=copies, ends=none) for h in (True, False)],
+                *[scoped(h, "to_day", starts=none, ends=copies) for h in (True, False)],
             )
         ).alias("x"),
-    ).select("ResearcherID", "InstitutionID", "x.*")
-    everywhere = _running(edges, ["ResearcherID"])
-    local = _running(edges, ["ResearcherID", "InstitutionID"])
-
-    def counted(shape: DataFrame, running: DataFrame, keys: list[str], alias: str) -> DataFrame:
-        at_end = running.select(*keys, F.col("edge").alias("to_day"), F.col("starts_before").alias("__s"))
-        at_start = running.select(*keys, F.col("edge").alias("from_day"), F.col("ends_until").alias("__e"))
-        return (
-            shape.join(at_end, [*keys, "to_day"])
-            .join(at_start, [*keys, "from_day"])
-            .withColumn(alias, F.col("__s") - F.col("__e"))
-            .drop("__s", "__e")
-        )
+    ).select("ResearcherID", "x.*")
+    scope = ["ResearcherID", "here", "site"]
+    daily = edges.groupBy(*scope, "day").agg(F.sum("starts").alias("s"), F.sum("ends").alias("e"))
+    until = Window.partitionBy(*scope).orderBy("day").rowsBetween(Window.unboundedPreceding, 0)
+    running = daily.select(
+        *scope,
+        "day",
+        (F.sum("s").over(until) - F.col("s")).alias("starts_before"),
+        F.sum("e").over(until).alias("ends_until"),
+    )
+    # Four counts answer for a span: starts before its end, ends by its start,
+    # in both scopes. The own institution counts with the opposite sign.
+    wanted = shapes.select(
+        *SPAN,
+        "copies",
+        F.explode(
+            F.array(
+                *[scoped(h, "to_day", sign=F.lit(-1 if h else 1), at_end=F.lit(True)) for h in (True, False)],
+                *[scoped(h, "from_day", sign=F.lit(1 if h else -1), at_end=F.lit(False)) for h in (True, False)],
+            )
+        ).alias("x"),
+    ).select(*SPAN, "copies", "x.*")
+    found = lookup_join(wanted, running, [*scope, "day"], spread_by=["InstitutionID", "from_day", "to_day"])
+    count = F.when(F.col("at_end"), F.col("starts_before")).otherwise(F.col("ends_until"))
+    return found.groupBy(*SPAN, "copies").agg(F.sum(F.col("sign") * count).alias("ConcurrentElsewhere"))
+
 
-    shapes = counted(shapes, local, ["ResearcherID", "InstitutionID"], "here")
-    shapes = counted(shapes, everywhere, ["ResearcherID"], "all")
-    shapes = shapes.select(
-        "ResearcherID", "InstitutionID", "from_day", "to_day", (F.col("all") - F.col("here")).alias("ConcurrentElsewhere")
+def concurrent_posts(employment: DataFrame) -> DataFrame:
+    """One row per post: how many posts elsewhere overlap it in time.
+
+    Posts that only touch do not overlap.
+    """
+    spans = _spans(employment)
+    counted = _overlaps(spans).drop("copies")
+    return lookup_join(spans, counted, SPAN, spread_by=["ExperienceRecordID"]).select(
+        "ExperienceRecordID", "ResearcherID", "InstitutionID", "ConcurrentElsewhere"
     )
-    return lookup_join(
-        spans, shapes, ["ResearcherID", "InstitutionID", "from_day", "to_day"], spread_by=["ExperienceRecordID"]
-    ).select("ExperienceRecordID", "ResearcherID", "InstitutionID", "ConcurrentElsewhere")
 
 
 def concurrent_researchers(employment: DataFrame) -> DataFrame:
@@ -86,15 +102,16 @@ def concurrent_researchers(employment: DataFrame) -> DataFrame:
 
     ``OverlappingPairs`` counts unordered pairs of such posts.
     """
+    elsewhere, copies = F.col("ConcurrentElsewhere"), F.col("copies")
     return (
-        concurrent_posts(employment)
+        _overlaps(_spans(employment))
+        .where(elsewhere > 0)
         .groupBy("ResearcherID")
         .agg(
-            F.sum(F.when(F.col("ConcurrentElsewhere") > 0, 1).otherwise(0)).alias("ConcurrentPosts"),
-            (F.sum("ConcurrentElsewhere") / 2).cast("bigint").alias("OverlappingPairs"),
-            F.max("ConcurrentElsewhere").alias("MostConcurrent"),
+            F.sum(copies).alias("ConcurrentPosts"),
+            F.expr("sum(copies * ConcurrentElsewhere) div 2").alias("OverlappingPairs"),
+            F.max(elsewhere).alias("MostConcurrent"),
         )
-        .where(F.col("ConcurrentPosts") > 0)
     )
 
 

@@ -130,6 +130,15 @@ def check_all(tables: dict[str, DataFrame], as_of: asof.AsOf) -> DataFrame:
     return reduce(DataFrame.unionAll, out)
 
 
+def require_none(violations: DataFrame) -> None:
+    """Raise an error that names the broken rules and how many rows break each."""
+    totals = violations.groupBy("table_name", "rule_id").agg(F.sum("n_rows").alias("n"))
+    # One row per rule of the registry, so the list is short.
+    found = totals.orderBy("table_name", "rule_id").collect()
+    if found:
+        raise ValueError("; ".join(f"{r.table_name}.{r.rule_id}: {r.n}" for r in found))
+
+
 def valid_rows(df: DataFrame, rules: dict[str, str], as_of: asof.AsOf | None = None) -> DataFrame:
     """Rows that break none of the row rules."""
     now = "current_timestamp()" if as_of is None else asof.sql_literal(as_of)

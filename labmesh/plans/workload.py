@@ -73,7 +73,8 @@ def workload_report(
             F.sum(F.when(F.col("LegalName").isNotNull(), F.col("__fte"))).cast(FTE_TOTAL).alias("TotalFTE"),
             F.expr("listagg(DISTINCT LegalName, '; ') WITHIN GROUP (ORDER BY LegalName)").alias("Institutions"),
         )
-        .where((F.col("InstitutionCount") > more_than_institutions) & F.col("TotalFTE").isNotNull())
+        # No list means that no post is at a known institution.
+        .where((F.col("InstitutionCount") > more_than_institutions) & F.col("Institutions").isNotNull())
     )
     return (
         researcher.select("ResearcherID", "NIHHISID", "ORCID", "SecurityClearance")

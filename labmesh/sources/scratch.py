@@ -9,6 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 SETTING = "spark.checkpoint.dir"
 
+# Temporary folders of local sessions that name none, by application.
+_local: dict[str, str] = {}
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder the cluster names in ``spark.checkpoint.dir``.
@@ -19,11 +22,12 @@ def shared_folder(spark: SparkSession) -> str:
     named = spark.conf.get(SETTING, None)
     if named:
         return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    context = spark.sparkContext
+    if not context.master.startswith("local"):
         raise ValueError(f"set {SETTING} to a folder that every executor can reach")
-    made = tempfile.mkdtemp(prefix="labmesh-")
-    spark.conf.set(SETTING, made)
-    return made
+    if context.applicationId not in _local:
+        _local[context.applicationId] = tempfile.mkdtemp(prefix="labmesh-")
+    return _local[context.applicationId]
 
 
 def fresh_folder(spark: SparkSession, label: str) -> str:

@@ -121,6 +121,13 @@ def test_whole_registry(make):
     ]
 
 
+def test_caller_may_refuse_a_load(make):
+    tables = {"Location": make("Location", *[{"LocationID": i, "Address": "a", "SquareFeet": "1", "BSLLabLevel": i} for i in (1, 7, 8)])}
+    with pytest.raises(ValueError, match="Location.bsl_range: 2"):
+        quality.require_none(quality.check_all(tables, AS_OF))
+    quality.require_none(quality.check_all({"Location": tables["Location"].where("LocationID = 1")}, AS_OF))
+
+
 def test_cascade(make):
     labs = make("CorporateLab", {"InstitutionID": 1}, {"InstitutionID": 2})
     gone = make("Institution", {"InstitutionID": 2})

@@ -116,3 +116,20 @@ def test_empty_guard(spark):
 def test_shared_folder_is_the_named_one(spark):
     assert scratch.fresh_folder(spark, "x").startswith(spark.conf.get("spark.checkpoint.dir"))
     assert scratch.materialise(spark.range(4), "r").count() == 4
+
+
+class Session:
+    """Just what the folder lookup reads from a session."""
+
+    def __init__(self, master, named=None):
+        self.conf = {"spark.checkpoint.dir": named} if named else {}
+        self.sparkContext = self
+        self.master, self.applicationId = master, f"app-{master}"
+
+
+def test_only_local_sessions_get_a_temporary_folder():
+    assert scratch.shared_folder(Session("spark://host", "s3://shared/")) == "s3://shared"
+    local = Session("local[2]")
+    assert scratch.shared_folder(local) == scratch.shared_folder(local)
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        scratch.shared_folder(Session("spark://host"))
