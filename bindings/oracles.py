@@ -289,6 +289,26 @@ ORACLES["dq_not_null"] = f"WITH {RESEARCHER} " + _rows(
     ],
 ).format(source="people")
 
+ORACLES["dq_registry"] = """
+WITH loc AS (SELECT n_nationkey AS id, n_regionkey AS region FROM nation),
+inst AS (SELECT *, c_nationkey + 1 AS loc_id, DATE '2001-05-20' + c_nationkey AS founded FROM customer WHERE c_acctbal >= 0),
+fund AS (SELECT o_orderkey AS id, o_custkey AS inst_id, CAST(o_totalprice AS DECIMAL(15,2)) - 50000 AS amount FROM orders),
+found AS (
+  SELECT 'Location' AS t, 'Address_required' AS r, id AS k, 'NULL' AS d, 1 AS n FROM loc WHERE region = 1
+  UNION ALL SELECT 'Location', 'area_positive', id, 'SquareFeet > 0', 1 FROM loc WHERE region = 0
+  UNION ALL SELECT 'Location', 'bsl_range', id, 'BSLLabLevel BETWEEN 1 AND 4', 1 FROM loc WHERE region = 0
+  UNION ALL SELECT 'Institution', 'founded_in_past', c_custkey, 'DateFounded <= timestamp''2001-06-01 00:00:00''', 1
+    FROM inst WHERE founded > DATE '2001-06-01'
+  UNION ALL SELECT 'Institution', 'Type_listed', c_custkey, 'Type IN (''Academic'', ''Corporate'', ''Government'')', 1
+    FROM inst WHERE c_mktsegment <> 'MACHINERY'
+  UNION ALL SELECT 'Institution', 'LocationID_parent', loc_id, 'no parent', count(*) FROM inst
+    WHERE loc_id NOT IN (SELECT id FROM loc) GROUP BY loc_id
+  UNION ALL SELECT 'Funding', 'disbursement_not_negative', id, 'Disbursements >= 0', 1 FROM fund WHERE amount < 0
+  UNION ALL SELECT 'Funding', 'InstitutionID_parent', inst_id, 'no parent', count(*) FROM fund
+    WHERE inst_id NOT IN (SELECT c_custkey FROM inst) GROUP BY inst_id)
+SELECT t AS table_name, r AS rule_id, CAST(k AS VARCHAR) AS row_key, d AS detail, CAST(n AS BIGINT) AS n_rows FROM found
+"""
+
 ORACLES["dq_text_length"] = _rows(
     "part",
     "CAST(p_partkey AS VARCHAR)",
@@ -455,6 +475,7 @@ WITH {_mapping(ALL_IDS)}
 SELECT c_nationkey AS InstitutionID, CAST({AGE} AS INT) AS Age, pseudonym, hashed_id, random_id
 FROM customer JOIN mapping ON c_custkey = original_id
 """
+ORACLES["anon_release"] = ORACLES["anon_publish"]
 ORACLES["anon_incremental"] = f"""
 WITH {_mapping("SELECT c_custkey AS id FROM customer WHERE c_mktsegment = 'BUILDING'")} SELECT * FROM mapping
 """

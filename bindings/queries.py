@@ -16,6 +16,7 @@ from labmesh.operators.timelines import concurrent_posts, concurrent_researchers
 from labmesh.operators.violations import violation_rollup
 from labmesh.plans import analytics, compliance, custody, deident, institutions, quality, workload
 from labmesh.sources import tables
+from labmesh.sources.schemas import TABLES
 from labmesh.sources.scratch import fresh_folder
 from labmesh.streaming import access, freezers
 from labmesh.streaming.run import run_available
@@ -227,6 +228,39 @@ def dq_valid_rows(r: Roles) -> DataFrame:
     return quality.valid_rows(r.raw("lineitem").select(*LINE_KEY, "l_quantity", "l_discount"), rules)
 
 
+REGISTRY_DAY = "2001-06-01 00:00:00"
+
+
+@query
+def dq_registry(r: Roles) -> DataFrame:
+    """Every declared rule of three domain tables in one report."""
+    region = F.col("n_regionkey")
+    location = r.raw("nation").select(
+        F.col("n_nationkey").alias("LocationID"),
+        F.when(region != 1, F.col("n_name")).alias("Address"),
+        (region * 100).alias("SquareFeet"),
+        region.alias("BSLLabLevel"),
+    )
+    solvent = r.raw("customer").where(F.col("c_acctbal") >= 0)
+    institution = solvent.select(
+        F.col("c_custkey").alias("InstitutionID"),
+        F.col("c_name").alias("LegalName"),
+        F.date_add(F.lit("2001-05-20").cast("date"), F.col("c_nationkey")).alias("DateFounded"),
+        F.when(F.col("c_mktsegment") == "BUILDING", "government").otherwise("Nonprofit").alias("TaxStatus"),
+        (F.col("c_nationkey") + 1).alias("LocationID"),
+        F.when(F.col("c_mktsegment") == "MACHINERY", "ACADEMIC ").otherwise(F.col("c_mktsegment")).alias("Type"),
+    )
+    funding = r.raw("orders").select(
+        F.col("o_orderkey").alias("FundingID"),
+        F.col("o_orderpriority").alias("GrantNumbers"),
+        (F.col("o_totalprice").cast("decimal(15,2)") - 50000).alias("Disbursements"),
+        F.col("o_custkey").alias("InstitutionID"),
+    )
+    raw = {"Location": location, "Institution": institution, "Funding": funding}
+    bound = {name: tables.conform(df, TABLES[name]) for name, df in raw.items()}
+    return quality.check_all(bound, REGISTRY_DAY)
+
+
 def _subtypes(r: Roles) -> dict[str, DataFrame]:
     """Two segments overlap in one subtype table and one segment has none."""
     c = r.raw("customer")
@@ -406,6 +440,15 @@ def anon_incremental(r: Roles) -> DataFrame:
     return deident.extend_mapping(stored, _ids(r), SALT, iterations=None)
 
 
+@query
+def anon_release(r: Roles) -> DataFrame:
+    """Two releases: the second extends the stored mapping by new ids."""
+    mapping, target = fresh_folder(r.spark, "mapping"), fresh_folder(r.spark, "released")
+    people = _people(r)
+    deident.release(people.where(F.col("Age").isNotNull()), mapping, target, SALT, iterations=None)
+    return deident.release(people, mapping, target, SALT, iterations=None)
+
+
 @query
 def k_anonymity(r: Roles) -> DataFrame:
     return deident.small_groups(r.raw("customer"), ["c_mktsegment", "c_nationkey"], 10)

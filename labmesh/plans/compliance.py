@@ -44,6 +44,7 @@ def renewal_report(
     mode: str = "specified",
     institution_via: str = "pi",
     horizon_days: int = 30,
+    ordered: bool = True,
 ) -> DataFrame:
     """One row per trial whose lead investigator needs attention.
 
@@ -54,6 +55,7 @@ def renewal_report(
     ``institution_via`` takes the institution from the investigator ("pi") or
     from the trial ("project"). With ``employment`` given, a ``Department``
     column lists the investigator's current departments at that institution.
+    ``ordered=False`` saves the global sort where the rows go on to another job.
     """
     by_day = mode == "specified"
     renewal = F.col("IRBRenewalDate")
@@ -94,9 +96,11 @@ def renewal_report(
     else:
         status = F.when(rank == 0, PAST_DUE).when(rank == 1, DUE_SOON).otherwise(CURRENT)
         colour = F.when(rank == 0, RED).when(rank == 1, YELLOW).otherwise(GREEN)
-    # The trial key makes the sort key unique, so one date cannot pile up in
-    # one range of the sort.
-    return out.orderBy("__rank", "IRBRenewalDate", "ProtocolID").select(
+    if ordered:
+        # The trial key makes the sort key unique, so one date cannot pile up
+        # in one range of the sort.
+        out = out.orderBy("__rank", "IRBRenewalDate", "ProtocolID")
+    return out.select(
         "Institution",
         "InstitutionType",
         "PrincipalInvestigator",

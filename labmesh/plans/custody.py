@@ -87,7 +87,7 @@ def custody_report(
         ).withColumn("CandidateTrials", F.coalesce("CandidateTrials", F.lit(0)))
         extra = ["CandidateTrials"]
     trial = [] if "ProtocolID" in specimen_key else ["ProtocolID"]
-    return traced.orderBy(F.desc_nulls_last("MaxViolationTemp"), "FreezerID", *specimen_key).select(
+    return traced.select(
         "FreezerID",
         "FreezerName",
         "Location",
@@ -134,4 +134,4 @@ def candidate_trials(
         spread_by=["ProtocolID"],
         how="left",
         keys_from=project,
-    ).orderBy("InstitutionID", "ProtocolID")
+    )

@@ -4,11 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from labmesh.functions import keyed
 from labmesh.operators.lookup import lookup_join
 from labmesh.sources.tables import replace_table
 
+# Hash iterations that keep one core busy for about a minute.
+ITERATIONS_PER_TASK = 150_000_000
+
+
 def add_hash(ids: DataFrame, id_col: str, salt: str) -> DataFrame:
     """Fast keyed hash of the id, inside the JVM."""
     key = keyed.secret(ids.sparkSession, salt)
@@ -20,9 +25,13 @@ def add_stretched_hash(
 ) -> DataFrame:
     """Slow keyed hash of the id, one PBKDF2 derivation per row.
 
-    The work is pure CPU, so rows spread by id over many small tasks.
+    The work is pure CPU, about 40 ms per row at 100,000 iterations. Rows spread
+    by id over tasks of about a minute, so that a lost executor costs little.
+    Counting the ids to choose the number of tasks is cheap beside the hashing.
     """
-    tasks = tasks or 4 * ids.sparkSession.sparkContext.defaultParallelism
+    if tasks is None:
+        derivations = ids.count() * iterations
+        tasks = max(4 * ids.sparkSession.sparkContext.defaultParallelism, -(-derivations // ITERATIONS_PER_TASK))
     stretch = keyed.stretched_hash(salt, iterations)
     spread = ids.repartition(tasks, F.col(id_col))
     return spread.withColumn("hashed_id", stretch(F.col(id_col).cast("string")))
@@ -47,6 +56,16 @@ def add_random_id(ids: DataFrame, id_col: str, salt: str) -> DataFrame:
     return out.withColumn("random_id", number).drop("place", "block")
 
 
+def _mapping_schema(id_type: T.DataType) -> T.StructType:
+    return (
+        T.StructType()
+        .add("original_id", id_type)
+        .add("pseudonym", "string")
+        .add("hashed_id", "string")
+        .add("random_id", "long")
+    )
+
+
 def generate_mapping(
     participant_ids: DataFrame,
     salt: str,
@@ -117,7 +136,7 @@ def release(
     that it knows keep their pseudonyms. An empty table is released empty.
     """
     spark = participant.sparkSession
-    schema = generate_mapping(participant, salt, id_col, iterations).schema
+    schema = _mapping_schema(participant.schema[id_col].dataType)
     spark.createDataFrame([], schema).write.mode("append").parquet(mapping_path)
     stored = spark.read.schema(schema).parquet(mapping_path)
     extend_mapping(stored, participant, salt, id_col, iterations).write.mode("append").parquet(mapping_path)
