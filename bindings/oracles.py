@@ -299,7 +299,7 @@ found AS (
   UNION ALL SELECT 'Location', 'bsl_range', id, 'BSLLabLevel BETWEEN 1 AND 4', 1 FROM loc WHERE region = 0
   UNION ALL SELECT 'Institution', 'founded_in_past', c_custkey, 'DateFounded <= timestamp''2001-06-01 00:00:00''', 1
     FROM inst WHERE founded > DATE '2001-06-01'
-  UNION ALL SELECT 'Institution', 'Type_listed', c_custkey, 'Type IN (''Academic'', ''Corporate'', ''Government'')', 1
+  UNION ALL SELECT 'Institution', 'Type_listed', c_custkey, 'lower(rtrim(Type)) IN (''academic'', ''corporate'', ''government'')', 1
     FROM inst WHERE c_mktsegment <> 'MACHINERY'
   UNION ALL SELECT 'Institution', 'LocationID_parent', loc_id, 'no parent', count(*) FROM inst
     WHERE loc_id NOT IN (SELECT id FROM loc) GROUP BY loc_id
@@ -404,6 +404,8 @@ SELECT event_id AS LogID, user_id AS FreezerID, value AS ReadingValue FROM event
 WHERE ts >= TIMESTAMP '2024-01-24 00:00:00'
 """
 
+ORACLES["first_rows"] = "SELECT c_custkey, c_name FROM customer ORDER BY c_custkey LIMIT 3"
+
 ORACLES["orcid_check"] = """
 WITH o AS (
   SELECT o_orderkey,

@@ -366,6 +366,11 @@ def reading_log_by_day(r: Roles) -> DataFrame:
     return log.select("LogID", "FreezerID", "ReadingValue")
 
 
+@query
+def first_rows(r: Roles) -> DataFrame:
+    return tables.preview(r.raw("customer").select("c_custkey", "c_name").orderBy("c_custkey"))
+
+
 @query
 def orcid_check(r: Roles) -> DataFrame:
     """Order keys written in the shape of researcher identifiers."""

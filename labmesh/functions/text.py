@@ -1,4 +1,8 @@
-"""Text predicates and phrase helpers."""
+"""Text predicates and phrase helpers.
+
+The source database compares text without regard to case and trailing blanks.
+``folded`` brings a text into the form in which Spark's exact comparison agrees.
+"""
 
 from __future__ import annotations
 
@@ -11,6 +15,20 @@ from labmesh.sources.schemas import ORCID_PATTERN
 LEGAL_FORMS = ["ag", "co", "company", "corp", "corporation", "gmbh", "holding", "inc", "llc", "ltd", "plc", "sa"]
 
 
+def folded(column: Column) -> Column:
+    return F.lower(F.rtrim(column))
+
+
+def one_of(column: Column, values: list[str] | tuple[str, ...]) -> Column:
+    """The text is one of the values; NULL for NULL."""
+    return folded(column).isin(*[v.rstrip().lower() for v in values])
+
+
+def holds(column: Column, part: str) -> Column:
+    """The text contains ``part``."""
+    return F.lower(column).contains(part.lower())
+
+
 def valid_orcid(column: Column) -> Column:
     """Four digit groups, the last ending in a digit or X; blanks are padding."""
     return F.rtrim(column).rlike(ORCID_PATTERN)

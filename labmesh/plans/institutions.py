@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from labmesh.functions import asof
+from labmesh.functions.text import one_of
 from labmesh.operators.aggregates import TOTAL, exact_mean, money_sum, severity_by_institution
 from labmesh.operators.lookup import lookup_join
 
@@ -19,13 +20,13 @@ YEARS = 5
 
 def _sites(institution: DataFrame, location: DataFrame, site_type: str, containment: int) -> DataFrame:
     labs = location.where(F.col("BSLLabLevel") == containment).select("LocationID")
-    chosen = institution.where(F.col("Type") == site_type).select("InstitutionID", "LegalName", "LocationID")
+    chosen = institution.where(one_of(F.col("Type"), [site_type])).select("InstitutionID", "LegalName", "LocationID")
     return lookup_join(chosen, labs, "LocationID", spread_by=["InstitutionID"]).drop("LocationID")
 
 
 def _unrestricted(restricted: tuple[str, ...]) -> Column:
     """Not on the list; an unknown restriction counts as none."""
-    return F.col("ExportRestriction").isNull() | ~F.col("ExportRestriction").isin(*restricted)
+    return F.col("ExportRestriction").isNull() | ~one_of(F.col("ExportRestriction"), restricted)
 
 
 def institution_report(
@@ -49,7 +50,7 @@ def institution_report(
     institution before it is joined, so children do not multiply each other.
     """
     recent = (F.col("FDAPhase") == phase) & (F.col("IRBApprovalDate") >= asof.years_before(as_of, years))
-    listed = F.col("ExportRestriction").isin(*restricted)
+    listed = one_of(F.col("ExportRestriction"), restricted)
     # One scan serves the existence and the exclusion test.
     cleared = (
         regulatory.where(recent | listed)

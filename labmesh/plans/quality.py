@@ -9,8 +9,9 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from labmesh.functions import asof
+from labmesh.functions import asof, text
 from labmesh.operators.lookup import lookup_join
 from labmesh.sources.schemas import TABLES, Table
 
@@ -31,7 +32,12 @@ def _report(df: DataFrame, table: str, rule: Column, keys: list[str], detail: Co
 
 
 def duplicate_keys(df: DataFrame, table: str, keys: list[str], rule: str = "unique") -> DataFrame:
-    """Key values held by several rows. NULLs count as equal."""
+    """Key values held by several rows.
+
+    NULLs count as equal, and so do texts that differ in case only.
+    """
+    texts = [k for k in keys if isinstance(df.schema[k].dataType, T.StringType)]
+    df = df.select(*[text.folded(F.col(k)).alias(k) if k in texts else F.col(k) for k in keys])
     groups = df.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") > 1)
     return _report(groups, table, F.lit(rule), keys, F.lit("duplicate"), F.col("n"))
 
@@ -63,8 +69,8 @@ def _explode_rules(df: DataFrame, table: str, keys: list[str], broken: dict[str,
 
 def _check_tests(rules: dict[str, str], as_of: asof.AsOf | None) -> dict[str, tuple[Column, Column]]:
     now = "current_timestamp()" if as_of is None else asof.sql_literal(as_of)
-    texts = {rule: text.replace("{as_of}", now) for rule, text in rules.items()}
-    return {rule: (~F.expr(text), F.lit(text)) for rule, text in texts.items()}
+    bodies = {rule: body.replace("{as_of}", now) for rule, body in rules.items()}
+    return {rule: (~F.expr(body), F.lit(body)) for rule, body in bodies.items()}
 
 
 def _null_tests(columns: list[str]) -> dict[str, tuple[Column, Column]]:
@@ -142,7 +148,7 @@ def require_none(violations: DataFrame) -> None:
 def valid_rows(df: DataFrame, rules: dict[str, str], as_of: asof.AsOf | None = None) -> DataFrame:
     """Rows that break none of the row rules."""
     now = "current_timestamp()" if as_of is None else asof.sql_literal(as_of)
-    tests = [F.coalesce(F.expr(text.replace("{as_of}", now)), F.lit(True)) for text in rules.values()]
+    tests = [F.coalesce(F.expr(body.replace("{as_of}", now)), F.lit(True)) for body in rules.values()]
     return df.where(reduce(Column.__and__, tests))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from labmesh.functions import asof
+from labmesh.functions.text import holds
 from labmesh.operators.aggregates import best_per_group
 from labmesh.operators.lookup import lookup_join
 
@@ -15,7 +16,7 @@ FTE_TOTAL = "decimal(38,2)"
 def degree_rank(first: str = "PhD", second: str = "MD") -> Column:
     """Rank of a degree by the marker its field contains."""
     held = F.col("Field")
-    return F.when(held.contains(first), 1).when(held.contains(second), 2).otherwise(3)
+    return F.when(holds(held, first), 1).when(holds(held, second), 2).otherwise(3)
 
 
 def best_degree(degree: DataFrame, first: str = "PhD", second: str = "MD") -> DataFrame:

@@ -63,8 +63,8 @@ class Table:
         """Row rules: the declared checks plus one per enumerated column."""
         out = dict(self.checks)
         for name, values in self.enums.items():
-            listed = ", ".join(f"'{v}'" for v in values)
-            out[f"{name}_listed"] = f"{name} IN ({listed})"
+            listed = ", ".join(f"'{v.lower()}'" for v in values)
+            out[f"{name}_listed"] = f"lower(rtrim({name})) IN ({listed})"
         return out
 
 

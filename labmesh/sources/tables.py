@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from labmesh.functions import asof
+from labmesh.functions.text import one_of
 from labmesh.operators.ordering import assign_keys
 from labmesh.sources.schemas import TABLES, Table
 
@@ -54,7 +55,7 @@ def _canonical(field: T.StructField, table: Table) -> Column:
         # Values compare without regard to case and trailing blanks.
         chosen = F.when(F.lit(False), F.lit(None).cast("string"))
         for listed in table.enums[field.name]:
-            chosen = chosen.when(F.lower(F.rtrim(value)) == listed.lower(), F.lit(listed))
+            chosen = chosen.when(one_of(value, [listed]), F.lit(listed))
         value = chosen.otherwise(value)
     return value.alias(field.name)
 

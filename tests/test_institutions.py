@@ -75,7 +75,7 @@ def _filings(make, *filings):
 
 
 @pytest.mark.parametrize(
-    "other, kept", [("ITAR", False), ("EAR", False), ("EAR99", True), ("itar", True), (None, True)]
+    "other, kept", [("ITAR", False), ("EAR", False), ("EAR99", True), ("itar ", False), (None, True)]
 )
 def test_one_restricted_filing_excludes_the_site(make, other, kept):
     filings = _filings(make, ("2022-01-01", 3, None), ("2010-01-01", 1, other))

@@ -92,6 +92,13 @@ def test_missing_values_of_a_unique_column_clash(make):
     assert rows_of(out, "row_key", "n_rows") == [("NULL", 2)]
 
 
+def test_unique_texts_ignore_case_and_trailing_blanks(make):
+    names = [(1, "Shelf A"), (1, "shelf a "), (2, "Shelf A")]
+    df = make("FreezerCompartment", *[{"CompartmentID": i, "FreezerID": f, "CompartmentName": n} for i, (f, n) in enumerate(names)])
+    out = quality.duplicate_keys(df, "FreezerCompartment", ["FreezerID", "CompartmentName"])
+    assert rows_of(out, "row_key", "n_rows") == [("1|shelf a", 2)]
+
+
 def test_orphans_count_rows(make):
     child = make("Participant", *[{"ParticipantID": i, "InstitutionID": n} for i, n in enumerate([1, 9, 9, None])])
     parent = make("Institution", {"InstitutionID": 1})

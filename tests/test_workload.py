@@ -104,3 +104,9 @@ def test_degree_ties(make):
     rows = [(1, 2000, "Physics"), (2, 2010, "Chemistry"), (3, 2010, "Biology")]
     degrees = make("Degree", *[{"DegreeID": i, "Year": y, "Field": f, "ResearcherID": 7} for i, y, f in rows])
     assert rows_of(best_degree(degrees)) == [(7, "Chemistry")]
+
+
+def test_degree_markers_ignore_case(make):
+    rows = [(1, 2020, "Physics"), (2, 2010, "md"), (3, 1990, "phd Biology")]
+    degrees = make("Degree", *[{"DegreeID": i, "Year": y, "Field": f, "ResearcherID": 7} for i, y, f in rows])
+    assert rows_of(best_degree(degrees)) == [(7, "phd Biology")]
