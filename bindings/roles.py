@@ -83,7 +83,8 @@ class Roles:
         )
 
     def withdrawal(self) -> DataFrame:
-        return self.raw("lineitem").where(F.col("l_returnflag") == "R").select(F.col("l_orderkey").alias("ParticipantID"))
+        returned = self.raw("lineitem").where(F.col("l_returnflag") == "R")
+        return returned.select(F.col("l_orderkey").alias("ParticipantID"))
 
     def publication(self) -> DataFrame:
         return self.raw("lineitem").select(
@@ -136,7 +137,10 @@ class Roles:
         """Posts are order lines; an open line is a current post."""
         orders = self.raw("orders").select("o_orderkey", "o_custkey", "o_orderdate")
         lines = lookup_join(
-            self.raw("lineitem"), orders, {"l_orderkey": "o_orderkey"}, spread_by=["l_partkey", "l_suppkey", "l_shipdate"]
+            self.raw("lineitem"),
+            orders,
+            {"l_orderkey": "o_orderkey"},
+            spread_by=["l_partkey", "l_suppkey", "l_shipdate"],
         )
         return lines.select(
             F.col("l_orderkey").alias("ExperienceRecordID"),

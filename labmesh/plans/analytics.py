@@ -95,7 +95,7 @@ def conflict_matches(researcher: DataFrame, corporate: DataFrame, ignored: list[
     Both sides become word sequences and meet in an equality join. Companies of
     the same name count together.
     """
-    named = corporate.select("InstitutionID", "ParentCompany", text.name_phrase(F.col("ParentCompany"), ignored).alias("Company"))
+    named = corporate.select("InstitutionID", text.name_phrase(F.col("ParentCompany"), ignored).alias("Company"))
     companies = (
         named.where(F.col("Company") != "")
         .groupBy("Company")

@@ -55,7 +55,10 @@ def institution_report(
     cleared = (
         regulatory.where(recent | listed)
         .groupBy("InstitutionID")
-        .agg(F.max(F.coalesce(recent, F.lit(False))).alias("__trial"), F.max(F.coalesce(listed, F.lit(False))).alias("__listed"))
+        .agg(
+            F.max(F.coalesce(recent, F.lit(False))).alias("__trial"),
+            F.max(F.coalesce(listed, F.lit(False))).alias("__listed"),
+        )
         .where(F.col("__trial") & ~F.col("__listed"))
         .select("InstitutionID")
     )

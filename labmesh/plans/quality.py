@@ -155,7 +155,9 @@ def valid_rows(df: DataFrame, rules: dict[str, str], as_of: asof.AsOf | None = N
 # --- rules of the entity model -------------------------------------------------
 
 
-def institution_wide(institution: DataFrame, academic: DataFrame, corporate: DataFrame, government: DataFrame) -> DataFrame:
+def institution_wide(
+    institution: DataFrame, academic: DataFrame, corporate: DataFrame, government: DataFrame
+) -> DataFrame:
     """One row per institution with the attributes of its subtype."""
     return (
         institution.join(academic, "InstitutionID", "left")
@@ -209,7 +211,8 @@ def subtype_violations(
 def containment_violations(freezer: DataFrame, location: DataFrame) -> DataFrame:
     """Freezers that need a higher containment level than their location has."""
     labs = location.select("LocationID", "BSLLabLevel")
-    joined = lookup_join(freezer.select("FreezerID", "LocationID", "BSLLevel"), labs, "LocationID", spread_by=["FreezerID"])
+    units = freezer.select("FreezerID", "LocationID", "BSLLevel")
+    joined = lookup_join(units, labs, "LocationID", spread_by=["FreezerID"])
     return joined.where(F.col("BSLLevel") > F.col("BSLLabLevel")).select(
         "FreezerID", "LocationID", "BSLLevel", "BSLLabLevel"
     )

@@ -141,7 +141,9 @@ def preview(df: DataFrame, rows: int = 3) -> DataFrame:
     return df.limit(rows)
 
 
-def missing_tables(spark: SparkSession, names: Iterable[str] = ("Researcher", "Participant", "Institution")) -> DataFrame:
+def missing_tables(
+    spark: SparkSession, names: Iterable[str] = ("Researcher", "Participant", "Institution")
+) -> DataFrame:
     """Names of required tables that the catalog does not hold."""
     absent = [(n,) for n in names if not spark.catalog.tableExists(n)]
     return spark.createDataFrame(absent, "table_name string")
