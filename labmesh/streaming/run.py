@@ -25,6 +25,8 @@ def run_available(stream: DataFrame, label: str, out: str | None = None, state:
     spark = stream.sparkSession
     out = out or fresh_folder(spark, label)
     state = state or fresh_folder(spark, f"{label}-state")
+    # A stream without any input writes nothing; the table exists all the same.
+    spark.createDataFrame([], stream.schema).write.mode("append").parquet(out)
     query = (
         stream.writeStream.format("parquet")
         .option("path", out)

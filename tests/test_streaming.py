@@ -72,6 +72,16 @@ def test_run_goes_on_from_its_checkpoint(deliver, spark, tmp_path):
     assert rows_of(got, "WindowStart") == [(at(0),), (at(300),)]
 
 
+def test_no_input_at_all(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    stream = read_folder(spark, str(tmp_path / "in"), spark.createDataFrame([], READINGS).schema)
+    assert run_available(freezers.violation_windows(stream), "none").collect() == []
+    path = str(tmp_path / "states")
+    states = freezers.states_stream(stream)
+    assert run_available(states, "states", out=path).collect() == []
+    assert run_available(freezers.alarms(path, states, length=3), "alarms").collect() == []
+
+
 def test_alarms_equal_the_batch_result(deliver, spark, tmp_path):
     rows = []
     for i in range(400):
