@@ -131,7 +131,7 @@ WITH {OVERLAPS}
 SELECT rec AS ExperienceRecordID, person AS ResearcherID, inst AS InstitutionID, k AS ConcurrentElsewhere FROM hits
 """
 
-ORACLES["q2_concurrent_researchers"] = f"""
+ORACLES["q2_concurrent_overlap"] = f"""
 WITH {OVERLAPS}
 SELECT person AS ResearcherID, CAST(sum(CASE WHEN k > 0 THEN 1 ELSE 0 END) AS BIGINT) AS ConcurrentPosts,
        CAST(sum(k) // 2 AS BIGINT) AS OverlappingPairs, max(k) AS MostConcurrent
@@ -151,23 +151,23 @@ WHERE renewal IS NULL OR renewal <= {{limit}}
 
 
 SPECIFIED = """
-       CASE WHEN renewal IS NULL THEN 'MISSING' WHEN renewal < DATE '2001-07-01' THEN 'PAST DUE'
+       CASE WHEN renewal IS NULL THEN 'MISSING' WHEN renewal < DATE '2001-01-15' THEN 'PAST DUE'
             ELSE 'DUE WITHIN 30 DAYS' END AS RenewalStatus,
-       CASE WHEN renewal IS NULL THEN '⚪ GREY' WHEN renewal < DATE '2001-07-01' THEN '🔴 RED'
+       CASE WHEN renewal IS NULL THEN '⚪ GREY' WHEN renewal < DATE '2001-01-15' THEN '🔴 RED'
             ELSE '🟡 YELLOW' END AS StatusColor"""
 
 AS_WRITTEN = """
-       CASE WHEN renewal < TIMESTAMP '2001-07-01 12:00:00' THEN 'PAST DUE'
-            WHEN renewal <= TIMESTAMP '2001-07-31 12:00:00' THEN 'DUE WITHIN 30 DAYS'
+       CASE WHEN renewal < TIMESTAMP '2001-01-15 12:00:00' THEN 'PAST DUE'
+            WHEN renewal <= TIMESTAMP '2001-02-14 12:00:00' THEN 'DUE WITHIN 30 DAYS'
             ELSE 'UP TO DATE' END AS RenewalStatus,
-       CASE WHEN renewal < TIMESTAMP '2001-07-01 12:00:00' THEN '🔴 RED'
-            WHEN renewal <= TIMESTAMP '2001-07-31 12:00:00' THEN '🟡 YELLOW'
+       CASE WHEN renewal < TIMESTAMP '2001-01-15 12:00:00' THEN '🔴 RED'
+            WHEN renewal <= TIMESTAMP '2001-02-14 12:00:00' THEN '🟡 YELLOW'
             ELSE '🟢 GREEN' END AS StatusColor"""
 
 HOME = ("nation ON home = n_nationkey", "n_name", "CAST(n_regionkey AS VARCHAR)")
 
-ORACLES["q3_irb_compliance"] = _renewals(SPECIFIED, *HOME).format(limit="DATE '2001-07-31'")
-ORACLES["q3_as_written"] = _renewals(AS_WRITTEN, *HOME).format(limit="TIMESTAMP '2001-07-31 12:00:00'")
+ORACLES["q3_irb_compliance"] = _renewals(SPECIFIED, *HOME).format(limit="DATE '2001-02-14'")
+ORACLES["q3_as_written"] = _renewals(AS_WRITTEN, *HOME).format(limit="TIMESTAMP '2001-02-14 12:00:00'")
 ORACLES["q3_by_project_site"] = _renewals(
     SPECIFIED,
     "customer c ON o_custkey = c.c_custkey",
@@ -176,7 +176,7 @@ ORACLES["q3_by_project_site"] = _renewals(
     extra=", depts AS Department",
     join="""LEFT JOIN (SELECT person, string_agg(DISTINCT dept, '; ' ORDER BY dept) AS depts
                        FROM posts WHERE e IS NULL GROUP BY 1) ON person = o_custkey""",
-).format(limit="DATE '2001-07-31'")
+).format(limit="DATE '2001-02-14'")
 
 ROLLUP = """
 roll AS (
@@ -360,7 +360,7 @@ SELECT id AS InstitutionID, c_name AS LegalName, Type, CASE WHEN a THEN c_nation
 FROM held
 """
 
-ORACLES["timeline"] = f"""
+ORACLES["employment_timeline"] = f"""
 WITH {POSTS},
 d AS (SELECT person, f, count(*) AS n, max(coalesce(e, DATE '9999-12-31')) AS e FROM posts GROUP BY 1, 2),
 w AS (SELECT *, max(e) OVER (PARTITION BY person ORDER BY f ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev FROM d)

@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from bindings.roles import Roles
 from labmesh.functions import asof, keyed
 from labmesh.functions.text import valid_orcid
+from labmesh.operators import timelines
 from labmesh.operators.ordering import assign_keys
 from labmesh.operators.runs import violation_runs, window_alarms, window_states
-from labmesh.operators.timelines import concurrent_posts, concurrent_researchers, employment_timeline
 from labmesh.operators.violations import violation_rollup
 from labmesh.plans import analytics, compliance, custody, deident, institutions, quality, workload
 from labmesh.sources import tables
@@ -23,7 +23,7 @@ from labmesh.streaming.run import run_available
 
 SALT = "test-salt"
 REPORT_DAY = "2001-08-01 12:00:00"
-RENEWAL_DAY = "2001-07-01 12:00:00"
+RENEWAL_DAY = "2001-01-15 12:00:00"
 WORKLOAD_DAY = "2000-01-01 12:00:00"
 READING_DAY = "2024-01-31 00:00:00"
 HOT_READING = 150
@@ -109,12 +109,12 @@ def q2_active_leads(r: Roles) -> DataFrame:
 
 @query
 def q2_concurrent_posts(r: Roles) -> DataFrame:
-    return concurrent_posts(r.employment())
+    return timelines.concurrent_posts(r.employment())
 
 
 @query
-def q2_concurrent_researchers(r: Roles) -> DataFrame:
-    return concurrent_researchers(r.employment())
+def q2_concurrent_overlap(r: Roles) -> DataFrame:
+    return timelines.concurrent_researchers(r.employment())
 
 
 @query
@@ -296,8 +296,8 @@ def institution_wide(r: Roles) -> DataFrame:
 
 
 @query
-def timeline(r: Roles) -> DataFrame:
-    return employment_timeline(r.employment())
+def employment_timeline(r: Roles) -> DataFrame:
+    return timelines.employment_timeline(r.employment())
 
 
 @query
