@@ -332,16 +332,15 @@ def defaults_fill(r: Roles) -> DataFrame:
 
 @query
 def surrogate_keys(r: Roles) -> DataFrame:
-    # Line items have no key; orders have one with 64 bits.
     orders = r.raw("orders").select("o_orderkey", "o_custkey")
-    return assign_keys(orders, "o_orderkey", "row_id", bits=64)
+    return assign_keys(orders, "o_orderkey", "row_id")
 
 
 @query
 def append_with_keys(r: Roles) -> DataFrame:
     existing = r.raw("customer").select(F.col("c_custkey").alias("row_id"))
     batch = r.raw("supplier").select("s_suppkey", "s_name")
-    return tables.append_with_keys(existing, batch, "row_id", "s_suppkey", bits=64)
+    return tables.append_with_keys(existing, batch, "row_id", "s_suppkey")
 
 
 @query

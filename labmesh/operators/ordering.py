@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 BLOCK_BITS = 16
 
@@ -33,13 +34,15 @@ def _offsets(counts: DataFrame, bits: int) -> DataFrame:
     return nested.join(outer, "parent").select("block", (F.col("below") + F.col("inner")).alias("below"))
 
 
-def assign_keys(
-    rows: DataFrame, order_by: str, alias: str, start: int = 1, bits: int = 32
-) -> DataFrame:
-    """Consecutive numbers from ``start`` in the order of a unique whole number.
+def _width(df: DataFrame, column: str) -> int:
+    """Bits of a whole-number column; the type is the proof of the bound."""
+    small = (T.ByteType, T.ShortType, T.IntegerType)
+    return 32 if isinstance(df.schema[column].dataType, small) else 64
 
-    ``bits`` is the width of ``order_by``: 32 for an int, 64 for a bigint.
-    """
+
+def assign_keys(rows: DataFrame, order_by: str, alias: str, start: int = 1) -> DataFrame:
+    """Consecutive numbers from ``start`` in the order of a unique whole number."""
+    bits = _width(rows, order_by)
     block = F.shiftright(F.col(order_by).cast("bigint"), BLOCK_BITS)
     counts = rows.groupBy(block.alias("block")).agg(F.count("*").alias("n"))
     offsets = _offsets(counts, bits - BLOCK_BITS).select(F.col("block").alias("__block"), "below")
@@ -55,7 +58,7 @@ def assign_keys(
     )
 
 
-def rank_values(rows: DataFrame, value: str, alias: str, bits: int = 32) -> DataFrame:
+def rank_values(rows: DataFrame, value: str, alias: str) -> DataFrame:
     """One row per distinct whole-number value with its rank, highest first.
 
     Equal rows share a rank and leave a gap after them.
@@ -68,8 +71,8 @@ def rank_values(rows: DataFrame, value: str, alias: str, bits: int = 32) -> Data
     )
     block = F.shiftright("v", BLOCK_BITS)
     counts = distinct.groupBy(block.alias("block")).agg(F.sum("n").alias("n"))
-    # A negated 32-bit value needs one bit more.
-    offsets = _offsets(counts, bits + 1 - BLOCK_BITS).select(F.col("block").alias("__block"), "below")
+    # A negated value needs one bit more.
+    offsets = _offsets(counts, _width(rows, value) + 1 - BLOCK_BITS).select(F.col("block").alias("__block"), "below")
     w = Window.partitionBy("__block").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
     return (
         distinct.withColumn("__block", block)

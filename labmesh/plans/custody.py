@@ -81,7 +81,8 @@ def custody_report(
             .select("InstitutionID", "CandidateTrials", only.alias("ProtocolID"))
         )
         origin = _leads(project, researcher).drop("InstitutionID")
-        sites = per_site.join(origin, "ProtocolID", "left")
+        # Sites with several trials all lack a key here; they spread too.
+        sites = lookup_join(per_site, origin, "ProtocolID", spread_by=["InstitutionID"], how="left")
         traced = lookup_join(
             stored, sites, "InstitutionID", spread_by=specimen_key, how="left", keys_from=biospecimen
         ).withColumn("CandidateTrials", F.coalesce("CandidateTrials", F.lit(0)))

@@ -96,10 +96,10 @@ def evolve(old: DataFrame, new: DataFrame) -> DataFrame:
     return old.unionByName(new, allowMissingColumns=True)
 
 
-def append_with_keys(existing: DataFrame, batch: DataFrame, key: str, order_by: str, bits: int = 32) -> DataFrame:
+def append_with_keys(existing: DataFrame, batch: DataFrame, key: str, order_by: str) -> DataFrame:
     """The batch with keys that go on after the highest existing one."""
     highest = existing.agg(F.coalesce(F.max(key), F.lit(0)).alias("m")).select("m").scalar()
-    numbered = assign_keys(batch, order_by, "__n", bits=bits)
+    numbered = assign_keys(batch, order_by, "__n")
     return numbered.withColumn(key, F.col("__n") + highest).drop("__n")
 
 
