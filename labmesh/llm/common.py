@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,3 +38,45 @@ def lower_ascii(text: Column) -> Column:
 def n_words(text: Column) -> Column:
     """Number of words, 0 for NULL."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+
+
+def in_groups(
+    df: DataFrame, keys: list[str], work: Callable[[pd.DataFrame], pd.DataFrame], schema: str
+) -> DataFrame:
+    """Apply `work` to the rows of each key, one group in memory at a time.
+
+    Rows are dealt by key and sorted, so that a task streams through its groups;
+    thousands of small groups cost little more than their rows. The caller sees to
+    it that no group is large.
+    """
+
+    def stream(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        waiting: list[pd.DataFrame] = []
+        for batch in batches:
+            if not len(batch):
+                continue
+            values = [batch[k].to_numpy() for k in keys]
+            changes = np.zeros(len(batch) - 1, bool)
+            for v in values:
+                changes |= v[1:] != v[:-1]
+            cuts = [0, *(np.flatnonzero(changes) + 1).tolist(), len(batch)]
+            out = []
+            for start, end in zip(cuts, cuts[1:]):
+                part = batch.iloc[start:end]
+                if waiting and any(
+                    waiting[0][k].iloc[0] != part[k].iloc[0] for k in keys
+                ):
+                    out.append(work(_joined(waiting)))
+                    waiting = []
+                waiting.append(part)
+            out = [frame for frame in out if len(frame)]
+            if out:
+                yield pd.concat(out, ignore_index=True)
+        if waiting:
+            yield work(_joined(waiting))
+
+    return df.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(stream, schema)
+
+
+def _joined(frames: list[pd.DataFrame]) -> pd.DataFrame:
+    return frames[0] if len(frames) == 1 else pd.concat(frames, ignore_index=True)

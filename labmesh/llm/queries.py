@@ -9,13 +9,38 @@ from pyspark.sql import functions as F
 
 from labmesh.llm import oracles
 from labmesh.llm.common import table
+from labmesh.llm.fingerprints import edited_fingerprints
 from labmesh.llm.licences import licence_scan
+from labmesh.llm.minhash import near_duplicates
 from labmesh.llm.mixing import mix_sources
+from labmesh.llm.pieces import decode_pieces, encode_pieces, load_pieces
+from labmesh.llm.quality import THRESHOLD, held_out, score_quality, train_quality
 from labmesh.llm.urls import url_verdicts
+from labmesh.llm.vectors import near_vectors
+
+TOKENIZER = "/opt/tokenizers/piece_bpe_32k.model"
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_quality(spark: SparkSession, folder: str) -> DataFrame:
+    """Quality score of every document by trees fitted on labelled ones."""
+    docs = table(spark, folder, "documents")
+    trees = train_quality(docs, table(spark, folder, "labels"))
+    scored = score_quality(docs.select("doc_id", "text"), trees)
+    return scored.select(
+        "doc_id",
+        held_out(F.col("doc_id")).alias("held_out"),
+        "score",
+        F.when(F.col("score") >= THRESHOLD, 1).otherwise(0).alias("predicted"),
+    )
+
+
+def op2_embedding_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Links and components of embeddings of one label with cosine 0.93 or more."""
+    return near_vectors(table(spark, folder, "embeddings"), threshold=0.93)
+
+
 def op3_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     """Verdict on the url of every page."""
     judged = url_verdicts(table(spark, folder, "pages"))
@@ -40,10 +65,39 @@ def op6_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mix_sources(table(spark, folder, "documents"), quality=quality)
 
 
+def op7_minhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Components of documents whose 3-word shingles overlap by 85 percent or more."""
+    return near_duplicates(table(spark, folder, "documents"), words=3, percent=85)
+
+
+def op9_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    """Fingerprints of documents and of their edited texts, and how alike they are."""
+    return edited_fingerprints(table(spark, folder, "documents"))
+
+
+def op10_pieces(spark: SparkSession, folder: str, model: str = TOKENIZER) -> DataFrame:
+    """Ids of every document, digested, and whether decoding gives the text back."""
+    pieces = load_pieces(model)
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    encoded = decode_pieces(encode_pieces(docs, pieces), pieces)
+    return encoded.select(
+        "doc_id",
+        F.size("token_ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join("token_ids", ","), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+        (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"),
+    )
+
+
 REGISTRY: dict[str, Query] = {
+    "op1_quality": op1_quality,
+    "op2_embedding_dedup": op2_embedding_dedup,
     "op3_url_filter": op3_url_filter,
     "op4_license_scan": op4_license_scan,
     "op6_mixing": op6_mixing,
+    "op7_minhash_dedup": op7_minhash_dedup,
+    "op9_fingerprints": op9_fingerprints,
+    "op10_pieces": op10_pieces,
 }
 
 ORACLES: dict[str, str] = {
