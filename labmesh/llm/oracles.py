@@ -87,6 +87,22 @@ def license_scan() -> str:
     """
 
 
+def warc() -> str:
+    return """
+    WITH records AS (
+      SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes,
+        sha256(coalesce(html, '')) AS payload_digest FROM pages
+    ), firsts AS (
+      SELECT payload_digest, min(page_id) AS first FROM records
+      WHERE payload_bytes >= 100 GROUP BY 1
+    )
+    SELECT page_id, payload_bytes, payload_digest,
+      CASE WHEN page_id > first THEN 'revisit' ELSE 'response' END AS record_type,
+      CASE WHEN page_id > first THEN first END AS refers_to
+    FROM records LEFT JOIN firsts USING (payload_digest)
+    """
+
+
 def mixing() -> str:
     return r"""
     WITH sizes AS (

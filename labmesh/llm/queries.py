@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from labmesh.llm import oracles
 from labmesh.llm.common import table
 from labmesh.llm.fingerprints import edited_fingerprints
+from labmesh.llm.html_blocks import extract_text
 from labmesh.llm.licences import licence_scan
 from labmesh.llm.minhash import near_duplicates
 from labmesh.llm.mixing import mix_sources
@@ -17,6 +18,7 @@ from labmesh.llm.pieces import decode_pieces, encode_pieces, load_pieces
 from labmesh.llm.quality import THRESHOLD, held_out, score_quality, train_quality
 from labmesh.llm.urls import url_verdicts
 from labmesh.llm.vectors import near_vectors
+from labmesh.llm.warc import archive_folder, read_records, write_archives
 
 TOKENIZER = "/opt/tokenizers/piece_bpe_32k.model"
 
@@ -53,6 +55,15 @@ def op4_license_scan(spark: SparkSession, folder: str) -> DataFrame:
     return found.withColumn("line_licenses", F.array_join("line_licenses", ","))
 
 
+def op5_warc(spark: SparkSession, folder: str) -> DataFrame:
+    """Every page written to WARC archives and read back through their index."""
+    archives = archive_folder(spark)
+    index = write_archives(table(spark, folder, "pages"), archives)
+    return read_records(index, archives).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
+    )
+
+
 def label_weights(spark: SparkSession, folder: str) -> DataFrame:
     """Labelled documents weigh 2 if good and 0.5 if not; others are not listed."""
     labels = table(spark, folder, "labels").filter(F.col("quality").isNotNull())
@@ -70,6 +81,14 @@ def op7_minhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(table(spark, folder, "documents"), words=3, percent=85)
 
 
+def op8_main_text(spark: SparkSession, folder: str) -> DataFrame:
+    """Main text of every page."""
+    pages = table(spark, folder, "pages")
+    return extract_text(pages.select("page_id", "url", "html")).select(
+        "page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars")
+    )
+
+
 def op9_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     """Fingerprints of documents and of their edited texts, and how alike they are."""
     return edited_fingerprints(table(spark, folder, "documents"))
@@ -94,8 +113,10 @@ REGISTRY: dict[str, Query] = {
     "op2_embedding_dedup": op2_embedding_dedup,
     "op3_url_filter": op3_url_filter,
     "op4_license_scan": op4_license_scan,
+    "op5_warc": op5_warc,
     "op6_mixing": op6_mixing,
     "op7_minhash_dedup": op7_minhash_dedup,
+    "op8_main_text": op8_main_text,
     "op9_fingerprints": op9_fingerprints,
     "op10_pieces": op10_pieces,
 }
@@ -103,5 +124,6 @@ REGISTRY: dict[str, Query] = {
 ORACLES: dict[str, str] = {
     "op3_url_filter": oracles.url_filter(),
     "op4_license_scan": oracles.license_scan(),
+    "op5_warc": oracles.warc(),
     "op6_mixing": oracles.mixing(),
 }
