@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from labmesh.sources.scratch import fresh_folder
 
@@ -40,6 +42,38 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def add_column(
+    df: DataFrame,
+    source: str,
+    name: str,
+    kind: str,
+    arrow: pa.DataType,
+    start: Callable[[], Callable[[list], Sequence]],
+    rows: int = 256,
+) -> DataFrame:
+    """The rows with a column computed in Python from another one, `rows` at a time.
+
+    `start` is called once per task and returns the function from values to values.
+    The other columns pass by as they are; one that is called `name` is replaced.
+    Small steps keep what a task holds near the size of one Arrow batch, however
+    long the results are.
+    """
+    kept = [c for c in df.columns if c != name]
+    fields = [f for f in df.schema.fields if f.name != name]
+    result = T.StructType(fields + T._parse_datatype_string(f"`{name}` {kind}").fields)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        convert = start()
+        for batch in batches:
+            for at in range(0, batch.num_rows, rows):
+                part = batch.slice(at, rows)
+                values = convert(part.column(source).to_pylist())
+                columns = [*(part.column(c) for c in kept), pa.array(values, arrow)]
+                yield pa.RecordBatch.from_arrays(columns, names=[*kept, name])
+
+    return df.mapInArrow(work, result)
+
+
 def in_groups(
     df: DataFrame, keys: list[str], work: Callable[[pd.DataFrame], pd.DataFrame], schema: str
 ) -> DataFrame:

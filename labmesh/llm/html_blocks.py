@@ -16,14 +16,14 @@ from __future__ import annotations
 import html as entities
 import os
 import re
-from collections.abc import Iterator
 from dataclasses import dataclass
 from zlib import crc32
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+
+from labmesh.llm.common import add_column
 
 PATH_BINS = 256
 WORD_BINS = 64
@@ -267,10 +267,8 @@ def extract_text(
     """
     shared = pages.sparkSession.sparkContext.broadcast(weights or load_weights())
 
-    @F.pandas_udf("string")
-    def extracted(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def start():
         own = shared.value
-        for batch in batches:
-            yield pd.Series(main_texts([page or "" for page in batch], own), dtype=object)
+        return lambda batch: main_texts([page or "" for page in batch], own)
 
-    return pages.withColumn(text, extracted(F.col(f"`{html}`")))
+    return add_column(pages, html, text, "string", pa.string(), start, rows=128)
