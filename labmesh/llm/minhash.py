@@ -284,8 +284,9 @@ def near_duplicates(
         F.coalesce(lower_ascii(F.col(f"`{text}`")), F.lit("")).alias("text"),
     )
     # An id may occur with several texts: the set must be that of the class.
+    # The same plan at every size: a list of ids that fits a broadcast today outgrows it.
     fetched = (
-        texts.join(wanted, "rep", "left_semi")
+        texts.join(wanted.hint("merge"), "rep", "left_semi")
         .mapInPandas(sets, f"rep {kind}, set_key binary, shingles binary")
         .dropDuplicates(["rep", "set_key"])
     )
