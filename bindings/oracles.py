@@ -426,19 +426,18 @@ def _draw(text: str) -> str:
 
 
 def _mix(prefix: str, a: int, b: int, purpose: str) -> str:
-    """CTEs from ``ids(id)`` to ``<prefix>8(id, block, l, r)`` in eight rounds."""
-    out = [
-        f"{prefix}0 AS (SELECT id, id // {a * b} AS block, (id % {a * b}) // {b} AS l, id % {b} AS r FROM ids)"
-    ]
+    """CTEs from ``ids(id)`` to ``<prefix>8(id, l, r)`` in eight rounds."""
+    wide = "CAST('0x' || substr(sha256('test-salt' || {}), 1, 15) AS BIGINT)"
+    out = [f"{prefix}0 AS (SELECT id, id // {b} AS l, id % {b} AS r FROM ids)"]
     for i in range(8):
         left, right = "l", "r"
         if i % 2 == 0:
-            hashed = _draw(f"':{purpose}:{i}:' || block || ':' || r")
+            hashed = wide.format(f"':{purpose}:{i}:' || r")
             left = f"(l + {hashed}) % {a} AS l"
         else:
-            hashed = _draw(f"':{purpose}:{i}:' || block || ':' || l")
+            hashed = wide.format(f"':{purpose}:{i}:' || l")
             right = f"(r + {hashed}) % {b} AS r"
-        out.append(f"{prefix}{i + 1} AS (SELECT id, block, {left}, {right} FROM {prefix}{i})")
+        out.append(f"{prefix}{i + 1} AS (SELECT id, {left}, {right} FROM {prefix}{i})")
     return ", ".join(out)
 
 
@@ -451,10 +450,9 @@ mapping AS (
          'P-' || chr(CAST(65 + (p8.l * 10000 + p8.r) // 2600000 AS INT))
          || chr(CAST(65 + ((p8.l * 10000 + p8.r) // 100000) % 26 AS INT)) || '-'
          || substr(lpad(CAST((p8.l * 10000 + p8.r) % 100000 AS VARCHAR), 5, '0'), 1, 2) || '-'
-         || substr(lpad(CAST((p8.l * 10000 + p8.r) % 100000 AS VARCHAR), 5, '0'), 3, 3)
-         || CASE WHEN p8.block > 0 THEN '-' || p8.block ELSE '' END AS pseudonym,
+         || substr(lpad(CAST((p8.l * 10000 + p8.r) % 100000 AS VARCHAR), 5, '0'), 3, 3) AS pseudonym,
          sha256('test-salt' || p8.id) AS hashed_id,
-         100000 + n8.block * 900000 + n8.l * 1000 + n8.r AS random_id
+         100000 + n8.l * 1000 + n8.r AS random_id
   FROM p8 JOIN n8 ON p8.id = n8.id)"""
 
 
@@ -465,6 +463,21 @@ AGE = f"CASE WHEN c_mktsegment <> 'FURNITURE' THEN {JITTERED} END"
 ORACLES["anon_hash"] = """
 SELECT c_custkey AS ParticipantID, sha256('test-salt' || c_custkey) AS hashed_id FROM customer
 """
+ORACLES["anon_pbkdf2_short"] = """
+WITH RECURSIVE keys AS (
+  SELECT id, CAST(xor(k, CAST(unhex(repeat('36', 64)) AS BIT)) AS BLOB) AS inner_key,
+         CAST(xor(k, CAST(unhex(repeat('5c', 64)) AS BIT)) AS BLOB) AS outer_key
+  FROM (SELECT c_custkey AS id, CAST(encode(CAST(c_custkey AS VARCHAR))
+          || unhex(repeat('00', 64 - length(CAST(c_custkey AS VARCHAR)))) AS BIT) AS k FROM customer)),
+rounds AS (
+  SELECT id, 1 AS n, u, CAST(u AS BIT) AS total, inner_key, outer_key FROM (
+    SELECT *, unhex(sha256(outer_key || unhex(sha256(inner_key || encode('test-salt') || unhex('00000001'))))) AS u
+    FROM keys)
+  UNION ALL
+  SELECT id, n + 1, v, xor(total, CAST(v AS BIT)), inner_key, outer_key FROM (
+    SELECT *, unhex(sha256(outer_key || unhex(sha256(inner_key || u)))) AS v FROM rounds WHERE n < 4))
+SELECT id AS ParticipantID, lower(hex(CAST(total AS BLOB))) AS hashed_id FROM rounds WHERE n = 4
+"""
 ORACLES["anon_pseudonym"] = f"""
 WITH {_mapping(ALL_IDS)} SELECT original_id AS ParticipantID, pseudonym FROM mapping
 """
@@ -527,13 +540,13 @@ SELECT user_id AS FreezerID, s AS WindowStart, s + INTERVAL 6 HOUR AS WindowEnd,
 FROM e GROUP BY 1, 2, 3 HAVING s + INTERVAL 6 HOUR <= {MARK}
 """
 
-ORACLES["stream_dedup"] = f"""
-SELECT event_id AS LogID, user_id AS FreezerID, ts AS ReadingTime, value AS ReadingValue FROM events WHERE ts <= {MARK}
+ORACLES["stream_dedup"] = """
+SELECT event_id AS LogID, user_id AS FreezerID, ts AS ReadingTime, value AS ReadingValue FROM events
 """
 
 ORACLES["stream_enrich"] = """
 SELECT event_id AS LogID, user_id AS FreezerID, s_name AS FreezerName, s_nationkey AS LocationID, value AS ReadingValue
-FROM events JOIN supplier ON user_id = s_suppkey
+FROM events LEFT JOIN supplier ON user_id = s_suppkey
 """
 
 
@@ -624,6 +637,12 @@ SELECT c_custkey AS ResearcherID, split_part(s_name, '#', 2) AS Company, count(*
 FROM customer JOIN supplier ON split_part(c_name, '#', 2) = split_part(s_name, '#', 2) GROUP BY 1, 2
 """
 
+ORACLES["coi_match_names"] = """
+WITH c AS (SELECT p_name, count(*) AS n, min(p_partkey) AS first FROM part GROUP BY 1)
+SELECT p_partkey AS ResearcherID, 'sa ' || lower(p_name) AS Company, n AS Companies, first AS FirstInstitutionID
+FROM part JOIN c USING (p_name) WHERE p_size % 2 = 0
+"""
+
 ORACLES["trial_features"] = f"""
 WITH {REGULATORY}, {SEVERITY},
 f AS (SELECT id, count(*) AS Filings, max(phase) AS HighestPhase, count(export) AS RestrictedFilings,

@@ -17,7 +17,7 @@ from labmesh.operators.violations import violation_rollup
 from labmesh.plans import analytics, compliance, custody, deident, institutions, quality, workload
 from labmesh.sources import tables
 from labmesh.sources.schemas import TABLES
-from labmesh.sources.scratch import fresh_folder
+from labmesh.sources.scratch import discard, fresh_folder
 from labmesh.streaming import access, freezers
 from labmesh.streaming.run import run_available
 
@@ -413,6 +413,12 @@ def anon_pbkdf2(r: Roles) -> DataFrame:
     return deident.add_stretched_hash(_ids(r), "ParticipantID", SALT)
 
 
+@query
+def anon_pbkdf2_short(r: Roles) -> DataFrame:
+    """Few iterations, which SQL can follow."""
+    return deident.add_stretched_hash(_ids(r), "ParticipantID", SALT, iterations=4)
+
+
 @query
 def anon_pseudonym(r: Roles) -> DataFrame:
     return deident.add_pseudonym(_ids(r), "ParticipantID", SALT)
@@ -450,7 +456,10 @@ def anon_release(r: Roles) -> DataFrame:
     mapping, target = fresh_folder(r.spark, "mapping"), fresh_folder(r.spark, "released")
     people = _people(r)
     deident.release(people.where(F.col("Age").isNotNull()), mapping, target, SALT, iterations=None)
-    return deident.release(people, mapping, target, SALT, iterations=None)
+    released = deident.release(people, mapping, target, SALT, iterations=None)
+    # The mapping holds the real keys and must not stay in a scratch folder.
+    discard(r.spark, mapping)
+    return released
 
 
 @query
@@ -565,10 +574,13 @@ def funding_efficiency(r: Roles) -> DataFrame:
 def coi_match(r: Roles) -> DataFrame:
     """Customer names as disclosures, supplier names as companies.
 
-    The word that all supplier names share plays the part of a legal form.
+    The word that all supplier names share, put at the end, plays the part of a
+    legal form.
     """
+    number = F.split("s_name", "#")[1]
     companies = r.raw("supplier").select(
-        F.col("s_suppkey").alias("InstitutionID"), F.col("s_name").alias("ParentCompany")
+        F.col("s_suppkey").alias("InstitutionID"),
+        F.concat(number, F.lit(" Supplier")).alias("ParentCompany"),
     )
     disclosures = r.raw("customer").select(
         F.col("c_custkey").alias("ResearcherID"), F.col("c_name").alias("COIDisclosure")
@@ -576,6 +588,26 @@ def coi_match(r: Roles) -> DataFrame:
     return analytics.conflict_matches(disclosures, companies, ignored=["supplier"])
 
 
+@query
+def coi_match_names(r: Roles) -> DataFrame:
+    """Part names of several words as companies, with legal forms in and after them."""
+    form = F.element_at(F.array(F.lit(" Inc"), F.lit(" Co Ltd"), F.lit("")), (F.col("p_partkey") % 3 + 1).cast("int"))
+    companies = r.raw("part").select(
+        F.col("p_partkey").alias("InstitutionID"),
+        F.concat(F.lit("SA "), "p_name", form).alias("ParentCompany"),
+    )
+    disclosures = r.raw("part").select(
+        F.col("p_partkey").alias("ResearcherID"),
+        F.concat(
+            F.lit("Paid by "),
+            F.when(F.col("p_size") % 2 == 0, F.lit("SA ")).otherwise(""),
+            "p_name",
+            F.lit(", and others"),
+        ).alias("COIDisclosure"),
+    )
+    return analytics.conflict_matches(disclosures, companies)
+
+
 @query
 def trial_features(r: Roles) -> DataFrame:
     trials = r.project().withColumn("StartDate", F.date_sub("EndDate", 100))

@@ -10,13 +10,28 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# The readable form P-LL-DD-DDD has 26 * 26 * 100000 members and
-# the numeric form runs from 100000 to 999999. Each size is written as a product
-# of two near-equal factors for the mixing rounds below.
-PSEUDONYM_FACTORS = (6760, 10000)
-RANDOM_LOW = 100000
-RANDOM_FACTORS = (900, 1000)
+# The readable form is P-LL-DD-DDD and the numeric one has six digits.
+# Both can be stated wider: more groups of three digits, or more digits.
+GROUPS = 1
+DIGITS = 6
 ROUNDS = 8
+LARGEST = 2**63 - 1
+
+
+def readable_factors(groups: int) -> tuple[int, int]:
+    """Two factors of the number of readable forms: letters with leading digits, and the rest."""
+    if not 1 <= groups <= 5:
+        raise ValueError("the readable form has one to five groups of three digits")
+    leading = (3 * groups - 1) // 2
+    return 676 * 10**leading, 10 ** (2 + 3 * groups - leading)
+
+
+def numeric_factors(digits: int) -> tuple[int, int]:
+    """Two near-equal factors of the count of numbers with so many digits."""
+    if not 4 <= digits <= 18:
+        raise ValueError("the numeric form has 4 to 18 digits")
+    leading = (digits - 1) // 2
+    return 9 * 10**leading, 10 ** (digits - 1 - leading)
 
 
 def secret(spark: SparkSession, salt: str) -> Column:
@@ -37,6 +52,12 @@ def keyed_int(key: Column, *parts: Column) -> Column:
     return F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint")
 
 
+def keyed_long(key: Column, *parts: Column) -> Column:
+    """A number in 0 .. 2**60 - 1 drawn from the keyed hash of the parts."""
+    digest = F.sha2(F.concat(key, *[p.cast("string") for p in parts]), 256)
+    return F.conv(F.substring(digest, 1, 15), 16, 10).cast("bigint")
+
+
 def jitter(key: Column, ident: Column, value: Column, spread: int = 2) -> Column:
     """``value`` plus a whole number in -spread..spread; NULL stays NULL."""
     noise = F.pmod(keyed_int(key, F.lit("j"), ident), F.lit(2 * spread + 1)) - spread
@@ -44,50 +65,54 @@ def jitter(key: Column, ident: Column, value: Column, spread: int = 2) -> Column
 
 
 def permuted(df: DataFrame, key: Column, ident: str, factors: tuple[int, int], purpose: str) -> DataFrame:
-    """Add ``block`` and ``place``, a keyed one-to-one image of a whole-number id.
+    """Add ``left`` and ``right``, a keyed one-to-one image of a whole-number id.
 
-    Ids fall into blocks of ``a * b``. Inside a block the id splits into a digit
-    of base ``a`` and one of base ``b``. Each round adds a keyed hash of one
-    digit to the other, which can always be undone, so different ids get
-    different places without any comparison of rows. A negative id is an error.
+    The ids 0 to ``a * b - 1`` split into a digit of base ``a`` and one of base
+    ``b``. Each round adds a keyed hash of one digit to the other, which can
+    always be undone, so different ids get different images without any
+    comparison of rows, and no part of an id shows in its image. An id outside
+    that domain is an error that names it; NULL stays NULL.
     """
     a, b = factors
-    refused = F.raise_error(F.concat(F.lit("negative id "), F.col(ident).cast("string"))).cast("bigint")
-    number = F.when(F.col(ident) >= 0, F.col(ident).cast("bigint")).when(F.col(ident) < 0, refused)
+    ids = F.col(ident)
+    outside = F.raise_error(
+        F.concat(F.lit("id outside the domain of the released form: "), ids.cast("string"))
+    ).cast("bigint")
+    inside = (ids >= 0) & (ids <= F.lit(min(a * b - 1, LARGEST)))
+    number = F.when(inside, ids.cast("bigint")).when(ids.isNotNull(), outside)
     out = df.withColumns({"__k": key, "__x": number}).withColumns(
-        {
-            "block": F.expr(f"__x div {a * b}"),
-            "__l": F.expr(f"__x % {a * b} div {b}"),
-            "__r": F.expr(f"__x % {b}"),
-        }
+        {"left": F.expr(f"__x div {b}"), "right": F.expr(f"__x % {b}")}
     )
     # Four rounds share a projection, in which common parts are computed once.
     for first in range(0, ROUNDS, 4):
-        left, right = F.col("__l"), F.col("__r")
+        left, right = F.col("left"), F.col("right")
         for i in range(first, first + 4):
-            tag = F.concat(F.lit(f":{purpose}:{i}:"), F.col("block").cast("string"), F.lit(":"))
+            tag = F.lit(f":{purpose}:{i}:")
             if i % 2 == 0:
-                left = (left + keyed_int(F.col("__k"), tag, right)) % a
+                left = (left + keyed_long(F.col("__k"), tag, right)) % a
             else:
-                right = (right + keyed_int(F.col("__k"), tag, left)) % b
-        out = out.withColumns({"__l": left, "__r": right})
-    return out.withColumn("place", F.col("__l") * b + F.col("__r")).drop("__k", "__x", "__l", "__r")
-
-
-def readable(place: Column, block: Column) -> Column:
-    """A place in the form P-LL-DD-DDD; later blocks append their number."""
-    letters = F.floor(place / 100000)
-    digits = F.lpad((place % 100000).cast("string"), 5, "0")
-    return F.concat(
-        F.lit("P-"),
-        F.chr(F.floor(letters / 26) + 65),
-        F.chr(letters % 26 + 65),
-        F.lit("-"),
-        F.substring(digits, 1, 2),
-        F.lit("-"),
-        F.substring(digits, 3, 3),
-        F.when(block > 0, F.concat(F.lit("-"), block.cast("string"))).otherwise(""),
-    )
+                right = (right + keyed_long(F.col("__k"), tag, left)) % b
+        out = out.withColumns({"left": left, "right": right})
+    return out.drop("__k", "__x")
+
+
+def readable(left: Column, right: Column, groups: int = GROUPS) -> Column:
+    """An image in the form P-LL-DD-DDD, with as many groups of three digits as stated."""
+    a, b = readable_factors(groups)
+    leading = a // 676
+    digits = F.lpad(right.cast("string"), len(str(b)) - 1, "0")
+    if leading > 1:
+        digits = F.concat(F.lpad((left % leading).cast("string"), len(str(leading)) - 1, "0"), digits)
+    letters = F.floor(left / leading) if leading > 1 else left
+    parts = [F.substring(digits, 1, 2), *(F.substring(digits, 3 + 3 * g, 3) for g in range(groups))]
+    both = F.concat(F.chr(F.floor(letters / 26) + 65), F.chr(letters % 26 + 65))
+    form = F.concat(F.lit("P-"), both, *(F.concat(F.lit("-"), part) for part in parts))
+    return F.when(left.isNotNull(), form)
+
+
+def numeric(left: Column, right: Column, digits: int = DIGITS) -> Column:
+    """An image as a number of so many digits."""
+    return left * numeric_factors(digits)[1] + right + 10 ** (digits - 1)
 
 
 def stretched_hash(salt: str, iterations: int = 100_000):

@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from labmesh.functions import keyed
 from labmesh.operators.lookup import lookup_join
+from labmesh.operators.ordering import assign_keys
 from labmesh.sources.tables import replace_table
 
 # Hash iterations that keep one core busy for about a minute.
@@ -37,23 +38,53 @@ def add_stretched_hash(
     return spread.withColumn("hashed_id", stretch(F.col(id_col).cast("string")))
 
 
-def add_pseudonym(ids: DataFrame, id_col: str, salt: str) -> DataFrame:
-    """A unique readable pseudonym per whole-number id.
+def _is_whole(ids: DataFrame, id_col: str) -> bool:
+    return isinstance(ids.schema[id_col].dataType, T.IntegralType)
 
-    Ids of another kind first get numbers from ``assign_keys``.
+
+def _numbered(ids: DataFrame, id_col: str, salt: str, known: DataFrame | None) -> DataFrame:
+    """Add ``__n``, the whole number that a released form is made from.
+
+    Whole-number ids are their own numbers. Ids of another kind are numbered in
+    the order of their keyed hash, after those of the mapping ``known``, from
+    which no row is ever removed; so a number is never given twice, and the
+    mapping keeps what it has.
     """
+    if isinstance(ids.schema[id_col].dataType, T.IntegralType):
+        return ids.withColumn("__n", F.col(id_col))
     key = keyed.secret(ids.sparkSession, salt)
-    out = keyed.permuted(ids, key, id_col, keyed.PSEUDONYM_FACTORS, "pseudonym")
-    return out.withColumn("pseudonym", keyed.readable(F.col("place"), F.col("block"))).drop("place", "block")
+    distinct = ids.select(F.col(id_col).alias("__id")).where(F.col(id_col).isNotNull()).distinct()
+    hashed = distinct.withColumn("__h", keyed.keyed_long(key, F.lit(":number:"), F.col("__id")))
+    before = F.lit(0) if known is None else known.agg(F.count("*").alias("n")).select("n").scalar()
+    numbers = assign_keys(hashed, "__h", "__n", start=0).withColumn("__n", F.col("__n") + before)
+    return ids.join(numbers.drop("__h"), F.col(id_col) == F.col("__id"), "left").drop("__id")
 
 
-def add_random_id(ids: DataFrame, id_col: str, salt: str) -> DataFrame:
-    """A unique number from 100000 on; each further 900,000 ids use the next range."""
+def add_pseudonym(
+    ids: DataFrame, id_col: str, salt: str, groups: int = keyed.GROUPS, known: DataFrame | None = None
+) -> DataFrame:
+    """A unique readable pseudonym per id, always of the one stated form.
+
+    Numbers are permuted under the key; one that the form has no room for is an
+    error, and the caller states more ``groups``. Ids of another kind are numbered
+    first, after those of the stored mapping ``known``.
+    """
+    key = keyed.secret(ids.sparkSession, salt)
+    numbered = _numbered(ids, id_col, salt, known)
+    out = keyed.permuted(numbered, key, "__n", keyed.readable_factors(groups), "pseudonym")
+    named = keyed.readable(F.col("left"), F.col("right"), groups)
+    return out.withColumn("pseudonym", named).drop("left", "right", "__n")
+
+
+def add_random_id(
+    ids: DataFrame, id_col: str, salt: str, digits: int = keyed.DIGITS, known: DataFrame | None = None
+) -> DataFrame:
+    """A unique number of ``digits`` digits per id, see ``add_pseudonym``."""
     key = keyed.secret(ids.sparkSession, salt)
-    a, b = keyed.RANDOM_FACTORS
-    out = keyed.permuted(ids, key, id_col, keyed.RANDOM_FACTORS, "random")
-    number = F.col("place") + F.col("block") * (a * b) + keyed.RANDOM_LOW
-    return out.withColumn("random_id", number).drop("place", "block")
+    numbered = _numbered(ids, id_col, salt, known)
+    out = keyed.permuted(numbered, key, "__n", keyed.numeric_factors(digits), "random")
+    number = keyed.numeric(F.col("left"), F.col("right"), digits)
+    return out.withColumn("random_id", number).drop("left", "right", "__n")
 
 
 def _mapping_schema(id_type: T.DataType) -> T.StructType:
@@ -71,13 +102,19 @@ def generate_mapping(
     salt: str,
     id_col: str = "ParticipantID",
     iterations: int | None = 100_000,
+    groups: int = keyed.GROUPS,
+    digits: int = keyed.DIGITS,
+    known: DataFrame | None = None,
 ) -> DataFrame:
     """The restricted table that links real ids to released ones.
 
-    ``iterations=None`` uses the fast hash instead of the stretched one.
+    ``iterations=None`` uses the fast hash instead of the stretched one. ``groups``
+    and ``digits`` state the width of the released forms. ``known`` is a stored
+    mapping that these rows will be appended to.
     """
     ids = participant_ids.select(F.col(id_col).alias("original_id")).distinct()
-    named = add_random_id(add_pseudonym(ids, "original_id", salt), "original_id", salt)
+    named = add_pseudonym(ids, "original_id", salt, groups, known)
+    named = add_random_id(named, "original_id", salt, digits, known)
     if iterations is None:
         hashed = add_hash(named, "original_id", salt)
     else:
@@ -91,13 +128,15 @@ def extend_mapping(
     salt: str,
     id_col: str = "ParticipantID",
     iterations: int | None = 100_000,
+    groups: int = keyed.GROUPS,
+    digits: int = keyed.DIGITS,
 ) -> DataFrame:
     """Mapping rows for ids the stored mapping lacks, ready to append."""
     fresh = (
         participant_ids.select(id_col).distinct()
         .join(mapping.select(F.col("original_id").alias(id_col)), id_col, "left_anti")
     )
-    return generate_mapping(fresh, salt, id_col, iterations)
+    return generate_mapping(fresh, salt, id_col, iterations, groups, digits, mapping)
 
 
 def anonymize_participants(
@@ -129,6 +168,8 @@ def release(
     salt: str,
     id_col: str = "ParticipantID",
     iterations: int | None = 100_000,
+    groups: int = keyed.GROUPS,
+    digits: int = keyed.DIGITS,
 ) -> DataFrame:
     """Extend the stored mapping, write the released table and return it.
 
@@ -139,7 +180,7 @@ def release(
     schema = _mapping_schema(participant.schema[id_col].dataType)
     spark.createDataFrame([], schema).write.mode("append").parquet(mapping_path)
     stored = spark.read.schema(schema).parquet(mapping_path)
-    extend_mapping(stored, participant, salt, id_col, iterations).write.mode("append").parquet(mapping_path)
+    extend_mapping(stored, participant, salt, id_col, iterations, groups, digits).write.mode("append").parquet(mapping_path)
     complete = spark.read.schema(schema).parquet(mapping_path)
     out = anonymize_participants(participant, complete, salt, id_col)
     replace_table(out, release_path)

@@ -30,6 +30,14 @@ def shared_folder(spark: SparkSession) -> str:
     return _local[context.applicationId]
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Remove a folder below the shared one that is of no use any more."""
+    if not path.startswith(f"{shared_folder(spark)}/"):
+        raise ValueError("only scratch folders are removed")
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def fresh_folder(spark: SparkSession, label: str) -> str:
     """A new, unused path below the shared folder."""
     return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"

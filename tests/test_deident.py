@@ -74,20 +74,61 @@ def test_the_permutation_is_one_to_one(spark):
     assert tuple(stats) == (900_000, 100_000, 999_999)
 
 
-def test_ids_beyond_the_range(spark):
-    a, b = keyed.PSEUDONYM_FACTORS
-    ids = spark.createDataFrame([(1,), (a * b + 1,), (5 * a * b,)], "id long")
-    names = [r.pseudonym for r in deident.add_pseudonym(ids, "id", SALT).orderBy("id").collect()]
-    assert [re.sub("[A-Z]", "L", re.sub("[0-9]", "9", n[1:])) for n in names] == ["-LL-99-999", "-LL-99-999-9", "-LL-99-999-9"]
-    assert len(set(names)) == 3
-    numbers = [r.random_id for r in deident.add_random_id(ids, "id", SALT).collect()]
-    assert len(set(numbers)) == 3
-
-
-def test_negative_id_is_an_error(spark):
-    ids = spark.createDataFrame([(-1,)], "id long")
-    with pytest.raises(Exception, match="negative id"):
-        deident.add_pseudonym(ids, "id", SALT).collect()
+LARGE = [1, 900_001, 67_600_001, 500_000_000, 2**62]
+
+
+def test_one_form_for_ids_of_any_size(spark):
+    ids = spark.createDataFrame([(i,) for i in LARGE], "id long")
+    names = [r.pseudonym for r in deident.add_pseudonym(ids, "id", SALT, groups=5).collect()]
+    assert len(set(names)) == len(LARGE)
+    assert all(re.fullmatch("P-[A-Z]{2}-[0-9]{2}(-[0-9]{3}){5}", n) for n in names)
+    some = ids.where("id < 1000000000")
+    numbers = [r.random_id for r in deident.add_random_id(some, "id", SALT, digits=12).collect()]
+    assert len(set(numbers)) == 4 and all(len(str(n)) == 12 for n in numbers)
+
+
+@pytest.mark.parametrize("id", [-1, 900_000, 67_600_000])
+def test_an_id_without_room_is_an_error_that_names_it(spark, id):
+    ids = spark.createDataFrame([(1,), (id,)], "id long")
+    with pytest.raises(Exception, match=f"outside the domain of the released form: {id}"):
+        deident.add_random_id(ids, "id", SALT).collect()
+    if not 0 <= id < 67_600_000:
+        with pytest.raises(Exception, match=f"outside the domain of the released form: {id}"):
+            deident.add_pseudonym(ids, "id", SALT).collect()
+
+
+def test_numbers_do_not_follow_the_ids(spark):
+    ids = spark.range(3_000_000, 3_020_000)
+    out = deident.add_random_id(ids, "id", SALT, digits=9)
+    assert abs(out.stat.corr("id", "random_id")) < 0.03
+    assert out.select("random_id").distinct().count() == 20_000
+
+
+@pytest.mark.parametrize("groups", [1, 2, 3, 4, 5])
+def test_wide_forms_are_one_to_one(spark, groups):
+    a, b = keyed.readable_factors(groups)
+    assert a * b == 676 * 10 ** (2 + 3 * groups)
+    out = deident.add_pseudonym(spark.range(20_000), "id", SALT, groups=groups)
+    assert out.select("pseudonym").distinct().count() == 20_000
+
+
+def test_text_ids(spark):
+    ids = spark.range(2000).select(F.concat(F.lit("K-"), "id").alias("ParticipantID"))
+    first = deident.generate_mapping(ids.where("ParticipantID < 'K-5'"), SALT, iterations=None, digits=4)
+    kept = {r.original_id: (r.pseudonym, r.random_id) for r in first.collect()}
+    fresh = deident.extend_mapping(first, ids, SALT, iterations=None, digits=4).collect()
+    both = [*kept.values(), *((r.pseudonym, r.random_id) for r in fresh)]
+    assert len(both) == len({p for p, _ in both}) == len({n for _, n in both}) == 2000
+    assert not kept.keys() & {r.original_id for r in fresh}
+    assert all(1000 <= n <= 9999 and re.fullmatch("P-[A-Z]{2}-[0-9]{2}-[0-9]{3}", p) for p, n in both)
+    again = deident.generate_mapping(ids.where("ParticipantID < 'K-5'").repartition(3), SALT, iterations=None, digits=4)
+    assert {r.original_id: (r.pseudonym, r.random_id) for r in again.collect()} == kept
+
+
+def test_too_many_text_ids(spark):
+    ids = spark.range(9001).select(F.col("id").cast("string"))
+    with pytest.raises(Exception, match="outside the domain of the released form: 9000"):
+        deident.add_random_id(ids, "id", SALT, digits=4).collect()
 
 
 def test_known_ids_keep_their_names(spark):
