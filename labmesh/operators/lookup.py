@@ -7,10 +7,13 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# At most this many keys are treated as hot, so the hot list is always small.
-# A key outside the list holds less than one in HOT_KEYS of the rows.
-HOT_KEYS = 256
-SALTS = 64
+from labmesh.sources.scratch import fresh_folder
+
+# Rows that one task should take at most. A key with more is hot, and its rows
+# spread over as many tasks as they need at this size.
+ROWS_PER_TASK = 2_000_000
+# A list of hot keys up to this length is broadcast; its length is counted.
+BROADCAST_KEYS = 200_000
 
 _HOT = "__hot"
 _SALT = "__salt"
@@ -39,13 +42,8 @@ def input_bytes(df: DataFrame) -> int:
 
 
 def fits_broadcast(df: DataFrame) -> bool:
-    """True if ``df``, or all it is computed from, passes Spark's broadcast check.
-
-    Spark estimates a join as the product of its sides. The size of the inputs
-    is the better guide for a lookup that was joined from others; the choice to
-    broadcast stays with Spark, which measures the side at run time.
-    """
-    return min(planned_bytes(df), input_bytes(df)) <= broadcast_limit(df)
+    """True if ``df`` passes Spark's broadcast check, so that Spark will broadcast it."""
+    return planned_bytes(df) <= broadcast_limit(df)
 
 
 def too_small_to_skew(rows: DataFrame) -> bool:
@@ -57,17 +55,25 @@ def too_small_to_skew(rows: DataFrame) -> bool:
     return input_bytes(rows) <= _bytes(rows.sparkSession.conf.get(name, "256MB")) // 4
 
 
-def hot_keys(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """The most frequent key values, at most ``HOT_KEYS`` of them."""
+def hot_keys(rows: DataFrame, keys: list[str], rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+    """Keys with more rows than one task should take, and how many tasks they need.
+
+    Counted once and written to the shared folder, since both sides of a join
+    read the list. It has fewer keys than the table has ``rows_per_task`` of rows.
+    """
     counted = rows.groupBy(*keys).agg(F.count("*").alias("__rows"))
-    ranked = counted.orderBy(F.desc("__rows"), *keys).limit(HOT_KEYS)
-    return ranked.select(*keys, F.lit(True).alias(_HOT))
+    tasks = F.ceil(F.col("__rows") / rows_per_task).cast("int")
+    hot = counted.where(F.col("__rows") > rows_per_task).select(*keys, tasks.alias(_HOT))
+    path = fresh_folder(rows.sparkSession, "hot-keys")
+    hot.write.parquet(path)
+    listed = rows.sparkSession.read.schema(hot.schema).parquet(path)
+    return F.broadcast(listed) if listed.count() <= BROADCAST_KEYS else listed
 
 
 def _mark(df: DataFrame, keys: list[str], hot: DataFrame, hot_names: list[str]) -> DataFrame:
     renamed = hot.select(*[F.col(k).alias(n) for k, n in zip(hot.columns[:-1], hot_names)], _HOT)
     cond = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(n)) for k, n in zip(keys, hot_names)])
-    return df.join(F.broadcast(renamed), cond, "left").drop(*hot_names)
+    return df.join(renamed, cond, "left").drop(*hot_names)
 
 
 def lookup_join(
@@ -79,6 +85,7 @@ def lookup_join(
     null_safe: bool = False,
     keys_from: DataFrame | None = None,
     strategy: str = "auto",
+    rows_per_task: int | None = None,
 ) -> DataFrame:
     """Join ``rows`` to ``lookup``, which holds at most one row per key.
 
@@ -88,10 +95,11 @@ def lookup_join(
 
     A lookup that passes Spark's broadcast size check is left to Spark, and so
     are rows whose whole input is smaller than one skewed partition. Beyond
-    that both sides shuffle, and rows of hot keys are spread over ``SALTS`` tasks
-    by a hash of ``spread_by`` (columns that tell the rows of a key apart) while
-    the few hot lookup rows are repeated. The salt is a function of the row, so
-    a recomputed task puts its rows where the lost one did.
+    that both sides shuffle, and the rows of a key with more than ``rows_per_task``
+    are spread, by a hash of ``spread_by`` (columns that tell the rows of a key
+    apart), over as many salts as they need, while its lookup row is repeated. The
+    salt is a function of the row, so a recomputed task puts its rows where the
+    lost one did. Counting the keys runs when the join is made.
 
     ``keys_from`` is a table to count keys in instead of ``rows``: the base that
     ``rows`` was joined from, so that counting does not repeat those joins.
@@ -116,27 +124,13 @@ def lookup_join(
     if strategy == "plain" or (strategy == "auto" and (fits_broadcast(side) or too_small_to_skew(rows))):
         return rows.join(side, matches(), how).drop(*names)
 
-    hot = hot_keys(rows if keys_from is None else keys_from, keys)
+    hot = hot_keys(rows if keys_from is None else keys_from, keys, rows_per_task or ROWS_PER_TASK)
     hot_names = [f"__h{i}" for i in range(len(keys))]
     salted = _mark(rows, keys, hot, hot_names).withColumn(
         _SALT,
-        F.when(F.col(_HOT), F.pmod(F.xxhash64(*spread_by), F.lit(SALTS)).cast("int")).otherwise(0),
+        F.when(F.col(_HOT).isNotNull(), F.pmod(F.xxhash64(*spread_by), F.col(_HOT)).cast("int")).otherwise(0),
     )
-    copies = F.when(F.col(_HOT), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    copies = F.sequence(F.lit(0), F.coalesce(F.col(_HOT), F.lit(1)) - 1)
     repeated = _mark(side, names, hot, hot_names).withColumn("__copy", F.explode(copies)).drop(_HOT)
     cond = matches() & (F.col(_SALT) == F.col("__copy"))
     return salted.drop(_HOT).join(repeated, cond, how).drop(*names, _SALT, "__copy")
-
-
-def spread_lookup_join(
-    rows: DataFrame, lookup: DataFrame, key: str, spread_by: list[str], how: str = "inner", salts: int = 16
-) -> DataFrame:
-    """``lookup_join`` for unbounded rows, whose hot keys cannot be counted.
-
-    A lookup too large to broadcast is repeated ``salts`` times in full.
-    """
-    if fits_broadcast(lookup):
-        return rows.join(lookup, key, how)
-    salted = rows.withColumn(_SALT, F.pmod(F.xxhash64(*spread_by), F.lit(salts)).cast("int"))
-    repeated = lookup.withColumn(_SALT, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return salted.join(repeated, [key, _SALT], how).drop(_SALT)

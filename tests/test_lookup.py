@@ -5,7 +5,8 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from labmesh.operators.lookup import HOT_KEYS, hot_keys, lookup_join, spread_lookup_join
+from labmesh.operators import lookup as module
+from labmesh.operators.lookup import hot_keys, lookup_join
 from tests.conftest import rows_of
 
 
@@ -24,7 +25,7 @@ def lookup(spark):
 @pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
 def test_salted_equals_plain(skewed, lookup, how):
     plain = lookup_join(skewed, lookup, "k", ["row_id"], how, strategy="plain")
-    salted = lookup_join(skewed, lookup, "k", ["row_id"], how, strategy="salt")
+    salted = lookup_join(skewed, lookup, "k", ["row_id"], how, strategy="salt", rows_per_task=200)
     assert salted.columns == plain.columns
     assert rows_of(salted) == rows_of(plain)
     # And both equal what Spark's own join says.
@@ -34,28 +35,36 @@ def test_salted_equals_plain(skewed, lookup, how):
 def test_null_safe_keys_match(spark, skewed):
     groups = spark.createDataFrame([(None,), (7,)], "k long")
     plain = skewed.where("k is not null and k <> 7")
-    out = lookup_join(skewed, groups, "k", ["row_id"], "left_anti", null_safe=True, strategy="salt")
+    out = lookup_join(skewed, groups, "k", ["row_id"], "left_anti", null_safe=True, strategy="salt", rows_per_task=200)
     assert rows_of(out) == rows_of(plain)
 
 
 def test_keys_of_different_names(skewed, lookup):
     renamed = lookup.withColumnRenamed("k", "other")
-    out = lookup_join(skewed, renamed, {"k": "other"}, ["row_id"], strategy="salt")
+    out = lookup_join(skewed, renamed, {"k": "other"}, ["row_id"], strategy="salt", rows_per_task=200)
     assert out.columns == ["row_id", "k", "v"]
     assert out.count() == lookup_join(skewed, lookup, "k", ["row_id"], strategy="plain").count()
 
 
 def test_keys_counted_in_a_base_table(skewed, lookup):
     some = skewed.where("row_id < 7000")
-    out = lookup_join(some, lookup, "k", ["row_id"], "left", keys_from=skewed, strategy="salt")
+    out = lookup_join(some, lookup, "k", ["row_id"], "left", keys_from=skewed, strategy="salt", rows_per_task=200)
     assert rows_of(out) == rows_of(lookup_join(some, lookup, "k", ["row_id"], "left", strategy="plain"))
 
 
-def test_hot_list_is_bounded(skewed):
-    listed = hot_keys(skewed, ["k"])
-    assert listed.count() == HOT_KEYS
-    top = {r.k for r in listed.collect()}
-    assert {1, None} <= top
+def test_hot_keys_are_those_beyond_a_task(skewed):
+    listed = {r[0]: r[1] for r in hot_keys(skewed, ["k"], 1000).collect()}
+    assert listed == {1: 4, None: 3}
+    assert hot_keys(skewed, ["k"]).count() == 0
+
+
+def test_many_equally_hot_keys(spark):
+    """2,000 keys of 20 rows each, more than a task should take."""
+    rows = spark.range(40_000).select(F.col("id").alias("row_id"), (F.col("id") % 2000).alias("k"))
+    assert hot_keys(rows, ["k"], 8).agg(F.count("*"), F.min("__hot"), F.max("__hot")).first() == (2000, 3, 3)
+    side = spark.range(0, 2000, 2).select(F.col("id").alias("k"), (-F.col("id")).alias("v"))
+    out = lookup_join(rows, side, "k", ["row_id"], "left", strategy="salt", rows_per_task=8)
+    assert out.count() == 40_000 and out.where("v is null").count() == 20_000
 
 
 def test_hot_rows_spread_over_tasks(spark, skewed, lookup):
@@ -69,7 +78,7 @@ def test_hot_rows_spread_over_tasks(spark, skewed, lookup):
         spark.conf.set(k, v)
     try:
         def largest(strategy):
-            out = lookup_join(skewed, lookup, "k", ["row_id"], "left", strategy=strategy)
+            out = lookup_join(skewed, lookup, "k", ["row_id"], "left", strategy=strategy, rows_per_task=200)
             return out.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
 
         assert largest("plain") > 3000
@@ -90,17 +99,8 @@ def test_size_check_decides(spark, skewed, lookup):
         spark.conf.set(k, v)
     try:
         joined = lookup_join(skewed, lookup, "k", ["row_id"])
+        assert module.ROWS_PER_TASK == 2_000_000
         assert "__salt" in joined._jdf.queryExecution().toString()
     finally:
         for k in settings:
             spark.conf.unset(k)
-
-
-def test_spread_lookup(spark, skewed, lookup):
-    expected = rows_of(skewed.join(lookup, "k").select("row_id", "v"))
-    assert rows_of(spread_lookup_join(skewed, lookup, "k", ["row_id"]), "row_id", "v") == expected
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    try:
-        assert rows_of(spread_lookup_join(skewed, lookup, "k", ["row_id"]), "row_id", "v") == expected
-    finally:
-        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

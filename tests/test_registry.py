@@ -8,11 +8,12 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from bindings.oracles import ORACLES
+from bindings.queries import REGISTRY as QUERIES
+from labmesh.operators import lookup
 from tools.compare import TABLES, bag
 
 FOLDER = "/root/testdata/sf0.001"
-QUERIES = entry.queries()
-ORACLES = entry.oracle_sql()
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no given tables")
 
@@ -27,7 +28,8 @@ def db():
 
 
 def test_keys():
-    assert set(ORACLES) <= set(QUERIES)
+    assert set(ORACLES) <= set(QUERIES) <= set(entry.queries())
+    assert set(ORACLES) <= set(entry.oracle_sql()) <= set(entry.queries())
     assert set(QUERIES) - set(ORACLES) == {"anon_pbkdf2"}
 
 
@@ -45,7 +47,6 @@ def test_query(spark, db, name):
 
 LARGE = [
     "q2_workload",
-    "q2_concurrent_posts",
     "q3_irb_compliance",
     "q3_by_project_site",
     "q4_chain_of_custody",
@@ -61,8 +62,9 @@ LARGE = [
 
 
 @pytest.mark.parametrize("name", LARGE)
-def test_path_for_large_tables(spark, db, name):
+def test_path_for_large_tables(spark, db, name, monkeypatch):
     """With no side counting as small, lookup joins split hot keys."""
+    monkeypatch.setattr(lookup, "ROWS_PER_TASK", 20)
     settings = {
         "spark.sql.autoBroadcastJoinThreshold": "-1",
         "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1",
