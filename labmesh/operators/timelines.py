@@ -9,8 +9,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from labmesh.operators.lookup import lookup_join
-
 OPEN_END = "9999-12-31"
 
 
@@ -32,57 +30,43 @@ def _spans(employment: DataFrame) -> DataFrame:
     )
 
 
-def _overlaps(spans: DataFrame) -> DataFrame:
-    """One row per distinct span: its copies and the posts elsewhere it overlaps.
+def _overlaps(spans: DataFrame, row: list[str], copies: Column) -> DataFrame:
+    """One row per span, named by the columns ``row``: the posts elsewhere it overlaps.
 
     A post overlaps those that start before its end, less those that end by its
     start. Both numbers are running counts over days, taken once for all posts
     of the researcher and once for those at the same institution; the difference
-    is the answer. No pair of posts is ever formed.
+    is the answer. Every span puts a mark at its start and at its end in both
+    scopes. A mark counts and asks at the same time, so one window answers all,
+    and no pair of posts is ever formed.
     """
-    # Copies of a span collapse at once. All that follows reads these shapes.
-    shapes = spans.groupBy(*SPAN).agg(F.count("*").alias("copies"))
     nowhere = F.lit(0).cast(spans.schema["InstitutionID"].dataType)
+    none = F.lit(0).cast("bigint")
 
-    def scoped(here: bool, day: str, **columns) -> Column:
+    def mark(here: bool, end: bool) -> Column:
         site = F.col("InstitutionID") if here else nowhere
-        fields = {"here": F.lit(here), "site": site, "day": F.col(day), **columns}
-        return F.struct(*[v.alias(k) for k, v in fields.items()])
+        return F.struct(
+            F.lit(here).alias("here"),
+            site.alias("site"),
+            F.col("to_day" if end else "from_day").alias("day"),
+            F.lit(end).alias("at_end"),
+            # Posts that start before the end count, those that end by the start do not;
+            # the posts of the own institution are taken away again.
+            F.lit(1 if here != end else -1).alias("sign"),
+            (none if end else copies).alias("starts"),
+            (copies if end else none).alias("ends"),
+        )
 
-    none, copies = F.lit(0).cast("bigint"), F.col("copies")
-    edges = shapes.select(
-        "ResearcherID",
-        F.explode(
-            F.array(
-                *[scoped(h, "from_day", starts=copies, ends=none) for h in (True, False)],
-                *[scoped(h, "to_day", starts=none, ends=copies) for h in (True, False)],
-            )
-        ).alias("x"),
-    ).select("ResearcherID", "x.*")
+    marks = F.array(*[mark(here, end) for here in (True, False) for end in (True, False)])
+    rows = spans.select(*row, F.explode(marks).alias("x")).select(*row, "x.*")
     scope = ["ResearcherID", "here", "site"]
-    daily = edges.groupBy(*scope, "day").agg(F.sum("starts").alias("s"), F.sum("ends").alias("e"))
-    until = Window.partitionBy(*scope).orderBy("day").rowsBetween(Window.unboundedPreceding, 0)
-    running = daily.select(
-        *scope,
-        "day",
-        (F.sum("s").over(until) - F.col("s")).alias("starts_before"),
-        F.sum("e").over(until).alias("ends_until"),
-    )
-    # Four counts answer for a span: starts before its end, ends by its start,
-    # in both scopes. The own institution counts with the opposite sign.
-    wanted = shapes.select(
-        *SPAN,
-        "copies",
-        F.explode(
-            F.array(
-                *[scoped(h, "to_day", sign=F.lit(-1 if h else 1), at_end=F.lit(True)) for h in (True, False)],
-                *[scoped(h, "from_day", sign=F.lit(1 if h else -1), at_end=F.lit(False)) for h in (True, False)],
-            )
-        ).alias("x"),
-    ).select(*SPAN, "copies", "x.*")
-    found = lookup_join(wanted, running, [*scope, "day"], spread_by=["InstitutionID", "from_day", "to_day"])
-    count = F.when(F.col("at_end"), F.col("starts_before")).otherwise(F.col("ends_until"))
-    return found.groupBy(*SPAN, "copies").agg(F.sum(F.col("sign") * count).alias("ConcurrentElsewhere"))
+    until = Window.partitionBy(*scope).orderBy("day").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    same_day = Window.partitionBy(*scope, "day")
+    count = F.when(
+        F.col("at_end"), F.sum("starts").over(until) - F.sum("starts").over(same_day)
+    ).otherwise(F.sum("ends").over(until))
+    counted = rows.select(*row, (F.col("sign") * count).alias("__part"))
+    return counted.groupBy(*row).agg(F.sum("__part").alias("ConcurrentElsewhere"))
 
 
 def concurrent_posts(employment: DataFrame) -> DataFrame:
@@ -90,9 +74,11 @@ def concurrent_posts(employment: DataFrame) -> DataFrame:
 
     Posts that only touch do not overlap.
     """
-    spans = _spans(employment)
-    counted = _overlaps(spans).drop("copies")
-    return lookup_join(spans, counted, SPAN, spread_by=["ExperienceRecordID"]).select(
+    row = ["ExperienceRecordID", *SPAN]
+    posts = _spans(employment).groupBy(*row).agg(F.count("*").alias("copies"))
+    counted = _overlaps(posts, [*row, "copies"], F.col("copies"))
+    # Rows that are the same post twice come back twice.
+    return counted.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies")))).select(
         "ExperienceRecordID", "ResearcherID", "InstitutionID", "ConcurrentElsewhere"
     )
 
@@ -103,8 +89,10 @@ def concurrent_researchers(employment: DataFrame) -> DataFrame:
     ``OverlappingPairs`` counts unordered pairs of such posts.
     """
     elsewhere, copies = F.col("ConcurrentElsewhere"), F.col("copies")
+    # Copies of a span collapse at once.
+    shapes = _spans(employment).groupBy(*SPAN).agg(F.count("*").alias("copies"))
     return (
-        _overlaps(_spans(employment))
+        _overlaps(shapes, [*SPAN, "copies"], copies)
         .where(elsewhere > 0)
         .groupBy("ResearcherID")
         .agg(
