@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 BLOCK_BITS = 16
+# Blocks for rows without a key.
+NULL_BITS = 12
+NULL_BLOCKS = 2**NULL_BITS
 
 
 def _offsets(counts: DataFrame, bits: int) -> DataFrame:
@@ -41,20 +44,29 @@ def _width(df: DataFrame, column: str) -> int:
 
 
 def assign_keys(rows: DataFrame, order_by: str, alias: str, start: int = 1) -> DataFrame:
-    """Consecutive numbers from ``start`` in the order of a unique whole number."""
+    """Consecutive numbers from ``start`` in the order of a whole number, NULL first.
+
+    Every row gets a number. Rows of equal keys, and those without one, are
+    ordered by a hash of all their columns, so that a recomputed task numbers
+    them alike; rows that are equal throughout are interchangeable. Rows without a
+    key spread over blocks of their own by that hash.
+    """
     bits = _width(rows, order_by)
-    block = F.shiftright(F.col(order_by).cast("bigint"), BLOCK_BITS)
-    counts = rows.groupBy(block.alias("block")).agg(F.count("*").alias("n"))
+    everything = F.xxhash64(*[F.col(f"`{c}`") for c in rows.columns])
+    lowest = -(2 ** (bits - BLOCK_BITS - 1))
+    without = F.lit(lowest - NULL_BLOCKS) + F.shiftrightunsigned(everything, 64 - NULL_BITS)
+    block = F.coalesce(F.shiftright(F.col(order_by).cast("bigint"), BLOCK_BITS), without)
+    marked = rows.withColumns({"__tie": everything, "__block": block})
+    counts = marked.groupBy(F.col("__block").alias("block")).agg(F.count("*").alias("n"))
     offsets = _offsets(counts, bits - BLOCK_BITS).select(F.col("block").alias("__block"), "below")
     if bits - BLOCK_BITS <= BLOCK_BITS:
-        offsets = F.broadcast(offsets)  # at most 2**16 rows
-    inside = F.row_number().over(Window.partitionBy("__block").orderBy(order_by))
+        offsets = F.broadcast(offsets)  # at most 2**16 rows and the blocks without a key
+    inside = F.row_number().over(Window.partitionBy("__block").orderBy(order_by, "__tie"))
     return (
-        rows.withColumn("__block", block)
-        .withColumn("__inside", inside)
+        marked.withColumn("__inside", inside)
         .join(offsets, "__block")
         .withColumn(alias, (F.col("below") + F.col("__inside") + (start - 1)).cast("bigint"))
-        .drop("__block", "__inside", "below")
+        .drop("__block", "__inside", "__tie", "below")
     )
 
 

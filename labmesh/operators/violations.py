@@ -31,6 +31,11 @@ def violation_rollup(
     when = F.col("ReadingTime")
     since = asof.as_type(asof.days_before(as_of, lookback_days), temperature_log, "ReadingTime")
     until = asof.as_type(asof.instant(as_of), temperature_log, "ReadingTime")
+    if "ReadingDay" in temperature_log.columns:
+        # The log is stored by day: days outside the window are not read.
+        day = F.col("ReadingDay")
+        first, last = asof.days_before(as_of, lookback_days), asof.instant(as_of)
+        temperature_log = temperature_log.where((day >= F.to_date(first)) & (day <= F.to_date(last)))
     return (
         temperature_log.where(is_violation(threshold) & (when >= since) & (when <= until))
         .groupBy("FreezerID")

@@ -61,7 +61,10 @@ def _canonical(field: T.StructField, table: Table) -> Column:
 
 
 def conform(raw: DataFrame, table: Table) -> DataFrame:
-    """Columns in declared order and type; absent nullable columns as NULL."""
+    """Columns in declared order and type; absent nullable columns as NULL.
+
+    Columns that are not declared follow as they are.
+    """
     missing = [f.name for f in table.columns if f.name not in raw.columns and not f.nullable]
     if missing:
         raise ValueError(f"{table.name} lacks {', '.join(missing)}")
@@ -69,7 +72,8 @@ def conform(raw: DataFrame, table: Table) -> DataFrame:
         *[
             _canonical(f, table) if f.name in raw.columns else F.lit(None).cast(f.dataType).alias(f.name)
             for f in table.columns
-        ]
+        ],
+        *[F.col(f"`{c}`") for c in raw.columns if c not in {f.name for f in table.columns}],
     )
 
 

@@ -26,6 +26,17 @@ def test_numbers_do_not_depend_on_partitions(spark):
     assert one == rows_of(assign_keys(df.repartition(13), "id", "n"))
 
 
+@pytest.mark.parametrize("kind", ["int", "long"])
+def test_rows_without_a_key_and_equal_keys_are_numbered(spark, kind):
+    keys = [1, None, 3, None, 3, -5, 2**31 - 1, -(2**31), None]
+    df = spark.createDataFrame([(k, i) for i, k in enumerate(keys)], f"k {kind}, i int")
+    got = assign_keys(df, "k", "n").collect()
+    assert sorted(r.n for r in got) == list(range(1, 10))
+    in_order = [r.k for r in sorted(got, key=lambda r: r.n)]
+    assert in_order == [None] * 3 + [-(2**31), -5, 1, 3, 3, 2**31 - 1]
+    assert rows_of(assign_keys(df.repartition(5), "k", "n")) == rows_of(assign_keys(df, "k", "n"))
+
+
 def test_ranks_with_ties(spark):
     rng = random.Random(2)
     values = [rng.choice([0, 0, 0, 5, -3, 70000, 2**31 - 1, -(2**31), rng.randint(0, 10**6)]) for _ in range(500)]

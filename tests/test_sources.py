@@ -7,6 +7,7 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
+from labmesh.operators.violations import violation_rollup
 from labmesh.reports import load_all
 from labmesh.sources import scratch, tables
 from labmesh.sources.schemas import TABLES
@@ -107,6 +108,38 @@ def test_log_is_partitioned_by_day(spark, make, tmp_path):
     assert "PartitionFilters: [isnotnull(ReadingDay" in kept._jdf.queryExecution().executedPlan().toString()
 
 
+def test_log_reads_only_the_days_asked_for(spark, make, tmp_path):
+    path = str(tmp_path / "log")
+    days = [f"2025-0{6 + i % 2}-0{1 + i} 00:00:00" for i in range(5)]
+    log = make(
+        "TemperatureLog",
+        *[{"LogID": i, "FreezerID": 1, "ReadingTime": d, "ReadingValue": -10} for i, d in enumerate(days)],
+    )
+    tables.write_log(log, path)
+    loaded = tables.load(spark, "TemperatureLog", path)
+    out = violation_rollup(loaded, "2025-07-05 12:00:00")
+    assert rows_of(out, "FreezerID", "ViolationCount") == [(1, 2)]
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(ReadingDay" in plan
+
+
+def test_other_columns_stay(spark, make, tmp_path):
+    path = str(tmp_path / "people")
+    make("Participant", {"ParticipantID": 1}).withColumn("Age", F.lit(40)).write.parquet(path)
+    (row,) = tables.load(spark, "Participant", path).collect()
+    assert (row.ParticipantID, row.Age) == (1, 40)
+
+
+def test_only_scratch_is_discarded(spark, tmp_path):
+    path = scratch.fresh_folder(spark, "gone")
+    spark.range(3).write.parquet(path)
+    scratch.discard(spark, path)
+    with pytest.raises(Exception):
+        spark.read.parquet(path).count()
+    with pytest.raises(ValueError):
+        scratch.discard(spark, str(tmp_path))
+
+
 def test_empty_guard(spark):
     schema = TABLES["Participant"].schema
     assert tables.or_empty(spark.range(0), schema).schema == schema
