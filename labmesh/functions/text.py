@@ -40,20 +40,24 @@ def words(column: Column) -> Column:
 
 
 def name_phrase(column: Column, ignored: list[str] = LEGAL_FORMS) -> Column:
-    """The identifying words of a name, joined by single blanks."""
-    kept = F.filter(words(column), lambda w: ~w.isin(*ignored))
-    return F.array_join(kept, " ")
+    """The words of a name without legal forms at its end, joined by single blanks.
+
+    A name made of nothing else keeps all its words.
+    """
+    parts = words(column)
+    last = F.array_max(F.transform(parts, lambda w, i: F.when(~w.isin(*ignored), i + 1)))
+    return F.array_join(F.slice(parts, 1, F.coalesce(last, F.size(parts))), " ")
 
 
-def phrases(column: Column, longest: Column) -> Column:
-    """Distinct word sequences of ``column`` with up to ``longest`` words."""
+def phrases(column: Column, lengths: Column) -> Column:
+    """Distinct word sequences of ``column`` whose number of words is one of ``lengths``."""
     parts = words(column)
     starts = F.sequence(F.lit(1), F.size(parts))
     runs = F.flatten(
         F.transform(
             starts,
             lambda i: F.transform(
-                F.sequence(F.lit(1), F.least(longest, F.size(parts) - i + 1)),
+                F.filter(lengths, lambda n: n <= F.size(parts) - i + 1),
                 lambda n: F.array_join(F.slice(parts, i, n), " "),
             ),
         )

@@ -101,12 +101,11 @@ def conflict_matches(researcher: DataFrame, corporate: DataFrame, ignored: list[
         .groupBy("Company")
         .agg(F.count("*").alias("Companies"), F.min("InstitutionID").alias("FirstInstitutionID"))
     )
-    longest = companies.agg(F.max(F.size(F.split("Company", " "))).alias("n")).select("n").scalar()
-    disclosed = researcher.select("ResearcherID", "COIDisclosure").withColumn(
-        "__longest", F.coalesce(longest, F.lit(1))
-    )
+    # Only sequences as long as some name can be one; an array of a few small numbers.
+    sizes = companies.agg(F.collect_set(F.size(F.split("Company", " "))).alias("n")).select("n").scalar()
+    disclosed = researcher.select("ResearcherID", "COIDisclosure").withColumn("__lengths", sizes)
     said = disclosed.select(
-        "ResearcherID", F.explode(text.phrases(F.col("COIDisclosure"), F.col("__longest"))).alias("Company")
+        "ResearcherID", F.explode(text.phrases(F.col("COIDisclosure"), F.col("__lengths"))).alias("Company")
     )
     return lookup_join(said, companies, "Company", spread_by=["ResearcherID"])
 

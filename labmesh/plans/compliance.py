@@ -80,6 +80,8 @@ def renewal_report(
         F.col("InstitutionID").alias("__site"),
     )
     departments = None if employment is None else _departments(employment)
+    if institution_via not in ("pi", "project"):
+        raise ValueError("institution_via is pi or project")
     if institution_via == "pi":
         # Small tables meet first; trials join once.
         leads = _placed(leads, sites, departments, "__lead")

@@ -27,6 +27,8 @@ def affected_freezers(
     ``scope="location"`` one violation affects every freezer at the location;
     freezers without a violation of their own carry a NULL rollup.
     """
+    if scope not in ("freezer", "location"):
+        raise ValueError("scope is freezer or location")
     rollup = violation_rollup(temperature_log, as_of, threshold, lookback_days)
     units = freezer.select("FreezerID", "FreezerName", "LocationID")
     if scope == "freezer":

@@ -62,12 +62,19 @@ def institution_report(
         .where(F.col("__trial") & ~F.col("__listed"))
         .select("InstitutionID")
     )
-    money = funding.groupBy("InstitutionID").agg(money_sum("Disbursements").alias("TotalFundingReceived"))
-    severity = severity_by_institution(participant, adverse_event)
+    sites = _sites(institution, location, site_type, containment).join(cleared, "InstitutionID", "left_semi")
+    # The few qualifying sites thin out the child tables before anything is grouped.
+    chosen = sites.select("InstitutionID")
+    money = (
+        funding.join(chosen, "InstitutionID", "left_semi")
+        .groupBy("InstitutionID")
+        .agg(money_sum("Disbursements").alias("TotalFundingReceived"))
+    )
+    severity = severity_by_institution(
+        participant.join(chosen, "InstitutionID", "left_semi"), adverse_event
+    )
     return (
-        _sites(institution, location, site_type, containment)
-        .join(cleared, "InstitutionID", "left_semi")
-        .join(money, "InstitutionID")
+        sites.join(money, "InstitutionID")
         .join(severity, "InstitutionID", "left")
         .orderBy(F.desc("TotalFundingReceived"), "InstitutionID")
         .select(
@@ -130,7 +137,10 @@ def institution_report_as_written(
     fan = network.select("fan").scalar()
     mean = network.select("mean").scalar()
     has_project = F.col("__projects").isNotNull()
-    factor = F.col("__filings") * F.when(has_project, F.col("__projects") * fan).otherwise(F.lit(1))
+    # Counts multiply beyond a bigint before they meet the money.
+    wide = "decimal(38,0)"
+    fanned = F.col("__projects").cast(wide) * fan.cast(wide)
+    factor = F.col("__filings").cast(wide) * F.when(has_project, fanned).otherwise(F.lit(1).cast(wide))
     return (
         _sites(institution, location, site_type, containment)
         .join(matching, "InstitutionID")
@@ -139,7 +149,7 @@ def institution_report_as_written(
         .select(
             "InstitutionID",
             "LegalName",
-            (F.col("__money") * factor.cast("decimal(20,0)")).cast(TOTAL).alias("TotalFundingReceived"),
+            (F.col("__money") * factor.cast(wide)).cast(TOTAL).alias("TotalFundingReceived"),
             F.when(has_project, mean).cast("bigint").alias("AverageSeverityGrade"),
         )
         .orderBy(F.desc("TotalFundingReceived"), "InstitutionID")

@@ -39,14 +39,17 @@ def active_leads(project: DataFrame, as_of: asof.AsOf, more_than: int = 3, by_da
 
 
 def _current_posts(employment: DataFrame, institution: DataFrame) -> DataFrame:
-    """One row per researcher and institution of the current posts."""
+    """One row per researcher and known institution of the current posts.
+
+    A post at an institution without a master row counts nowhere.
+    """
     posts = (
         employment.where(F.col("EndDate").isNull() & F.col("InstitutionID").isNotNull())
         .groupBy("ResearcherID", "InstitutionID")
         .agg(F.sum("FTEPercentage").cast(FTE_TOTAL).alias("__fte"))
     )
     named = institution.select("InstitutionID", "LegalName")
-    return lookup_join(posts, named, "InstitutionID", spread_by=["ResearcherID"], how="left")
+    return lookup_join(posts, named, "InstitutionID", spread_by=["ResearcherID"])
 
 
 def workload_report(
@@ -66,21 +69,25 @@ def workload_report(
     the institution list is distinct and holds no more names than there are
     institutions.
     """
+    # Few researchers lead so many projects: the others leave before anything is grouped.
+    leads = active_leads(project, as_of, more_than_projects)
+    led_by = leads.select("ResearcherID")
+    employment = employment.join(led_by, "ResearcherID", "left_semi")
+    degree = degree.join(led_by, "ResearcherID", "left_semi")
     load = (
         _current_posts(employment, institution)
         .groupBy("ResearcherID")
         .agg(
             F.count("InstitutionID").alias("InstitutionCount"),
-            F.sum(F.when(F.col("LegalName").isNotNull(), F.col("__fte"))).cast(FTE_TOTAL).alias("TotalFTE"),
+            F.sum("__fte").cast(FTE_TOTAL).alias("TotalFTE"),
             F.expr("listagg(DISTINCT LegalName, '; ') WITHIN GROUP (ORDER BY LegalName)").alias("Institutions"),
         )
-        # No list means that no post is at a known institution.
-        .where((F.col("InstitutionCount") > more_than_institutions) & F.col("Institutions").isNotNull())
+        .where(F.col("InstitutionCount") > more_than_institutions)
     )
     return (
         researcher.select("ResearcherID", "NIHHISID", "ORCID", "SecurityClearance")
         .join(load, "ResearcherID")
-        .join(active_leads(project, as_of, more_than_projects), "ResearcherID")
+        .join(leads, "ResearcherID")
         .join(best_degree(degree, *degree_markers), "ResearcherID", "left")
         .orderBy(F.desc("ActiveProjectCount"), F.desc("TotalFTE"), "ResearcherID")
         .select(

@@ -6,10 +6,11 @@ watermark has passed their window. Readings later than ``late`` are dropped.
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from labmesh.operators.lookup import spread_lookup_join
 from labmesh.operators.runs import window_states
 from labmesh.operators.violations import THRESHOLD, is_violation
 from labmesh.streaming.run import read_folder
@@ -69,22 +70,23 @@ def sliding_stats(readings: DataFrame, window: str = "6 hours", slide: str = "1
 
 
 def distinct_readings(readings: DataFrame, late: str = LATE) -> DataFrame:
-    """One row per reading, however often the log delivers it.
+    """One row per LogID, however often the log delivers it.
 
-    Copies share LogID and ReadingTime. An aggregation, unlike a dropped
-    duplicate, merges copies in each task before they shuffle.
+    The first delivery passes at once and whole; later ones with the same LogID
+    are dropped, whatever they hold, as long as they are not later than ``late``.
     """
-    return (
-        readings.withWatermark("ReadingTime", late)
-        .groupBy("LogID", "ReadingTime")
-        .agg(F.min("FreezerID").alias("FreezerID"), F.max("ReadingValue").alias("ReadingValue"))
-        .select("LogID", "FreezerID", "ReadingTime", "ReadingValue")
-    )
+    kept = readings.withWatermark("ReadingTime", late).dropDuplicatesWithinWatermark(["LogID"])
+    return kept.select("LogID", "FreezerID", "ReadingTime", "ReadingValue")
 
 
 def with_freezer(readings: DataFrame, freezer: DataFrame) -> DataFrame:
-    """Readings joined with a static table of one row per freezer."""
-    return spread_lookup_join(readings, freezer, "FreezerID", spread_by=["LogID"])
+    """All readings, with the columns of a static table of one row per freezer.
+
+    A reading of an unknown freezer stays, with NULL in those columns. A batch is
+    as large as its trigger allows, so its rows are joined as they come; the table
+    is neither repeated nor salted.
+    """
+    return readings.join(freezer, "FreezerID", "left")
 
 
 def states_stream(
@@ -96,6 +98,8 @@ def states_stream(
 
 ALARM_SCHEMA = "FreezerID {id}, FirstWindow timestamp, AlarmWindow timestamp, PeakValue double"
 RUN_STATE = "length long, first timestamp, peak double"
+# Typed values for the state of a freezer without a run; NULL has no type in Arrow.
+NO_RUN = (0, datetime(1970, 1, 1), 0.0)
 
 
 def alarms(states_path: str, like: DataFrame, length: int) -> DataFrame:
@@ -113,11 +117,11 @@ def alarms(states_path: str, like: DataFrame, length: int) -> DataFrame:
         import pandas as pd
 
         rows = pd.concat(list(batches)).sort_values("WindowStart")
-        run, first, peak = state.get if state.exists else (0, None, None)
+        run, first, peak = state.get if state.exists else NO_RUN
         found = []
         for start, value, bad in zip(rows["WindowStart"], rows["PeakValue"], rows["Violating"]):
             if not bad:
-                run, first, peak = 0, None, None
+                run, first, peak = NO_RUN
                 continue
             run += 1
             first = start if run == 1 else first

@@ -56,6 +56,21 @@ def test_disclosures(make, text, found):
     assert got == [(c, *sizes[c]) for c in found]
 
 
+@pytest.mark.parametrize(
+    "company, text, found",
+    [
+        ("SA Biotech", "Employed by Acme biotech", []),
+        ("SA Biotech Ltd", "Shares in SA biotech.", ["sa biotech"]),
+        ("Bank Co Partners", "Paid by Bank Co Partners", ["bank co partners"]),
+        ("Corp Co Ltd", "Adviser of corp co ltd", ["corp co ltd"]),
+    ],
+)
+def test_legal_forms_only_count_at_the_end(make, company, text, found):
+    labs = make("CorporateLab", {"InstitutionID": 1, "ParentCompany": company})
+    people = make("Researcher", {"ResearcherID": 1, "COIDisclosure": text})
+    assert [r[0] for r in rows_of(analytics.conflict_matches(people, labs), "Company")] == found
+
+
 def test_no_companies(make):
     people = make("Researcher", {"ResearcherID": 1, "COIDisclosure": "Pfizer"})
     assert analytics.conflict_matches(people, make("CorporateLab")).collect() == []

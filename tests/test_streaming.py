@@ -60,7 +60,7 @@ def test_copies_within_and_across_batches(deliver):
         [(1, 1, at(1), -60.0)],
         [(9, 1, at(300), -60.0)],
     )
-    assert rows_of(run_available(freezers.distinct_readings(stream), "copies"), "LogID") == [(1,), (2,)]
+    assert rows_of(run_available(freezers.distinct_readings(stream), "copies"), "LogID") == [(1,), (2,), (9,)]
 
 
 def test_run_goes_on_from_its_checkpoint(deliver, spark, tmp_path):
@@ -118,13 +118,13 @@ def test_stream_joins_static_table(deliver, spark):
     stream = deliver(READINGS, [(1, 1, at(1), -60.0), (2, 2, at(2), -60.0)])
     names = spark.createDataFrame([(1, "north")], "FreezerID long, FreezerName string")
     out = freezers.with_freezer(stream, names).select("LogID", "FreezerName")
-    assert rows_of(run_available(out, "named")) == [(1, "north")]
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    try:
-        out = freezers.with_freezer(stream, names).select("LogID", "FreezerName")
-        assert rows_of(run_available(out, "salted")) == [(1, "north")]
-    finally:
-        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert rows_of(run_available(out, "named")) == [(1, "north"), (2, None)]
+
+
+def test_conflicting_copies_stay_whole(deliver):
+    stream = deliver(READINGS, [(1, 2, at(1), -60.0)], [(1, 1, at(2), -50.0)], [(9, 1, at(300), -60.0)])
+    got = run_available(freezers.distinct_readings(stream), "copies")
+    assert rows_of(got, "LogID", "FreezerID", "ReadingValue") == [(1, 2, -60.0), (9, 1, -60.0)]
 
 
 ACCESS = "UserID long, AccessTime timestamp, Action string"

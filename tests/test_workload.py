@@ -54,6 +54,21 @@ def test_total_and_lists(make):
     }
 
 
+def test_posts_at_unknown_institutions_count_nowhere(make):
+    post = {"StartDate": "2020-01-01", "ResearcherID": 1, "FTEPercentage": "0.50"}
+    tables = staff(
+        make,
+        EmploymentHistory=make(
+            "EmploymentHistory",
+            {**post, "ExperienceRecordID": 1, "InstitutionID": 1},
+            {**post, "ExperienceRecordID": 2, "InstitutionID": 99},
+        ),
+    )
+    assert researcher_workload(tables, AS_OF).collect() == []
+    (row,) = researcher_workload(tables, AS_OF, more_than_institutions=0).collect()
+    assert (row.InstitutionCount, row.Institutions, row.TotalFTE) == (1, "Zeta", Decimal("0.50"))
+
+
 def test_literal_query_counts_the_home_institution(make):
     df = researcher_workload(staff(make), AS_OF, "as_written")
     assert df.collect() == []
