@@ -46,6 +46,7 @@ SPELLINGS = (
     ("recognised", "recognized"),
     ("signalling", "signaling"),
     ("sub license", "sublicense"),
+    ("sublicence", "sublicense"),
     ("utilisation", "utilization"),
     ("whilst", "while"),
     ("wilful", "willful"),
