@@ -12,7 +12,14 @@ FOLDER = "/root/testdata/sf0.001"
 BATCH = [n for n in REGISTRY if not n.startswith("stream")]
 
 # These end in a scalar or in block totals, which are single rows or few.
-SINGLE = {"q1_as_written", "surrogate_keys", "append_with_keys", "publication_impact", "coi_match"}
+SINGLE = {
+    "q1_as_written",
+    "surrogate_keys",
+    "append_with_keys",
+    "publication_impact",
+    "coi_match",
+    "coi_match_names",
+}
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no given tables")
 
