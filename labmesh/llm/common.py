@@ -48,12 +48,13 @@ def add_column(
     name: str,
     kind: str,
     arrow: pa.DataType,
-    start: Callable[[], Callable[[list], Sequence]],
+    start: Callable[[], Callable[[pa.Array], Sequence | pa.Array]],
     rows: int = 256,
 ) -> DataFrame:
     """The rows with a column computed in Python from another one, `rows` at a time.
 
-    `start` is called once per task and returns the function from values to values.
+    `start` is called once per task and returns the function from an array of
+    values to as many results.
     The other columns pass by as they are; one that is called `name` is replaced.
     Small steps keep what a task holds near the size of one Arrow batch, however
     long the results are.
@@ -67,8 +68,10 @@ def add_column(
         for batch in batches:
             for at in range(0, batch.num_rows, rows):
                 part = batch.slice(at, rows)
-                values = convert(part.column(source).to_pylist())
-                columns = [*(part.column(c) for c in kept), pa.array(values, arrow)]
+                values = convert(part.column(source))
+                if not isinstance(values, pa.Array):
+                    values = pa.array(values, arrow)
+                columns = [*(part.column(c) for c in kept), values]
                 yield pa.RecordBatch.from_arrays(columns, names=[*kept, name])
 
     return df.mapInArrow(work, result)

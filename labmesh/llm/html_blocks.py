@@ -269,6 +269,6 @@ def extract_text(
 
     def start():
         own = shared.value
-        return lambda batch: main_texts([page or "" for page in batch], own)
+        return lambda batch: main_texts([page or "" for page in batch.to_pylist()], own)
 
     return add_column(pages, html, text, "string", pa.string(), start, rows=128)

@@ -3,25 +3,28 @@
 Blanks become the marker U+2581 and one marker is put in front. No piece of the
 vocabulary has a marker after another character, so the best segmentation of a
 text is made of the best ones of its words, each with the markers in front of it.
-Words are cut by Viterbi on the log scores of the pieces; a character that no
-piece covers is written as its UTF-8 bytes. Each Python worker keeps the words
+Words are cut by Viterbi on the log scores of the pieces, the new words of a batch
+together in numpy; a character that no piece covers is written as its UTF-8 bytes. Each Python worker keeps the words
 it has cut in a table of bounded size. One narrow pass, no shuffle.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+
+from labmesh.llm.common import add_column
 
 MARKER = "▁"
-REMEMBERED = 200_000
+REMEMBERED = 250_000
 UNKNOWN_PENALTY = 10.0
+# Words of similar length in bytes are cut together; longer ones one by one.
+WIDTHS = (8, 12, 16, 24, 32, 64)
 
 # Kinds of pieces in a model file.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -178,7 +181,8 @@ def load_pieces(path: str) -> Pieces:
     )
 
 
-_CHUNK = re.compile(rf"{MARKER}*[^{MARKER}]+|{MARKER}+")
+# Bytes of the character that a byte begins; 0 within a character.
+_SPAN = np.array([1] * 128 + [0] * 64 + [2] * 32 + [3] * 16 + [4] * 16)
 
 
 class Encoder:
@@ -191,7 +195,13 @@ class Encoder:
         self.value, self.scores = pieces.value.tolist(), pieces.scores.tolist()
         lowest = min((self.scores[i] for i in self.value if i >= 0), default=0.0)
         self.unknown_score = lowest - UNKNOWN_PENALTY
-        self.known: dict[str, list[int]] = {}
+        self.known: dict[str, bytes] = {}
+        # Control characters that no piece has are cut off: they stand alone in any cut.
+        used = set(b"".join(pieces.surface[i] for i in pieces.value[pieces.value >= 0].tolist()))
+        alone = "".join(c for c in "\t\n\r" if ord(c) not in used)
+        self.chunk = re.compile(
+            (f"[{alone}]|" if alone else "") + f"{MARKER}*[^{MARKER}{alone}]+|{MARKER}+"
+        )
 
     def cut(self, word: str) -> list[int]:
         """Viterbi over the bytes of one word; of equal sums the first found counts."""
@@ -235,43 +245,144 @@ class Encoder:
         ids.reverse()
         return ids
 
-    def encode(self, text: str | None) -> list[int]:
-        """Ids of a text; none for NULL and empty texts.
+    def cut_many(self, words: Sequence[str]) -> list[bytes]:
+        """The same for many words, ids as 32-bit numbers in bytes.
 
-        A marker that stands in the text itself is written as bytes, so that
-        decoding does not turn it into a blank. Half surrogates become "?".
+        All words of similar length advance together in numpy.
         """
+        out = [b""] * len(words)
+        data = [word.encode() for word in words]
+        lengths = np.fromiter(map(len, data), np.int64, len(data))
+        below, alone = 0, []
+        for width in WIDTHS:
+            group = np.flatnonzero((lengths > below) & (lengths <= width))
+            below = width
+            if len(group):
+                rows = np.frombuffer(b"".join([data[k].ljust(width, b"\0") for k in group]), np.uint8)
+                found = self._cut_rows(rows.reshape(len(group), width), lengths[group])
+                for k, ids in zip(group.tolist(), found):
+                    if ids is None:
+                        alone.append(k)
+                    else:
+                        out[k] = ids
+        for k in [*alone, *np.flatnonzero(lengths > below).tolist()]:
+            out[k] = np.array(self.cut(words[k]), np.int32).tobytes()
+        return out
+
+    def _cut_rows(self, rows: np.ndarray, lengths: np.ndarray) -> list[bytes | None]:
+        """Viterbi over rows of bytes, one start at a time; None for words with unknown characters."""
+        base, check, value, scores = self.pieces.base, self.pieces.check, self.pieces.value, self.pieces.scores
+        n, width = rows.shape
+        best = np.full((n, width + 1), -np.inf)
+        best[:, 0] = 0.0
+        back = np.full((n, width + 1), -1, np.int32)
+        begin = np.zeros((n, width + 1), np.int64)
+        spans = _SPAN[rows]
+        for start in range(width):
+            # Characters begin where a byte is not a continuation.
+            words = np.flatnonzero((spans[:, start] > 0) & (lengths > start))
+            if not len(words):
+                continue
+            whole = np.zeros(n, bool)
+            active, node, here = words, np.zeros(len(words), np.int64), best[words, start]
+            for end in range(start + 1, width + 1):
+                after = base[node] + rows[active, end - 1] + 1
+                fits = (check[after] == node) & (lengths[active] >= end)
+                active, node, here = active[fits], after[fits].astype(np.int64), here[fits]
+                if not len(active):
+                    break
+                id = value[node]
+                piece = id >= 0
+                at, id, score = active[piece], id[piece], here[piece] + scores[id[piece]]
+                whole[at[spans[at, start] == end - start]] = True
+                better = score > best[at, end]
+                at = at[better]
+                best[at, end], back[at, end], begin[at, end] = score[better], id[better], start
+            lost = words[~whole[words]]
+            end = start + spans[lost, start]
+            score = best[lost, start] + self.unknown_score
+            better = score > best[lost, end]
+            lost, end = lost[better], end[better]
+            best[lost, end], back[lost, end], begin[lost, end] = score[better], -1, start
+        every, end = np.arange(n), lengths.copy()
+        steps, unknown = [], np.zeros(n, bool)
+        while end.any():
+            id = np.where(end > 0, back[every, end], -2)
+            unknown |= id == -1
+            steps.append(id)
+            end = begin[every, end]
+        ids = np.stack(steps[::-1], axis=1).astype(np.int32)
+        packed, row = ids.tobytes(), 4 * ids.shape[1]
+        skipped = 4 * (ids == -2).sum(axis=1)
+        return [
+            None if lost else packed[k * row + skip : k * row + row]
+            for k, (skip, lost) in enumerate(zip(skipped.tolist(), unknown.tolist()))
+        ]
+
+    def _words(self, text: str | None) -> list[str]:
+        """The words of a text, with a marker of its own as a lone empty word."""
         if not text:
             return []
         text = text.encode("utf-8", "replace").decode()
-        ids: list[int] = []
+        out: list[str] = []
         for k, part in enumerate(text.split(MARKER)):
             if k:
-                ids.extend(self.pieces.byte_ids[b] for b in MARKER.encode())
+                out.append("")
             elif self.pieces.add_prefix:
                 part = " " + part
-            for word in _CHUNK.findall(part.replace(" ", MARKER)):
-                found = self.known.get(word)
-                if found is None:
-                    found = self.cut(word)
-                    if len(word) < 64:
-                        if len(self.known) >= self.remembered:
-                            self.known.clear()
-                        self.known[word] = found
-                ids.extend(found)
-        return ids
+            out.extend(self.chunk.findall(part.replace(" ", MARKER)))
+        return out
 
+    def encode_many(self, texts: Sequence[str | None]) -> list[bytes]:
+        """Ids of texts as 32-bit numbers in bytes; none for NULL and empty texts.
 
-def decode_ids(pieces: Pieces, ids) -> str:
-    """The text of ids: markers as blanks, without the one in front; control pieces are silent.
+        A marker that stands in the text itself is written as bytes, so that
+        decoding does not turn it into a blank. Half surrogates become "?".
+        """
+        split = [self._words(text) for text in texts]
+        known = self.known
+        known[""] = np.array([self.pieces.byte_ids[b] for b in MARKER.encode()], np.int32).tobytes()
+        new = list({word for words in split for word in words if word not in known})
+        if len(known) + len(new) > self.remembered:
+            # What this batch needs stays; a batch is bounded by itself.
+            self.known = known = {w: known[w] for words in split for w in words if w in known}
+        known.update(zip(new, self.cut_many(new)))
+        out = [b"".join([known[word] for word in words]) for words in split]
+        if len(known) > self.remembered:
+            known.clear()
+        return out
+
+    def encode(self, text: str | None) -> list[int]:
+        return np.frombuffer(self.encode_many([text])[0], np.int32).tolist()
+
+
+class Decoder:
+    """Texts of ids: markers as blanks, without the one in front; control pieces are silent.
 
     Bytes that are no UTF-8 become U+FFFD, as do ids outside the vocabulary.
     """
-    surface, size = pieces.surface, len(pieces.surface)
-    data = b"".join([surface[i] if 0 <= i < size else b"\xef\xbf\xbd" for i in ids])
-    if pieces.add_prefix and data[:1] == b" ":
-        data = data[1:]
-    return data.decode("utf-8", "replace")
+
+    def __init__(self, pieces: Pieces):
+        surface = [*pieces.surface, "\ufffd".encode()]
+        self.flat = np.frombuffer(b"".join(surface), np.uint8)
+        self.lengths = np.fromiter(map(len, surface), np.int64, len(surface))
+        self.starts = np.cumsum(self.lengths) - self.lengths
+        self.size, self.add_prefix = len(pieces.surface), pieces.add_prefix
+
+    def decode(self, ids: np.ndarray) -> str:
+        known = np.where((ids >= 0) & (ids < self.size), ids, self.size)
+        lengths = self.lengths[known]
+        ends = np.cumsum(lengths)
+        # Every byte of the text: where its piece starts, and how far it is within it.
+        at = np.repeat(self.starts[known] - ends + lengths, lengths)
+        data = self.flat[at + np.arange(len(at))].tobytes()
+        if self.add_prefix and data[:1] == b" ":
+            data = data[1:]
+        return data.decode("utf-8", "replace")
+
+
+def decode_ids(pieces: Pieces, ids) -> str:
+    return Decoder(pieces).decode(np.array(ids, np.int64))
 
 
 def _shared(spark: SparkSession, pieces: Pieces):
@@ -288,13 +399,17 @@ def encode_pieces(
     """
     shared = _shared(docs.sparkSession, pieces)
 
-    @F.pandas_udf("array<int>")
-    def encoded(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def start():
         encoder = Encoder(shared.value)
-        for batch in batches:
-            yield pd.Series([np.array(encoder.encode(t), np.int32) for t in batch], dtype=object)
 
-    return docs.withColumn(ids, encoded(F.col(f"`{text}`")))
+        def convert(texts: pa.Array) -> pa.Array:
+            found = encoder.encode_many(texts.to_pylist())
+            ends = np.cumsum([0, *(len(ids) // 4 for ids in found)]).astype(np.int32)
+            return pa.ListArray.from_arrays(ends, np.frombuffer(b"".join(found), np.int32))
+
+        return convert
+
+    return add_column(docs, text, ids, "array<int>", pa.list_(pa.int32()), start)
 
 
 def decode_pieces(
@@ -303,13 +418,18 @@ def decode_pieces(
     """The rows with the text of their ids; empty for NULL and empty arrays."""
     shared = _shared(docs.sparkSession, pieces)
 
-    @F.pandas_udf("string")
-    def decoded(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        vocabulary = shared.value
-        for batch in batches:
-            yield pd.Series(
-                ["" if row is None else decode_ids(vocabulary, row.tolist()) for row in batch],
-                dtype=object,
-            )
+    def start():
+        decoder = Decoder(shared.value)
+
+        def convert(rows: pa.Array) -> list[str]:
+            values = rows.values.to_numpy(zero_copy_only=False)
+            ends = rows.offsets.to_numpy()
+            present = rows.is_valid().to_pylist()
+            return [
+                decoder.decode(values[a:b]) if there else ""
+                for a, b, there in zip(ends[:-1].tolist(), ends[1:].tolist(), present)
+            ]
+
+        return convert
 
-    return docs.withColumn(text, decoded(F.col(f"`{ids}`")))
+    return add_column(docs, ids, text, "string", pa.string(), start)
