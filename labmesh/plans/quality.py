@@ -106,6 +106,20 @@ def cascade_delete(
     return lookup_join(child, gone, column, spread_by, how="left_anti")
 
 
+def cascade(tables: dict[str, DataFrame], parent: str, deleted: DataFrame) -> dict[str, DataFrame]:
+    """The parent table and those that the registry deletes along, without the deleted rows.
+
+    ``deleted`` holds keys of the parent in the column of its key.
+    """
+    key = TABLES[parent].key
+    out = {parent: cascade_delete(tables[parent], key, deleted, key, [key])}
+    for name, table in TABLES.items():
+        if table.cascade_from == parent and name in tables:
+            column = next(c for c, target in table.references.items() if target == parent)
+            out[name] = cascade_delete(tables[name], column, deleted, key, [table.key])
+    return out
+
+
 def check_table(df: DataFrame, table: Table, as_of: asof.AsOf) -> list[DataFrame]:
     """All checks of one table that need no other table.
 

@@ -14,10 +14,14 @@ from labmesh.operators.ordering import assign_keys
 from labmesh.sources.schemas import TABLES, Table
 
 
-def load(spark: SparkSession, name: str, path: str) -> DataFrame:
-    """A domain table from parquet, in its declared schema."""
+def load(spark: SparkSession, name: str, path: str, as_of: asof.AsOf | None = None) -> DataFrame:
+    """A domain table from parquet, in its declared schema.
+
+    Columns that the files lack take their declared defaults; ``as_of`` is the
+    time of those that default to the present.
+    """
     table = TABLES[name]
-    return conform(spark.read.parquet(path), table)
+    return conform(fill_defaults(spark.read.parquet(path), table.defaults, as_of), table)
 
 
 def load_jdbc(

@@ -141,6 +141,19 @@ def test_cascade(make):
     assert rows_of(quality.cascade_delete(labs, "InstitutionID", gone, "InstitutionID", ["InstitutionID"]), "InstitutionID") == [(1,)]
 
 
+def test_registry_names_what_a_deletion_takes_along(make):
+    tables = {
+        "Institution": make("Institution", {"InstitutionID": 1}, {"InstitutionID": 2}),
+        "CorporateLab": make("CorporateLab", {"InstitutionID": 1}, {"InstitutionID": 2}),
+        "GovernmentFacility": make("GovernmentFacility", {"InstitutionID": 2}),
+        "Project": make("Project", {"ProtocolID": 7, "InstitutionID": 2}),
+    }
+    out = quality.cascade(tables, "Institution", make("Institution", {"InstitutionID": 2}))
+    assert {n: rows_of(df, "InstitutionID") for n, df in out.items()} == {
+        "Institution": [(1,)], "CorporateLab": [(1,)], "GovernmentFacility": [],
+    }
+
+
 def test_valid_rows_keep_unknowns(make):
     df = make("Location", {"LocationID": 1, "BSLLabLevel": 9}, {"LocationID": 2}, {"LocationID": 3, "BSLLabLevel": 1})
     assert rows_of(quality.valid_rows(df, TABLES["Location"].rules(), AS_OF), "LocationID") == [(2,), (3,)]

@@ -130,6 +130,13 @@ def test_other_columns_stay(spark, make, tmp_path):
     assert (row.ParticipantID, row.Age) == (1, 40)
 
 
+def test_loading_fills_declared_defaults(spark, make, tmp_path):
+    path = str(tmp_path / "log")
+    make("TemperatureLog", {"LogID": 1}).drop("ReadingTime", "IsManualEntry").write.parquet(path)
+    (row,) = tables.load(spark, "TemperatureLog", path, AS_OF).collect()
+    assert str(row.ReadingTime) == AS_OF and row.IsManualEntry is False
+
+
 def test_only_scratch_is_discarded(spark, tmp_path):
     path = scratch.fresh_folder(spark, "gone")
     spark.range(3).write.parquet(path)
