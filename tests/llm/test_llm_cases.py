@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import os
+from pathlib import Path
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from labmesh.llm import block_training, fingerprints, html_blocks, minhash, pieces, shingles, warc
+from labmesh.llm import block_training, fingerprints, html_blocks, licences, minhash, pieces, shingles, warc
 from labmesh.llm import vectors as vec
 from labmesh.llm.components import components
 from labmesh.llm.fingerprints import edited_fingerprints, fingerprint
@@ -175,6 +176,33 @@ def test_licence_copies(spark):
     assert licence_scan(documents(spark)).count() == 0
 
 
+def test_licence_files(spark):
+    """Files as they are shipped: titles, notices of several lines and filled-in names."""
+    wrapped = "Copyright (c) 2012-2021 Ann Author, Bob Builder,\nCarl Coder, Dora Doe,\nEve Editor\n\n"
+    bsd3 = KNOWN["BSD-3-Clause"][0]
+    named = bsd3.replace("the copyright holder nor", "Example Labs, Inc. nor")
+    folder = Path(licences.__file__).parent / "licence_texts"
+    files = {p.stem: p.read_text("utf-8") for p in folder.glob("*.txt")}
+    mit, isc = KNOWN["MIT"][0], KNOWN["ISC"][0]
+    cases = [
+        ("MIT", "MIT License\n\nCopyright (c) 2022 Some Body\n\n" + mit),
+        ("MIT", "The MIT License (MIT)\r\n=====\r\n\r\nCopyright 2020 Some Body\r\nAll rights reserved.\r\n\r\n" + mit),
+        ("MIT", wrapped + mit), ("MIT", "Copyright Joined, Inc. and other contributors.\n" + mit),
+        ("MIT", "// Copyright (c) A, B,\n// C and D\n//\n" + "\n".join("// " + x.strip() for x in mit.split("\n"))),
+        ("ISC", "ISC License\n\nCopyright (c) 2004-2010 by Some Consortium (\"SC\")\n\n" + isc),
+        ("BSD-3-Clause", "BSD 3-Clause License\n\nCopyright (c) 2019, Example Labs\nAll rights reserved.\n\n" + named),
+        ("BSD-2-Clause", "Copyright 2019 The Authors.\n\n" + KNOWN["BSD-2-Clause"][1]), ("BSD-3-Clause", named),
+        ("BSL-1.0", files["BSL-1.0"]), ("Unlicense", files["Unlicense"]), ("GPL-2.0", files["GPL-2.0"]),
+        ("AGPL-3.0", "Copyright (C) 2020 A\n\n" + KNOWN["AGPL-3.0"][0]),
+        *((name, text) for name, text in files.items()),
+        (None, "Copyright law is a subject.\n\n" + mit + " and more"), (None, "MIT License"), (None, "Some words.\n\n" + mit),
+        (None, "Copyright (c) 2020 A\n"), (None, "BSD 3-Clause License\n\n" + named + "\nNo use by robots."),
+    ]
+    rows = [(k, text, "a") for k, (_, text) in enumerate(cases)]
+    out = {r.doc_id: r.license for r in licence_scan(documents(spark, *rows)).collect()}
+    assert [(k, out[k]) for k in range(len(cases))] == [(k, name) for k, (name, _) in enumerate(cases)]
+
+
 # --- 5 WARC
 
 
