@@ -4,9 +4,12 @@
 
 writes `block_weights.npz`. Pages are drawn from a grammar of usual layouts: an
 article inside some of the containers that sites use, between menus, headers,
-sidebars, notices, adverts, forms, comments and footers. Words are invented, so
-that the labeller learns from structure and sizes. Gradients run back through
-both directions in numpy; Adam updates the weights.
+sidebars, notices, adverts, forms, comments and footers. An article has paragraphs,
+heads of all ranks, lists, definitions, tables, code, figures and quotations, and
+sometimes more than a thousand of them. Words are invented or common ones; what
+stands around the article also holds the usual phrases of its kind, so that the
+labeller learns from structure, sizes and wording. Gradients run back through both
+directions in numpy; Adam updates the weights.
 """
 
 from __future__ import annotations
@@ -49,6 +52,34 @@ OUTSIDE = {
                  '<ol class="comment-list">', '<div class="replies">', '<section class="discussion">'),
 }
 
+# Common words, in articles and around them; some of them are usual in notices too.
+COMMON = (
+    "the of and to in a is that for it as was with be by on not he his but at are this have from or had an "
+    "they which one you were all her she there would their we him been has when who will no more if out so "
+    "said what up its about into than them can only other new some could time these two may then do first "
+    "any my now such like our over man me even most made after also did many before must through years "
+    "where much your way well down should because each just those people how too little state good very "
+    "make world still own see men work long here get both between life being under never day same another "
+    "know while last might us great old year off come since against go came right used take three use "
+    "share free order today read next site experience offer sign comment report posted access"
+).split()
+PHRASES = {
+    "notice": ("We use cookies to improve your experience on our website.", "Accept all cookies",
+               "By continuing to use this site you accept our cookie policy.", "Cookie settings",
+               "Subscribe to our newsletter", "Sign up for our email newsletter.", "Share this on Facebook",
+               "Share on Twitter", "Follow us on Instagram", "Subscribe now for unlimited access.",
+               "Log in to continue reading.", "Please disable your ad blocker."),
+    "advert": ("Advertisement", "Sponsored content", "Buy now and save 20%!", "Sponsored advert",
+               "Limited time offer: free shipping", "Click here for the best deals.", "Sale ends soon, shop now!",
+               "Promoted: get your free quote today", "Advertisement - continue below"),
+    "comments": ("Reply", "Log in to comment", "Posted by anna 3 days ago", "Thanks for sharing, great post!",
+                 "I agree with the comment above.", "3 comments", "Report this comment", "Leave a reply"),
+    "side": ("Related articles", "Most popular", "Read next", "You may also like", "Recent posts"),
+    "footer": ("All rights reserved.", "Terms of use", "Privacy policy", "Contact us", "Powered by"),
+}
+# Without a class only the wording tells these from an article's paragraphs.
+PLAIN = ("<div>", "<p>")
+
 
 def _closed(opening: str) -> str:
     names = [tag.split()[0].strip("<>") for tag in opening.replace(">", ">|").split("|") if tag]
@@ -65,7 +96,13 @@ class Grammar:
         r = self.r
         n = r.randint(low, high)
         style = r.random()
-        out = ["".join(r.choice(_SYLLABLES) for _ in range(r.randint(1, 4))) for _ in range(n)]
+        common = r.choice((0, 0, 0.5, 0.8, 0.95))
+        out = [
+            r.choice(COMMON)
+            if r.random() < common
+            else "".join(r.choice(_SYLLABLES) for _ in range(r.randint(1, 4)))
+            for _ in range(n)
+        ]
         if style < 0.08:
             out = [w + r.choice(("***", "%%%", "$$$", "&amp;&amp;&amp;", "!!")) for w in out]
         elif style < 0.12:
@@ -82,29 +119,48 @@ class Grammar:
             return "<ul>" + "".join(f"<li>{x}</li>" for x in items) + "</ul>"
         return " ".join(items)
 
+    def phrased(self, kind: str, low: int, high: int) -> str:
+        """Words of what stands around an article, most of them with a usual phrase."""
+        r = self.r
+        if r.random() < 0.4:
+            return self.words(low, high)
+        phrases = " ".join(r.sample(PHRASES[kind], r.choice((1, 1, 1, 2))))
+        return phrases if r.random() < 0.6 else f"{self.words(low, high)} {phrases}"
+
+    def plain(self, kind: str) -> str:
+        """Usual phrases in an element without a class."""
+        r = self.r
+        opening = r.choice(PLAIN)
+        return opening + " ".join(r.sample(PHRASES[kind], r.choice((1, 2)))) + _closed(opening)
+
     def outside(self, kind: str) -> str:
         r = self.r
+        if kind in ("notice", "advert") and r.random() < 0.15:
+            return self.plain(kind)
         opening = r.choice(OUTSIDE[kind])
         if kind == "menu":
             inner = self.links(2, 9)
         elif kind == "header":
             inner = r.choice((f"<h1>{self.words(1, 4)}</h1>", self.links(1, 5), self.words(2, 8)))
         elif kind == "footer":
-            inner = r.choice(("&copy; ", "")) + self.words(2, 14)
+            inner = r.choice(("&copy; ", "")) + self.phrased(kind, 2, 14)
             inner += self.links(1, 6) if r.random() < 0.4 else ""
         elif kind == "side":
-            inner = f"<h3>{self.words(1, 4)}</h3>" + r.choice(
+            head = r.choice(("h2", "h3", "h3", "h4"))
+            inner = f"<{head}>{self.phrased(kind, 1, 4)}</{head}>" + r.choice(
                 (self.links(2, 8), f"<p>{self.words(5, 40)}</p>")
             )
         elif kind == "form":
             inner = f"<label>{self.words(1, 3)}</label><input type=text><p>{self.words(1, 12)}</p>"
         elif kind == "comments":
             inner = "".join(
-                f"<p>{self.words(3, 60)}</p>" if r.random() < 0.6 else f"<div>{self.words(2, 30)}</div>"
+                f"<p>{self.phrased(kind, 3, 60)}</p>"
+                if r.random() < 0.6
+                else f"<div>{self.phrased(kind, 2, 30)}</div>"
                 for _ in range(r.randint(1, 6))
             )
         else:
-            inner = self.words(3, 20)
+            inner = self.phrased(kind, 3, r.choice((20, 20, 80)))
             inner = f"<p>{inner}</p>" if r.random() < 0.4 else inner
         return opening + inner + _closed(opening)
 
@@ -114,28 +170,55 @@ class Grammar:
         out = [opening]
         if r.random() < 0.85:
             out.append(f"<h1>{self.words(1, 10)}</h1>")
-        for _ in range(int(r.paretovariate(1.1)) + r.randint(0, 6)):
-            pick = r.random()
-            if pick < 0.62:
-                low, high = r.choice(((1, 3), (5, 40), (30, 120), (100, 400)))
-                out.append(f"<p>{self.words(low, high)}</p>")
-            elif pick < 0.74:
-                out.append(f"<p><b>{self.words(2, 60)}<br>")
-            elif pick < 0.82:
-                out.append(f"<h2>{self.words(1, 8)}</h2>")
-            elif pick < 0.88:
-                rows = "".join(f"<li>{self.words(1, 20)}</li>" for _ in range(r.randint(1, 6)))
-                out.append(f"<ul>{rows}</ul>")
-            elif pick < 0.93:
-                out.append(f"<blockquote><p>{self.words(5, 40)}</p></blockquote>")
-            elif pick < 0.97:
-                out.append(f"<div>{self.words(5, 80)}</div>")
-            if len(out) > 60:
-                break
-            if r.random() < 0.05:
+        many = int(min(r.paretovariate(1.1), 60)) + r.randint(0, 6)
+        # Few pages are long, but those are very long.
+        if r.random() < 0.02:
+            many = r.randint(100, 1200)
+        for _ in range(many):
+            out.append(self.part())
+            if r.random() < min(0.05, 3 / many):
                 out.append("\x01" + self.outside(r.choice(("advert", "notice", "side"))) + "\x02")
         return "".join(out) + _closed(opening)
 
+    def part(self) -> str:
+        """One part of an article."""
+        r = self.r
+        pick = r.random()
+        if pick < 0.5:
+            low, high = r.choice(((1, 3), (5, 40), (30, 120), (100, 400)))
+            return f"<p>{self.words(low, high)}</p>"
+        if pick < 0.62:
+            return f"<p><b>{self.words(2, 60)}<br>"
+        if pick < 0.72:
+            head = r.choice(("h2", "h2", "h3", "h3", "h4", "h5", "h6"))
+            return f"<{head}>{self.words(1, 8)}</{head}>"
+        if pick < 0.79:
+            kind = r.choice(("ul", "ol"))
+            rows = "".join(f"<li>{self.words(1, 20)}</li>" for _ in range(r.randint(1, 6)))
+            return f"<{kind}>{rows}</{kind}>"
+        if pick < 0.83:
+            return f"<blockquote><p>{self.words(5, 40)}</p></blockquote>"
+        if pick < 0.87:
+            return f"<div>{self.words(5, 80)}</div>"
+        if pick < 0.91:
+            wide, body = r.randint(1, 4), r.choice(("", "<tbody>"))
+            head = "".join(f"<th>{self.words(1, 3)}</th>" for _ in range(wide))
+            cells = "".join(
+                "<tr>" + "".join(f"<td>{self.words(1, 6)}</td>" for _ in range(wide)) + "</tr>"
+                for _ in range(r.randint(1, 5))
+            )
+            head = f"<thead><tr>{head}</tr></thead>" if r.random() < 0.5 else f"<tr>{head}</tr>"
+            return f"<table>{head}{body}{cells}{_closed(body) if body else ''}</table>"
+        if pick < 0.94:
+            code = self.words(2, 60)
+            return f"<pre>{code}</pre>" if r.random() < 0.5 else f"<pre><code>{code}</code></pre>"
+        if pick < 0.97:
+            rows = "".join(
+                f"<dt>{self.words(1, 4)}</dt><dd>{self.words(2, 30)}</dd>" for _ in range(r.randint(1, 5))
+            )
+            return f"<dl>{rows}</dl>"
+        return f'<figure><img src="/x.png"><figcaption>{self.words(2, 25)}</figcaption></figure>'
+
     def page(self) -> tuple[str, list[bool]]:
         """Characters 1 and 2 enclose what is not main text, so that blocks can be told apart."""
         r = self.r

@@ -361,6 +361,29 @@ def test_labeller_on_unseen_layouts():
     assert block_training.accuracy(html_blocks.load_weights(), pages=150, seed=12) > 0.97
 
 
+def test_articles_of_many_kinds():
+    """Heads, numbered lists, tables, code, definitions and figures belong to an article."""
+    sentence = "The river rises in the hills and runs for many miles before it meets the sea."
+    kinds = (
+        f"<h3>Early years</h3><p>{sentence}</p><h4>Sources</h4><p>{sentence}</p>",
+        f"<p>{sentence}</p><ol><li>Take the first road.</li><li>Then the second one.</li></ol>",
+        f"<p>{sentence}</p><table><tr><th>Town</th><th>People</th></tr><tr><td>Arden</td><td>512</td></tr></table>",
+        f"<p>{sentence}</p><pre><code>for x in y: print(x)</code></pre><p>{sentence}</p>",
+        f"<p>{sentence}</p><dl><dt>Ford</dt><dd>A place where one can cross a river.</dd></dl>",
+        f"<p>{sentence}</p><figure><img src=a><figcaption>The ford in winter.</figcaption></figure>",
+        f"<h2>Lists</h2><p>{sentence}</p><h5>More</h5><p>{sentence}</p><h6>Least</h6><p>{sentence}</p>",
+        f"<h3>Part</h3><p>{sentence}</p><ol><li>One of them.</li></ol>" * 300,
+    )
+    around = '<nav><a href="/">Home</a></nav>%s<div class="cookie-notice">We use cookies.</div><footer>Contact us</footer>'
+    weights = html_blocks.load_weights()
+    for opening, closing in (("<article>", "</article>"), ('<div class="content">', "</div>")):
+        for kind in kinds:
+            body = f"{opening}<h1>On rivers</h1>{kind}{closing}"
+            page = f"<html><body>{around % body}</body></html>"
+            want = [b.text for b in html_blocks.blocks(body)]
+            assert main_texts([page], weights)[0].split("\n") == want
+
+
 def test_pages_in_a_batch_do_not_touch_each_other():
     grammar = block_training.Grammar(8)
     pages = [block_training.unmarked(grammar.page()[0]) for _ in range(20)]
