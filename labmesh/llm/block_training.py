@@ -109,6 +109,9 @@ class Grammar:
             out = [w.upper() + "!!" for w in out]
         elif style < 0.16:
             return " | ".join(out)
+        elif style < 0.22:
+            # Spam, and what broken software writes: few words again and again.
+            out = (out[: r.choice((1, 1, 2, 5))] * n)[:n]
         end = "." if r.random() < 0.8 else ""
         return " ".join(out).capitalize() + end
 

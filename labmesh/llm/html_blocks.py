@@ -2,7 +2,7 @@
 
 A page is cut into blocks: the text between block-level tags, with the path of
 open elements above it. Each block is described by hashed features of its tag
-path (names, classes, ids), hashed words, and a few sizes. A bidirectional LSTM
+path (names, classes, ids), all its words hashed, and a few sizes. A bidirectional LSTM
 in numpy reads the blocks of a page in both directions, so that every block is
 labelled with the whole document as context; blocks labelled as main text are
 joined. Pages of a batch run together, in groups of similar length.
@@ -177,8 +177,9 @@ def features(page: list[Block]) -> np.ndarray:
             bins = paths[block.path] = [_bin(mark, PATH_BINS) for mark in block.path]
         out[k, bins] = 1.0
         words = block.text.lower().split()
-        for word in words[:32]:
-            out[k, PATH_BINS + _bin(word, WORD_BINS)] += 0.1
+        # All words of the block: root shares, so that the vector has length 1 however long it is.
+        counts = np.bincount([_bin(word, WORD_BINS) for word in words], minlength=WORD_BINS)
+        out[k, PATH_BINS : PATH_BINS + WORD_BINS] = np.sqrt(counts / len(words))
         n = len(block.text)
         out[k, PATH_BINS + WORD_BINS :] = (
             np.log1p(n) / 5,

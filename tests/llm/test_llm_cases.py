@@ -384,6 +384,15 @@ def test_articles_of_many_kinds():
             assert main_texts([page], weights)[0].split("\n") == want
 
 
+def test_every_word_of_a_block_counts():
+    """Blocks of equal length, path and first words differ if a later word does."""
+    start = "word " * 40
+    one, other = (html_blocks.Block(start + end, ("body", "div"), 0) for end in ("cookie", "custom"))
+    assert (html_blocks.features([one]) != html_blocks.features([other])).any()
+    long = html_blocks.features([html_blocks.Block(start * 500 + "end", ("body",), 0)])
+    assert np.abs(long).max() < 4
+
+
 def test_pages_in_a_batch_do_not_touch_each_other():
     grammar = block_training.Grammar(8)
     pages = [block_training.unmarked(grammar.page()[0]) for _ in range(20)]
