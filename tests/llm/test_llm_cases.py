@@ -423,6 +423,25 @@ def test_equal_substrings_share_names_at_any_offset():
     assert (again[0] == names[0]).all()
 
 
+def test_likeness_of_short_texts():
+    a, b = np.array([1, 9], np.uint64), np.array([2, 9], np.uint64)
+    assert fingerprints.likeness(a, b) == pytest.approx(1 / 3)
+    rng = np.random.default_rng(5)
+    for size in (40, 120, 300, 900, 5000):
+        near, far = [], []
+        for _ in range(30):
+            one, two = ("".join(rng.choice(list("abcdefgh ijklm"), size)) for _ in range(2))
+            mine, edited, other = fingerprints.sketches([one, one[: size - size // 2] + two[: size // 2], two])
+            near.append(fingerprints.likeness(mine, edited))
+            far.append(fingerprints.likeness(mine, other))
+            assert fingerprints.likeness(mine, mine) == 1.0
+        # Half of the text is the same: a third of the names of both.
+        assert 0.15 < np.mean(near) < 0.45 and np.mean(far) < 0.1
+    # A long text beside its own short beginning shares few of the first names of both.
+    whole, start = fingerprints.sketches([one, one[:200]])
+    assert len(whole) == fingerprints.KEPT and fingerprints.likeness(whole, start) < 0.3
+
+
 def test_labels_differ_between_neighbours():
     rng = np.random.default_rng(6)
     symbols = rng.integers(0, 2**63, 5000, np.uint64)
