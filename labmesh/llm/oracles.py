@@ -143,3 +143,47 @@ def mixing() -> str:
         ::BIGINT AS taken
     FROM runs
     """
+
+
+def divergence() -> str:
+    """Sources of a language compared over all its kept terms, and terms above the language's share."""
+    share = "1 + (1000000000::HUGEINT * ({0} + 1)) // ({1} + v)"
+    apart = "((p - q) * (p - q)) // q"
+    return rf"""
+WITH docs AS (
+    SELECT row_number() OVER () AS d, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+           translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text
+    FROM documents),
+words AS (
+    SELECT d, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+    FROM docs),
+kept AS (
+    SELECT lang, term, count(*) AS lang_count FROM words GROUP BY lang, term HAVING count(DISTINCT d) >= 3),
+langs AS (
+    SELECT lang, count(*) AS v, sum(lang_count) AS lang_total FROM kept GROUP BY lang),
+counts AS (
+    SELECT lang, source, term, count(*) AS n FROM words SEMI JOIN kept USING (lang, term) GROUP BY ALL),
+groups AS (
+    SELECT g.lang, g.source, coalesce(t.total, 0) AS total, coalesce(l.v, 0) AS v, l.lang_total
+    FROM (SELECT DISTINCT lang, source FROM docs) g
+    LEFT JOIN langs l USING (lang)
+    LEFT JOIN (SELECT lang, source, sum(n) AS total FROM counts GROUP BY ALL) t USING (lang, source)),
+shares AS (
+    SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, {share.format("coalesce(c.n, 0)", "g.total")} AS p,
+           {share.format("k.lang_count", "g.lang_total")} AS q
+    FROM groups g JOIN kept k USING (lang) LEFT JOIN counts c USING (lang, source, term)),
+pairs AS (
+    SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(s.value, 0) AS value
+    FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+    LEFT JOIN (
+        SELECT lang, source, item, sum({apart}) AS value
+        FROM (SELECT x.lang, x.source, y.source AS item, x.p, y.p AS q
+              FROM shares x JOIN shares y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source)
+        GROUP BY ALL) s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source),
+terms AS (
+    SELECT lang, source, 'term' AS part, term AS item, {apart} AS value FROM shares WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value,
+       CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank
+FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms)
+QUALIFY part = 'pair' OR rank <= 200
+"""

@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from labmesh.llm import oracles
+from labmesh.llm.bytepairs import encode_byte_pairs, load_byte_pairs
 from labmesh.llm.common import table
+from labmesh.llm.divergence import source_divergence
 from labmesh.llm.fingerprints import edited_fingerprints
 from labmesh.llm.html_blocks import extract_text
 from labmesh.llm.licences import licence_scan
@@ -19,6 +21,7 @@ from labmesh.llm.quality import THRESHOLD, held_out, score_quality, train_qualit
 from labmesh.llm.urls import url_verdicts
 from labmesh.llm.vectors import near_vectors
 from labmesh.llm.warc import archive_folder, read_records, write_archives
+from labmesh.llm.whitening import whiten
 
 TOKENIZER = "/opt/tokenizers/piece_bpe_32k.model"
 
@@ -108,6 +111,37 @@ def op10_pieces(spark: SparkSession, folder: str, model: str = TOKENIZER) -> Dat
     )
 
 
+def op11_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    """Every embedding on the eight leading axes, scaled to unit variance.
+
+    `deviation` is NULL where 64 bits don't hold it; the operator has it to 38 digits.
+    """
+    whitened = whiten(table(spark, folder, "embeddings"), components=8)
+    return whitened.withColumn("deviation", F.expr("try_cast(deviation AS BIGINT)"))
+
+
+def op12_byte_bpe(spark: SparkSession, folder: str, ranks: str | None = None) -> DataFrame:
+    """Ids of every document and the bytes they decode to, digested."""
+    import public_tokenizers
+
+    vocabulary = load_byte_pairs(
+        ranks or public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    )
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    encoded = encode_byte_pairs(docs, vocabulary, decoded="decoded")
+    return encoded.select(
+        "doc_id",
+        F.size("token_ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("token_ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+def op13_divergence(spark: SparkSession, folder: str) -> DataFrame:
+    """Sources of each language compared by their words, and the words that set each apart."""
+    return source_divergence(table(spark, folder, "documents"))
+
+
 REGISTRY: dict[str, Query] = {
     "op1_quality": op1_quality,
     "op2_embedding_dedup": op2_embedding_dedup,
@@ -119,6 +153,9 @@ REGISTRY: dict[str, Query] = {
     "op8_main_text": op8_main_text,
     "op9_fingerprints": op9_fingerprints,
     "op10_pieces": op10_pieces,
+    "op11_whitening": op11_whitening,
+    "op12_byte_bpe": op12_byte_bpe,
+    "op13_divergence": op13_divergence,
 }
 
 ORACLES: dict[str, str] = {
@@ -126,4 +163,5 @@ ORACLES: dict[str, str] = {
     "op4_license_scan": oracles.license_scan(),
     "op5_warc": oracles.warc(),
     "op6_mixing": oracles.mixing(),
+    "op13_divergence": oracles.divergence(),
 }
