@@ -582,14 +582,46 @@ FROM events GROUP BY 1, 2, 3 HAVING count(*) > 2 AND WindowEnd <= {MARK}
 """
 
 ORACLES["stream_access_sessions"] = f"""
-WITH slot AS (
-  SELECT user_id, time_bucket(INTERVAL 1 MINUTE, ts) AS t, count(*) AS n, min(ts) AS a, max(ts) AS b
-  FROM events GROUP BY 1, 2 HAVING time_bucket(INTERVAL 1 MINUTE, ts) + INTERVAL 1 MINUTE <= {MARK}),
-s AS (SELECT *, CASE WHEN t - lag(t) OVER (PARTITION BY user_id ORDER BY t) <= INTERVAL 150 MINUTE THEN 0 ELSE 1 END AS fresh
-      FROM slot),
-g AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY t) AS sid FROM s)
-SELECT user_id AS UserID, min(a) AS FirstAccess, max(b) AS LastAccess, CAST(sum(n) AS BIGINT) AS Accesses
-FROM g GROUP BY user_id, sid HAVING max(t) + INTERVAL 151 MINUTE - INTERVAL 1 MICROSECOND <= {MARK}
+WITH s AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) <= INTERVAL 150 MINUTE
+                          THEN 0 ELSE 1 END AS fresh FROM events),
+g AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS sid FROM s)
+SELECT user_id AS UserID, min(ts) AS FirstAccess, max(ts) AS LastAccess, count(*) AS Accesses
+FROM g GROUP BY user_id, sid HAVING max(ts) + INTERVAL 150 MINUTE <= {MARK}
+"""
+
+ORACLES["stream_alarm_readings"] = ORACLES["alarm_runs"]
+
+ORACLES["stream_alarm_raised"] = """
+WITH m AS (SELECT user_id AS fid, ts, count(*) AS n, min(value) AS lo, max(value) AS hi FROM events GROUP BY 1, 2),
+r AS (SELECT *, sum(CASE WHEN lo < 100 THEN 1 ELSE 0 END) OVER (PARTITION BY fid ORDER BY ts) AS run FROM m),
+p AS (SELECT fid, ts, n, sum(n) OVER w AS so_far, min(ts) OVER w AS first, max(hi) OVER w AS peak
+      FROM r WHERE lo >= 100 WINDOW w AS (PARTITION BY fid, run ORDER BY ts))
+SELECT fid AS FreezerID, first AS RunStart, ts AS RaisedAt, peak AS PeakValue FROM p
+WHERE so_far >= 3 AND so_far - n < 3
+"""
+
+BATCH = "greatest(0, least(4, date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) // 6))"
+
+ORACLES["stream_late"] = f"""
+WITH once AS (SELECT event_id AS id, ts, {BATCH} AS b FROM events),
+sent AS (
+  SELECT id, ts, b + CASE WHEN id % 100 = 77 THEN 2 WHEN id % 10 = 7 THEN 1 ELSE 0 END AS b FROM once
+  UNION ALL
+  SELECT id, ts, b + CASE WHEN id % 10 = 3 THEN 1 ELSE 0 END FROM once WHERE id % 10 IN (3, 5)),
+latest AS (SELECT n, (SELECT max(ts) FROM sent WHERE b < n) - INTERVAL 10 MINUTE AS mark FROM range(7) t(n)),
+marked AS (SELECT id, coalesce(ts <= mark, false) AS late FROM sent JOIN latest ON b = n),
+per AS (SELECT id, count(*) AS d, count(*) FILTER (late) AS l FROM marked GROUP BY 1)
+SELECT id AS LogID, d AS Delivered, CASE WHEN d > l THEN 1 ELSE 0 END::BIGINT AS Kept,
+       greatest(d - l - 1, 0) AS Duplicates, l AS Late
+FROM per
+"""
+
+ORACLES["stream_enrich_changes"] = """
+WITH c AS (SELECT user_id, ts, event_id, CAST(json_extract_string(props, '$.k') AS INT) AS k FROM events WHERE event_type = 'signup')
+SELECT e.user_id AS FreezerID, e.ts AS ReadingTime, e.event_id AS LogID, e.value AS ReadingValue,
+       c.ts AS ValidFrom, c.event_id AS ChangeID, c.k AS Setting
+FROM events e ASOF LEFT JOIN c ON e.user_id = c.user_id AND e.ts >= c.ts
+WHERE e.event_type <> 'signup'
 """
 
 ORACLES["stream_audit_summary"] = f"""

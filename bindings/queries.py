@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bindings.roles import Roles
+from bindings.roles import BATCHES, LONG_AFTER, Roles
 from labmesh.functions import asof, keyed
 from labmesh.functions.text import valid_orcid
 from labmesh.operators import timelines
@@ -19,7 +19,10 @@ from labmesh.sources import tables
 from labmesh.sources.schemas import TABLES
 from labmesh.sources.scratch import discard, fresh_folder
 from labmesh.streaming import access, freezers
-from labmesh.streaming.run import run_available
+from labmesh.streaming.alarms import ENDED, RAISED, reading_alarms
+from labmesh.streaming.late import account, deliveries, on_time
+from labmesh.streaming.run import MERGED_EARLY, ROCKSDB, replay, run_available
+from labmesh.streaming.versions import with_version
 
 SALT = "test-salt"
 REPORT_DAY = "2001-08-01 12:00:00"
@@ -528,7 +531,7 @@ def stream_access_bursts(r: Roles) -> DataFrame:
 
 @query
 def stream_access_sessions(r: Roles) -> DataFrame:
-    return run_available(access.sessions(r.access_stream(), gap="150 minutes"), "sessions")
+    return run_available(access.sessions(r.access_stream(), gap="150 minutes"), "sessions", conf=MERGED_EARLY)
 
 
 @query
@@ -536,6 +539,74 @@ def stream_audit_summary(r: Roles) -> DataFrame:
     return run_available(access.audit_summary(r.access_stream()), "audit")
 
 
+def _reading_alarms(r: Roles) -> DataFrame:
+    """Alarms on all readings; a beat of freezer 0 long after them ends the open runs."""
+    at_end = r.closing(
+        r.readings(), FreezerID=F.lit(0), ReadingTime=F.lit(LONG_AFTER), Batch=F.lit(BATCHES)
+    )
+    stream = replay(at_end, "Batch", BATCHES + 1)
+    return run_available(
+        reading_alarms(stream, length=3, threshold=100, quiet="60 days"), "reading-alarms", conf=ROCKSDB
+    )
+
+
+@query
+def stream_alarm_readings(r: Roles) -> DataFrame:
+    """Runs of three and more violating readings, when they end."""
+    ended = _reading_alarms(r).where(F.col("State") == ENDED)
+    return ended.select("FreezerID", "Readings", "RunStart", "RunEnd", "PeakValue")
+
+
+@query
+def stream_alarm_raised(r: Roles) -> DataFrame:
+    """The third violating reading in a row, when it is there."""
+    raised = _reading_alarms(r).where(F.col("State") == RAISED)
+    return raised.select("FreezerID", "RunStart", F.col("RunEnd").alias("RaisedAt"), "PeakValue")
+
+
+@query
+def stream_late(r: Roles) -> DataFrame:
+    """Every reading once or twice, some a batch or two behind: kept, duplicates and late.
+
+    Readings whose id ends in 7 come one batch later, those that end in 77 two; those
+    that end in 5 come twice in a batch, those that end in 3 again in the next one.
+    """
+    once, log = r.readings(), F.col("LogID")
+    behind = F.when(log % 100 == 77, 2).when(log % 10 == 7, 1).otherwise(0)
+    again = once.where((log % 10).isin(3, 5)).withColumn("Batch", F.col("Batch") + F.when(log % 10 == 3, 1).otherwise(0))
+    sent = once.withColumn("Batch", F.col("Batch") + behind).unionByName(again)
+    path = fresh_folder(r.spark, "delivered")
+    delivered = deliveries(replay(sent, "Batch", BATCHES + 2), "ReadingTime", "delivered", out=path)
+    kept = run_available(freezers.distinct_readings(on_time(delivered, path)), "kept")
+    return account(delivered, kept, "LogID")
+
+
+@query
+def stream_enrich_changes(r: Roles) -> DataFrame:
+    """Each reading with the setting of its freezer at its time; sign-ups change settings."""
+    events = r.raw("events").withColumns({"At": F.col("ts").cast("timestamp"), "Batch": r.event_batch()})
+    readings = events.where(F.col("event_type") != "signup").select(
+        F.col("user_id").alias("FreezerID"),
+        F.col("At").alias("ReadingTime"),
+        F.col("event_id").alias("LogID"),
+        F.col("value").alias("ReadingValue"),
+        "Batch",
+    )
+    changes = events.where(F.col("event_type") == "signup").select(
+        F.col("user_id").alias("FreezerID"),
+        F.col("At").alias("ValidFrom"),
+        F.col("event_id").alias("ChangeID"),
+        F.get_json_object("props", "$.k").cast("int").alias("Setting"),
+        "Batch",
+    )
+    readings = r.closing(readings, FreezerID=F.lit(0), ReadingTime=F.lit(LONG_AFTER), Batch=F.lit(BATCHES))
+    changes = r.closing(changes, FreezerID=F.lit(0), ValidFrom=F.lit(LONG_AFTER), Batch=F.lit(BATCHES))
+    joined = with_version(
+        replay(readings, "Batch", BATCHES + 1, "readings"), replay(changes, "Batch", BATCHES + 1, "changes")
+    )
+    return run_available(joined, "versions", conf=ROCKSDB)
+
+
 @query
 def alarm_runs(r: Roles) -> DataFrame:
     return violation_runs(r.temperature_log(), length=3, threshold=100)

@@ -10,9 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from labmesh.operators.lookup import lookup_join
-from labmesh.streaming.run import read_folder
+from labmesh.streaming.run import replay
 
 MONEY = "decimal(15,2)"
+FIRST_DAY = "2024-01-01"
+BATCHES = 5
+LONG_AFTER = "2024-06-01 00:00:00"
 
 
 class Roles:
@@ -189,9 +192,31 @@ class Roles:
 
     # --- streams ---
 
+    def event_batch(self):
+        """Number of the batch that delivers an event: six days each, from FIRST_DAY."""
+        day = F.datediff("ts", F.lit(FIRST_DAY)) / 6
+        return F.greatest(F.lit(0), F.least(F.lit(BATCHES - 1), F.floor(day).cast("int")))
+
     def _event_stream(self) -> DataFrame:
-        # A stream takes a folder or a pattern; this pattern matches one name.
-        return read_folder(self.spark, f"{self.folder}/events.parque[t]", self.raw("events").schema)
+        """The events in BATCHES deliveries."""
+        return replay(self.raw("events").withColumn("__batch", self.event_batch()), "__batch", BATCHES)
+
+    def readings(self) -> DataFrame:
+        """Readings as a stream has them, with the number of their batch."""
+        return self.raw("events").select(
+            F.col("event_id").alias("LogID"),
+            F.col("user_id").alias("FreezerID"),
+            F.col("ts").cast("timestamp").alias("ReadingTime"),
+            F.col("value").alias("ReadingValue"),
+            self.event_batch().alias("Batch"),
+        )
+
+    def closing(self, table: DataFrame, **columns) -> DataFrame:
+        """The table and, in a batch of its own, a row long after all others, which lets what waits pass."""
+        row = self.spark.range(1).select(
+            *(columns.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in table.schema)
+        )
+        return table.unionByName(row)
 
     def reading_stream(self) -> DataFrame:
         return self._event_stream().select(

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from labmesh.sources.scratch import fresh_folder
@@ -16,24 +20,69 @@ def read_folder(spark: SparkSession, path: str, schema: T.StructType, files_per_
     return reader.parquet(path)
 
 
-def run_available(stream: DataFrame, label: str, out: str | None = None, state: str | None = None) -> DataFrame:
+# State in RocksDB, which processors with timers need.
+ROCKSDB = {
+    "spark.sql.streaming.stateStore.providerClass": (
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    )
+}
+# Sessions of a batch merge where it is read, so that a busy user shuffles few rows.
+MERGED_EARLY = {"spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true"}
+
+
+@contextmanager
+def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """Session settings for the time in which a stream is started."""
+    before = {name: spark.conf.get(name, None) for name in values}
+    try:
+        for name, value in values.items():
+            spark.conf.set(name, value)
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+
+
+def replay(table: DataFrame, batch: str, batches: int, label: str = "replay") -> DataFrame:
+    """A table as a stream that delivers the rows of each batch number together, in order.
+
+    Each number from 0 on is one file and one micro-batch; a number without rows is an
+    empty file. For backfills and for tests of what depends on arrival.
+    """
+    spark = table.sparkSession
+    path = fresh_folder(spark, label)
+    columns = [c for c in table.columns if c != batch]
+    for number in range(batches):
+        table.where(F.col(batch) == number).select(*columns).coalesce(1).write.mode("append").parquet(path)
+    return read_folder(spark, path, table.select(*columns).schema, files_per_batch=1)
+
+
+def run_available(
+    stream: DataFrame,
+    label: str,
+    out: str | None = None,
+    state: str | None = None,
+    conf: dict[str, str] | None = None,
+) -> DataFrame:
     """Process all available input in append mode and return the written table.
 
     Rows go to parquet in shared storage, and offsets and state to a checkpoint
-    beside it. Give both paths to go on where an earlier run stopped.
+    beside it. Give both paths to go on where an earlier run stopped. ``conf`` holds
+    settings for this stream, such as ROCKSDB.
     """
     spark = stream.sparkSession
     out = out or fresh_folder(spark, label)
     state = state or fresh_folder(spark, f"{label}-state")
     # A stream without any input writes nothing; the table exists all the same.
     spark.createDataFrame([], stream.schema).write.mode("append").parquet(out)
-    query = (
-        stream.writeStream.format("parquet")
-        .option("path", out)
-        .option("checkpointLocation", state)
-        .outputMode("append")
-        .trigger(availableNow=True)
-        .start()
-    )
-    query.awaitTermination()
+    with settings(spark, conf or {}):
+        query = (
+            stream.writeStream.format("parquet")
+            .option("path", out)
+            .option("checkpointLocation", state)
+            .outputMode("append")
+            .trigger(availableNow=True)
+            .start()
+        )
+        query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(out)
