@@ -678,7 +678,7 @@ FROM part JOIN c USING (p_name) WHERE p_size % 2 = 0
 ORACLES["trial_features"] = f"""
 WITH {REGULATORY}, {SEVERITY},
 f AS (SELECT id, count(*) AS Filings, max(phase) AS HighestPhase, count(export) AS RestrictedFilings,
-             max(approved) AS approved FROM reg GROUP BY 1),
+             max(approved) FILTER (approved <= DATE '2001-08-01') AS approved FROM reg GROUP BY 1),
 m AS (SELECT o_custkey AS id, count(*) AS Grants, sum(CAST(o_totalprice AS DECIMAL(15,2))) AS Funding FROM orders GROUP BY 1),
 w AS (SELECT o_custkey AS id, count(*) FILTER (l_returnflag = 'R') AS Withdrawals
       FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1)
@@ -691,3 +691,25 @@ SELECT o_orderkey AS ProtocolID, o_custkey AS InstitutionID, CAST(100 AS INT) AS
 FROM orders LEFT JOIN f ON f.id = o_custkey LEFT JOIN m ON m.id = o_custkey LEFT JOIN sev ON sev.id = o_custkey
 LEFT JOIN w ON w.id = o_custkey
 """
+
+ORACLES["trial_features_known"] = f"""
+WITH {REGULATORY},
+t AS (SELECT o_orderkey AS id, o_custkey AS site, CAST(o_orderdate AS DATE) - 100 AS d FROM orders),
+days AS (SELECT DISTINCT site, d FROM t),
+f AS (SELECT site, d, count(reg.id) AS n, max(phase) AS phase, count(export) AS export, max(approved) AS approved
+      FROM days LEFT JOIN reg ON reg.id = site AND approved <= d GROUP BY 1, 2),
+m AS (SELECT site, d, count(o_orderkey) AS n, coalesce(sum(CAST(o_totalprice AS DECIMAL(15,2))), 0) AS total
+      FROM days LEFT JOIN orders ON o_custkey = site AND CAST(o_orderdate AS DATE) <= d AND o_orderstatus <> 'P'
+      GROUP BY 1, 2),
+e AS (SELECT o_custkey AS site, CAST(l_shipdate AS DATE) AS d, CASE WHEN l_linenumber < 5 THEN l_linenumber END AS g,
+             l_returnflag = 'R' AS gone
+      FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+s AS (SELECT days.site, days.d, count(g) AS n, sum(g) AS total, count(*) FILTER (gone) AS gone
+      FROM days LEFT JOIN e ON e.site = days.site AND e.d <= days.d GROUP BY 1, 2),
+l AS (SELECT days.site, days.d, count(*) AS n FROM days JOIN t ON t.site = days.site AND t.d <= days.d GROUP BY 1, 2)
+SELECT t.id AS ProtocolID, t.site AS InstitutionID, t.d AS KnownAt, CAST(100 AS INT) AS PlannedDays,
+       CAST(date_diff('day', f.approved, t.d) AS INT) AS DaysSinceApproval, f.n AS Filings, f.phase AS HighestPhase,
+       f.export AS RestrictedFilings, m.n AS Grants, CAST(m.total AS DECIMAL(38,2)) AS Funding, s.n AS SeverityCount,
+       CASE WHEN s.n > 0 THEN s.total::DOUBLE / s.n::DOUBLE END AS MeanSeverity, s.gone AS Withdrawals, l.n AS LeadProjects
+FROM t JOIN f USING (site, d) JOIN m USING (site, d) JOIN s USING (site, d) JOIN l USING (site, d)
+"""

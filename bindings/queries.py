@@ -685,3 +685,24 @@ def trial_features(r: Roles) -> DataFrame:
     return analytics.trial_features(
         trials, r.regulatory(), r.funding(), r.participant(), r.adverse_event(), r.withdrawal(), REPORT_DAY
     )
+
+
+@query
+def trial_features_known(r: Roles) -> DataFrame:
+    """Features at the start of each trial; lines ship on the day of their event."""
+    trials = r.project().withColumn("StartDate", F.date_sub("EndDate", 100))
+    orders, lines = r.raw("orders"), r.raw("lineitem")
+    grants = orders.select(
+        F.col("o_custkey").alias("InstitutionID"),
+        F.col("o_totalprice").cast("decimal(15,2)").alias("Disbursements"),
+        F.when(F.col("o_orderstatus") != "P", F.col("o_orderdate")).alias("AwardDate"),
+    )
+    events = lines.select(
+        F.col("l_orderkey").alias("ParticipantID"),
+        F.when(F.col("l_linenumber") < 5, F.col("l_linenumber")).alias("SeverityGrade"),
+        F.col("l_shipdate").alias("ReportDate"),
+    )
+    left = lines.where(F.col("l_returnflag") == "R").select(
+        F.col("l_orderkey").alias("ParticipantID"), F.col("l_shipdate").alias("WithdrawalDate")
+    )
+    return analytics.trial_features_known(trials, r.regulatory(), grants, r.participant(), events, left)

@@ -9,6 +9,7 @@ from labmesh.functions import asof, text
 from labmesh.operators.aggregates import TOTAL, exact_mean, money_sum, severity_by_institution
 from labmesh.operators.lookup import lookup_join
 from labmesh.operators.ordering import rank_values
+from labmesh.operators.pointintime import daily, known_totals
 
 
 def publication_impact(publication: DataFrame) -> DataFrame:
@@ -119,12 +120,17 @@ def trial_features(
     withdrawal: DataFrame,
     as_of: asof.AsOf,
 ) -> DataFrame:
-    """One feature row per project for delay models, without missing numbers."""
+    """One feature row per project for delay models, as of one day for all.
+
+    Counts are 0 where there is nothing to count; days are NULL where a date is
+    missing. Filings approved after the day have no say in the days since approval.
+    `trial_features_known` states what was known at the date of each trial.
+    """
     filings = regulatory.groupBy("InstitutionID").agg(
         F.count("*").alias("Filings"),
         F.max("FDAPhase").alias("HighestPhase"),
         F.count(F.when(F.col("ExportRestriction").isNotNull(), 1)).alias("RestrictedFilings"),
-        F.max("IRBApprovalDate").alias("__approved"),
+        F.max(F.when(F.col("IRBApprovalDate") <= asof.day(as_of), F.col("IRBApprovalDate"))).alias("__approved"),
     )
     money = funding.groupBy("InstitutionID").agg(
         F.count("*").alias("Grants"), money_sum("Disbursements").alias("Funding")
@@ -158,9 +164,9 @@ def trial_features(
     return rows.select(
         "ProtocolID",
         "InstitutionID",
-        F.coalesce(F.datediff("EndDate", "StartDate"), F.lit(-1)).alias("PlannedDays"),
-        F.coalesce(F.datediff(asof.day(as_of), "StartDate"), F.lit(-1)).alias("ElapsedDays"),
-        F.coalesce(F.datediff(asof.day(as_of), "__approved"), F.lit(-1)).alias("DaysSinceApproval"),
+        F.datediff("EndDate", "StartDate").alias("PlannedDays"),
+        F.datediff(asof.day(as_of), "StartDate").alias("ElapsedDays"),
+        F.datediff(asof.day(as_of), "__approved").alias("DaysSinceApproval"),
         whole("Filings"),
         whole("HighestPhase"),
         whole("RestrictedFilings"),
@@ -172,3 +178,80 @@ def trial_features(
         whole("Withdrawals"),
         whole("LeadProjects"),
     )
+
+
+def trial_features_known(
+    project: DataFrame,
+    regulatory: DataFrame,
+    funding: DataFrame,
+    participant: DataFrame,
+    adverse_event: DataFrame,
+    withdrawal: DataFrame,
+    at: str = "StartDate",
+    awarded: str = "AwardDate",
+    reported: str = "ReportDate",
+    withdrawn: str = "WithdrawalDate",
+) -> DataFrame:
+    """One feature row per project with what was known at its own date, for training.
+
+    Filings count from their approval, grants, events and withdrawals from the day in
+    the named column, and an investigator's projects from their start. What bears no
+    date, or a later one, has no share in any feature. Counts are 0 and days, phase
+    and mean NULL where nothing was known; a project without a date has NULL
+    throughout. Rows of equal keys come back as often as they were given.
+    """
+    one, site = F.lit(1).cast("bigint"), "InstitutionID"
+    filings = daily(
+        regulatory,
+        site,
+        "IRBApprovalDate",
+        {"Filings": one, "RestrictedFilings": F.col("ExportRestriction").isNotNull().cast("bigint")},
+        {"HighestPhase": F.col("FDAPhase"), "__approved": F.col("IRBApprovalDate")},
+    )
+    grants = daily(funding, site, awarded, {"Grants": one, "Funding": F.col("Disbursements").cast(TOTAL)})
+
+    def of_people(facts: DataFrame, day: str, sums: dict) -> DataFrame:
+        """Facts of participants by the day, at the institutions of the participants."""
+        per_person = daily(facts, "ParticipantID", day, sums)
+        people = participant.select("ParticipantID", site)
+        placed = lookup_join(per_person, people, "ParticipantID", spread_by=["Day"])
+        return daily(placed, site, "Day", {name: F.col(name) for name in sums})
+
+    graded = F.col("SeverityGrade").isNotNull()
+    severity = of_people(
+        adverse_event,
+        reported,
+        {"SeveritySum": F.col("SeverityGrade").cast("bigint"), "SeverityCount": graded.cast("bigint")},
+    )
+    left = of_people(withdrawal, withdrawn, {"Withdrawals": one})
+    leads = daily(project, "PrincipalInvestigatorID", "StartDate", {"LeadProjects": one})
+
+    rows = project.withColumn("Day", F.to_date(at))
+    sums = ["Filings", "RestrictedFilings", "Grants", "Funding", "SeveritySum", "SeverityCount", "Withdrawals"]
+    known = known_totals(rows, [filings, grants, severity, left], site, sums, ["HighestPhase", "__approved"])
+    led = known_totals(rows, [leads], "PrincipalInvestigatorID", ["LeadProjects"])
+    rows = lookup_join(rows, known, [site, "Day"], spread_by=["ProtocolID"], how="left")
+    rows = lookup_join(
+        rows,
+        led,
+        ["PrincipalInvestigatorID", "Day"],
+        spread_by=["ProtocolID"],
+        how="left",
+        keys_from=project.withColumn("Day", F.to_date(at)),
+    )
+    return rows.select(
+        "ProtocolID",
+        site,
+        F.col("Day").alias("KnownAt"),
+        F.datediff("EndDate", "StartDate").alias("PlannedDays"),
+        F.datediff("Day", "__approved").alias("DaysSinceApproval"),
+        "Filings",
+        "HighestPhase",
+        "RestrictedFilings",
+        "Grants",
+        F.col("Funding").cast(TOTAL).alias("Funding"),
+        "SeverityCount",
+        F.when(F.col("SeverityCount") > 0, exact_mean(F.col("SeveritySum"), F.col("SeverityCount"))).alias("MeanSeverity"),
+        "Withdrawals",
+        "LeadProjects",
+    )

@@ -90,4 +90,51 @@ def test_trial_features(make):
     df = analytics.trial_features(project, regulatory, funding, people, events, left, AS_OF)
     first, second = rows_of(df)
     assert first == (1, 1, 183, 10, 4, 1, 3, 0, 1, Decimal("5.00"), 1, 4.0, 2, 1, 1)
-    assert second == (2, 2, -1, -1, -1, 0, 0, 0, 0, Decimal("0.00"), 0, 0.0, 0, 0, 0)
+    assert second == (2, 2, None, None, None, 0, 0, 0, 0, Decimal("0.00"), 0, 0.0, 0, 0, 0)
+
+
+def test_a_filing_after_the_day_is_no_approval_yet(make):
+    project = make("Project", {"ProtocolID": 1, "InstitutionID": 1})
+    regulatory = make("Regulatory", {"InstitutionID": 1, "IRBApprovalDate": "2025-07-06"})
+    rest = [make(n) for n in ("Funding", "Participant", "AdverseEventReport", "WithdrawalReason")]
+    rows = rows_of(analytics.trial_features(project, regulatory, *rest, AS_OF), "DaysSinceApproval", "Filings")
+    assert rows == [(None, 1)]
+
+
+def dated(spark, kind, *rows):
+    return spark.createDataFrame(list(rows), kind)
+
+
+def test_features_know_nothing_of_the_future(spark, make):
+    """Facts before, on and after the date of a trial, without a date, and of other sites."""
+    project = make(
+        "Project",
+        {"ProtocolID": 1, "InstitutionID": 1, "StartDate": "2025-03-01", "EndDate": "2025-03-31", "PrincipalInvestigatorID": 9},
+        {"ProtocolID": 2, "InstitutionID": 1, "StartDate": "2025-02-01", "PrincipalInvestigatorID": 9},
+        {"ProtocolID": 3, "InstitutionID": 1, "PrincipalInvestigatorID": 9},
+        {"ProtocolID": 4, "InstitutionID": 2, "StartDate": "2025-03-01"},
+        {"ProtocolID": 5, "StartDate": "2025-03-01"},
+    )
+    regulatory = make(
+        "Regulatory",
+        {"InstitutionID": 1, "FDAPhase": 2, "IRBApprovalDate": "2025-02-27", "ExportRestriction": "EAR"},
+        {"InstitutionID": 1, "FDAPhase": 4, "IRBApprovalDate": "2025-03-02"},
+        {"InstitutionID": 1, "FDAPhase": 3, "IRBApprovalDate": "2025-03-01"},
+    )
+    funding = dated(spark, "InstitutionID int, Disbursements decimal(15,2), AwardDate string",
+                    (1, Decimal(5), "2025-03-01"), (1, Decimal(7), "2025-03-02"), (1, Decimal(9), None))
+    people = make("Participant", {"ParticipantID": 1, "InstitutionID": 1}, {"ParticipantID": 2, "InstitutionID": 2})
+    events = dated(spark, "ParticipantID int, SeverityGrade int, ReportDate string",
+                   (1, 4, "2025-02-10"), (1, 1, "2025-02-11"), (1, 5, "2025-04-01"), (1, None, "2025-02-10"), (2, 5, "2025-03-02"))
+    left = dated(spark, "ParticipantID int, WithdrawalDate string", (1, "2025-02-15"), (1, "2025-03-15"))
+    rows = rows_of(
+        analytics.trial_features_known(project, regulatory, funding, people, events, left).drop("KnownAt", "PlannedDays")
+    )
+    nothing = (None,) * 10
+    assert rows == [
+        (1, 1, 0, 2, 3, 1, 1, Decimal("5.00"), 2, 2.5, 1, 2),
+        (2, 1, None, 0, None, 0, 0, Decimal("0.00"), 0, None, 0, 1),
+        (3, 1, *nothing),
+        (4, 2, None, 0, None, 0, 0, Decimal("0.00"), 0, None, 0, None),
+        (5, None, *nothing),
+    ]
