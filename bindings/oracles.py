@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from bindings.domain import registry_oracle
+
 ORACLES: dict[str, str] = {}
 
 # Views of the given tables in their domain roles, as common table expressions.
@@ -289,24 +291,31 @@ ORACLES["dq_not_null"] = f"WITH {RESEARCHER} " + _rows(
     ],
 ).format(source="people")
 
-ORACLES["dq_registry"] = """
-WITH loc AS (SELECT n_nationkey AS id, n_regionkey AS region FROM nation),
-inst AS (SELECT *, c_nationkey + 1 AS loc_id, DATE '2001-05-20' + c_nationkey AS founded FROM customer WHERE c_acctbal >= 0),
-fund AS (SELECT o_orderkey AS id, o_custkey AS inst_id, CAST(o_totalprice AS DECIMAL(15,2)) - 50000 AS amount FROM orders),
-found AS (
-  SELECT 'Location' AS t, 'Address_required' AS r, id AS k, 'NULL' AS d, 1 AS n FROM loc WHERE region = 1
-  UNION ALL SELECT 'Location', 'area_positive', id, 'SquareFeet > 0', 1 FROM loc WHERE region = 0
-  UNION ALL SELECT 'Location', 'bsl_range', id, 'BSLLabLevel BETWEEN 1 AND 4', 1 FROM loc WHERE region = 0
-  UNION ALL SELECT 'Institution', 'founded_in_past', c_custkey, 'DateFounded <= timestamp''2001-06-01 00:00:00''', 1
-    FROM inst WHERE founded > DATE '2001-06-01'
-  UNION ALL SELECT 'Institution', 'Type_listed', c_custkey, 'lower(rtrim(Type)) IN (''academic'', ''corporate'', ''government'')', 1
-    FROM inst WHERE c_mktsegment <> 'MACHINERY'
-  UNION ALL SELECT 'Institution', 'LocationID_parent', loc_id, 'no parent', count(*) FROM inst
-    WHERE loc_id NOT IN (SELECT id FROM loc) GROUP BY loc_id
-  UNION ALL SELECT 'Funding', 'disbursement_not_negative', id, 'Disbursements >= 0', 1 FROM fund WHERE amount < 0
-  UNION ALL SELECT 'Funding', 'InstitutionID_parent', inst_id, 'no parent', count(*) FROM fund
-    WHERE inst_id NOT IN (SELECT c_custkey FROM inst) GROUP BY inst_id)
-SELECT t AS table_name, r AS rule_id, CAST(k AS VARCHAR) AS row_key, d AS detail, CAST(n AS BIGINT) AS n_rows FROM found
+ORACLES["dq_registry"] = registry_oracle()
+
+ARRIVALS = """
+rows AS (
+  SELECT o_orderkey AS k, CAST(o_orderdate AS DATE) AS d, CAST(substr(o_orderpriority, 1, 1) AS INT) AS phase,
+         CASE WHEN o_orderstatus = 'P' THEN o_custkey * 3 ELSE o_custkey END AS inst
+  FROM orders),
+batch AS (SELECT * FROM rows WHERE d >= DATE '2000-06-01' OR phase = 2)"""
+
+ORACLES["dq_append"] = f"""
+WITH {ARRIVALS}
+SELECT 'Regulatory' AS table_name, 'primary_key' AS rule_id, CAST(k AS VARCHAR) AS row_key, 'known' AS detail,
+       count(*) AS n_rows
+FROM batch WHERE d < DATE '2000-06-01' GROUP BY k
+UNION ALL
+SELECT 'Regulatory', 'InstitutionID_parent', CAST(inst AS VARCHAR), 'no parent', count(*) FROM batch
+WHERE inst NOT IN (SELECT c_custkey FROM customer) GROUP BY inst
+"""
+
+ORACLES["load_quarantine"] = f"""
+WITH {ARRIVALS}, twice AS (SELECT * FROM batch UNION ALL SELECT * FROM batch WHERE phase = 1)
+SELECT CAST(k AS INT) AS RegulatorID, phase AS FDAPhase, CAST(inst AS INT) AS InstitutionID,
+       concat_ws(',', CASE WHEN inst NOT IN (SELECT c_custkey FROM customer) THEN 'InstitutionID_parent' END,
+                 CASE WHEN phase > 4 THEN 'phase_range' END, CASE WHEN phase = 1 THEN 'primary_key' END) AS Rules
+FROM twice
 """
 
 ORACLES["dq_text_length"] = _rows(

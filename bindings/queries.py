@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from bindings.domain import REGISTRY_DAY, domain_tables
 from bindings.roles import BATCHES, LONG_AFTER, Roles
 from labmesh.functions import asof, keyed
 from labmesh.functions.text import valid_orcid
@@ -16,6 +17,8 @@ from labmesh.operators.runs import violation_runs, window_alarms, window_states
 from labmesh.operators.violations import violation_rollup
 from labmesh.plans import analytics, compliance, custody, deident, institutions, quality, workload
 from labmesh.sources import tables
+from labmesh.sources.keyindex import KeyIndex
+from labmesh.sources.quarantine import load_batch
 from labmesh.sources.schemas import TABLES
 from labmesh.sources.scratch import discard, fresh_folder
 from labmesh.streaming import access, freezers
@@ -231,37 +234,55 @@ def dq_valid_rows(r: Roles) -> DataFrame:
     return quality.valid_rows(r.raw("lineitem").select(*LINE_KEY, "l_quantity", "l_discount"), rules)
 
 
-REGISTRY_DAY = "2001-06-01 00:00:00"
-
-
 @query
 def dq_registry(r: Roles) -> DataFrame:
-    """Every declared rule of three domain tables in one report."""
-    region = F.col("n_regionkey")
-    location = r.raw("nation").select(
-        F.col("n_nationkey").alias("LocationID"),
-        F.when(region != 1, F.col("n_name")).alias("Address"),
-        (region * 100).alias("SquareFeet"),
-        region.alias("BSLLabLevel"),
+    """Every declared rule of all domain tables in one report."""
+    return quality.check_all(domain_tables(r.spark, r.folder), REGISTRY_DAY)
+
+
+APPEND_DAY = "2000-06-01"
+
+
+def _arrivals(r: Roles) -> tuple[DataFrame, DataFrame]:
+    """Earlier orders as filings, and a batch: later ones, some earlier ones again, and lost institutions."""
+    rows = r.raw("orders").select(
+        F.col("o_orderkey").alias("RegulatorID"),
+        F.col("o_orderdate").cast("date").alias("IRBApprovalDate"),
+        F.substring("o_orderpriority", 1, 1).cast("int").alias("FDAPhase"),
+        F.when(F.col("o_orderstatus") == "P", F.col("o_custkey") * 3).otherwise(F.col("o_custkey")).alias("InstitutionID"),
     )
-    solvent = r.raw("customer").where(F.col("c_acctbal") >= 0)
-    institution = solvent.select(
-        F.col("c_custkey").alias("InstitutionID"),
-        F.col("c_name").alias("LegalName"),
-        F.date_add(F.lit("2001-05-20").cast("date"), F.col("c_nationkey")).alias("DateFounded"),
-        F.when(F.col("c_mktsegment") == "BUILDING", "government").otherwise("Nonprofit").alias("TaxStatus"),
-        (F.col("c_nationkey") + 1).alias("LocationID"),
-        F.when(F.col("c_mktsegment") == "MACHINERY", "ACADEMIC ").otherwise(F.col("c_mktsegment")).alias("Type"),
+    earlier = rows.where(F.col("IRBApprovalDate") < APPEND_DAY)
+    again = earlier.where(F.col("FDAPhase") == 2)
+    return earlier, rows.where(F.col("IRBApprovalDate") >= APPEND_DAY).unionByName(again)
+
+
+@query
+def dq_append(r: Roles) -> DataFrame:
+    """Keys of a batch that an earlier load has, and institutions that none has, by stored indexes."""
+    earlier, batch = _arrivals(r)
+    own = KeyIndex.create(earlier, "RegulatorID", fresh_folder(r.spark, "filings-index"), keys_per_bucket=5000)
+    parents = KeyIndex.create(
+        r.raw("customer").select(F.col("c_custkey").alias("InstitutionID")),
+        "InstitutionID",
+        fresh_folder(r.spark, "institutions-index"),
+        keys_per_bucket=5000,
     )
-    funding = r.raw("orders").select(
-        F.col("o_orderkey").alias("FundingID"),
-        F.col("o_orderpriority").alias("GrantNumbers"),
-        (F.col("o_totalprice").cast("decimal(15,2)") - 50000).alias("Disbursements"),
-        F.col("o_custkey").alias("InstitutionID"),
+    return quality.check_append(batch, TABLES["Regulatory"], own, {"InstitutionID": parents})
+
+
+@query
+def load_quarantine(r: Roles) -> DataFrame:
+    """Filings of a batch in good rows and bad ones, with the rules that these break."""
+    _, batch = _arrivals(r)
+    parents = {"InstitutionID": r.raw("customer").select("c_custkey")}
+    path = fresh_folder(r.spark, "filings")
+    batch = batch.unionByName(batch.where(F.col("FDAPhase") == 1))
+    typed = tables.conform(batch, TABLES["Regulatory"])
+    good, bad = load_batch(typed, TABLES["Regulatory"], path, REGISTRY_DAY, parents)
+    columns = ["RegulatorID", "FDAPhase", "InstitutionID"]
+    return good.select(*columns, F.lit("").alias("Rules")).unionByName(
+        bad.select(*columns, F.array_join("BrokenRules", ",").alias("Rules"))
     )
-    raw = {"Location": location, "Institution": institution, "Funding": funding}
-    bound = {name: tables.conform(df, TABLES[name]) for name, df in raw.items()}
-    return quality.check_all(bound, REGISTRY_DAY)
 
 
 def _subtypes(r: Roles) -> dict[str, DataFrame]:

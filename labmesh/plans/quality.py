@@ -7,12 +7,13 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from labmesh.functions import asof, text
 from labmesh.operators.lookup import lookup_join
+from labmesh.sources.keyindex import KeyIndex
 from labmesh.sources.schemas import TABLES, Table
 
 
@@ -120,34 +121,108 @@ def cascade(tables: dict[str, DataFrame], parent: str, deleted: DataFrame) -> di
     return out
 
 
+def row_tests(table: Table, as_of: asof.AsOf) -> dict[str, tuple[Column, Column]]:
+    """Per rule that a row alone can break: whether it does, and the detail to report."""
+    required = [f.name for f in table.columns if not f.nullable]
+    limits = {f.name: f.metadata["limit"] for f in table.columns if "limit" in f.metadata}
+    return _null_tests(required) | _length_tests(limits) | _check_tests(table.rules(), as_of)
+
+
 def check_table(df: DataFrame, table: Table, as_of: asof.AsOf) -> list[DataFrame]:
     """All checks of one table that need no other table.
 
     Every row rule is tested in the same pass.
     """
-    key = [table.key]
-    required = [f.name for f in table.columns if not f.nullable]
-    limits = {f.name: f.metadata["limit"] for f in table.columns if "limit" in f.metadata}
-    tests = _null_tests(required) | _length_tests(limits) | _check_tests(table.rules(), as_of)
+    key, tests = [table.key], row_tests(table, as_of)
     out = [duplicate_keys(df, table.name, key, "primary_key"), _explode_rules(df, table.name, key, tests)]
     # A unique constraint on the primary key repeats the first check.
     out += [duplicate_keys(df, table.name, list(u), "unique_" + "_".join(u)) for u in table.unique if list(u) != key]
     return out
 
 
+def _entries(df: DataFrame, table: Table, as_of: asof.AsOf, given: set[str]) -> DataFrame:
+    """What one scan of a table has to say: rules that rows break, keys, and referenced values.
+
+    Equal entries count together before anything is shuffled.
+    """
+    tests = row_tests(table, as_of)
+    texts = {f.name for f in table.columns if isinstance(f.dataType, T.StringType)}
+
+    def entry(kind: str, rule: str, target: str, value: Column, detail: Column) -> Column:
+        return F.struct(
+            F.lit(kind).alias("kind"),
+            F.lit(rule).alias("rule_id"),
+            F.lit(target).alias("target"),
+            value.alias("row_key"),
+            detail.cast("string").alias("detail"),
+        )
+
+    def key(columns: tuple[str, ...]) -> Column:
+        cells = [text.folded(F.col(c)) if c in texts else F.col(c) for c in columns]
+        return F.concat_ws("|", *[F.coalesce(c.cast("string"), F.lit("NULL")) for c in cells])
+
+    own = key((table.key,))
+    found = [F.when(test, entry(ROW, rule, table.name, own, detail)) for rule, (test, detail) in tests.items()]
+    found.append(entry(KEY, "primary_key", table.name, own, F.lit("duplicate")))
+    # A unique constraint on the primary key repeats that check.
+    for columns in table.unique:
+        if columns != (table.key,):
+            found.append(entry(KEY, "unique_" + "_".join(columns), table.name, key(columns), F.lit("duplicate")))
+    for column, parent in table.references.items():
+        if parent in given:
+            value = F.col(column).cast("string")
+            found.append(F.when(value.isNotNull(), entry(REFERENCE, f"{column}_parent", parent, value, F.lit("no parent"))))
+    rows = df.select(F.explode(F.filter(F.array(*found), lambda e: e.isNotNull())).alias("e")).select("e.*")
+    counted = rows.groupBy("kind", "rule_id", "target", "row_key", "detail").agg(F.count("*").alias("n_rows"))
+    return counted.withColumn("table_name", F.lit(table.name))
+
+
+def check_append(
+    batch: DataFrame, table: Table, earlier: KeyIndex, parents: dict[str, KeyIndex]
+) -> DataFrame:
+    """Keys and references that a batch would break if it were appended.
+
+    Keys must be new to the table and single in the batch, references must have a
+    parent, which may come in the same batch if the table refers to itself. Neither the
+    table nor its parents are read, only their indexes, and of these the filters and
+    the buckets that may hold a key of the batch.
+    """
+    counted = batch.where(F.col(table.key).isNotNull()).groupBy(table.key).agg(F.count("*").alias("n"))
+    twice = counted.where(F.col("n") > 1)
+    out = [_report(twice, table.name, F.lit("primary_key"), [table.key], F.lit("duplicate"), F.col("n"))]
+    held = counted.join(earlier.held(batch, table.key), table.key, "left_semi")
+    out.append(_report(held, table.name, F.lit("primary_key"), [table.key], F.lit("known"), F.col("n")))
+    for column, index in parents.items():
+        named = batch.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("n"))
+        lost = named.join(index.held(batch, column), column, "left_anti")
+        if table.references.get(column) == table.name:
+            lost = lost.join(batch.select(F.col(table.key).alias(column)), column, "left_anti")
+        out.append(_report(lost, table.name, F.lit(f"{column}_parent"), [column], F.lit("no parent"), F.col("n")))
+    return reduce(DataFrame.unionByName, out)
+
+
+ROW, KEY, REFERENCE = "row", "key", "reference"
+
+
 def check_all(tables: dict[str, DataFrame], as_of: asof.AsOf) -> DataFrame:
-    """Violations of every rule of the given tables.
+    """Violations of every rule of the given tables, from one scan of each.
 
-    References to a table that is not given are not checked.
+    A line states how many rows of one key break a rule, hold a key that must be
+    unique, or name a parent that is not there. Referenced values meet the keys of
+    their parents by (table, value), where a value has at most one line per referring
+    column. References to a table that is not given are not checked.
     """
-    out = []
-    for name, df in tables.items():
-        table = TABLES[name]
-        out += check_table(df, table, as_of)
-        for column, parent in table.references.items():
-            if parent in tables:
-                out.append(orphans(df, name, column, tables[parent], TABLES[parent].key))
-    return reduce(DataFrame.unionAll, out)
+    parts = [_entries(df, TABLES[name], as_of, set(tables)) for name, df in tables.items()]
+    entries = reduce(DataFrame.unionByName, parts)
+    is_key = (F.col("kind") == KEY) & (F.col("rule_id") == "primary_key")
+    together = Window.partitionBy("target", "row_key")
+    there = F.max(is_key.cast("int")).over(together)
+    broken = (
+        (F.col("kind") == ROW)
+        | ((F.col("kind") == KEY) & (F.col("n_rows") > 1))
+        | ((F.col("kind") == REFERENCE) & (F.col("there") == 0))
+    )
+    return entries.withColumn("there", there).where(broken).select("table_name", "rule_id", "row_key", "detail", "n_rows")
 
 
 def require_none(violations: DataFrame) -> None:
