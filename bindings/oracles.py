@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from bindings.domain import registry_oracle
+from bindings.roles import DIGITS, GROUPS
+from labmesh.functions.keyed import numeric_factors, readable_factors
 
 ORACLES: dict[str, str] = {}
 
@@ -451,17 +453,20 @@ def _mix(prefix: str, a: int, b: int, purpose: str) -> str:
 
 
 def _mapping(source: str) -> str:
-    """CTEs ending in ``mapping`` for the ids that ``source`` selects."""
+    """CTEs ending in ``mapping`` for the ids that ``source`` selects, at the stated widths."""
+    width = 2 + 3 * GROUPS
+    forms = 10**width
+    image = f"(p8.l * {readable_factors(GROUPS)[1]} + p8.r)"
+    digits = f"lpad(CAST({image} % {forms} AS VARCHAR), {width}, '0')"
+    parts = [f"substr({digits}, 1, 2)", *(f"substr({digits}, {3 + 3 * g}, 3)" for g in range(GROUPS))]
     return f"""
-ids AS ({source}), {_mix("p", 6760, 10000, "pseudonym")}, {_mix("n", 900, 1000, "random")},
+ids AS ({source}), {_mix("p", *readable_factors(GROUPS), "pseudonym")}, {_mix("n", *numeric_factors(DIGITS), "random")},
 mapping AS (
   SELECT p8.id AS original_id,
-         'P-' || chr(CAST(65 + (p8.l * 10000 + p8.r) // 2600000 AS INT))
-         || chr(CAST(65 + ((p8.l * 10000 + p8.r) // 100000) % 26 AS INT)) || '-'
-         || substr(lpad(CAST((p8.l * 10000 + p8.r) % 100000 AS VARCHAR), 5, '0'), 1, 2) || '-'
-         || substr(lpad(CAST((p8.l * 10000 + p8.r) % 100000 AS VARCHAR), 5, '0'), 3, 3) AS pseudonym,
+         'P-' || chr(CAST(65 + {image} // {26 * forms} AS INT)) || chr(CAST(65 + ({image} // {forms}) % 26 AS INT)) || '-'
+         || {" || '-' || ".join(parts)} AS pseudonym,
          sha256('test-salt' || p8.id) AS hashed_id,
-         100000 + n8.l * 1000 + n8.r AS random_id
+         {10 ** (DIGITS - 1)} + n8.l * {numeric_factors(DIGITS)[1]} + n8.r AS random_id
   FROM p8 JOIN n8 ON p8.id = n8.id)"""
 
 
@@ -722,3 +727,144 @@ SELECT t.id AS ProtocolID, t.site AS InstitutionID, t.d AS KnownAt, CAST(100 AS
        CASE WHEN s.n > 0 THEN s.total::DOUBLE / s.n::DOUBLE END AS MeanSeverity, s.gone AS Withdrawals, l.n AS LeadProjects
 FROM t JOIN f USING (site, d) JOIN m USING (site, d) JOIN s USING (site, d) JOIN l USING (site, d)
 """
+
+# --- positions and sources -------------------------------------------------------
+
+
+def _positions(report: str, order: str) -> str:
+    """A report with the place of its rows in an order; `order` may use the report's columns."""
+    return f"SELECT *, row_number() OVER (ORDER BY {order}) AS Position FROM ({report})"
+
+
+ORACLES["q1_positions"] = f"""
+WITH numbered AS ({_positions(
+    ORACLES["q1_institution_report"].replace("SELECT LegalName, total", "SELECT id, LegalName, total"),
+    "TotalFundingReceived DESC, id",
+)})
+SELECT * EXCLUDE (id) FROM numbered
+"""
+ORACLES["q2_positions"] = _positions(
+    ORACLES["q2_workload"], "ActiveProjectCount DESC, TotalFTE DESC, ResearcherID"
+)
+ORACLES["q3_positions"] = _positions(
+    ORACLES["q3_irb_compliance"],
+    """CASE RenewalStatus WHEN 'PAST DUE' THEN 0 WHEN 'DUE WITHIN 30 DAYS' THEN 1 ELSE 2 END,
+    IRBRenewalDate NULLS FIRST, ProtocolID""",
+)
+
+ORACLES["q2_distinct_employers"] = f"""
+WITH {POSTS}
+SELECT person AS ResearcherID, count(DISTINCT inst) AS Institutions, count(DISTINCT dept) AS Departments, count(*) AS Posts
+FROM posts WHERE e IS NULL GROUP BY 1
+"""
+
+ORACLES["q4_chain_of_custody_by_location"] = f"""
+WITH {ROLLUP}, {RESEARCHER},
+unit AS (
+  SELECT s_suppkey AS FreezerID, s_name AS FreezerName, n_name AS Location, {ROLL_COLUMNS}
+  FROM supplier LEFT JOIN roll ON s_suppkey = fid JOIN nation ON s_nationkey = n_nationkey
+  WHERE s_nationkey IN (SELECT s_nationkey FROM supplier JOIN roll ON s_suppkey = fid))
+SELECT FreezerID, FreezerName, Location, {ROLL_COLUMNS}, l_orderkey AS ProtocolID, l_linenumber, l_partkey,
+       CAST(l_quantity AS INT) AS AliquotCounts, l_partkey AS InstitutionID,
+       'Trial ' || o_orderkey AS ProjectTitle, o_custkey AS PrincipalInvestigatorID,
+       full_name AS PrincipalInvestigator, email AS PI_Contact
+FROM lineitem JOIN unit ON l_suppkey = FreezerID
+LEFT JOIN orders ON l_orderkey = o_orderkey LEFT JOIN people ON o_custkey = id
+"""
+
+ORACLES["numbered_rows"] = """
+SELECT l_returnflag, l_shipdate, l_orderkey, l_linenumber, l_partkey, l_suppkey,
+       row_number() OVER (ORDER BY l_returnflag DESC, l_shipdate, l_orderkey, l_linenumber, l_partkey, l_suppkey) AS row_id
+FROM lineitem
+"""
+ORACLES["literal_load"] = """
+SELECT CAST(LocationID AS INT) AS LocationID, Address, CAST(BSLLabLevel AS INT) AS BSLLabLevel, r_name
+FROM (VALUES (1, 'Lab A', 1), (2, 'Lab B', 2), (3, 'Lab C', 3), (4, 'Lab D', 4), (5, 'Lab E', 2))
+     AS v(LocationID, Address, BSLLabLevel)
+JOIN region ON r_regionkey + 1 = LocationID
+"""
+ORACLES["required_tables"] = """
+SELECT 'customer' AS table_name, count(*) AS n_rows FROM customer UNION ALL SELECT 'nation', count(*) FROM nation
+UNION ALL SELECT 'participant', NULL UNION ALL SELECT 'trial', NULL
+"""
+ORACLES["empty_guard"] = "SELECT n_nationkey, n_name FROM nation"
+ORACLES["catalog_load"] = """
+SELECT CAST(event_id AS INT) AS LogID, CAST(user_id AS INT) AS FreezerID, CAST(event_id % 90 AS DECIMAL(5,2)) AS ReadingValue,
+       TIMESTAMP '2024-01-31 00:00:00' AS ReadingTime, event_type AS SensorID, false AS IsManualEntry
+FROM events
+"""
+
+# --- privacy ---------------------------------------------------------------------
+
+
+def _long(text: str) -> str:
+    """The number below 2**60 that a keyed hash of ``text`` draws."""
+    return f"CAST('0x' || substr(sha256('test-salt' || {text}), 1, 15) AS BIGINT)"
+
+
+def _geometric(side: str, scale: str, text: str) -> str:
+    draw = _long(f"'{side}' || {text}")
+    return f"CAST(floor(-ln(({draw}::DOUBLE + 0.5::DOUBLE) / 1152921504606846976::DOUBLE) * {scale}::DOUBLE) AS BIGINT)"
+
+
+def _discrete(label: str, scale: str) -> str:
+    text = f"'{label}' || 'orders' || '|' || o_orderpriority || '|' || yr"
+    return f"{_geometric('first', scale, text)} - {_geometric('second', scale, text)}"
+
+
+# Two epsilon, three groups and two rows: counts have scale 6, sums 600,000; the
+# threshold is 2 + 6 ln(1 / (2 * 1e-6 / 3)), rounded up.
+ORACLES["dp_release"] = f"""
+WITH o AS (SELECT *, CAST(year(o_orderdate) AS VARCHAR) AS yr FROM orders),
+h AS (SELECT *, {_long("'row' || '|' || o_custkey || '|' || o_orderpriority || '|' || yr || '|' || o_orderkey")} AS hr,
+             {_long("'group' || '|' || o_custkey || '|' || o_orderpriority || '|' || yr")} AS hg FROM o),
+n AS (SELECT *, row_number() OVER (PARTITION BY o_custkey, o_orderpriority, yr ORDER BY hr, o_orderkey) AS a,
+             dense_rank() OVER (PARTITION BY o_custkey ORDER BY hg, o_orderpriority, yr) AS b FROM h),
+g AS (SELECT o_orderpriority, yr, count(*) AS n,
+             CAST(sum(least(greatest(CAST(trunc(o_totalprice) AS BIGINT), 0), 100000)) AS BIGINT) AS s
+      FROM n WHERE a <= 2 AND b <= 3 GROUP BY 1, 2),
+noisy AS (SELECT o_orderpriority, CAST(yr AS INT) AS year, n + {_discrete("count", "6.0")} AS NoisyCount,
+                 s + {_discrete("sum", "600000.0")} AS NoisySum FROM g)
+SELECT * FROM noisy WHERE NoisyCount >= 88
+"""
+
+
+def _generalised(levels: int, k: int) -> str:
+    """Parts of customers, cut level by level; columns take turns."""
+    dims = ["nation", "balance", "segment"]
+    out = [
+        """p0 AS (
+  SELECT c_custkey, c_nationkey, CAST(floor(c_acctbal) AS INT) AS b, c_mktsegment, CAST(c_nationkey AS BIGINT) AS nation,
+         CAST(floor(c_acctbal) AS BIGINT) AS balance, dense_rank() OVER (ORDER BY c_mktsegment) AS segment,
+         1::HUGEINT AS part FROM customer)"""
+    ]
+    for level in range(levels):
+        order = [dims[(level + i) % 3] for i in range(3)]
+        tall = " UNION ALL ".join(f"SELECT part, {i} AS r, {d} AS code FROM p{level}" for i, d in enumerate(order))
+        pick = " ".join(f"WHEN r = {i} THEN {d}" for i, d in enumerate(order))
+        out.append(f"""s{level} AS (
+  SELECT part, r, min(code) AS low, max(code) - min(code) + 1 AS width, count(*) AS total FROM ({tall})
+  GROUP BY 1, 2 HAVING max(code) > min(code) AND count(*) >= {2 * k}),
+h{level} AS (
+  SELECT part, r, low, width, total, ((code - low) * 256) // width AS bin, count(*) AS n
+  FROM ({tall}) JOIN s{level} USING (part, r) GROUP BY ALL),
+e{level} AS (SELECT *, sum(n) OVER (PARTITION BY part, r ORDER BY bin) AS below FROM h{level}),
+c{level} AS (
+  SELECT part, r, low, width, bin AS edge FROM e{level} WHERE below >= {k} AND total - below >= {k}
+  QUALIFY row_number() OVER (PARTITION BY part ORDER BY r, 2 * below > total, abs(2 * below - total), bin) = 1),
+p{level + 1} AS (
+  SELECT p{level}.* EXCLUDE (part),
+         CASE WHEN r IS NULL THEN part
+              ELSE part * 2 + CASE WHEN ((CASE {pick} END - low) * 256) // width > edge THEN 1 ELSE 0 END END AS part
+  FROM p{level} LEFT JOIN c{level} USING (part))""")
+    span = "CASE WHEN min({0}) = max({0}) THEN CAST(min({0}) AS VARCHAR) ELSE min({0}) || '..' || max({0}) END AS {1}"
+    return f"""
+WITH {", ".join(out)},
+g AS (SELECT part, count(*) AS GroupSize, {span.format("c_nationkey", "c_nationkey")},
+             {span.format("b", "balance")}, {span.format("c_mktsegment", "c_mktsegment")}
+      FROM p{levels} GROUP BY part)
+SELECT c_custkey, g.c_nationkey, g.balance, g.c_mktsegment, GroupSize FROM p{levels} JOIN g USING (part)
+"""
+
+
+ORACLES["k_anonymity_generalised"] = _generalised(14, 10)

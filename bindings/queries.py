@@ -8,14 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bindings.domain import REGISTRY_DAY, domain_tables
-from bindings.roles import BATCHES, LONG_AFTER, Roles
+from bindings.roles import BATCHES, DIGITS, GROUPS, LONG_AFTER, Roles
 from labmesh.functions import asof, keyed
 from labmesh.functions.text import valid_orcid
 from labmesh.operators import timelines
-from labmesh.operators.ordering import assign_keys
+from labmesh.operators.ordering import assign_keys, number_rows
 from labmesh.operators.runs import violation_runs, window_alarms, window_states
 from labmesh.operators.violations import violation_rollup
-from labmesh.plans import analytics, compliance, custody, deident, institutions, quality, workload
+from labmesh.plans import analytics, compliance, custody, deident, institutions, privacy, quality, workload
 from labmesh.sources import tables
 from labmesh.sources.keyindex import KeyIndex
 from labmesh.sources.quarantine import load_batch
@@ -62,6 +62,22 @@ def q1_institution_report(r: Roles) -> DataFrame:
     )
 
 
+@query
+def q1_positions(r: Roles) -> DataFrame:
+    """The report with the place of each institution in its order."""
+    return institutions.institution_report(
+        r.institution(),
+        r.location(),
+        r.funding(),
+        r.regulatory(),
+        r.participant(),
+        r.adverse_event(),
+        REPORT_DAY,
+        position="Position",
+        **SITE,
+    )
+
+
 @query
 def q1_as_written(r: Roles) -> DataFrame:
     return institutions.institution_report_as_written(
@@ -90,6 +106,26 @@ def q2_workload(r: Roles) -> DataFrame:
     )
 
 
+@query
+def q2_positions(r: Roles) -> DataFrame:
+    """The report with the place of each researcher in its order."""
+    return workload.workload_report(
+        r.researcher(),
+        r.employment(),
+        r.project(),
+        r.degree(),
+        r.employer(),
+        WORKLOAD_DAY,
+        degree_markers=DEGREES,
+        position="Position",
+    )
+
+
+@query
+def q2_distinct_employers(r: Roles) -> DataFrame:
+    return workload.distinct_employers(r.employment())
+
+
 @query
 def q2_as_written(r: Roles) -> DataFrame:
     return workload.workload_report_as_written(
@@ -128,6 +164,14 @@ def q3_irb_compliance(r: Roles) -> DataFrame:
     return compliance.renewal_report(r.project(), r.researcher(), r.home_institution(), RENEWAL_DAY)
 
 
+@query
+def q3_positions(r: Roles) -> DataFrame:
+    """The report with the place of each trial in its order: by urgency, date and key."""
+    return compliance.renewal_report(
+        r.project(), r.researcher(), r.home_institution(), RENEWAL_DAY, position="Position"
+    )
+
+
 @query
 def q3_as_written(r: Roles) -> DataFrame:
     return compliance.renewal_report(
@@ -164,6 +208,14 @@ def q4_chain_of_custody(r: Roles) -> DataFrame:
     return custody.custody_report(_affected(r), r.specimen(), r.project(), r.researcher(), SPECIMEN_KEY)
 
 
+@query
+def q4_chain_of_custody_by_location(r: Roles) -> DataFrame:
+    """Specimens of all freezers at locations with a violation, traced to trial and lead."""
+    return custody.custody_report(
+        _affected(r, scope="location"), r.specimen(), r.project(), r.researcher(), SPECIMEN_KEY
+    )
+
+
 @query
 def q4_location_scope(r: Roles) -> DataFrame:
     return _affected(r, scope="location")
@@ -360,6 +412,60 @@ def surrogate_keys(r: Roles) -> DataFrame:
     return assign_keys(orders, "o_orderkey", "row_id")
 
 
+@query
+def numbered_rows(r: Roles) -> DataFrame:
+    """Lines numbered by a text, a date and their key; a third of them have one flag."""
+    lines = r.raw("lineitem").select("l_returnflag", "l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    order = [F.desc("l_returnflag"), "l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+    return number_rows(lines, order, "row_id")
+
+
+@query
+def literal_load(r: Roles) -> DataFrame:
+    """Hand-written rows with generated keys, beside the region that each stands for."""
+    levels = [("Lab A", 1), ("Lab B", 2), ("Lab C", 3), ("Lab D", 4), ("Lab E", 2)]
+    written = tables.literal_rows(r.spark, "Location", ["Address", "BSLLabLevel"], levels)
+    regions = r.raw("region").select((F.col("r_regionkey") + 1).alias("LocationID"), "r_name")
+    return written.join(regions, "LocationID").select("LocationID", "Address", "BSLLabLevel", "r_name")
+
+
+@query
+def required_tables(r: Roles) -> DataFrame:
+    """Which required tables are not there, and how many rows the others have."""
+    names = ["customer", "nation", "participant", "trial"]
+    missing = tables.missing_tables(r.spark, names, root=r.folder)
+    gone = {row["table_name"] for row in missing.collect()}
+    counts = [r.raw(n).agg(F.count("*").alias("n_rows")).select(F.lit(n).alias("table_name"), "n_rows") for n in names if n not in gone]
+    out = missing.withColumn("n_rows", F.lit(None).cast("bigint"))
+    for count in counts:
+        out = out.unionByName(count)
+    return out
+
+
+@query
+def empty_guard(r: Roles) -> DataFrame:
+    """A result without rows is an empty table of the stated columns; another passes."""
+    nation = r.raw("nation").select("n_nationkey", "n_name")
+    nobody = nation.where(F.col("n_nationkey") < 0).withColumn("extra", F.lit(1))
+    return tables.or_empty(nobody, nation.schema).unionByName(tables.or_empty(nation, nation.schema))
+
+
+@query
+def catalog_load(r: Roles) -> DataFrame:
+    """A table of the catalog in its declared schema; absent columns take their defaults."""
+    r.raw("events").select(
+        F.col("event_id").alias("LogID"),
+        F.col("user_id").alias("FreezerID"),
+        (F.col("event_id") % 90).alias("ReadingValue"),
+        F.col("event_type").alias("SensorID"),
+    ).createOrReplaceTempView("TemperatureLog")
+    try:
+        loaded = tables.load(r.spark, "TemperatureLog", as_of=READING_DAY)
+        return loaded.select("LogID", "FreezerID", "ReadingValue", "ReadingTime", "SensorID", "IsManualEntry")
+    finally:
+        r.spark.catalog.dropTempView("TemperatureLog")
+
+
 @query
 def append_with_keys(r: Roles) -> DataFrame:
     existing = r.raw("customer").select(F.col("c_custkey").alias("row_id"))
@@ -414,6 +520,9 @@ def orcid_check(r: Roles) -> DataFrame:
 # --- de-identification ---------------------------------------------------------
 
 
+WIDE = {"iterations": None, "groups": GROUPS, "digits": DIGITS}
+
+
 def _ids(r: Roles) -> DataFrame:
     return r.raw("customer").select(F.col("c_custkey").alias("ParticipantID"))
 
@@ -445,12 +554,12 @@ def anon_pbkdf2_short(r: Roles) -> DataFrame:
 
 @query
 def anon_pseudonym(r: Roles) -> DataFrame:
-    return deident.add_pseudonym(_ids(r), "ParticipantID", SALT)
+    return deident.add_pseudonym(_ids(r), "ParticipantID", SALT, GROUPS)
 
 
 @query
 def anon_random_id(r: Roles) -> DataFrame:
-    return deident.add_random_id(_ids(r), "ParticipantID", SALT)
+    return deident.add_random_id(_ids(r), "ParticipantID", SALT, DIGITS)
 
 
 @query
@@ -462,7 +571,7 @@ def anon_jitter(r: Roles) -> DataFrame:
 
 @query
 def anon_publish(r: Roles) -> DataFrame:
-    mapping = deident.generate_mapping(_ids(r), SALT, iterations=None)
+    mapping = deident.generate_mapping(_ids(r), SALT, **WIDE)
     return deident.anonymize_participants(_people(r), mapping, SALT)
 
 
@@ -470,8 +579,8 @@ def anon_publish(r: Roles) -> DataFrame:
 def anon_incremental(r: Roles) -> DataFrame:
     """Customers of one segment arrive after the others were mapped."""
     earlier = r.raw("customer").where(F.col("c_mktsegment") != "BUILDING")
-    stored = deident.generate_mapping(earlier, SALT, id_col="c_custkey", iterations=None)
-    return deident.extend_mapping(stored, _ids(r), SALT, iterations=None)
+    stored = deident.generate_mapping(earlier, SALT, id_col="c_custkey", **WIDE)
+    return deident.extend_mapping(stored, _ids(r), SALT, **WIDE)
 
 
 @query
@@ -479,8 +588,8 @@ def anon_release(r: Roles) -> DataFrame:
     """Two releases: the second extends the stored mapping by new ids."""
     mapping, target = fresh_folder(r.spark, "mapping"), fresh_folder(r.spark, "released")
     people = _people(r)
-    deident.release(people.where(F.col("Age").isNotNull()), mapping, target, SALT, iterations=None)
-    released = deident.release(people, mapping, target, SALT, iterations=None)
+    deident.release(people.where(F.col("Age").isNotNull()), mapping, target, SALT, **WIDE)
+    released = deident.release(people, mapping, target, SALT, **WIDE)
     # The mapping holds the real keys and must not stay in a scratch folder.
     discard(r.spark, mapping)
     return released
@@ -502,6 +611,38 @@ def dp_counts(r: Roles) -> DataFrame:
     return deident.private_totals(r.raw("customer"), ["c_mktsegment"], "c_acctbal", 5000, 1.0, SALT)
 
 
+DP_LOSS = privacy.Loss(epsilon=2.0, delta=1e-6, most_groups=3, most_rows=2)
+
+
+@query
+def dp_release(r: Roles) -> DataFrame:
+    """Orders of a priority and year, of which one customer adds a few; the ledger has room for one release."""
+    orders = r.raw("orders").withColumn("year", F.year("o_orderdate"))
+    ledger = fresh_folder(r.spark, "ledger")
+    return privacy.private_release(
+        orders,
+        "o_custkey",
+        ["o_orderpriority", "year"],
+        ["o_orderkey"],
+        F.col("o_totalprice"),
+        100_000,
+        DP_LOSS,
+        SALT,
+        ledger,
+        "orders",
+        budget=2.0,
+    )
+
+
+@query
+def k_anonymity_generalised(r: Roles) -> DataFrame:
+    """Every customer with spans of nation, balance and segment that ten and more share."""
+    people = r.raw("customer").select(
+        "c_custkey", "c_nationkey", F.floor("c_acctbal").cast("int").alias("balance"), "c_mktsegment"
+    )
+    return privacy.generalise(people, ["c_nationkey", "balance", "c_mktsegment"], 10, ["c_custkey"])
+
+
 # --- streams -------------------------------------------------------------------
 
 

@@ -16,6 +16,9 @@ MONEY = "decimal(15,2)"
 FIRST_DAY = "2024-01-01"
 BATCHES = 5
 LONG_AFTER = "2024-06-01 00:00:00"
+# Width of released ids: room for keys up to 6 * 10**16 and 9 * 10**13.
+GROUPS = 4
+DIGITS = 14
 
 
 class Roles:

@@ -2,15 +2,20 @@
 
 Whole-number keys are cut into blocks of 65,536 consecutive values. A window
 then sees either the values of one block or the blocks of one parent, never the
-table.
+table. Keys of any kind are cut into ranges of about equal size, which are sorted and
+written; the rows before each range come from the counts of the ranges.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from labmesh.sources.scratch import fresh_folder
+
 BLOCK_BITS = 16
 # Blocks for rows without a key.
 NULL_BITS = 12
@@ -92,3 +97,38 @@ def rank_values(rows: DataFrame, value: str, alias: str) -> DataFrame:
         .join(offsets, "__block")
         .select((-F.col("v")).alias(value), (F.col("below") + F.col("__above") + 1).cast("bigint").alias(alias))
     )
+
+
+def number_rows(rows: DataFrame, order_by: Sequence[str | Column], alias: str, start: int = 1) -> DataFrame:
+    """Consecutive numbers from ``start`` in the order of any columns, such as ``F.desc("x")``.
+
+    Every row gets a number. Rows of equal keys are ordered by a hash of all their
+    columns, which also cuts a key with many rows into several ranges; rows that are
+    equal throughout are interchangeable. Ranges are sorted once and written to shared
+    storage, so that counting and numbering see the same ranges. Their totals, one row
+    per range, are the only thing that a window over everything sees.
+    """
+    spark = rows.sparkSession
+    tie = F.xxhash64(*[F.col(f"`{c}`") for c in rows.columns])
+    keys = [F.col(k) if isinstance(k, str) else k for k in order_by] + [F.col("__tie")]
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.withColumn("__tie", tie).repartitionByRange(parts, *keys).sortWithinPartitions(*keys)
+    # The low 33 bits of this number are the position in the range.
+    placed = dealt.withColumns(
+        {"__range": F.spark_partition_id(), "__at": F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)}
+    ).drop("__tie")
+    path = fresh_folder(spark, "numbered")
+    placed.write.parquet(path)
+    written = spark.read.schema(placed.schema).parquet(path)
+    totals = written.groupBy("__range").agg(F.count("*").alias("__n"))
+    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    below = totals.select("__range", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__below"))
+    # At most as many rows as there are shuffle partitions.
+    numbered = written.join(F.broadcast(below), "__range")
+    number = (F.col("__below") + F.col("__at") + start).cast("bigint")
+    return numbered.withColumn(alias, number).drop("__range", "__at", "__below")
+
+
+def arranged(rows: DataFrame, order_by: Sequence[str | Column], position: str | None = None) -> DataFrame:
+    """The rows sorted or, if a column for it is named, with their position in that order."""
+    return rows.orderBy(*order_by) if position is None else number_rows(rows, order_by, position)

@@ -1,7 +1,7 @@
 """Posts over time: concurrency, gaps and overlaps.
 
-Dates bound the work: a researcher has at most one summary row per calendar day,
-however many posts the table holds for them.
+Dates bound the work: a window sees at most one summary row per calendar day of a
+researcher, however many posts the table holds for them.
 """
 
 from __future__ import annotations
@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from labmesh.operators.lookup import lookup_join
+
 OPEN_END = "9999-12-31"
 
 
@@ -37,8 +39,9 @@ def _overlaps(spans: DataFrame, row: list[str], copies: Column) -> DataFrame:
     start. Both numbers are running counts over days, taken once for all posts
     of the researcher and once for those at the same institution; the difference
     is the answer. Every span puts a mark at its start and at its end in both
-    scopes. A mark counts and asks at the same time, so one window answers all,
-    and no pair of posts is ever formed.
+    scopes. Marks count together per scope and day before the window that adds up
+    the days, and look the sums up again by scope and day, spread where a day of a
+    researcher has too many of them. No pair of posts is ever formed.
     """
     nowhere = F.lit(0).cast(spans.schema["InstitutionID"].dataType)
     none = F.lit(0).cast("bigint")
@@ -46,6 +49,7 @@ def _overlaps(spans: DataFrame, row: list[str], copies: Column) -> DataFrame:
     def mark(here: bool, end: bool) -> Column:
         site = F.col("InstitutionID") if here else nowhere
         return F.struct(
+            F.col("ResearcherID").alias("who"),
             F.lit(here).alias("here"),
             site.alias("site"),
             F.col("to_day" if end else "from_day").alias("day"),
@@ -59,14 +63,22 @@ def _overlaps(spans: DataFrame, row: list[str], copies: Column) -> DataFrame:
 
     marks = F.array(*[mark(here, end) for here in (True, False) for end in (True, False)])
     rows = spans.select(*row, F.explode(marks).alias("x")).select(*row, "x.*")
-    scope = ["ResearcherID", "here", "site"]
-    until = Window.partitionBy(*scope).orderBy("day").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    same_day = Window.partitionBy(*scope, "day")
-    count = F.when(
-        F.col("at_end"), F.sum("starts").over(until) - F.sum("starts").over(same_day)
-    ).otherwise(F.sum("ends").over(until))
-    counted = rows.select(*row, (F.col("sign") * count).alias("__part"))
-    return counted.groupBy(*row).agg(F.sum("__part").alias("ConcurrentElsewhere"))
+    scope = ["who", "here", "site"]
+    daily = rows.groupBy(*scope, "day").agg(F.sum("starts").alias("started"), F.sum("ends").alias("ended"))
+    until = Window.partitionBy(*scope).orderBy("day").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sums = daily.select(
+        *scope,
+        "day",
+        (F.sum("started").over(until) - F.col("started")).alias("started_before"),
+        F.sum("ended").over(until).alias("ended_by"),
+    )
+    counted = lookup_join(rows, sums, [*scope, "day"], spread_by=row, null_safe=True)
+    count = F.when(F.col("at_end"), F.col("started_before")).otherwise(F.col("ended_by"))
+    return (
+        counted.select(*row, (F.col("sign") * count).alias("__part"))
+        .groupBy(*row)
+        .agg(F.sum("__part").alias("ConcurrentElsewhere"))
+    )
 
 
 def concurrent_posts(employment: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from labmesh.functions import asof
 from labmesh.operators.lookup import lookup_join
+from labmesh.operators.ordering import arranged
 
 # Report labels.
 PAST_DUE, DUE_SOON, MISSING, CURRENT = "PAST DUE", "DUE WITHIN 30 DAYS", "MISSING", "UP TO DATE"
@@ -45,6 +46,7 @@ def renewal_report(
     institution_via: str = "pi",
     horizon_days: int = 30,
     ordered: bool = True,
+    position: str | None = None,
 ) -> DataFrame:
     """One row per trial whose lead investigator needs attention.
 
@@ -55,7 +57,8 @@ def renewal_report(
     ``institution_via`` takes the institution from the investigator ("pi") or
     from the trial ("project"). With ``employment`` given, a ``Department``
     column lists the investigator's current departments at that institution.
-    ``ordered=False`` saves the global sort where the rows go on to another job.
+    ``ordered=False`` saves the global sort where the rows go on to another job;
+    ``position`` names a column with the place in that order instead.
     """
     by_day = mode == "specified"
     renewal = F.col("IRBRenewalDate")
@@ -98,10 +101,11 @@ def renewal_report(
     else:
         status = F.when(rank == 0, PAST_DUE).when(rank == 1, DUE_SOON).otherwise(CURRENT)
         colour = F.when(rank == 0, RED).when(rank == 1, YELLOW).otherwise(GREEN)
-    if ordered:
+    if ordered or position:
         # The trial key makes the sort key unique, so one date cannot pile up
         # in one range of the sort.
-        out = out.orderBy("__rank", "IRBRenewalDate", "ProtocolID")
+        out = arranged(out, ["__rank", "IRBRenewalDate", "ProtocolID"], position)
+    extra += [position] if position else []
     return out.select(
         "Institution",
         "InstitutionType",

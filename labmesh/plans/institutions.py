@@ -9,6 +9,7 @@ from labmesh.functions import asof
 from labmesh.functions.text import one_of
 from labmesh.operators.aggregates import TOTAL, exact_mean, money_sum, severity_by_institution
 from labmesh.operators.lookup import lookup_join
+from labmesh.operators.ordering import arranged
 
 # Fixed values of the report.
 SITE_TYPE = "Government"
@@ -42,9 +43,12 @@ def institution_report(
     phase: int = TRIAL_PHASE,
     restricted: tuple[str, ...] = RESTRICTED,
     years: int = YEARS,
+    position: str | None = None,
 ) -> DataFrame:
     """One row per qualifying institution: name, total funding, mean severity.
 
+    Sorted by funding, or with the place in that order in a column ``position``.
+
     An institution qualifies with a trial of the phase approved in the window
     and no restricted filing at all. Every child table is reduced to one row per
     institution before it is joined, so children do not multiply each other.
@@ -73,15 +77,12 @@ def institution_report(
     severity = severity_by_institution(
         participant.join(chosen, "InstitutionID", "left_semi"), adverse_event
     )
-    return (
-        sites.join(money, "InstitutionID")
-        .join(severity, "InstitutionID", "left")
-        .orderBy(F.desc("TotalFundingReceived"), "InstitutionID")
-        .select(
-            "LegalName",
-            "TotalFundingReceived",
-            exact_mean(F.col("SeveritySum"), F.col("SeverityCount")).alias("AverageSeverityGrade"),
-        )
+    rows = sites.join(money, "InstitutionID").join(severity, "InstitutionID", "left")
+    return arranged(rows, [F.desc("TotalFundingReceived"), "InstitutionID"], position).select(
+        "LegalName",
+        "TotalFundingReceived",
+        exact_mean(F.col("SeveritySum"), F.col("SeverityCount")).alias("AverageSeverityGrade"),
+        *([position] if position else []),
     )
 
 

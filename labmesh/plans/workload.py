@@ -9,6 +9,7 @@ from labmesh.functions import asof
 from labmesh.functions.text import holds
 from labmesh.operators.aggregates import best_per_group
 from labmesh.operators.lookup import lookup_join
+from labmesh.operators.ordering import arranged
 
 FTE_TOTAL = "decimal(38,2)"
 
@@ -38,6 +39,16 @@ def active_leads(project: DataFrame, as_of: asof.AsOf, more_than: int = 3, by_da
     )
 
 
+def distinct_employers(employment: DataFrame, departments: bool = True) -> DataFrame:
+    """Per researcher with current posts: how many different institutions, and departments."""
+    current = employment.where(F.col("EndDate").isNull() & F.col("ResearcherID").isNotNull())
+    return current.groupBy("ResearcherID").agg(
+        F.count_distinct("InstitutionID").alias("Institutions"),
+        *([F.count_distinct("Department").alias("Departments")] if departments else []),
+        F.count("*").alias("Posts"),
+    )
+
+
 def _current_posts(employment: DataFrame, institution: DataFrame) -> DataFrame:
     """One row per researcher and known institution of the current posts.
 
@@ -62,9 +73,12 @@ def workload_report(
     more_than_projects: int = 3,
     more_than_institutions: int = 1,
     degree_markers: tuple[str, str] = ("PhD", "MD"),
+    position: str | None = None,
 ) -> DataFrame:
     """One row per researcher with several current institutions and projects.
 
+    Sorted by projects and share, or with the place in that order in ``position``.
+
     Posts shrink to one row per researcher and institution before any join, so
     the institution list is distinct and holds no more names than there are
     institutions.
@@ -84,24 +98,25 @@ def workload_report(
         )
         .where(F.col("InstitutionCount") > more_than_institutions)
     )
-    return (
+    rows = (
         researcher.select("ResearcherID", "NIHHISID", "ORCID", "SecurityClearance")
         .join(load, "ResearcherID")
         .join(leads, "ResearcherID")
         .join(best_degree(degree, *degree_markers), "ResearcherID", "left")
-        .orderBy(F.desc("ActiveProjectCount"), F.desc("TotalFTE"), "ResearcherID")
-        .select(
-            "ResearcherID",
-            "NIHHISID",
-            "ORCID",
-            "SecurityClearance",
-            "InstitutionCount",
-            "ActiveProjectCount",
-            "TotalFTE",
-            F.round(F.col("TotalFTE") * 100, 2).cast(FTE_TOTAL).alias("TotalFTEPercent"),
-            "HighestQualification",
-            "Institutions",
-        )
+    )
+    order = [F.desc("ActiveProjectCount"), F.desc("TotalFTE"), "ResearcherID"]
+    return arranged(rows, order, position).select(
+        "ResearcherID",
+        "NIHHISID",
+        "ORCID",
+        "SecurityClearance",
+        "InstitutionCount",
+        "ActiveProjectCount",
+        "TotalFTE",
+        F.round(F.col("TotalFTE") * 100, 2).cast(FTE_TOTAL).alias("TotalFTEPercent"),
+        "HighestQualification",
+        "Institutions",
+        *([position] if position else []),
     )
 
 

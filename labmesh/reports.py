@@ -50,7 +50,7 @@ def renewal_compliance(t: Tables, as_of: asof.AsOf, mode: str = "specified", **o
     )
 
 
-def specimen_custody(t: Tables, as_of: asof.AsOf, scope: str = "freezer", **options) -> DataFrame:
+def specimen_custody(t: Tables, as_of: asof.AsOf, scope: str = "location", **options) -> DataFrame:
     """Specimens in freezers with temperature violations, traced to trial and lead."""
     units = custody.affected_freezers(
         t["Freezer"], t["Location"], t["TemperatureLog"], as_of, scope=scope, **options
@@ -58,7 +58,7 @@ def specimen_custody(t: Tables, as_of: asof.AsOf, scope: str = "freezer", **opti
     return custody.custody_report(units, t["Biospecimen"], t["Project"], t["Researcher"], ["RepositoryID"])
 
 
-def specimen_trials(t: Tables, as_of: asof.AsOf, scope: str = "freezer", **options) -> DataFrame:
+def specimen_trials(t: Tables, as_of: asof.AsOf, scope: str = "location", **options) -> DataFrame:
     """Trials at the institutions that own affected specimens."""
     units = custody.affected_freezers(
         t["Freezer"], t["Location"], t["TemperatureLog"], as_of, scope=scope, **options

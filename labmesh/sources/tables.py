@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,14 +15,15 @@ from labmesh.operators.ordering import assign_keys
 from labmesh.sources.schemas import TABLES, Table
 
 
-def load(spark: SparkSession, name: str, path: str, as_of: asof.AsOf | None = None) -> DataFrame:
-    """A domain table from parquet, in its declared schema.
+def load(spark: SparkSession, name: str, path: str | None = None, as_of: asof.AsOf | None = None) -> DataFrame:
+    """A domain table from parquet or, without a path, from the catalog, in its declared schema.
 
     Columns that the files lack take their declared defaults; ``as_of`` is the
     time of those that default to the present.
     """
     table = TABLES[name]
-    return conform(fill_defaults(spark.read.parquet(path), table.defaults, as_of), table)
+    raw = spark.table(name) if path is None else spark.read.parquet(path)
+    return conform(fill_defaults(raw, table.defaults, as_of), table)
 
 
 def load_jdbc(
@@ -149,11 +151,24 @@ def preview(df: DataFrame, rows: int = 3) -> DataFrame:
     return df.limit(rows)
 
 
+def _readable(spark: SparkSession, path: str) -> bool:
+    try:
+        spark.read.parquet(path)
+    except AnalysisException:
+        return False
+    return True
+
+
 def missing_tables(
-    spark: SparkSession, names: Iterable[str] = ("Researcher", "Participant", "Institution")
+    spark: SparkSession,
+    names: Iterable[str] = ("Researcher", "Participant", "Institution"),
+    root: str | None = None,
 ) -> DataFrame:
-    """Names of required tables that the catalog does not hold."""
-    absent = [(n,) for n in names if not spark.catalog.tableExists(n)]
+    """Names of required tables that the catalog does not hold or, with a root, no folder below it."""
+    if root is None:
+        absent = [(n,) for n in names if not spark.catalog.tableExists(n)]
+    else:
+        absent = [(n,) for n in names if not _readable(spark, f"{root}/{n}.parquet")]
     return spark.createDataFrame(absent, "table_name string")
 
 

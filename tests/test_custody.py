@@ -63,14 +63,14 @@ def test_window_start_is_included(make):
 
 
 def test_specimens_of_the_violating_freezer(make):
-    df = specimen_custody(lab(make), AS_OF)
+    df = specimen_custody(lab(make), AS_OF, scope="freezer")
     got = rows_of(df, "RepositoryID", "Location", "CandidateTrials", "ProtocolID", "PrincipalInvestigator")
     # One trial at the institution is the origin; of two neither is certain.
     assert got == [(1, "North", 1, 1, "A B"), (2, "North", 2, None, None)]
 
 
 def test_location_scope_adds_its_other_freezers(make):
-    df = specimen_custody(lab(make), AS_OF, scope="location")
+    df = specimen_custody(lab(make), AS_OF)
     got = rows_of(df, "RepositoryID", "FreezerID", "ViolationCount", "CandidateTrials")
     assert got == [(1, 1, 2, 1), (2, 1, 2, 2), (3, 2, None, 0)]
 
@@ -78,19 +78,19 @@ def test_location_scope_adds_its_other_freezers(make):
 def test_specimen_that_names_its_trial(make):
     tables = lab(make)
     named = tables["Biospecimen"].withColumn("ProtocolID", F.when(F.col("RepositoryID") == 2, 3).otherwise(1))
-    df = specimen_custody(tables | {"Biospecimen": named}, AS_OF)
+    df = specimen_custody(tables | {"Biospecimen": named}, AS_OF, scope="freezer")
     assert rows_of(df, "RepositoryID", "ProtocolID", "ProjectTitle", "PI_Contact") == [(1, 1, "T1", "e"), (2, 3, "T3", None)]
 
 
 def test_candidate_trials(make):
-    got = rows_of(specimen_trials(lab(make), AS_OF), "ProtocolID", "AffectedSpecimens", "AffectedAliquots", "PI_Contact")
+    got = rows_of(specimen_trials(lab(make), AS_OF, scope="freezer"), "ProtocolID", "AffectedSpecimens", "AffectedAliquots", "PI_Contact")
     assert got == [(1, 1, 5, "e"), (2, 1, 6, "e"), (3, 1, 6, None)]
 
 
 def test_specimens_and_trials_together_give_every_pair(make):
     tables = lab(make)
-    specimens = specimen_custody(tables, AS_OF).select("RepositoryID", "InstitutionID")
-    pairs = specimens.join(specimen_trials(tables, AS_OF).select("ProtocolID", "InstitutionID"), "InstitutionID")
+    specimens = specimen_custody(tables, AS_OF, scope="freezer").select("RepositoryID", "InstitutionID")
+    pairs = specimens.join(specimen_trials(tables, AS_OF, scope="freezer").select("ProtocolID", "InstitutionID"), "InstitutionID")
     assert rows_of(pairs, "RepositoryID", "ProtocolID") == [(1, 1), (2, 2), (2, 3)]
 
 

@@ -172,3 +172,22 @@ def test_only_local_sessions_get_a_temporary_folder():
     assert scratch.shared_folder(local) == scratch.shared_folder(local)
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         scratch.shared_folder(Session("spark://host"))
+
+
+def test_load_from_the_catalog(spark):
+    from labmesh.sources import tables
+
+    spark.createDataFrame([(1, 2, 5.0, "s")], "LogID long, FreezerID long, ReadingValue double, SensorID string").createOrReplaceTempView("TemperatureLog")
+    try:
+        row = tables.load(spark, "TemperatureLog", as_of="2025-01-01 00:00:00").first()
+        assert (row["LogID"], str(row["ReadingTime"]), row["IsManualEntry"]) == (1, "2025-01-01 00:00:00", False)
+    finally:
+        spark.catalog.dropTempView("TemperatureLog")
+
+
+def test_missing_tables_below_a_folder(spark, tmp_path):
+    from labmesh.sources import tables
+
+    spark.range(1).write.parquet(str(tmp_path / "Researcher.parquet"))
+    missing = tables.missing_tables(spark, ["Researcher", "Participant"], root=str(tmp_path))
+    assert [r[0] for r in missing.collect()] == ["Participant"]

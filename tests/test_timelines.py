@@ -68,3 +68,56 @@ def test_timeline(make):
     assert got[2] == (2012, 1, "CONTINUOUS")
     assert got[3] == (2014, 365, "GAP")
     assert got[4][2] == "OVERLAP"
+
+
+def test_a_researcher_with_a_third_of_all_posts(spark, make, monkeypatch):
+    """Hot scopes are summed per day before the window, and their marks are spread."""
+    from labmesh.operators import lookup
+
+    first = date(2020, 1, 1)
+    rows = [
+        {
+            "ExperienceRecordID": i,
+            "ResearcherID": 1 if i % 3 == 0 else i,
+            "InstitutionID": i % 4,
+            "StartDate": str(first + timedelta(days=i % 5)),
+            "EndDate": None if i % 7 == 0 else str(first + timedelta(days=i % 5 + 1 + i % 11)),
+        }
+        for i in range(300)
+    ]
+    posts = make("EmploymentHistory", *rows)
+
+    def plain():
+        out = []
+        for a in rows:
+            end = a["EndDate"] or "9999-12-31"
+            out.append(
+                (
+                    a["ExperienceRecordID"],
+                    sum(
+                        b["ResearcherID"] == a["ResearcherID"]
+                        and b["InstitutionID"] != a["InstitutionID"]
+                        and b["StartDate"] < end
+                        and (b["EndDate"] or "9999-12-31") > a["StartDate"]
+                        for b in rows
+                    ),
+                )
+            )
+        return sorted(out, key=repr)
+
+    columns = ["ExperienceRecordID", "ConcurrentElsewhere"]
+    assert rows_of(concurrent_posts(posts), *columns) == plain()
+    monkeypatch.setattr(lookup, "ROWS_PER_TASK", 10)
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1",
+    }
+    for name, value in settings.items():
+        spark.conf.set(name, value)
+    try:
+        found = concurrent_posts(posts)
+        assert "__salt" in found._jdf.queryExecution().toString()
+        assert rows_of(found, *columns) == plain()
+    finally:
+        for name in settings:
+            spark.conf.unset(name)
