@@ -22,12 +22,13 @@ from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from labmesh.llm.common import by_bytes
 from labmesh.llm.pieces import DoubleArray
+from labmesh.llm.remembered import Remembered
 
 # Fixed value: the pattern whose splits `split_words` takes.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -36,13 +37,10 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 WIDTHS = (6, 8, 10, 12, 16, 24, 32, 64)
 # Bytes of words and ids that a worker keeps, with what Python adds to each.
 REMEMBERED = 48 << 20
-ENTRY = 200
 # Pairs of tokens whose answer a worker keeps, as a power of two.
 ANSWERS = 20
 # Characters that are split at once.
 SEGMENT = 1 << 20
-# A batch is taken in steps of about so many bytes of text.
-STEP = 2 << 20
 
 OTHER, LETTER, NUMBER, BLANK = range(4)
 _NEVER = np.iinfo(np.int64).max
@@ -402,20 +400,14 @@ def _encode_rows(vocabulary: BytePairs, rows: np.ndarray, lengths: np.ndarray) -
     return [packed[k * row + skip : (k + 1) * row] for k, skip in enumerate(skipped.tolist())]
 
 
-def _weight(words: dict[str, bytes]) -> int:
-    """About how many bytes the table entries hold."""
-    return sum(map(len, words)) + sum(map(len, words.values())) + ENTRY * len(words)
-
-
 class Encoder:
-    """Ids of texts. Short words that were met are kept in two tables; the older is dropped
-    when the younger is full, after what is still in use has moved to it."""
+    """Ids of texts; short words that were met are kept, up to a bound in bytes."""
 
     def __init__(self, vocabulary: BytePairs, remembered: int = REMEMBERED):
-        self.vocabulary, self.limit = vocabulary, remembered // 2
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-        self.held = 0
+        self.vocabulary = vocabulary
+        self.known = Remembered(
+            remembered, lambda words: self.encode_words([w.encode("utf-8", "replace") for w in words])
+        )
 
     def encode_words(self, words: Sequence[bytes]) -> list[bytes]:
         """Ids of different words, as 32-bit numbers in bytes."""
@@ -440,39 +432,12 @@ class Encoder:
                     out[k] = vocabulary.whole_only[word].to_bytes(4, "little")
         return out
 
-    def _ids_of(self, words: list[str]) -> list[bytes]:
-        """Ids of words of which many are known or equal."""
-        ids = list(map(self.young.get, words))
-        open_ = [k for k, known in enumerate(ids) if known is None]
-        if not open_:
-            return ids
-        missing = {words[k] for k in open_}
-        moved = {w: self.old[w] for w in missing if w in self.old}
-        new = list(missing.difference(moved))
-        found = dict(zip(new, self.encode_words([w.encode("utf-8", "replace") for w in new])))
-        table = self.young
-        for more in (moved, found):
-            table.update(more)
-            self.held += _weight(more)
-        for k in open_:
-            ids[k] = table[words[k]]
-        long = {w: found[w] for w in new if len(w) > WIDTHS[-1]}
-        if long or self.held > self.limit:
-            # Long words are not kept, and a full table becomes the older one.
-            kept = {w: ids for w, ids in table.items() if w not in long}
-            if self.held > self.limit:
-                self.old, self.young, self.held = kept, {}, 0
-            else:
-                self.young = kept
-                self.held -= _weight(long)
-        return ids
-
     def encode_many(self, texts: Sequence[str | None]) -> list[bytes]:
         """Ids of texts as 32-bit numbers in bytes; none for NULL and empty texts."""
         if any(text is not None and len(text) > SEGMENT for text in texts):
             return [self._encode_long(text) for text in texts]
         words, ends = split_words([text or "" for text in texts], self.vocabulary)
-        found = self._ids_of(words)
+        found = self.known.look_up(words)
         places = [0, *ends.tolist()]
         return [b"".join(found[a:b]) for a, b in zip(places, places[1:])]
 
@@ -488,7 +453,7 @@ class Encoder:
             if not words:
                 width *= 2
                 continue
-            out += self._ids_of(words)
+            out += self.known.look_up(words)
             at, width = at + sum(map(len, words)), SEGMENT
         return b"".join(out)
 
@@ -588,22 +553,6 @@ class Decoder:
 # --- rows ---
 
 
-def _steps(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple[pa.RecordBatch, list]]:
-    """Rows and their values, about STEP bytes at a time; one long value stands alone."""
-    for batch in batches:
-        sizes = [0 if n is None else n for n in pa.compute.binary_length(batch.column(column)).to_pylist()]
-        start, held = 0, 0
-        for at, size in enumerate(sizes):
-            if at > start and held + size > STEP:
-                part = batch.slice(start, at - start)
-                yield part, part.column(column).to_pylist()
-                start, held = at, 0
-            held += size
-        if start < batch.num_rows:
-            part = batch.slice(start)
-            yield part, part.column(column).to_pylist()
-
-
 def _replaced(docs: DataFrame, new: dict[str, str]) -> tuple[list[str], T.StructType]:
     """Columns that pass by, and the schema with the new ones; names differ in more than case."""
     lowered = {name.lower() for name in new}
@@ -634,8 +583,8 @@ def encode_byte_pairs(
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, decoder = Encoder(shared.value), Decoder(shared.value)
-        for part, texts in _steps(batches, text):
-            found = encoder.encode_many(texts)
+        for part in by_bytes(batches, text):
+            found = encoder.encode_many(part.column(text).to_pylist())
             ends = np.cumsum([0, *(len(i) // 4 for i in found)]).astype(np.int32)
             columns = [part.column(c) for c in kept]
             columns.append(pa.ListArray.from_arrays(ends, np.frombuffer(b"".join(found), np.int32)))

@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator, Sequence
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -77,6 +78,22 @@ def add_column(
     return df.mapInArrow(work, result)
 
 
+def by_bytes(
+    batches: Iterator[pa.RecordBatch], column: str, most: int = 2 << 20
+) -> Iterator[pa.RecordBatch]:
+    """Rows in steps of about so many bytes in a text column; a longer text stands alone."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
+        start, held = 0, 0
+        for at, size in enumerate(sizes):
+            if at > start and held + size > most:
+                yield batch.slice(start, at - start)
+                start, held = at, 0
+            held += size
+        if start < batch.num_rows:
+            yield batch.slice(start)
+
+
 def in_groups(
     df: DataFrame, keys: list[str], work: Callable[[pd.DataFrame], pd.DataFrame], schema: str
 ) -> DataFrame:

@@ -4,8 +4,9 @@ Blanks become the marker U+2581 and one marker is put in front. No piece of the
 vocabulary has a marker after another character, so the best segmentation of a
 text is made of the best ones of its words, each with the markers in front of it.
 Words are cut by Viterbi on the log scores of the pieces, the new words of a batch
-together in numpy; a character that no piece covers is written as its UTF-8 bytes. Each Python worker keeps the words
-it has cut in a table of bounded size. One narrow pass, no shuffle.
+together in numpy; a character that no piece covers is written as its UTF-8 bytes.
+Each Python worker keeps short words that it has cut, up to a bound in bytes. One
+narrow pass, no shuffle.
 """
 
 from __future__ import annotations
@@ -17,11 +18,14 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
-from labmesh.llm.common import add_column
+from labmesh.llm.common import add_column, by_bytes
+from labmesh.llm.remembered import Remembered
 
 MARKER = "▁"
-REMEMBERED = 250_000
+# Bytes of words and ids that a worker keeps, with what Python adds to each.
+REMEMBERED = 32 << 20
 UNKNOWN_PENALTY = 10.0
 # Words of similar length in bytes are cut together; longer ones one by one.
 WIDTHS = (8, 12, 16, 24, 32, 64)
@@ -186,16 +190,18 @@ _SPAN = np.array([1] * 128 + [0] * 64 + [2] * 32 + [3] * 16 + [4] * 16)
 
 
 class Encoder:
-    """Ids of texts; remembers the words that it has cut, up to a bound."""
+    """Ids of texts; remembers the words that it has cut, up to a bound in bytes."""
 
     def __init__(self, pieces: Pieces, remembered: int = REMEMBERED):
-        self.pieces, self.remembered = pieces, remembered
+        self.pieces = pieces
+        self.known = Remembered(remembered, self._cut_all)
         # Python lists answer single reads faster than arrays.
         self.base, self.check = pieces.base.tolist(), pieces.check.tolist()
         self.value, self.scores = pieces.value.tolist(), pieces.scores.tolist()
         lowest = min((self.scores[i] for i in self.value if i >= 0), default=0.0)
         self.unknown_score = lowest - UNKNOWN_PENALTY
-        self.known: dict[str, bytes] = {}
+        # A lone marker in the text is an empty word and is written as bytes.
+        self.marker = np.array([pieces.byte_ids[b] for b in MARKER.encode()], np.int32).tobytes()
         # Control characters that no piece has are cut off: they stand alone in any cut.
         used = set(b"".join(pieces.surface[i] for i in pieces.value[pieces.value >= 0].tolist()))
         alone = "".join(c for c in "\t\n\r" if ord(c) not in used)
@@ -340,17 +346,12 @@ class Encoder:
         decoding does not turn it into a blank. Half surrogates become "?".
         """
         split = [self._words(text) for text in texts]
-        known = self.known
-        known[""] = np.array([self.pieces.byte_ids[b] for b in MARKER.encode()], np.int32).tobytes()
-        new = list({word for words in split for word in words if word not in known})
-        if len(known) + len(new) > self.remembered:
-            # What this batch needs stays; a batch is bounded by itself.
-            self.known = known = {w: known[w] for words in split for w in words if w in known}
-        known.update(zip(new, self.cut_many(new)))
-        out = [b"".join([known[word] for word in words]) for words in split]
-        if len(known) > self.remembered:
-            known.clear()
-        return out
+        ends = np.cumsum([0, *map(len, split)]).tolist()
+        found = self.known.look_up([word for words in split for word in words])
+        return [b"".join(found[a:b]) for a, b in zip(ends, ends[1:])]
+
+    def _cut_all(self, words: list[str]) -> list[bytes]:
+        return [ids if word else self.marker for word, ids in zip(words, self.cut_many(words))]
 
     def encode(self, text: str | None) -> list[int]:
         return np.frombuffer(self.encode_many([text])[0], np.int32).tolist()
@@ -433,3 +434,32 @@ def decode_pieces(
         return convert
 
     return add_column(docs, ids, text, "string", pa.string(), start)
+
+
+def encode_round_trip(
+    docs: DataFrame, pieces: Pieces, text: str = "text", ids: str = "token_ids", same: str = "round_trip"
+) -> DataFrame:
+    """The rows with the ids of the whole text in place of the text, and whether they decode to it.
+
+    One pass in one worker: the decoded text is compared where it is made and not
+    carried on. NULL and empty texts have no ids and come back. Columns that are called
+    like the new ones are replaced; an empty table gives an empty result.
+    """
+    shared = _shared(docs.sparkSession, pieces)
+    dropped = {text.lower(), ids.lower(), same.lower()}
+    kept = [f for f in docs.schema.fields if f.name.lower() not in dropped]
+    new = T.StructType.fromDDL(f"`{ids}` array<int>, `{same}` boolean")
+    names = [f.name for f in kept] + [ids, same]
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder, decoder = Encoder(shared.value), Decoder(shared.value)
+        for part in by_bytes(batches, text, 1 << 20):
+            texts = part.column(text).to_pylist()
+            found = encoder.encode_many(texts)
+            ends = np.cumsum([0, *(len(i) // 4 for i in found)]).astype(np.int32)
+            back = [decoder.decode(np.frombuffer(i, np.int32)) == (t or "") for i, t in zip(found, texts)]
+            columns = [part.column(f.name) for f in kept]
+            lists = pa.ListArray.from_arrays(ends, np.frombuffer(b"".join(found), np.int32))
+            yield pa.RecordBatch.from_arrays([*columns, lists, pa.array(back)], names=names)
+
+    return docs.mapInArrow(work, T.StructType(kept + new.fields))
