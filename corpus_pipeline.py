@@ -1,18 +1,19 @@
 """From raw documents to token ids: quality, near copies, mixture, encoding.
 
-Each stage reads what the one before it wrote. A column of the documents that an
-operator would add too is never overwritten: stages return the columns they got.
+Each stage reads what the one before it wrote. The first three return the columns
+they got, further ones included; a column of the documents that an operator would add
+too is never overwritten. The last puts token ids in the place of the text.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labmesh.llm.common import table
+from labmesh.llm.common import WORD, table
 from labmesh.llm.minhash import near_duplicates
 from labmesh.llm.mixing import mix_sources
-from labmesh.llm.pieces import decode_pieces, encode_pieces, load_pieces
+from labmesh.llm.pieces import encode_round_trip, load_pieces
 from labmesh.llm.quality import THRESHOLD, score_quality, train_quality
 from labmesh.llm.queries import TOKENIZER, label_weights
 from labmesh.sources.scratch import fresh_folder
@@ -41,40 +42,39 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     found = near_duplicates(docs, words=5, percent=80)
     ids = found.filter("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
-    first = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
-    named = docs.join(ids, "doc_id", "left_semi").withColumn("__n", first).filter("__n = 1")
-    return named.select(*_columns(docs)).unionByName(docs.filter(F.col("doc_id").isNull()))
+    named = docs.join(ids, "doc_id", "left_semi").select(F.struct(*_columns(docs)).alias("row"))
+    # One row per id is kept before anything is shuffled, however often an id repeats.
+    first = named.groupBy("row.doc_id").agg(F.min_by("row", F.struct("row.text")).alias("row")).select("row.*")
+    return first.unionByName(docs.filter(F.col("doc_id").isNull()))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the mixture takes, one row for each time it takes them.
 
-    Documents without words are never taken. Rows without an id are counted in
-    the mixture but can't be named by it: they stay, once each.
+    Documents without words are never taken, also not if their id has others. Rows
+    without an id are counted in the mixture but can't be named by it: they stay, once
+    each. Rows that share an id are taken as often as the one that is taken most.
     """
     taken = mix_sources(docs, quality=label_weights(spark, sf_dir)).filter("taken > 0")
     times = taken.groupBy("doc_id").agg(
         F.max(F.floor(F.col("taken") / F.col("size"))).cast("int").alias("__times")
     )
-    rows = docs.join(times, "doc_id").withColumn(
+    some = F.col("text").rlike(WORD)
+    rows = docs.filter(some).join(times, "doc_id").withColumn(
         "__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))
     )
     return rows.select(*_columns(docs)).unionByName(docs.filter(F.col("doc_id").isNull()))
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, lang, source, token_ids, n_tokens, round_trip of every row."""
-    pieces = load_pieces(TOKENIZER)
-    rows = docs.select("doc_id", "lang", "source", "text")
-    both = decode_pieces(encode_pieces(rows, pieces), pieces)
-    return both.select(
-        "doc_id",
-        "lang",
-        "source",
-        "token_ids",
-        F.size("token_ids").cast("long").alias("n_tokens"),
-        (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"),
-    )
+    """The rows with token_ids, n_tokens and round_trip in place of the text.
+
+    round_trip says whether the ids decode to the text. NULL and empty texts have no
+    ids and come back; repeated rows get equal ids. Further columns stay, but for
+    those that are called like the new ones. An empty table gives an empty result.
+    """
+    coded = encode_round_trip(docs.drop("n_tokens"), load_pieces(TOKENIZER))
+    return coded.withColumn("n_tokens", F.size("token_ids").cast("long"))
 
 
 STAGES = [
