@@ -2,9 +2,9 @@
 
 Per language a CountVectorizer, with a least number of documents and the largest
 vocabSize there is, turns documents into exact sparse count vectors, which are
-summed per source. A fit holds its vocabulary on the driver, so the terms of a
-language are dealt by hash into as many shards as keep a fit below a stated size;
-small languages have one. Sums, smoothed shares and divergences are whole numbers.
+summed per source in tasks, as a Summarizer would with dense ones. A fit holds its
+vocabulary on the driver, so the terms of a language are dealt by hash into as many
+shards as keep a fit near a stated size; small languages have one. Sums, smoothed shares and divergences are whole numbers.
 
 Sources are compared from their sparse counts, a block of terms at a time: terms that
 one of a pair has are evaluated, all the others add one product. Sources are dealt
@@ -15,36 +15,101 @@ pair of sources, never one per term.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.feature import CountVectorizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from labmesh.llm.common import in_groups, lower_ascii, stored
+from labmesh.llm.common import by_bytes, in_groups, stored
 from labmesh.sources.scratch import fresh_folder
 
-# Fixed value: a term is a run of letters A-Z, a-z and characters beyond ASCII.
-TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
 UNIT = 1_000_000_000
 MIN_DOCUMENTS = 3
 TOP_TERMS = 200
-# Different terms that one fit may see; its vocabulary passes the driver.
-SHARD = 2_000_000
+# Different terms that one fit may see, as estimated; its vocabulary passes the driver.
+SHARD = 500_000
+# Shards up to this number are written without a shuffle, each task into all of them.
+FEW = 64
 # Terms of a block and sources of a tile that are compared at once.
 BLOCK = 2048
 TILE = 256
+# Sums that a task holds before it passes them on.
+HELD = 4 << 20
+# Bytes of text whose terms are dealt at once.
+STEP = 4 << 20
+# One in so many hash values is counted to estimate the number of different terms.
+ESTIMATE = 64
 # In every document, so that no fit is without a vocabulary; a digit is no term.
 ALWAYS = "0"
 LARGEST = 2**31 - 1
 
+# A term is a run of letters and of bytes beyond ASCII; A-Z count as a-z, all else is 0.
+_LETTERS = np.arange(256, dtype=np.uint8)
+_LETTERS[0x41:0x5B] += 32
+_LETTERS[0x00:0x41] = _LETTERS[0x5B:0x61] = _LETTERS[0x7B:0x80] = 0
+_PLACE = np.uint64(0x9E3779B97F4A7C15)
+_BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
+
+
+def terms_of(texts: pa.StringArray) -> tuple[pa.StringArray, np.ndarray]:
+    """The terms of texts one after another, and how many there are up to the end of each text."""
+    texts = pa.concat_arrays([texts.fill_null("")])
+    count = len(texts)
+    ends = np.frombuffer(texts.buffers()[1], np.int32, count + 1, texts.offset * 4).astype(np.int64)
+    if not count or ends[-1] == ends[0]:
+        return pa.array([], pa.string()), np.zeros(count, np.int64)
+    letters = _LETTERS[np.frombuffer(texts.buffers()[2], np.uint8)[ends[0] : ends[-1]]]
+    ends -= ends[0]
+    inside = letters != 0
+    begins = inside.copy()
+    begins[1:] &= ~inside[:-1]
+    first = ends[:-1][ends[:-1] < ends[1:]]
+    begins[first] = inside[first]
+    flat = letters[inside]
+    offsets = np.append((np.cumsum(inside) - 1)[begins], len(flat)).astype(np.int32)
+    terms = pa.StringArray.from_buffers(len(offsets) - 1, pa.py_buffer(offsets), pa.py_buffer(flat))
+    upto = np.concatenate([[0], np.cumsum(begins)])[ends[1:]]
+    return terms, upto
+
+
+def hashes(terms: pa.StringArray) -> np.ndarray:
+    """A 64-bit hash of each term: a polynomial in its bytes, mixed."""
+    offsets = np.frombuffer(terms.buffers()[1], np.int32, len(terms) + 1, terms.offset * 4)
+    flat = np.frombuffer(terms.buffers()[2], np.uint8)[: offsets[-1]].astype(np.uint64) if len(terms) else np.zeros(0, np.uint64)
+    powers = np.cumprod(np.full(len(flat), _PLACE))
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((flat + np.uint64(1)) * powers)])
+    back = np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(len(flat), _BACK))])
+    found = (sums[offsets[1:]] - sums[offsets[:-1]]) * back[offsets[:-1]]
+    found ^= found >> np.uint64(32)
+    found *= np.uint64(0xD6E8FEB86659FD93)
+    return found ^ (found >> np.uint64(29))
+
+
+def _coded(texts: pa.StringArray, names: bool = False) -> tuple:
+    """Per term of the texts its code and its text's position, and per code the hash of the term.
+
+    With `names` also the terms by code.
+    """
+    terms, upto = terms_of(texts)
+    row = np.repeat(np.arange(len(upto)), np.diff(upto, prepend=0))
+    coded = terms.dictionary_encode()
+    code = coded.indices.to_numpy().astype(np.int64)
+    found = code, hashes(coded.dictionary), row
+    return (*found, coded.dictionary) if names else found
+
 
 def share(count: Column, total: Column, terms: Column) -> Column:
-    """1 + floor(UNIT * (count + 1) / (total + terms)), without overflow."""
+    """1 + floor(UNIT * (count + 1) / (total + terms)); in decimals where 64 bits don't hold the product."""
+    below = total + terms
+    small = F.call_function("div", (count + F.lit(1)) * F.lit(UNIT).cast("long"), below)
     above = (count + F.lit(1)).cast("decimal(27,0)") * F.lit(UNIT).cast("decimal(10,0)")
-    return F.lit(1).cast("long") + F.call_function("div", above, (total + terms).cast("decimal(20,0)"))
+    large = F.call_function("div", above, below.cast("decimal(20,0)"))
+    return F.lit(1).cast("long") + F.when(count < 9 * 10**9, small).otherwise(large)
 
 
 def divergence(p: Column, q: Column) -> Column:
@@ -52,80 +117,177 @@ def divergence(p: Column, q: Column) -> Column:
     return F.call_function("div", (p - q) * (p - q), q)
 
 
-def _shards(rows: DataFrame, shards: int) -> list[DataFrame]:
-    """The documents once per shard, each with the terms that are dealt there."""
-    if shards == 1:
-        return [rows.select("source", "terms")]
-    spread = (
-        rows.withColumn("__id", F.monotonically_increasing_id())
-        .select("__id", "source", F.explode("terms").alias("term"))
-        .withColumn("shard", F.pmod(F.xxhash64("term"), F.lit(shards)).cast("int"))
-        .groupBy("__id", "shard")
-        .agg(F.first("source").alias("source"), F.collect_list("term").alias("terms"))
-    )
-    path = fresh_folder(rows.sparkSession, "divergence-shards")
-    spread.write.partitionBy("shard").parquet(path)
-    spread = rows.sparkSession.read.parquet(path)
-    return [spread.filter(F.col("shard") == s).select("source", "terms") for s in range(shards)]
+def _different(docs: DataFrame) -> dict[str, int]:
+    """About how many different terms each language has; it only decides how they are dealt."""
+
+    def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found: dict[str, set[int]] = {}
+            for part in by_bytes([batch], "text", STEP):
+                code, values, row = _coded(part.column("text"))
+                few = np.flatnonzero((values % np.uint64(ESTIMATE) == 0)[code])
+                langs = part.column("lang").take(pa.array(row[few])).to_pylist()
+                for lang, value in zip(langs, values[code[few]].tolist()):
+                    found.setdefault(lang, set()).add(value)
+            rows = [(lang, value) for lang, held in found.items() for value in held]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] >> 1 for r in rows], pa.int64())],
+                names=["lang", "hash"],
+            )
 
+    seen = docs.select("lang", "text").mapInArrow(sampled, "lang string, hash long")
+    counted = seen.groupBy("lang").agg(F.count_distinct("hash").alias("n"))
+    every = docs.select("lang").distinct().join(counted, "lang", "left").fillna(0, ["n"])
+    return {row["lang"]: row["n"] * ESTIMATE for row in every.collect()}
 
-def _counts(rows: DataFrame, min_documents: int) -> tuple[DataFrame, int] | None:
-    """Kept terms per source with their counts, and how many terms are kept."""
+
+def _dealt(docs: DataFrame, places: dict[str, tuple[int, int]]) -> DataFrame:
+    """place, source, weight, terms: the documents with the terms of each shard.
+
+    `places` has the first place of a language and how many shards it has. A document
+    has a row for the terms that it has once, one for those it has twice, and so on:
+    its vector is the sum of theirs, by weight, and a term is in one of them.
+    """
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in by_bytes(batches, "text", STEP):
+            code, values, row, terms = _coded(part.column("text"), names=True)
+            if not len(code):
+                continue
+            one, weight = np.unique(row * len(terms) + code, return_counts=True)
+            row, code = one // len(terms), one % len(terms)
+            first, shards = np.array([places[lang] for lang in part.column("lang").to_pylist()]).T
+            place = first[row] + (values[code] % shards[row].astype(np.uint64)).astype(np.int64)
+            order = np.lexsort((weight, place, row))
+            row, code, place, weight = row[order], code[order], place[order], weight[order]
+            new = (row[1:] != row[:-1]) | (place[1:] != place[:-1]) | (weight[1:] != weight[:-1])
+            starts = np.flatnonzero(np.append(True, new))
+            # Every row begins with the term that is always there.
+            code = np.insert(code, starts, len(terms))
+            ends = np.append(starts, len(row)) + np.arange(len(starts) + 1)
+            words = pa.concat_arrays([terms, pa.array([ALWAYS])]).take(pa.array(code))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(place[starts], pa.int64()),
+                    part.column("source").take(pa.array(row[starts])),
+                    pa.array(weight[starts].astype(np.int64)),
+                    pa.ListArray.from_arrays(ends.astype(np.int32), words),
+                ],
+                names=["place", "source", "weight", "terms"],
+            )
+
+    schema = "place long, source string, weight long, terms array<string>"
+    dealt = docs.select("lang", "source", "text").mapInArrow(deal, schema)
+    path = fresh_folder(docs.sparkSession, "divergence-terms")
+    if sum(shards for _, shards in places.values()) > FEW:
+        dealt = dealt.hint("rebalance", "place")
+    dealt.write.partitionBy("place").parquet(path)
+    schema = "source string, weight long, terms array<string>, place long"
+    return docs.sparkSession.read.schema(schema).parquet(path)
+
+
+def _merged(keys: list[np.ndarray], sums: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    key, total = np.concatenate(keys), np.concatenate(sums)
+    order = np.argsort(key, kind="stable")
+    key, total = key[order], total[order]
+    if not len(key):
+        return key, total
+    starts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+    return key[starts], np.add.reduceat(total, starts)
+
+
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums of weighted sparse vectors by source: source, index, count."""
+    names: dict[str, int] = {}
+    keys, sums = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    waiting = 0
+
+    def rows(key: np.ndarray, total: np.ndarray) -> Iterator[pa.RecordBatch]:
+        sources = pa.array(list(names), pa.string())
+        for start in range(0, len(key), 65_536):
+            part = slice(start, start + 65_536)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    sources.take(pa.array(key[part] >> 32)),
+                    pa.array((key[part] & LARGEST).astype(np.int32)),
+                    pa.array(total[part]),
+                ],
+                names=["source", "index", "count"],
+            )
+
+    for batch in batches:
+        indices, values = batch.column("indices"), batch.column("values")
+        code = np.array([names.setdefault(s, len(names)) for s in batch.column("source").to_pylist()], np.int64)
+        lengths = pc.list_value_length(indices).to_numpy(zero_copy_only=False)
+        weight = np.repeat(batch.column("weight").to_numpy(), lengths)
+        keys.append((np.repeat(code, lengths) << 32) | indices.flatten().to_numpy().astype(np.int64))
+        sums.append(values.flatten().to_numpy().astype(np.int64) * weight)
+        waiting += len(weight)
+        if waiting > HELD:
+            key, total = _merged(keys, sums)
+            if len(key) > HELD // 2:
+                yield from rows(key, total)
+                names, key, total = {}, key[:0], total[:0]
+            keys, sums, waiting = [key], [total], len(key)
+    yield from rows(*_merged(keys, sums))
+
+
+def _counts(rows: DataFrame, place: int, min_documents: int) -> tuple[DataFrame, int] | None:
+    """Kept terms per source with a number and their counts, and how many terms are kept."""
     if len(rows.limit(min_documents).select(F.lit(1)).collect()) < min_documents:
         return None
-    rows = rows.withColumn("terms", F.array_append("terms", F.lit(ALWAYS)))
     model = CountVectorizer(
         inputCol="terms", outputCol="vector", minDF=float(min_documents), vocabSize=LARGEST
     ).fit(rows)
     vocabulary = model.vocabulary
-    spark = rows.sparkSession
-    names = spark.createDataFrame(
+    names = rows.sparkSession.createDataFrame(
         pa.table({"index": pa.array(range(len(vocabulary)), pa.int32()), "term": vocabulary})
     )
     vector = F.unwrap_udt("vector")
-    entries = model.transform(rows).select(
-        "source", F.explode(F.arrays_zip(vector["indices"].alias("index"), vector["values"].alias("n"))).alias("e")
-    )
-    sums = entries.groupBy("source", F.col("e.index").alias("index")).agg(
-        F.sum(F.col("e.n").cast("long")).alias("count")
+    vectors = model.transform(rows).select(
+        "source", "weight", vector["indices"].alias("indices"), vector["values"].alias("values")
     )
+    # Dealt by term once: that serves the sums, the totals of terms and their names.
+    sums = vectors.mapInArrow(_summed, "source string, index int, count long").repartition("index")
+    sums = sums.groupBy("index", "source").agg(F.sum("count").alias("count"))
+    sums = sums.withColumn("lang_count", F.sum("count").over(Window.partitionBy("index")))
     kept = sums.join(names, "index").filter(F.col("term") != ALWAYS)
-    return kept.select("source", "term", "count"), len(vocabulary) - 1
+    number = F.lit(place).cast("long") * 2**31 + F.col("index")
+    return kept.select("source", number.alias("id"), "term", "count", "lang_count"), len(vocabulary) - 1
 
 
-def compare_block(group: pd.DataFrame) -> pd.DataFrame:
-    """Per pair (a, b) of sources of two tiles: the sum over terms of the block that one
-    of them has, and how many these are.
+def compare_block(rows: pd.DataFrame) -> pd.DataFrame:
+    """Per pair (a, b) of groups of two tiles: the sum over terms of the block that one of
+    them has, and how many these are.
 
-    Rows without a term state a source's share of a term that it doesn't have.
+    Rows with id -1 state a group's share of a term that it doesn't have.
     """
-    i, j = group["i"].iloc[0], group["j"].iloc[0]
-    tile, p = group["tile"].to_numpy(), group["p"].to_numpy(np.int64)
-    plain = group["term"].isna().to_numpy()
-    term, _ = pd.factorize(group["term"], use_na_sentinel=True)
-    base = dict(zip(group["source"][plain], p[plain]))
-    first = [s for s, t in zip(group["source"][plain], tile[plain]) if t == i]
-    second = np.array([s for s, t in zip(group["source"][plain], tile[plain]) if t == j], object)
-    base_b = np.array([base[s] for s in second], np.int64)
-    place = {s: k for k, s in enumerate(second)}
-    has = ~plain
-    on_b = has & (tile == j)
-    b_source = np.array([place[s] for s in group["source"][on_b]], np.int64)
-    order = np.argsort(b_source, kind="stable")
-    b_source, b_term, b_p = b_source[order], term[on_b][order], p[on_b][order]
-    starts = np.searchsorted(b_source, np.arange(len(second) + 1))
-    on_a = has & (tile == i)
-    a_rows = dict(tuple(pd.Series(np.flatnonzero(on_a)).groupby(group["source"][on_a].to_numpy())))
+    i, j = rows["i"].iloc[0], rows["j"].iloc[0]
+    tile, p, group = (rows[c].to_numpy(np.int64) for c in ("tile", "p", "group"))
+    plain = rows["id"].to_numpy() < 0
+    first = np.sort(group[plain & (tile == i)])
+    second = np.sort(group[plain & (tile == j)])
+    base = dict(zip(group[plain].tolist(), p[plain].tolist()))
+    base_b = np.array([base[b] for b in second.tolist()], np.int64)
+    group, tile, p = group[~plain], tile[~plain], p[~plain]
+    _, term = np.unique(rows["id"].to_numpy()[~plain], return_inverse=True)
+    on_b = np.flatnonzero(tile == j)
+    on_b = on_b[np.argsort(group[on_b], kind="stable")]
+    b_place, b_term, b_p = np.searchsorted(second, group[on_b]), term[on_b], p[on_b]
+    starts = np.searchsorted(b_place, np.arange(len(second) + 1))
+    on_a = np.flatnonzero(tile == i)
+    on_a = on_a[np.argsort(group[on_a], kind="stable")]
+    bounds = np.searchsorted(group[on_a], np.append(first, np.iinfo(np.int64).max))
     width = term.max(initial=-1) + 1
-    out = []
-    for a in first:
-        own = a_rows[a].to_numpy() if a in a_rows else np.zeros(0, np.int64)
+    values, seen = [], []
+    for k, a in enumerate(first.tolist()):
+        own = on_a[bounds[k] : bounds[k + 1]]
         row = np.full(width, -1)
         row[term[own]] = np.arange(len(own))
         q = np.tile(base_b, (len(own), 1))
         at = row[b_term]
         both = at >= 0
-        q[at[both], b_source[both]] = b_p[both]
+        q[at[both], b_place[both]] = b_p[both]
         apart = p[own][:, None] - q
         value = (apart * apart // q).sum(axis=0)
         # Terms that b alone has.
@@ -133,51 +295,49 @@ def compare_block(group: pd.DataFrame) -> pd.DataFrame:
         alone = np.where(both, 0, apart * apart // b_p)
         sums = np.concatenate([[0], np.cumsum(alone)])
         number = np.concatenate([[0], np.cumsum(~both)])
-        value += sums[starts[1:]] - sums[starts[:-1]]
-        seen = len(own) + number[starts[1:]] - number[starts[:-1]]
-        out.append(pd.DataFrame({"source": a, "item": second, "value": value, "seen": seen}))
-    if not out:
-        return pd.DataFrame({"lang": [], "source": [], "item": [], "value": [], "seen": []})
-    found = pd.concat(out, ignore_index=True)
-    found = found[found["source"] != found["item"]]
-    found.insert(0, "lang", group["lang"].iloc[0])
-    return found.astype({"value": "int64", "seen": "int64"})
+        values.append(value + sums[starts[1:]] - sums[starts[:-1]])
+        seen.append(len(own) + number[starts[1:]] - number[starts[:-1]])
+    out = pd.DataFrame(
+        {
+            "a": np.repeat(first, len(second)),
+            "b": np.tile(second, len(first)),
+            "value": np.concatenate([np.zeros(0, np.int64), *values]),
+            "seen": np.concatenate([np.zeros(0, np.int64), *seen]),
+        }
+    )
+    return out[out["a"] != out["b"]]
 
 
 def _pairs(entries: DataFrame, groups: DataFrame, block: int, tile: int) -> DataFrame:
     """lang, source, item, value for all pairs of sources of a language."""
     tiles = F.ceil(F.col("sources") / tile).cast("int")
     blocks = F.ceil(F.col("terms") / block).cast("int")
-    own = F.pmod(F.xxhash64("source"), tiles).cast("int")
+    own = F.pmod(F.xxhash64("group"), tiles).cast("int")
     places = F.sequence(F.lit(0), tiles - 1)
     keys = F.concat(
         F.transform(places, lambda x: F.struct(own.alias("i"), x.alias("j"))),
         F.transform(F.filter(places, lambda x: x != own), lambda x: F.struct(x.alias("i"), own.alias("j"))),
     )
-    at = F.pmod(F.xxhash64("term"), blocks).cast("int")
-    columns = ["lang", "source", own.alias("tile"), "term", "p", "block", F.explode(keys).alias("key")]
-    having = entries.withColumn("block", at).select(*columns)
+    columns = ["number", "group", own.alias("tile"), "id", "p", "block", F.explode(keys).alias("key")]
+    having = entries.withColumn("block", F.pmod(F.xxhash64("id"), blocks).cast("int")).select(*columns)
     lacking = (
         groups.filter("terms > 0")
         .withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1)))
-        .withColumn("term", F.lit(None).cast("string"))
+        .withColumn("id", F.lit(-1).cast("long"))
         .withColumn("p", F.col("p0"))
         .select(*columns)
     )
-    rows = having.unionByName(lacking).select("lang", "key.i", "key.j", "block", "source", "tile", "term", "p")
+    rows = having.unionByName(lacking).select("number", "key.i", "key.j", "block", "group", "tile", "id", "p")
     parts = in_groups(
-        rows,
-        ["lang", "i", "j", "block"],
-        compare_block,
-        "lang string, source string, item string, value long, seen long",
+        rows, ["block", "number", "i", "j"], compare_block, "a long, b long, value long, seen long"
     )
-    sums = parts.groupBy("lang", "source", "item").agg(F.sum("value").alias("value"), F.sum("seen").alias("seen"))
-    one = groups.select("lang", "source", "terms", "p0")
-    other = groups.select("lang", F.col("source").alias("item"), F.col("p0").alias("q0"))
-    pairs = one.join(other, "lang").filter(F.col("source") != F.col("item"))
+    sums = parts.groupBy("a", "b").agg(F.sum("value").alias("value"), F.sum("seen").alias("seen"))
+    one = groups.select("lang", F.col("group").alias("a"), "source", "terms", "p0")
+    other = groups.select("lang", F.col("group").alias("b"), F.col("source").alias("item"), F.col("p0").alias("q0"))
+    pairs = one.join(other, "lang").filter(F.col("a") != F.col("b"))
     unseen = F.col("terms") - F.coalesce("seen", F.lit(0))
     rest = F.when(F.col("terms") > 0, unseen * divergence(F.col("p0"), F.col("q0"))).otherwise(0)
-    return pairs.join(sums, ["lang", "source", "item"], "left").select(
+    return pairs.join(sums, ["a", "b"], "left").select(
         "lang", "source", "item", (F.coalesce("value", F.lit(0)) + rest).alias("value")
     )
 
@@ -210,26 +370,28 @@ def source_divergence(
     def plain(name: str) -> Column:
         return F.coalesce(F.col(f"`{name}`").cast("string"), F.lit(""))
 
-    terms = F.regexp_extract_all(lower_ascii(plain(text)), F.lit(TERM), F.lit(0))
-    rows = stored(docs.select(plain(lang).alias("lang"), plain(source).alias("source"), terms.alias("terms")), "terms")
-    seen = rows.select("lang", F.explode("terms").alias("term")).groupBy("lang")
-    different = dict(seen.agg(F.approx_count_distinct("term", 0.02)).collect())
-    schema = "lang string, source string, term string, count long"
+    rows = docs.select(plain(lang).alias("lang"), plain(source).alias("source"), plain(text).alias("text"))
+    places, at = {}, 0
+    for name, different in sorted(_different(rows).items()):
+        places[name] = (at, max(1, math.ceil(different / shard)))
+        at += places[name][1]
+    dealt = _dealt(rows, places)
+    schema = "lang string, source string, id long, term string, count long, lang_count long"
     tables, kept = [], []
-    for name in sorted(different):
-        shards = math.ceil(1.1 * different[name] / shard)
+    for name, (start, shards) in places.items():
         found = 0
-        for part in _shards(rows.filter(F.col("lang") == name), shards):
-            counted = _counts(part, min_documents)
+        for place in range(start, start + shards):
+            part = dealt.filter(F.col("place") == place).select("source", "weight", "terms")
+            counted = _counts(part, place, min_documents)
             if counted is None:
                 continue
             path = fresh_folder(spark, "divergence")
-            counted[0].select(F.lit(name).alias("lang"), "source", "term", "count").write.parquet(path)
+            counted[0].select(F.lit(name).alias("lang"), "source", "id", "term", "count", "lang_count").write.parquet(path)
             tables.append(path)
             found += counted[1]
         kept.append((name, found))
     counts = spark.read.schema(schema).parquet(*tables) if tables else spark.createDataFrame([], schema)
-    vocabulary = spark.createDataFrame(kept, "lang string, terms long")
+    vocabulary = spark.createDataFrame([(*k, n) for n, k in enumerate(kept)], "lang string, terms long, number int")
 
     sums = counts.groupBy("lang", "source").agg(F.sum("count").alias("total"))
     every = rows.select("lang", "source").distinct().join(sums, ["lang", "source"], "left").join(vocabulary, "lang", "left")
@@ -239,14 +401,14 @@ def source_divergence(
         "p0",
         F.when(F.col("terms") > 0, share(F.lit(0), F.col("total"), F.greatest("terms", F.lit(1)))),
     )
-    groups = stored(groups, "divergence-groups")
+    # Numbers of groups hold once they are written.
+    groups = stored(groups.withColumn("group", F.monotonically_increasing_id()), "divergence-groups")
 
-    together = Window.partitionBy("lang", "term")
     entries = (
-        counts.withColumn("lang_count", F.sum("count").over(together))
-        .join(groups, ["lang", "source"])
+        counts.join(groups.drop("p0"), ["lang", "source"])
         .withColumn("p", share(F.col("count"), F.col("total"), F.col("terms")))
         .withColumn("q", share(F.col("lang_count"), F.col("lang_total"), F.col("terms")))
+        .select("lang", "source", "group", "number", "id", "term", "p", "q", "terms", "sources")
     )
     by_value = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")
     more = entries.filter("p > q").select(

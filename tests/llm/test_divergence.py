@@ -97,3 +97,21 @@ def test_no_documents(spark):
 def test_a_source_with_a_third_of_all_rows(spark):
     rows = corpus(2, n=60) + [("hot words are here", "en", "hot")] * 60 + [("hot", "en", "9")] * 3
     assert rows_of(source_divergence(documents(spark, rows))) == plain(rows)
+
+
+def test_terms_of_texts():
+    import pyarrow as pa
+
+    from labmesh.llm.divergence import hashes, terms_of
+
+    texts = ["", None, "Ab c", "É\x00ß漢", "x", "y9z", "\x7f{", "🙂A", "@[`a", None, "q"]
+    for given in (texts, texts[3:], [], [None], ["", ""]):
+        array = pa.array(["dropped", *given], pa.string()).slice(1)
+        terms, upto = terms_of(array)
+        want = [TERM.findall((t or "").translate(LOWER)) for t in given]
+        assert terms.to_pylist() == [t for w in want for t in w]
+        assert upto.tolist() == [sum(map(len, want[: k + 1])) for k in range(len(want))]
+        assert len(hashes(terms)) == len(terms)
+    terms, _ = terms_of(pa.array(["ab ba ab c abc", "ab"]))
+    a, b, again, *_, last = hashes(terms).tolist()
+    assert a == again == last != b
