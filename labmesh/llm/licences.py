@@ -338,7 +338,7 @@ _HEAD = (
     rf"|{_BEFORE}{_NOTICE}\n(?:(?!{_BLANK})(?!{_BEFORE}(?:{_OPENINGS}|{_TITLE}\n|{_RIGHTS}\n|{_NOTICE}\n))[^\n]*\n)*+)++"
 )
 _NAMED = (
-    r"neither the names? (?:of )?.{1,200}? nor the names? of (?:its|their|his|her|any|other|the|any other)? ?"
+    r"neither the names? (?:of )?.+? nor the names? of (?:its|their|his|her|any|other|the|any other)? ?"
     "contributors may"
 )
 _UNNAMED = "neither the name of the copyright owner nor the names of its contributors may"
