@@ -211,7 +211,8 @@ def train_quality(
     """Trees from at most `sample` labelled documents outside the held-out fold.
 
     Labelled ids are taken in the order of a hash, so the sample is the same in
-    every run. Labels that are NULL, and ids whose labels disagree, are left out.
+    every run. Labels that are NULL, and ids whose labels disagree, are left out. Of
+    several rows of one id the first by text is taken, NULL last.
     The driver receives one row of statistics per sampled document, and the ids
     that are broadcast are as many.
     """
@@ -229,6 +230,8 @@ def train_quality(
     measured = (
         docs.select(named.alias("__id"), F.col(f"`{text}`").alias("__text"))
         .join(F.broadcast(chosen), "__id")
+        .groupBy("__id", "__label")
+        .agg(F.min("__text").alias("__text"))
         .mapInPandas(
             lambda batches: (
                 pd.DataFrame(
@@ -242,7 +245,6 @@ def train_quality(
             ),
             "id long, label int, x array<double>",
         )
-        .limit(2 * sample)
         .toPandas()
         .sort_values(["id"], kind="stable")
     )
