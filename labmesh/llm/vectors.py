@@ -199,19 +199,20 @@ def near_vectors(
         ),
         "units",
     )
-    # Vectors of one direction and label are one class.
+    # Vectors of one direction and label are one class, which has a number of its own:
+    # ids may repeat over classes. Numbers hold once they are written.
     usable_rows = all_rows.filter(F.col("unit").isNotNull()).withColumn(
         "class", F.concat_ws(":", F.length("unit"), "label")
     )
     classes = stored(
-        usable_rows.groupBy("class", "unit").agg(
-            F.min("id").alias("rep"), F.count(F.lit(1)).alias("weight")
-        ),
+        usable_rows.groupBy("class", "unit")
+        .agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("weight"))
+        .withColumn("rep", F.monotonically_increasing_id()),
         "vector-classes",
     )
     # The widths of vectors are properties of models, not of rows: a handful.
     widths = [r[0] for r in classes.select(F.length("unit")).distinct().collect()]
-    kind = dict(classes.dtypes)["rep"]
+    kind = "long"
     found = None
     for width in widths:
         own = classes.filter(F.length("unit") == width)
@@ -222,16 +223,18 @@ def near_vectors(
     found = stored(found, "vector-links")
     counts = found.groupBy("rep").agg(F.sum("links").alias("links"))
     reach = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")))
-    per_class = (
-        classes.select("class", "unit", "rep", "weight")
+    linked = (
+        classes.select("class", "unit", "rep", "weight", "least")
         .join(counts, "rep", "left")
         .join(reach.withColumnRenamed("node", "rep"), "rep", "left")
-        .select(
-            "class",
-            "unit",
-            (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"),
-            F.coalesce("component", "rep").alias("component"),
-        )
+        .withColumn("component", F.coalesce("component", "rep"))
+    )
+    smallest = linked.groupBy("component").agg(F.min("least").alias("smallest"))
+    per_class = linked.join(smallest, "component").select(
+        "class",
+        "unit",
+        (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"),
+        F.col("smallest").alias("component"),
     )
     keyed = all_rows.withColumn("class", F.concat_ws(":", F.length("unit"), "label"))
     component = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
