@@ -245,7 +245,10 @@ def read_records(index: DataFrame, folder: str) -> DataFrame:
     spread = index.select("file", "offset", "length").withColumn(
         "stretch", F.floor(F.col("offset") / RANGE_BYTES)
     )
-    dealt = spread.repartition("file", "stretch").sortWithinPartitions("file", "offset")
+    # As many tasks as the archives have stretches: the index is too small to tell.
+    size = index.agg(F.sum("length").alias("n")).head()["n"] or 0
+    tasks = max(1, -(-size // RANGE_BYTES))
+    dealt = spread.repartition(tasks, "file", "stretch").sortWithinPartitions("file", "offset")
     records = dealt.drop("stretch").mapInPandas(
         read,
         "page_id string, url string, record_type string, refers_to string, payload_bytes long, "
