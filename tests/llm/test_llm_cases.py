@@ -572,3 +572,82 @@ def test_pieces_of_odd_rows(spark):
     assert sorted((r.doc_id or 0, len(r.lang), len(r.decoded)) for r in out)[:2] == [(0, 0, 0), (1, 0, 0)]
     assert all(r.decoded == (r.text or "") and r.taken == 7 for r in out)
     assert encode_pieces(docs.limit(0), model).count() == 0
+
+
+# --- rows that share an id, caps
+
+
+def test_vectors_that_share_an_id_stay_apart(spark):
+    """Labels never meet, also not over an id that both have; chains over several labels."""
+    schema = "vec_id long, embedding array<float>, label string"
+    rows = [(1, [1.0, 0.0], "a"), (1, [1.0, 0.0], "b"), (2, [1.0, 0.1], "a"), (3, [1.0, 0.1], "b")]
+    found = near_vectors(spark.createDataFrame(rows, schema), threshold=0.93)
+    assert rows_of(found) == [(1, 1, 1, True), (1, 1, 1, True), (2, 1, 1, False), (3, 1, 1, False)]
+    rows = [(1, [1.0, 0.0], "a"), (1, [0.0, 1.0], "a"), (2, [1.0, 0.1], "a"), (3, [0.1, 1.0], "a"), (0, [0.0, -1.0], "a")]
+    found = near_vectors(spark.createDataFrame(rows, schema), threshold=0.93)
+    assert [r[1] for r in rows_of(found)] == [0, 1, 1, 1, 1]
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_links_equal_brute_force_over_labels_and_repeated_ids(spark, seed):
+    rng = np.random.default_rng(seed)
+    rows = []
+    for label in ("a", "b", None):
+        chain = np.cumsum(np.full(40, 0.2))
+        angles = np.concatenate([chain, rng.uniform(20, 26, 30)])
+        rows += [(int(rng.integers(0, 60)), [float(np.cos(t)), float(np.sin(t)), 0.01], label) for t in angles]
+    found = near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string"), threshold=0.97)
+    unit = [np.array(v) / np.linalg.norm(v) for _, v, _ in rows]
+    n = len(rows)
+    links = [
+        [j for j in range(n) if j != i and rows[i][2] and rows[i][2] == rows[j][2] and unit[i] @ unit[j] >= 0.97]
+        for i in range(n)
+    ]
+    smallest = [r[0] for r in rows]
+    while True:
+        after = [min([smallest[i]] + [smallest[j] for j in links[i]]) for i in range(n)]
+        if after == smallest:
+            break
+        smallest = after
+    want = sorted((rows[i][0], len(links[i]), smallest[i], rows[i][0] == smallest[i]) for i in range(n))
+    assert sum(w[1] for w in want) > 100 and sorted(tuple(r) for r in found.collect()) == want
+
+
+def test_a_holder_with_a_long_name(spark):
+    text = next(t for t in KNOWN["BSD-3-Clause"] if "contributors may" in " ".join(t.lower().split()))
+    import re
+
+    holder = "the very long name of " + "a company " * 110
+    named = re.sub(r"(?is)neither the name of .*? nor", f"Neither the name of {holder} nor", text, count=1)
+    assert named != text and len(named) > len(text) + 900
+    docs = spark.createDataFrame([(1, named), (2, named + " and more words")], "doc_id long, text string")
+    found = {r["doc_id"]: r["license"] for r in licence_scan(docs).collect()}
+    assert found == {1: "BSD-3-Clause", 2: None}
+
+
+def test_the_training_sample_has_one_row_per_id(spark):
+    rng = np.random.default_rng(5)
+    rows, labels = [], []
+    for i in range(200):
+        good = i % 2
+        for copy in range(3):
+            words = rng.choice(["word", "text", "line"] if good else ["x", "!!", "##"], 40)
+            rows.append((i, " ".join(words)))
+        labels.append((i, good))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    known = spark.createDataFrame(labels, "doc_id long, quality int")
+    first, second = (train_quality(d, known, sample=50) for d in (docs.repartition(1), docs.repartition(9)))
+    assert np.array_equal(first.value, second.value) and np.array_equal(first.threshold, second.threshold)
+
+
+def test_as_many_readers_as_the_archives_have_stretches(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "RANGE_BYTES", 2000)
+    rng = np.random.default_rng(7)
+    rows = [(i, f"http://a/{i}", rng.bytes(900).hex()) for i in range(60)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    folder = warc.archive_folder(spark)
+    index = write_archives(pages, folder)
+    size = sum(r["length"] for r in index.collect())
+    records = read_records(index, folder)
+    assert records.rdd.getNumPartitions() == -(-size // 2000) > 10
+    assert records.count() == 60
