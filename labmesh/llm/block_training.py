@@ -19,11 +19,12 @@ import random
 
 import numpy as np
 
-from labmesh.llm.html_blocks import INPUTS, blocks, features, label_pages
+from labmesh.llm.html_blocks import INPUTS, Block, blocks, features, label_pages
 
-HIDDEN = 24
-PAGES = 2400
-EPOCHS = 8
+HIDDEN = 32
+PAGES = 5000
+EPOCHS = 10
+# Halved after every third epoch.
 RATE = 0.004
 
 _SYLLABLES = "ba de ki lo mu na pe ri so tu va wo en th er an st on ti é ü ñ ch".split()
@@ -34,6 +35,27 @@ MAIN = (
     '<div class="post-content">', '<section class="story">', '<div class="main">',
     '<div role="main">', '<main id="main"><article class="entry">', '<div class="text">', "", "",
 )
+# Layouts around the container: wiki, blog, forum, news and shop software, and tables.
+LAYOUTS = (
+    '<div id="mw-content-text">', '<div id="bodyContent">', '<div id="content"><div class="mw-parser-output">',
+    '<div id="mw-content-text"><div class="mw-parser-output">', '<div class="wiki-page">', '<div class="wikitext">',
+    '<div class="hentry">', '<div class="blog-post">', '<div class="single-post"><div class="entry">',
+    '<div class="post-outer">', '<div class="blog"><div class="post">', '<div class="entry-body">',
+    '<div class="story-body">', '<div class="article__body">', '<div class="news-text">', '<section class="news">',
+    '<div class="field-item">', '<div class="node">', '<div class="topic"><div class="message">',
+    '<div class="post-message">', '<div class="product-description">', '<div class="markdown">', '<div class="prose">',
+    '<div class="page-content">', '<div id="article">', '<div id="story">', '<div itemprop="articleBody">',
+    '<center>', '<div align="left">', '<blockquote>', '<font size="2">',
+)
+# Never drawn for fitting: `accuracy` of unseen layouts is measured on these.
+UNSEEN = (
+    '<div id="doc"><div class="bd">', '<div class="post-body">', "<div><div><div>", '<div class="td-post-content">', '<div id="primary"><div class="inside">',
+    '<div class="c-richtext">', '<div id="readme"><div class="file">', '<td class="maincell">',
+)
+MENU = (
+    "Home", "About", "About us", "Contact", "Contact: webmaster", "News", "Blog", "Login", "Sign in", "Help", "FAQ",
+    "Products", "Services", "Archive", "Categories", "Search", "Sitemap", "Next", "Previous", "Back to top", "Forum",
+)
 OUTSIDE = {
     "menu": ("<nav>", '<div class="menu">', '<ul class="nav">', '<div id="navbar">',
              '<nav class="breadcrumb">', '<div class="navigation">', '<div class="tags">'),
@@ -43,7 +65,8 @@ OUTSIDE = {
              '<aside class="widget">', '<div class="promo">', '<div class="popular">'),
     "notice": ('<div class="cookie-notice">', '<div id="consent">', '<div class="newsletter">',
                '<div class="alert">', '<div class="subscribe">', '<div class="paywall">',
-               '<div class="disclaimer">', '<div class="share">', '<div class="social">'),
+               '<div class="disclaimer">', '<div class="share">', '<div class="social">', '<div class="share">',
+               '<div class="sharing">', '<ul class="share-buttons">'),
     "advert": ('<div class="ad">', '<div class="ads">', '<div class="advert">',
                '<div class="sponsored">', '<div id="ad1">', '<aside class="advertisement">',
                '<div class="ad-slot">'),
@@ -68,14 +91,16 @@ PHRASES = {
                "By continuing to use this site you accept our cookie policy.", "Cookie settings",
                "Subscribe to our newsletter", "Sign up for our email newsletter.", "Share this on Facebook",
                "Share on Twitter", "Follow us on Instagram", "Subscribe now for unlimited access.",
-               "Log in to continue reading.", "Please disable your ad blocker."),
+               "Log in to continue reading.", "Please disable your ad blocker.",
+               "Share this on Facebook Twitter", "Share Tweet Pin Email", "Facebook Twitter LinkedIn"),
     "advert": ("Advertisement", "Sponsored content", "Buy now and save 20%!", "Sponsored advert",
                "Limited time offer: free shipping", "Click here for the best deals.", "Sale ends soon, shop now!",
                "Promoted: get your free quote today", "Advertisement - continue below"),
     "comments": ("Reply", "Log in to comment", "Posted by anna 3 days ago", "Thanks for sharing, great post!",
                  "I agree with the comment above.", "3 comments", "Report this comment", "Leave a reply"),
     "side": ("Related articles", "Most popular", "Read next", "You may also like", "Recent posts"),
-    "footer": ("All rights reserved.", "Terms of use", "Privacy policy", "Contact us", "Powered by"),
+    "footer": ("All rights reserved.", "Terms of use", "Privacy policy", "Contact us", "Powered by",
+               "Contact: webmaster", "Last updated 3 days ago", "Contact: editor"),
 }
 # Without a class only the wording tells these from an article's paragraphs.
 PLAIN = ("<div>", "<p>")
@@ -89,8 +114,9 @@ def _closed(opening: str) -> str:
 class Grammar:
     """Pages and, for every block of them, whether it is main text."""
 
-    def __init__(self, seed: int):
+    def __init__(self, seed: int, layout: str | None = None):
         self.r = random.Random(seed)
+        self.layout = layout
 
     def words(self, low: int, high: int) -> str:
         r = self.r
@@ -117,7 +143,11 @@ class Grammar:
 
     def links(self, low: int, high: int) -> str:
         r = self.r
-        items = [f'<a href="/x">{self.words(1, 3)}</a>' for _ in range(r.randint(low, high))]
+        usual = r.random() < 0.5
+        items = [
+            f'<a href="/x">{r.choice(MENU) if usual and r.random() < 0.7 else self.words(1, 3)}</a>'
+            for _ in range(r.randint(low, high))
+        ]
         if r.random() < 0.7:
             return "<ul>" + "".join(f"<li>{x}</li>" for x in items) + "</ul>"
         return " ".join(items)
@@ -138,9 +168,14 @@ class Grammar:
 
     def outside(self, kind: str) -> str:
         r = self.r
-        if kind in ("notice", "advert") and r.random() < 0.15:
+        if kind in ("notice", "advert") and r.random() < 0.1:
             return self.plain(kind)
         opening = r.choice(OUTSIDE[kind])
+        if kind in ("menu", "form") and r.random() < 0.25:
+            # Links tell a menu, and fields a form, whatever is around them.
+            opening = r.choice((self.invented(), "<div>", "<div><div>", "<td>")) if kind == "menu" else "<div><form>"
+        elif r.random() < 0.2:
+            opening = self.invented() + opening
         if kind == "menu":
             inner = self.links(2, 9)
         elif kind == "header":
@@ -167,9 +202,34 @@ class Grammar:
             inner = f"<p>{inner}</p>" if r.random() < 0.4 else inner
         return opening + inner + _closed(opening)
 
+    def invented(self) -> str:
+        """An element with a name that no other page has."""
+        r = self.r
+        name = "".join(r.choice(_SYLLABLES) for _ in range(r.randint(2, 4)))
+        kind = r.choice(("class", "class", "id"))
+        return f'<{r.choice(("div", "div", "div", "section"))} {kind}="{name}{r.choice(("", "-x", "_1", "2"))}">'
+
+    def wrapper(self) -> str:
+        """Elements that say nothing: plain ones and such with unknown names."""
+        return "".join(self.r.choice(("<div>", "<div>", self.invented())) for _ in range(self.r.choice((0, 0, 0, 1, 1, 2, 3, 4))))
+
+    def container(self) -> str:
+        """What an article stands in."""
+        r = self.r
+        pick = r.random()
+        if pick < 0.3:
+            return "<article>"
+        if pick < 0.5:
+            return r.choice(MAIN)
+        if pick < 0.7:
+            return r.choice(LAYOUTS)
+        if pick < 0.8:
+            return self.invented()
+        return "<div>" * r.choice((0, 0, 1, 2, 3, 4))
+
     def article(self) -> str:
         r = self.r
-        opening = r.choice(MAIN) if r.random() > 0.25 else "<article>"
+        opening = self.layout if self.layout is not None else self.wrapper() + self.container() + self.wrapper()
         out = [opening]
         if r.random() < 0.85:
             out.append(f"<h1>{self.words(1, 10)}</h1>")
@@ -188,7 +248,7 @@ class Grammar:
         r = self.r
         pick = r.random()
         if pick < 0.5:
-            low, high = r.choice(((1, 3), (5, 40), (30, 120), (100, 400)))
+            low, high = r.choice(((1, 3), (2, 8), (5, 40), (30, 120), (100, 400)))
             return f"<p>{self.words(low, high)}</p>"
         if pick < 0.62:
             return f"<p><b>{self.words(2, 60)}<br>"
@@ -228,9 +288,18 @@ class Grammar:
         before = [k for k in ("menu", "header", "notice", "advert", "menu", "form") if r.random() < 0.4]
         after = [k for k in ("comments", "side", "advert", "form", "notice", "footer") if r.random() < 0.4]
         r.shuffle(before)
-        marked = "".join(f"\x01{self.outside(k)}\x02" for k in before)
-        marked += self.article() if r.random() < 0.96 else ""
-        marked += "".join(f"\x01{self.outside(k)}\x02" for k in after)
+        head = "".join(f"\x01{self.outside(k)}\x02" for k in before)
+        body = self.article() if r.random() < 0.96 else ""
+        tail = "".join(f"\x01{self.outside(k)}\x02" for k in after)
+        if r.random() < 0.1:
+            # A table as a frame: menus in one cell, the article in the next, a line below.
+            side = f'\x01{self.links(2, 8)}\x02' if r.random() < 0.8 else ""
+            last = f"<tr><td>\x01{self.phrased('footer', 1, 6)}\x02</td></tr>" if r.random() < 0.6 else ""
+            named = r.choice(("", "", ' class="left"', ' width="150"', ' valign="top"'))
+            marked = f"{head}<table><tr><td{named}>{side}</td><td>{body}</td></tr>{last}</table>{tail}"
+        else:
+            wrap = self.wrapper()
+            marked = f"{head}{wrap}{body}{_closed(wrap)}{tail}" if r.random() < 0.7 else f"{wrap}{head}{body}{tail}{_closed(wrap)}"
         if r.random() < 0.3:
             marked = f'<div class="{r.choice(("wrap", "page", "container", "site"))}">{marked}</div>'
         head = f"<html><head><title>{self.words(1, 8)}</title><script>var t='</p>';</script></head>"
@@ -252,16 +321,17 @@ def unmarked(page: str) -> str:
     return page.replace("\x01", "").replace("\x02", "")
 
 
-def generate(n: int, seed: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    grammar = Grammar(seed)
-    xs, ys = [], []
-    while len(xs) < n:
+def generate(n: int, seed: int, layout: str | None = None) -> tuple[list[list[Block]], list[np.ndarray]]:
+    """Pages as blocks, and whether each is main text; `layout` is what all articles stand in."""
+    grammar = Grammar(seed, layout)
+    pages, ys = [], []
+    while len(pages) < n:
         page, truth = grammar.page()
         cut = blocks(unmarked(page))
         if cut and len(cut) == len(truth):
-            xs.append(features(cut))
+            pages.append(cut)
             ys.append(np.array(truth, np.float32))
-    return xs, ys
+    return pages, ys
 
 
 def _sigmoid(x):
@@ -324,12 +394,14 @@ def train(pages: int = PAGES, epochs: int = EPOCHS, seed: int = 3) -> dict[str,
     }
     first = {k: np.zeros_like(v) for k, v in weights.items()}
     second = {k: np.zeros_like(v) for k, v in weights.items()}
-    xs, ys = generate(pages, seed)
+    cut, ys = generate(pages, seed)
+    xs = [features(page) for page in cut]
     step = 0
     for epoch in range(epochs):
         order = sorted(rng.permutation(len(xs)), key=lambda k: len(xs[k]))
         groups = [order[k : k + 32] for k in range(0, len(order), 32)]
         rng.shuffle(groups)
+        rate = RATE * 0.5 ** (epoch // 3)
         for group in groups:
             steps = max(len(xs[k]) for k in group)
             x = np.zeros((len(group), steps, INPUTS), np.float32)
@@ -356,14 +428,16 @@ def train(pages: int = PAGES, epochs: int = EPOCHS, seed: int = 3) -> dict[str,
                 first[k] = 0.9 * first[k] + 0.1 * g
                 second[k] = 0.999 * second[k] + 0.001 * g * g
                 m, v = first[k] / (1 - 0.9**step), second[k] / (1 - 0.999**step)
-                weights[k] -= (RATE * m / (np.sqrt(v) + 1e-8)).astype(np.float32)
+                weights[k] -= (rate * m / (np.sqrt(v) + 1e-8)).astype(np.float32)
     return weights
 
 
-def accuracy(weights: dict[str, np.ndarray], pages: int = 400, seed: int = 99) -> float:
-    """Share of blocks labelled right on pages drawn with another seed."""
-    xs, ys = generate(pages, seed)
-    right = [((p >= 0.5) == (y > 0.5)) for p, y in zip(label_pages(xs, weights), ys)]
+def accuracy(
+    weights: dict[str, np.ndarray], pages: int = 400, seed: int = 99, layout: str | None = None
+) -> float:
+    """Share of blocks labelled right on pages drawn with another seed, or in a layout of their own."""
+    cut, ys = generate(pages, seed, layout)
+    right = [((p >= 0.5) == (y > 0.5)) for p, y in zip(label_pages(cut, weights), ys)]
     return float(np.concatenate(right).mean())
 
 
@@ -374,3 +448,5 @@ if __name__ == "__main__":
         **{k: v.astype(np.float16) for k, v in fitted.items()},
     )
     print("held-out accuracy", accuracy(fitted))
+    for unseen in UNSEEN:
+        print("unseen layout", unseen, accuracy(fitted, 100, layout=unseen))

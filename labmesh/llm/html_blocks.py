@@ -5,7 +5,8 @@ open elements above it. Each block is described by hashed features of its tag
 path (names, classes, ids), all its words hashed, and a few sizes. A bidirectional LSTM
 in numpy reads the blocks of a page in both directions, so that every block is
 labelled with the whole document as context; blocks labelled as main text are
-joined. Pages of a batch run together, in groups of similar length.
+joined. Pages of a batch run together, in groups of similar length, and a stretch of
+blocks at a time, so that a long page holds its texts and one number per block.
 
 The weights in `block_weights.npz` come from `block_training`, which fits them on
 generated pages. One narrow pass over the pages, no shuffle.
@@ -16,20 +17,26 @@ from __future__ import annotations
 import html as entities
 import os
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
-from labmesh.llm.common import add_column
+from labmesh.llm.common import by_bytes
 
-PATH_BINS = 256
+PATH_BINS = 1024
 WORD_BINS = 64
 SIZES = 8
 INPUTS = PATH_BINS + WORD_BINS + SIZES
 BATCH_BLOCKS = 1 << 14
+# Blocks of a page that are described and read at once.
+STRETCH = 512
+# Bytes of pages that are cut into blocks at once; a longer page stands alone.
+STEP = 4 << 20
 
 # Elements of HTML.
 INLINE = frozenset(
@@ -167,21 +174,23 @@ def _bin(word: str, bins: int) -> int:
     return found
 
 
-def features(page: list[Block]) -> np.ndarray:
-    """One row per block: its path, words and sizes."""
-    out = np.zeros((len(page), INPUTS), np.float32)
-    paths: dict[tuple[str, ...], list[int]] = {}
-    for k, block in enumerate(page):
-        bins = paths.get(block.path)
-        if bins is None:
-            bins = paths[block.path] = [_bin(mark, PATH_BINS) for mark in block.path]
-        out[k, bins] = 1.0
+def path_bins(path: tuple[str, ...]) -> np.ndarray:
+    """The inputs that the marks of a path set to 1."""
+    return np.array(sorted({_bin(mark, PATH_BINS) for mark in path}), np.int64)
+
+
+def described(page: list[Block], start: int, end: int) -> np.ndarray:
+    """Words and sizes of a stretch of blocks, one row per block."""
+    out = np.zeros((end - start, WORD_BINS + SIZES), np.float32)
+    for k in range(start, end):
+        block = page[k]
         words = block.text.lower().split()
         # All words of the block: root shares, so that the vector has length 1 however long it is.
         counts = np.bincount([_bin(word, WORD_BINS) for word in words], minlength=WORD_BINS)
-        out[k, PATH_BINS : PATH_BINS + WORD_BINS] = np.sqrt(counts / len(words))
+        row = out[k - start]
+        row[:WORD_BINS] = np.sqrt(counts / len(words))
         n = len(block.text)
-        out[k, PATH_BINS + WORD_BINS :] = (
+        row[WORD_BINS:] = (
             np.log1p(n) / 5,
             np.log1p(len(words)) / 5,
             block.linked / n,
@@ -194,19 +203,30 @@ def features(page: list[Block]) -> np.ndarray:
     return out
 
 
+def features(page: list[Block]) -> np.ndarray:
+    """One row per block: its path, words and sizes; what the labeller is fitted on."""
+    out = np.zeros((len(page), INPUTS), np.float32)
+    for k, block in enumerate(page):
+        out[k, path_bins(block.path)] = 1.0
+    out[:, PATH_BINS:] = described(page, 0, len(page))
+    return out
+
+
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * (np.tanh(0.5 * x) + 1.0)
 
 
-def lstm(x: np.ndarray, w: np.ndarray, u: np.ndarray, mask: np.ndarray) -> np.ndarray:
-    """States of one direction: x is pages by steps by inputs; masked steps keep the state."""
-    pages, steps, _ = x.shape
+def lstm(
+    gates: np.ndarray, u: np.ndarray, mask: np.ndarray, h: np.ndarray, c: np.ndarray
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """States of one direction over a stretch, and the state after it.
+
+    `gates` is pages by steps by what the inputs add to the gates; masked steps keep
+    the state.
+    """
     hidden = u.shape[0]
-    gates = x @ w
-    h = np.zeros((pages, hidden), np.float32)
-    c = np.zeros_like(h)
-    out = np.empty((pages, steps, hidden), np.float32)
-    for t in range(steps):
+    out = np.empty((*gates.shape[:2], hidden), np.float32)
+    for t in range(gates.shape[1]):
         z = gates[:, t] + h @ u
         i, f, o = (_sigmoid(z[:, k * hidden : (k + 1) * hidden]) for k in range(3))
         new = f * c + i * np.tanh(z[:, 3 * hidden :])
@@ -214,29 +234,62 @@ def lstm(x: np.ndarray, w: np.ndarray, u: np.ndarray, mask: np.ndarray) -> np.nd
         c = np.where(m, new, c)
         h = np.where(m, o * np.tanh(new), h)
         out[:, t] = h
-    return out
-
-
-def label_pages(pages: list[np.ndarray], weights: dict[str, np.ndarray]) -> list[np.ndarray]:
+    return out, h, c
+
+
+def _gates(
+    pages: list[list[Block]], start: int, end: int, w: np.ndarray, paths: dict[tuple[str, ...], np.ndarray]
+) -> tuple[np.ndarray, np.ndarray]:
+    """What a stretch of each page adds to the gates, and which steps a page has."""
+    gates = np.zeros((len(pages), end - start, w.shape[1]), np.float32)
+    mask = np.zeros(gates.shape[:2], bool)
+    for row, page in enumerate(pages):
+        stop = min(end, len(page))
+        if start >= stop:
+            continue
+        own = described(page, start, stop) @ w[PATH_BINS:]
+        for k in range(start, stop):
+            path = page[k].path
+            added = paths.get(path)
+            if added is None:
+                if len(paths) > 4096:
+                    paths.clear()
+                # Most inputs of a path are 0: the rows of the others are added up.
+                added = paths[path] = w[path_bins(path)].sum(axis=0)
+            own[k - start] += added
+        gates[row, : stop - start] = own
+        mask[row, : stop - start] = True
+    return gates, mask
+
+
+def label_pages(pages: list[list[Block]], weights: dict[str, np.ndarray]) -> list[np.ndarray]:
     """Per page the probability of every block to be main text."""
     out: list[np.ndarray] = [np.zeros(0, np.float32)] * len(pages)
     order = sorted((k for k in range(len(pages)) if len(pages[k])), key=lambda k: len(pages[k]))
+    hidden = weights["uf"].shape[0]
+    paths: tuple[dict, dict] = ({}, {})
     while order:
         # The longest page sets how many fit beside it.
         longest = len(pages[order[-1]])
         many = max(1, BATCH_BLOCKS // longest)
         group, order = order[-many:], order[:-many]
-        x = np.zeros((len(group), longest, INPUTS), np.float32)
-        mask = np.zeros((len(group), longest), bool)
-        for row, k in enumerate(group):
-            x[row, : len(pages[k])] = pages[k]
-            mask[row, : len(pages[k])] = True
-        forward = lstm(x, weights["wf"], weights["uf"], mask)
-        # Backwards the padding comes first and leaves the state at zero.
-        backward = lstm(x[:, ::-1], weights["wb"], weights["ub"], mask[:, ::-1])[:, ::-1]
-        scores = _sigmoid(np.concatenate([forward, backward], axis=2) @ weights["v"] + weights["b"])
+        own = [pages[k] for k in group]
+        scores = np.full((len(group), longest), weights["b"][0], np.float32)
+        starts = range(0, longest, STRETCH)
+        for side, (w, u, v) in enumerate(
+            ((weights["wf"], weights["uf"], weights["v"][:hidden]), (weights["wb"], weights["ub"], weights["v"][hidden:]))
+        ):
+            h = np.zeros((len(group), hidden), np.float32)
+            c = np.zeros_like(h)
+            # Backwards the padding comes first and leaves the state at zero.
+            turn = slice(None, None, -1 if side else 1)
+            for start in reversed(starts) if side else starts:
+                end = min(start + STRETCH, longest)
+                gates, mask = _gates(own, start, end, w, paths[side])
+                states, h, c = lstm(gates[:, turn], u, mask[:, turn], h, c)
+                scores[:, start:end] += (states @ v)[:, turn]
         for row, k in enumerate(group):
-            out[k] = scores[row, : len(pages[k])]
+            out[k] = _sigmoid(scores[row, : len(pages[k])])
     return out
 
 
@@ -248,10 +301,9 @@ def load_weights(path: str | None = None) -> dict[str, np.ndarray]:
 
 def main_texts(pages: list[str], weights: dict[str, np.ndarray]) -> list[str]:
     cut = [blocks(page) for page in pages]
-    labelled = label_pages([features(page) for page in cut], weights)
     return [
         "\n".join(block.text for block, p in zip(page, own, strict=True) if p >= 0.5)
-        for page, own in zip(cut, labelled, strict=True)
+        for page, own in zip(cut, label_pages(cut, weights), strict=True)
     ]
 
 
@@ -264,12 +316,16 @@ def extract_text(
     menus, headers, footers, sidebars, notices, adverts, forms and comments. NULL
     and empty pages, and pages without main text, give an empty text. A column that
     is called like the new one is replaced; repeated rows get equal texts; an empty
-    table gives an empty result.
+    table gives an empty result. A very long page is held as its blocks.
     """
     shared = pages.sparkSession.sparkContext.broadcast(weights or load_weights())
+    kept = [f for f in pages.schema.fields if f.name.lower() != text.lower()]
+    names = [f.name for f in kept]
 
-    def start():
-        own = shared.value
-        return lambda batch: main_texts([page or "" for page in batch.to_pylist()], own)
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in by_bytes(batches, html, STEP):
+            texts = main_texts([page or "" for page in part.column(html).to_pylist()], shared.value)
+            columns = [*(part.column(c) for c in names), pa.array(texts, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, names=[*names, text])
 
-    return add_column(pages, html, text, "string", pa.string(), start, rows=128)
+    return pages.mapInArrow(work, T.StructType([*kept, T.StructField(text, T.StringType())]))
