@@ -25,7 +25,7 @@ from labmesh.llm.remembered import Remembered
 
 MARKER = "▁"
 # Bytes of words and ids that a worker keeps, with what Python adds to each.
-REMEMBERED = 32 << 20
+REMEMBERED = 64 << 20
 UNKNOWN_PENALTY = 10.0
 # Words of similar length in bytes are cut together; longer ones one by one.
 WIDTHS = (8, 12, 16, 24, 32, 64)
@@ -452,7 +452,7 @@ def encode_round_trip(
     names = [f.name for f in kept] + [ids, same]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, decoder = Encoder(shared.value), Decoder(shared.value)
+        encoder, decoder = Encoder(shared.value, REMEMBERED // 2), Decoder(shared.value)
         for part in by_bytes(batches, text, 1 << 20):
             texts = part.column(text).to_pylist()
             found = encoder.encode_many(texts)
