@@ -158,7 +158,11 @@ def _dealt(docs: DataFrame, places: dict[str, tuple[int, int]]) -> DataFrame:
             row, code = one // len(terms), one % len(terms)
             first, shards = np.array([places[lang] for lang in part.column("lang").to_pylist()]).T
             place = first[row] + (values[code] % shards[row].astype(np.uint64)).astype(np.int64)
-            order = np.lexsort((weight, place, row))
+            most, last = int(weight.max()) + 1, int(place.max()) + 1
+            if part.num_rows * last * most < 2**62:
+                order = np.argsort((row * last + place) * most + weight, kind="stable")
+            else:
+                order = np.lexsort((weight, place, row))
             row, code, place, weight = row[order], code[order], place[order], weight[order]
             new = (row[1:] != row[:-1]) | (place[1:] != place[:-1]) | (weight[1:] != weight[:-1])
             starts = np.flatnonzero(np.append(True, new))
