@@ -5,82 +5,120 @@ The batch form is ``operators.runs.violation_runs``; both agree on the runs.
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from labmesh.operators.violations import THRESHOLD
 from labmesh.streaming.freezers import LATE
-from labmesh.streaming.ordered import InOrder, in_order, micros, timestamp
+from labmesh.streaming.ordered import InOrder, codes, column, in_order, unpacked
 
 RAISED, ENDED = "raised", "ended"
 
 
+def _moments(rows: pa.Table) -> pa.Table:
+    """One row per key and moment (a moment may have come in several batches)."""
+    found = rows.group_by(["key", "time"]).aggregate([("readings", "sum"), ("lowest", "min"), ("highest", "max")])
+    return found.select(["key", "time", "readings_sum", "lowest_min", "highest_max"]).rename_columns(
+        ["key", "time", "readings", "lowest", "highest"]
+    )
+
+
 class ReadingRuns(InOrder):
-    """Runs of violating readings of one freezer.
+    """Runs of violating readings of freezers.
 
     Waiting are the moments that have not passed, with their lowest and highest
-    reading. Remembered is the open run.
+    reading. Remembered is the open run of a freezer that has one.
     """
 
-    waiting = "time long, readings long, lowest double, highest double"
-    memory = "readings long, first long, last long, peak double"
-    start = (0, 0, 0, 0.0)
+    waiting = pa.schema(
+        {"key": pa.string(), "time": pa.int64(), "readings": pa.int64(), "lowest": pa.float64(), "highest": pa.float64()}
+    )
+    memory = pa.schema(
+        {"key": pa.string(), "readings": pa.int64(), "first": pa.int64(), "last": pa.int64(), "peak": pa.float64()}
+    )
+    results = "key string, state string, first long, last long, readings long, peak double"
 
     def __init__(self, length: int, threshold: float, quiet: int | None):
-        super().__init__(["FreezerID", "State", "RunStart", "RunEnd", "Readings", "PeakValue"])
         self.length, self.threshold, self.quiet = length, threshold, quiet
 
-    def arrive(self, rows: pd.DataFrame) -> list[tuple]:
-        known = rows.dropna(subset=["ReadingValue"])
-        moments = known.groupby(micros(known["ReadingTime"]))["ReadingValue"].agg(["size", "min", "max"])
-        return [
-            (int(at), int(n), float(low), float(high))
-            for at, n, low, high in zip(moments.index, moments["size"], moments["min"], moments["max"])
-        ]
-
-    def step(self, key, memory, rows, until):
-        n, first, last, peak = memory
-        found = []
-
-        def report(state: str, end: int) -> None:
-            found.append((key[0], state, timestamp(first), timestamp(end), n, peak))
-
-        for at, moment in _by_moment(rows):
-            low, high = min(r[2] for r in moment), max(r[3] for r in moment)
-            if n and (low < self.threshold or self._gone(last, at)):
-                if n >= self.length:
-                    report(ENDED, last)
-                n = 0
-            if low < self.threshold:
-                continue
-            before = n
-            first, peak = (at, high) if n == 0 else (first, max(peak, high))
-            n, last = n + sum(r[1] for r in moment), at
-            if before < self.length <= n:
-                report(RAISED, at)
-        if n and self._gone(last, until):
-            if n >= self.length:
-                report(ENDED, last)
-            n = 0
-        return (n, first, last, peak), found
-
-    def _gone(self, last: int, now: int) -> bool:
-        return self.quiet is not None and now - last >= self.quiet
+    def arrive(self, rows):
+        known = rows.select(["key", "time", "value"]).drop_null()
+        value = known.column("value")
+        one = pa.array(np.ones(len(known), np.int64))
+        return _moments(
+            pa.table(
+                {"key": known.column("key"), "time": known.column("time"), "readings": one, "lowest": value, "highest": value}
+            )
+        )
+
+    def step(self, memory, ready, until):
+        ready = _moments(ready)
+        old = np.repeat([True, False], [len(memory), len(ready)])
+        names = pa.concat_arrays([*memory.column("key").chunks, *ready.column("key").chunks, pa.array([], pa.string())])
+        code = np.concatenate(codes(memory.column("key"), ready.column("key")))
+        time = np.concatenate([column(memory, "last"), column(ready, "time")])
+        first = np.concatenate([column(memory, "first"), column(ready, "time")])
+        count = np.concatenate([column(memory, "readings"), column(ready, "readings")])
+        # An open run goes before the readings of its freezer, like a moment that violates.
+        low = np.concatenate([np.full(len(memory), np.inf), column(ready, "lowest")])
+        high = np.concatenate([column(memory, "peak"), column(ready, "highest")])
+        order = np.lexsort((time, ~old, code))
+        code, time, first, count, low, high, old = (x[order] for x in (code, time, first, count, low, high, old))
+        breaks = low < self.threshold
+        other = np.append(True, code[1:] != code[:-1])[: len(code)]
+        # A breaking moment is a stretch of its own.
+        begins = other | breaks | np.append(True, breaks[:-1])[: len(code)]
+        if self.quiet is not None:
+            begins[1:] |= time[1:] - time[:-1] >= self.quiet
+        starts = np.flatnonzero(begins)
+        if not len(starts):
+            return memory, self.memory.empty_table()
+        ends = np.append(starts[1:], len(code)) - 1
+        stretch = np.cumsum(begins) - 1
+        total = np.add.reduceat(count, starts)
+        peak = np.maximum.reduceat(high, starts)
+        run = ~breaks[starts]
+        long = run & (total >= self.length)
+
+        upto = np.cumsum(count)
+        so_far = upto - (upto - count)[starts][stretch]
+        raised = np.flatnonzero(run[stretch] & ~old & (so_far >= self.length) & (so_far - count < self.length))
+        spans = np.column_stack([starts[stretch[raised]], raised + 1]).ravel()
+        peak_then = np.maximum.reduceat(np.append(high, -np.inf), spans)[::2] if len(raised) else high[:0]
+
+        over = np.append(~other[starts[1:]], False)
+        if self.quiet is not None:
+            over |= until - time[ends] >= self.quiet
+        ended, still = np.flatnonzero(long & over), np.flatnonzero(run & ~over)
+        found = pa.table(
+            {
+                "key": names.take(pa.array(order[np.concatenate([raised, starts[ended]])])),
+                "state": pa.array([RAISED] * len(raised) + [ENDED] * len(ended), pa.string()),
+                "first": np.concatenate([first[starts[stretch[raised]]], first[starts[ended]]]),
+                "last": np.concatenate([time[raised], time[ends[ended]]]),
+                "readings": np.concatenate([so_far[raised], total[ended]]),
+                "peak": np.concatenate([peak_then, peak[ended]]),
+            }
+        )
+        held = pa.table(
+            {
+                "key": names.take(pa.array(order[starts[still]])),
+                "readings": total[still],
+                "first": first[starts[still]],
+                "last": time[ends[still]],
+                "peak": peak[still],
+            }
+        )
+        return held.cast(self.memory), found
 
     def wake(self, memory):
-        return memory[2] + self.quiet if memory[0] and self.quiet is not None else None
-
-
-def _by_moment(rows: list[tuple]) -> list[tuple[int, list[tuple]]]:
-    """Rows in order, those of one moment together (they may have come in several batches)."""
-    moments: list[tuple[int, list[tuple]]] = []
-    for row in rows:
-        if moments and moments[-1][0] == row[0]:
-            moments[-1][1].append(row)
-        else:
-            moments.append((row[0], [row]))
-    return moments
+        if self.quiet is None or not len(memory):
+            return None
+        return pc.min(memory.column("last")).as_py() + self.quiet
 
 
 def reading_alarms(
@@ -100,14 +138,16 @@ def reading_alarms(
     no more of one freezer than a task can take; waiting are only those of the last
     ``late``, one row per moment.
     """
-    id_type = readings.schema["FreezerID"].dataType.simpleString()
     span = None if quiet is None else int(pd.Timedelta(quiet) / pd.Timedelta(microseconds=1))
     stream = readings.withWatermark("ReadingTime", late).select(
-        "FreezerID", "ReadingTime", F.col("ReadingValue").cast("double").alias("ReadingValue")
+        "FreezerID", "ReadingTime", F.col("ReadingValue").cast("double").alias("value")
     )
-    return in_order(
-        stream,
-        "FreezerID",
-        ReadingRuns(length, float(threshold), span),
-        f"FreezerID {id_type}, State string, RunStart timestamp, RunEnd timestamp, Readings long, PeakValue double",
+    found = in_order(stream, "FreezerID", "ReadingTime", ReadingRuns(length, float(threshold), span))
+    return found.select(
+        unpacked("key", readings, ["FreezerID"])["FreezerID"].alias("FreezerID"),
+        F.col("state").alias("State"),
+        F.timestamp_micros("first").alias("RunStart"),
+        F.timestamp_micros("last").alias("RunEnd"),
+        F.col("readings").alias("Readings"),
+        F.col("peak").alias("PeakValue"),
     )

@@ -30,6 +30,11 @@ ROCKSDB = {
 MERGED_EARLY = {"spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true"}
 
 
+# Rows of a replayed batch that one file should hold at most.
+ROWS_PER_FILE = 250_000
+_EXTRA, _PLACE = "__extra", "__place"
+
+
 @contextmanager
 def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
     """Session settings for the time in which a stream is started."""
@@ -43,18 +48,34 @@ def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
             spark.conf.unset(name) if value is None else spark.conf.set(name, value)
 
 
-def replay(table: DataFrame, batch: str, batches: int, label: str = "replay") -> DataFrame:
+def replay(
+    table: DataFrame, batch: str, batches: int, label: str = "replay", rows_per_file: int = ROWS_PER_FILE
+) -> DataFrame:
     """A table as a stream that delivers the rows of each batch number together, in order.
 
-    Each number from 0 on is one file and one micro-batch; a number without rows is an
-    empty file. For backfills and for tests of what depends on arrival.
+    Each number from 0 on is one micro-batch. All have the same number of files, as many
+    as the largest needs at ``rows_per_file``, which as many tasks write and read; a
+    number without rows has empty ones. For backfills and for tests of what depends on
+    arrival.
     """
     spark = table.sparkSession
     path = fresh_folder(spark, label)
     columns = [c for c in table.columns if c != batch]
+    sizes = table.where(F.col(batch).between(0, batches - 1)).groupBy(batch).agg(F.count("*").alias("n"))
+    files = max(1, -(-(sizes.agg(F.max("n")).head()[0] or 0) // rows_per_file))
+    # A task without rows writes no file: each gets a row that the stream leaves out.
+    place = F.pmod(F.xxhash64(*columns), F.lit(files)).cast("int")
+    extra = spark.range(files).select(
+        *(F.lit(None).cast(table.schema[c].dataType).alias(c) for c in columns),
+        F.lit(True).alias(_EXTRA),
+        F.col("id").cast("int").alias(_PLACE),
+    )
     for number in range(batches):
-        table.where(F.col(batch) == number).select(*columns).coalesce(1).write.mode("append").parquet(path)
-    return read_folder(spark, path, table.select(*columns).schema, files_per_batch=1)
+        rows = table.where(F.col(batch) == number).select(*columns, F.lit(False).alias(_EXTRA), place.alias(_PLACE))
+        dealt = rows.unionByName(extra).repartitionById(files, _PLACE) if files > 1 else rows.coalesce(1)
+        dealt.drop(_PLACE).write.mode("append").parquet(path)
+    schema = table.select(*columns, F.lit(False).alias(_EXTRA)).schema
+    return read_folder(spark, path, schema, files_per_batch=files).where(~F.col(_EXTRA)).drop(_EXTRA)
 
 
 def run_available(

@@ -2,52 +2,66 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from labmesh.streaming.freezers import LATE
-from labmesh.streaming.ordered import InOrder, in_order, micros, timestamp
+from labmesh.streaming.ordered import InOrder, codes, column, in_order, packed, unpacked
 
 CHANGE, READING = 0, 1
-_TIMES = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "ignoreNullFields": "false"}
 
 
 class ValidAt(InOrder):
-    """Readings and changes of one key; remembered is the change that holds now.
+    """Readings and changes; remembered is the change that holds now, by key.
 
     A change holds from its own moment on, so it goes before readings of that moment;
     of changes of one moment the greater row holds.
     """
 
-    waiting = "time long, kind int, row string"
-    memory = "since long, row string"
-    start = (0, None)
-    keys = 3
-
-    def __init__(self, key: str):
-        super().__init__([key, "at", "row", "since", "valid"])
-
-    def arrive(self, rows: pd.DataFrame) -> list[tuple]:
-        return list(zip(micros(rows["at"]).tolist(), rows["kind"].tolist(), rows["row"].tolist()))
-
-    def step(self, key, memory, rows, until):
-        since, valid = memory
-        found = []
-        for at, kind, row in rows:
-            if kind == CHANGE:
-                since, valid = at, row
-            else:
-                found.append((key[0], timestamp(at), row, timestamp(since) if valid else None, valid))
-        return (since, valid), found
-
-
-def _packed(columns: list[str]) -> Column:
-    return F.to_json(F.struct(*columns), _TIMES)
-
-
-def _kinds(frame: DataFrame, columns: list[str]) -> str:
-    return ", ".join(f"`{c}` {frame.schema[c].dataType.simpleString()}" for c in columns)
+    waiting = pa.schema({"key": pa.string(), "time": pa.int64(), "kind": pa.int32(), "row": pa.string()})
+    memory = pa.schema({"key": pa.string(), "since": pa.int64(), "row": pa.string()})
+    results = "key string, time long, row string, since long, valid string"
+
+    def arrive(self, rows):
+        return rows
+
+    def step(self, memory, ready, until):
+        is_change = pc.equal(ready.column("kind"), CHANGE)
+        readings = ready.filter(pc.invert(is_change))
+        arrived = ready.filter(is_change).select(["key", "time", "row"]).rename_columns(["key", "since", "row"])
+        changes = pa.concat_tables([memory, arrived])
+        # By key, time and text, which for UTF-8 is the order of code points.
+        of_change, of_reading = codes(changes.column("key"), readings.column("key"))
+        by = pa.table({"code": of_change, "since": changes.column("since"), "row": changes.column("row")})
+        order = pc.sort_indices(by, sort_keys=[("code", "ascending"), ("since", "ascending"), ("row", "ascending")])
+        changes, of_change = changes.take(order), of_change[order.to_numpy()]
+        since = column(changes, "since")
+        last = np.append(of_change[1:] != of_change[:-1], True)[: len(of_change)]
+
+        code = np.concatenate([of_change, of_reading])
+        time = np.concatenate([since, column(readings, "time")])
+        kind = np.repeat([CHANGE, READING], [len(changes), len(readings)])
+        place = np.concatenate([np.arange(len(changes)), np.full(len(readings), -1)])
+        merged = np.lexsort((kind, time, code))
+        before = np.empty(len(merged), np.int64)
+        before[merged] = np.maximum.accumulate(place[merged]) if len(merged) else place
+        before = before[len(changes) :]
+        held = before >= 0
+        held[held] = of_change[before[held]] == of_reading[held]
+        valid = changes.select(["since", "row"]).take(pa.array(before, mask=~held))
+        found = pa.table(
+            {
+                "key": readings.column("key"),
+                "time": readings.column("time"),
+                "row": readings.column("row"),
+                "since": valid.column("since"),
+                "valid": valid.column("row"),
+            }
+        )
+        return changes.filter(pa.array(last)).combine_chunks(), found
 
 
 def with_version(
@@ -69,24 +83,21 @@ def with_version(
     more = [c for c in changes.columns if c not in (key, since)]
     both = (
         readings.where(F.col(key).isNotNull() & F.col(time).isNotNull())
-        .select(F.col(key), F.col(time).alias("at"), F.lit(READING).alias("kind"), _packed([time, *own]).alias("row"))
+        .select(F.col(key), F.col(time).alias("at"), F.lit(READING).alias("kind"), packed([time, *own]).alias("row"))
         .withWatermark("at", late)
         .unionByName(
             changes.where(F.col(key).isNotNull() & F.col(since).isNotNull())
-            .select(F.col(key), F.col(since).alias("at"), F.lit(CHANGE).alias("kind"), _packed([since, *more]).alias("row"))
+            .select(F.col(key), F.col(since).alias("at"), F.lit(CHANGE).alias("kind"), packed([since, *more]).alias("row"))
             .withWatermark("at", late)
         )
     )
-    id_type = readings.schema[key].dataType.simpleString()
-    found = in_order(
-        both, key, ValidAt(key), f"`{key}` {id_type}, at timestamp, row string, since timestamp, valid string"
-    )
-    reading = F.from_json("row", _kinds(readings, own), _TIMES)
-    version = F.from_json("valid", _kinds(changes, more), _TIMES)
+    found = in_order(both, key, "at", ValidAt())
+    reading = unpacked("row", readings, own)
+    version = unpacked("valid", changes, more)
     return found.select(
-        key,
-        F.col("at").alias(time),
+        unpacked("key", readings, [key])[key].alias(key),
+        F.timestamp_micros("time").alias(time),
         *(reading[c].alias(c) for c in own),
-        F.col("since").alias(since),
+        F.timestamp_micros("since").alias(since),
         *(version[c].alias(c) for c in more),
     )

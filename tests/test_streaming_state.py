@@ -5,9 +5,10 @@ from __future__ import annotations
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.sql.pandas.group_ops import PandasGroupedOpsMixin as spark_groups
 
 from labmesh.operators.runs import violation_runs
-from labmesh.streaming import access, freezers
+from labmesh.streaming import access, freezers, ordered
 from labmesh.streaming.alarms import reading_alarms
 from labmesh.streaming.late import account, deliveries, on_time
 from labmesh.streaming.run import MERGED_EARLY, ROCKSDB, read_folder, replay, run_available
@@ -156,6 +157,33 @@ def test_readings_carry_the_version_of_their_time(deliver):
     ]
 
 
+@pytest.mark.parametrize("buckets", [1, 64])
+def test_keys_of_a_bucket_do_not_mix(deliver, spark, monkeypatch, buckets):
+    """Freezers that share a bucket, one of them without an id, and rows without a time."""
+    rows = [
+        (i, None if i % 50 == 49 else i % 50, at(i // 50 + i % 3 / 10), -60.0 if (i * 7919) % 11 else -80.0) for i in range(6000)
+    ]
+    batches = [[r for r in rows if 30 * k <= (r[2] - START).total_seconds() / 60 < 30 * k + 30] for k in range(4)]
+    asked = []
+    apply = spark_groups.applyInPandasWithState
+
+    def counted(self, advance, *args):
+        asked.append(self)
+        return apply(self, advance, *args)
+
+    monkeypatch.setattr(spark_groups, "applyInPandasWithState", counted)
+    monkeypatch.setattr(ordered.in_order, "__defaults__", (buckets,))
+    stream = deliver(READINGS, *[[*batch, (9999, 7, None, -90.0)] for batch in batches], END)
+    out = run_available(reading_alarms(stream, 4, quiet="400 days"), "b", conf=ROCKSDB)
+    columns = ["FreezerID", "Readings", "RunStart", "RunEnd", "PeakValue"]
+    # The batch form joins by freezer, which leaves out rows without an id.
+    named = spark.createDataFrame([(*r[:1], -1 if r[1] is None else r[1], *r[2:]) for r in rows], READINGS)
+    want = [(None if r[0] == -1 else r[0], *r[1:]) for r in rows_of(violation_runs(named, 4), *columns)]
+    ended = rows_of(out.where("State = 'ended'"), *columns)
+    assert asked and len(want) > 100 and any(r[0] is None for r in want) and ended == sorted(want, key=repr)
+    assert out.where("State = 'raised'").count() == len(want)
+
+
 def test_what_was_delivered_is_accounted_for(deliver, spark, tmp_path):
     stream = deliver(
         READINGS,
@@ -198,6 +226,22 @@ def test_replay_delivers_batches_in_order(spark):
     assert out.columns == ["n"] and rows_of(out) == [(k,) for k in range(9)]
 
 
+def test_a_large_batch_is_several_files(spark, tmp_path):
+    """Batches stay together and in order, those with few rows or none among them."""
+    table = spark.range(1000).selectExpr("id AS n", "CAST(id % 2 AS INT) * 3 AS b", "IF(id > 990, NULL, id) AS v")
+    table = table.unionByName(spark.createDataFrame([(5000, 2, None)], "n long, b int, v long"))
+    stream = replay(table, "b", 5, rows_per_file=120)
+    seen = {}
+
+    def keep(batch, number):
+        seen[number] = rows_of(batch), batch.rdd.getNumPartitions()
+
+    stream.writeStream.foreachBatch(keep).option("checkpointLocation", str(tmp_path)).trigger(availableNow=True).start().awaitTermination()
+    want = {k: sorted(((r.n, r.v) for r in table.where(f"b = {k}").collect()), key=repr) for k in range(5)}
+    assert {k: rows for k, (rows, _) in seen.items()} == want
+    assert seen[0][1] > 1 and stream.columns == ["n", "v"]
+
+
 def test_no_input(spark, tmp_path):
     (tmp_path / "in").mkdir()
     empty = read_folder(spark, str(tmp_path / "in"), spark.createDataFrame([], READINGS).schema)
