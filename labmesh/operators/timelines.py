@@ -1,7 +1,7 @@
 """Posts over time: concurrency, gaps and overlaps.
 
-Dates bound the work: a window sees at most one summary row per calendar day of a
-researcher, however many posts the table holds for them.
+Dates bound the work: where a researcher has more posts than a task should take, a
+window sees at most one summary row per calendar day, however many posts there are.
 """
 
 from __future__ import annotations
@@ -9,9 +9,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from labmesh.operators.lookup import lookup_join
+from labmesh.operators import lookup
+from labmesh.operators.lookup import hot_keys, lookup_join, too_small_to_skew
+from labmesh.sources.scratch import fresh_folder
 
 OPEN_END = "9999-12-31"
+# Posts that a task should take at most; their starts and ends are sorted in it twice.
+POSTS_PER_TASK = 250_000
 
 
 SPAN = ["ResearcherID", "InstitutionID", "from_day", "to_day"]
@@ -32,7 +36,55 @@ def _spans(employment: DataFrame) -> DataFrame:
     )
 
 
-def _overlaps(spans: DataFrame, row: list[str], copies: Column) -> DataFrame:
+def _overlaps(employment: DataFrame, row: list[str]) -> DataFrame:
+    """One row per post, named by the columns ``row``, with its ``copies`` and the posts elsewhere it overlaps.
+
+    The posts of a researcher meet in one task, unless they are more than a task should
+    take: those of such researchers are summed by days first. Posts are written once,
+    since counting them and both ways read them.
+    """
+    spans = _spans(employment)
+    if too_small_to_skew(employment):
+        return _overlaps_in_order(spans, row)
+    path = fresh_folder(employment.sparkSession, "posts")
+    spans.write.parquet(path)
+    spans = employment.sparkSession.read.schema(spans.schema).parquet(path)
+    tasks = -(-spans.count() // POSTS_PER_TASK)
+    hot = hot_keys(spans, ["ResearcherID"], min(POSTS_PER_TASK, lookup.ROWS_PER_TASK))
+    hot = hot.select(F.col("ResearcherID").alias("__who"))
+    if hot.isEmpty():
+        return _overlaps_in_order(spans, row, tasks)
+    is_hot = F.col("ResearcherID").eqNullSafe(F.col("__who"))
+    busy = spans.join(hot, is_hot, "left_semi").groupBy(*row).agg(F.count("*").alias("copies"))
+    found = _overlaps_by_day(busy, [*row, "copies"], F.col("copies"))
+    return _overlaps_in_order(spans.join(hot, is_hot, "left_anti"), row, tasks).unionByName(found)
+
+
+def _overlaps_in_order(spans: DataFrame, row: list[str], tasks: int | None = None) -> DataFrame:
+    """The same as ``_overlaps_by_day``, by a running count over the starts and ends of a researcher.
+
+    At one day ends go before starts, so that the posts counted up to an end are those that
+    start before it, and up to a start those that end by it. All steps follow one shuffle.
+    """
+    if tasks is not None:
+        tasks = max(tasks, int(spans.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    together = spans.repartition("ResearcherID") if tasks is None else spans.repartition(tasks, "ResearcherID")
+    posts = together.groupBy(*row).agg(F.count("*").alias("copies"))
+    ends = F.array(*[F.struct(F.col(d).alias("day"), F.lit(s).alias("starts")) for d, s in (("to_day", 0), ("from_day", 1))])
+    marks = posts.select("*", F.explode(ends).alias("x")).select(*row, "copies", "x.*")
+    counted = F.when(F.col("starts") == 0, F.lit(0)).otherwise(F.col("copies")), F.when(F.col("starts") == 0, F.col("copies")).otherwise(0)
+
+    def running(*scope: str) -> Column:
+        upto = Window.partitionBy(*scope).orderBy("day", "starts").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        started, ended = (F.sum(c).over(upto) for c in counted)
+        return F.when(F.col("starts") == 0, started).otherwise(-ended)
+
+    # Those of the own institution are taken away again.
+    here = marks.withColumn("all", running("ResearcherID")).withColumn("own", running("ResearcherID", "InstitutionID"))
+    return here.groupBy(*row, "copies").agg(F.sum(F.col("all") - F.col("own")).alias("ConcurrentElsewhere"))
+
+
+def _overlaps_by_day(spans: DataFrame, row: list[str], copies: Column) -> DataFrame:
     """One row per span, named by the columns ``row``: the posts elsewhere it overlaps.
 
     A post overlaps those that start before its end, less those that end by its
@@ -86,9 +138,7 @@ def concurrent_posts(employment: DataFrame) -> DataFrame:
 
     Posts that only touch do not overlap.
     """
-    row = ["ExperienceRecordID", *SPAN]
-    posts = _spans(employment).groupBy(*row).agg(F.count("*").alias("copies"))
-    counted = _overlaps(posts, [*row, "copies"], F.col("copies"))
+    counted = _overlaps(employment, ["ExperienceRecordID", *SPAN])
     # Rows that are the same post twice come back twice.
     return counted.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies")))).select(
         "ExperienceRecordID", "ResearcherID", "InstitutionID", "ConcurrentElsewhere"
@@ -102,9 +152,8 @@ def concurrent_researchers(employment: DataFrame) -> DataFrame:
     """
     elsewhere, copies = F.col("ConcurrentElsewhere"), F.col("copies")
     # Copies of a span collapse at once.
-    shapes = _spans(employment).groupBy(*SPAN).agg(F.count("*").alias("copies"))
     return (
-        _overlaps(shapes, [*SPAN, "copies"], copies)
+        _overlaps(employment, SPAN)
         .where(elsewhere > 0)
         .groupBy("ResearcherID")
         .agg(

@@ -121,3 +121,24 @@ def test_a_researcher_with_a_third_of_all_posts(spark, make, monkeypatch):
     finally:
         for name in settings:
             spark.conf.unset(name)
+
+
+def test_posts_shuffle_once(spark, make, monkeypatch):
+    """Counting takes one shuffle of the posts, also where they are written and dealt to a number of tasks."""
+    from labmesh.operators import timelines
+
+    rows = [
+        {"ExperienceRecordID": i % 250, "ResearcherID": None if i % 9 == 0 else i % 7, "InstitutionID": i % 3,
+         "StartDate": f"2020-01-{i % 20 + 1:02d}", "EndDate": f"2020-02-{i % 11 + 1:02d}"}
+        for i in range(300)
+    ]
+    posts = make("EmploymentHistory", *rows)
+    small = concurrent_posts(posts)
+    monkeypatch.setattr(timelines, "too_small_to_skew", lambda frame: False)
+    large = concurrent_posts(posts)
+    for found in (small, large):
+        assert found._jdf.queryExecution().executedPlan().toString().count("Exchange ") == 1
+    # No researcher is too busy for a task, then all are.
+    monkeypatch.setattr(timelines, "POSTS_PER_TASK", 5)
+    split = concurrent_posts(posts)
+    assert len(rows_of(small)) == 300 and rows_of(small) == rows_of(large) == rows_of(split)
