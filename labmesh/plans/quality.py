@@ -6,6 +6,7 @@ Every job returns ``table_name, rule_id, row_key, detail, n_rows``.
 from __future__ import annotations
 
 from functools import reduce
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -140,28 +141,34 @@ def check_table(df: DataFrame, table: Table, as_of: asof.AsOf) -> list[DataFrame
     return out
 
 
-def _entries(df: DataFrame, table: Table, as_of: asof.AsOf, given: set[str]) -> DataFrame:
+class Entry(NamedTuple):
+    """What a line of the registry check is about; lines carry its number."""
+
+    table_name: str
+    kind: str
+    rule_id: str
+    target: str
+
+
+def _entries(df: DataFrame, table: Table, as_of: asof.AsOf, given: set[str], known: list[Entry]) -> DataFrame:
     """What one scan of a table has to say: rules that rows break, keys, and referenced values.
 
-    Equal entries count together before anything is shuffled.
+    The entries are added to those that are ``known``; rows name them by number.
     """
     tests = row_tests(table, as_of)
     texts = {f.name for f in table.columns if isinstance(f.dataType, T.StringType)}
 
     def entry(kind: str, rule: str, target: str, value: Column, detail: Column) -> Column:
+        known.append(Entry(table.name, kind, rule, target))
         return F.struct(
-            F.lit(kind).alias("kind"),
-            F.lit(rule).alias("rule_id"),
-            F.lit(target).alias("target"),
-            value.alias("row_key"),
-            detail.cast("string").alias("detail"),
+            F.lit(len(known) - 1).alias("entry"), value.alias("row_key"), detail.cast("string").alias("detail")
         )
 
     def key(columns: tuple[str, ...]) -> Column:
         cells = [text.folded(F.col(c)) if c in texts else F.col(c) for c in columns]
         return F.concat_ws("|", *[F.coalesce(c.cast("string"), F.lit("NULL")) for c in cells])
 
-    own = key((table.key,))
+    own = F.col("__own")
     found = [F.when(test, entry(ROW, rule, table.name, own, detail)) for rule, (test, detail) in tests.items()]
     found.append(entry(KEY, "primary_key", table.name, own, F.lit("duplicate")))
     # A unique constraint on the primary key repeats that check.
@@ -172,9 +179,8 @@ def _entries(df: DataFrame, table: Table, as_of: asof.AsOf, given: set[str]) ->
         if parent in given:
             value = F.col(column).cast("string")
             found.append(F.when(value.isNotNull(), entry(REFERENCE, f"{column}_parent", parent, value, F.lit("no parent"))))
-    rows = df.select(F.explode(F.filter(F.array(*found), lambda e: e.isNotNull())).alias("e")).select("e.*")
-    counted = rows.groupBy("kind", "rule_id", "target", "row_key", "detail").agg(F.count("*").alias("n_rows"))
-    return counted.withColumn("table_name", F.lit(table.name))
+    rows = df.withColumn("__own", key((table.key,))).select(F.explode(F.array(*found)).alias("e"))
+    return rows.where(F.col("e").isNotNull()).select("e.*")
 
 
 def check_append(
@@ -212,17 +218,28 @@ def check_all(tables: dict[str, DataFrame], as_of: asof.AsOf) -> DataFrame:
     their parents by (table, value), where a value has at most one line per referring
     column. References to a table that is not given are not checked.
     """
-    parts = [_entries(df, TABLES[name], as_of, set(tables)) for name, df in tables.items()]
-    entries = reduce(DataFrame.unionByName, parts)
+    known: list[Entry] = []
+    parts = [_entries(df, TABLES[name], as_of, set(tables), known) for name, df in tables.items()]
+
+    def held(field: str) -> Column:
+        return F.element_at(F.array(*[F.lit(getattr(e, field)) for e in known]), F.col("entry") + 1)
+
+    # All tables count in one aggregation; equal lines count together before they shuffle.
+    counted = reduce(DataFrame.unionByName, parts).groupBy("entry", "row_key", "detail").agg(F.count("*").alias("n_rows"))
+    # A key that is there once is good, and only keys that others may refer to are looked up.
+    sought = {e.target for e in known if e.kind == REFERENCE}
+    idle = [n for n, e in enumerate(known) if e.kind == KEY and not (e.rule_id == "primary_key" and e.target in sought)]
+    named = counted.where(~(F.col("entry").isin(idle) & (F.col("n_rows") == 1))).withColumns(
+        {field: held(field) for field in Entry._fields}
+    )
     is_key = (F.col("kind") == KEY) & (F.col("rule_id") == "primary_key")
-    together = Window.partitionBy("target", "row_key")
-    there = F.max(is_key.cast("int")).over(together)
+    there = F.max(is_key.cast("int")).over(Window.partitionBy("target", "row_key"))
     broken = (
         (F.col("kind") == ROW)
         | ((F.col("kind") == KEY) & (F.col("n_rows") > 1))
         | ((F.col("kind") == REFERENCE) & (F.col("there") == 0))
     )
-    return entries.withColumn("there", there).where(broken).select("table_name", "rule_id", "row_key", "detail", "n_rows")
+    return named.withColumn("there", there).where(broken).select("table_name", "rule_id", "row_key", "detail", "n_rows")
 
 
 def require_none(violations: DataFrame) -> None:

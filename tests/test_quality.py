@@ -190,3 +190,21 @@ def test_orcid(spark):
     texts = ["0000-0001-2345-6789", "0000-0001-2345-678X", "0000-0000-2345-6789", "0000-0001-2345-6789X", "0000-0001-2345-6789 "]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
     assert [r.v for r in df.orderBy("i").select(valid_orcid(F.col("t")).alias("v")).collect()] == [True, True, False, False, True]
+
+
+def test_the_registry_check_counts_all_tables_together(make):
+    """One aggregation and one look-up, however many tables there are."""
+    from labmesh.plans.quality import check_all
+    from labmesh.sources.schemas import TABLES
+
+    tables = {name: make(name) for name in ("Institution", "Researcher", "Project", "Funding", "Patent")}
+    tables["Patent"] = make("Patent", {"PatentID": 1, "InstitutionID": 4}, {"PatentID": 1, "InstitutionID": 5})
+    tables["Institution"] = make("Institution", {"InstitutionID": 4})
+    assert set(tables) <= set(TABLES)
+    found = check_all(tables, "2025-07-05 12:00:00")
+    assert found._jdf.queryExecution().executedPlan().toString().count("Exchange ") == 2
+    got = [tuple(r) for r in found.where("table_name = 'Patent' AND rule_id IN ('primary_key', 'InstitutionID_parent')").collect()]
+    assert sorted(got) == [
+        ("Patent", "InstitutionID_parent", "5", "no parent", 1),
+        ("Patent", "primary_key", "1", "duplicate", 2),
+    ]
