@@ -38,14 +38,16 @@ FEW = 64
 # Terms of a block and sources of a tile that are compared at once.
 BLOCK = 2048
 TILE = 256
-# Sums that a task holds before it passes them on.
-HELD = 4 << 20
+# Counts that a task holds before it passes them on.
+HELD = 2 << 20
 # Bytes of text whose terms are dealt at once.
 STEP = 4 << 20
 # One in so many hash values is counted to estimate the number of different terms.
 ESTIMATE = 64
 # In every document, so that no fit is without a vocabulary; a digit is no term.
 ALWAYS = "0"
+# Rows for the fits and rows for the sums.
+FIT, SUM = "fit", "sum"
 LARGEST = 2**31 - 1
 
 # A term is a run of letters and of bytes beyond ASCII; A-Z count as a-z, all else is 0.
@@ -66,14 +68,18 @@ def terms_of(texts: pa.StringArray) -> tuple[pa.StringArray, np.ndarray]:
     letters = _LETTERS[np.frombuffer(texts.buffers()[2], np.uint8)[ends[0] : ends[-1]]]
     ends -= ends[0]
     inside = letters != 0
-    begins = inside.copy()
+    begins, stops = inside.copy(), inside.copy()
     begins[1:] &= ~inside[:-1]
-    first = ends[:-1][ends[:-1] < ends[1:]]
+    stops[:-1] &= ~inside[1:]
+    # A term doesn't go on in the next text.
+    first = ends[:-1][(ends[:-1] < ends[1:]) & (ends[:-1] > 0)]
     begins[first] = inside[first]
+    stops[first - 1] = inside[first - 1]
+    begins, stops = np.flatnonzero(begins), np.flatnonzero(stops)
+    offsets = np.append(0, np.cumsum(stops - begins + 1)).astype(np.int32)
     flat = letters[inside]
-    offsets = np.append((np.cumsum(inside) - 1)[begins], len(flat)).astype(np.int32)
     terms = pa.StringArray.from_buffers(len(offsets) - 1, pa.py_buffer(offsets), pa.py_buffer(flat))
-    upto = np.concatenate([[0], np.cumsum(begins)])[ends[1:]]
+    upto = np.searchsorted(begins, ends[1:])
     return terms, upto
 
 
@@ -90,17 +96,12 @@ def hashes(terms: pa.StringArray) -> np.ndarray:
     return found ^ (found >> np.uint64(29))
 
 
-def _coded(texts: pa.StringArray, names: bool = False) -> tuple:
-    """Per term of the texts its code and its text's position, and per code the hash of the term.
-
-    With `names` also the terms by code.
-    """
+def _coded(texts: pa.StringArray) -> tuple[np.ndarray, pa.StringArray, np.ndarray]:
+    """Per term of the texts its code and its text's position, and between them the terms by code."""
     terms, upto = terms_of(texts)
     row = np.repeat(np.arange(len(upto)), np.diff(upto, prepend=0))
     coded = terms.dictionary_encode()
-    code = coded.indices.to_numpy().astype(np.int64)
-    found = code, hashes(coded.dictionary), row
-    return (*found, coded.dictionary) if names else found
+    return coded.indices.to_numpy().astype(np.int64), coded.dictionary, row
 
 
 def share(count: Column, total: Column, terms: Column) -> Column:
@@ -124,7 +125,8 @@ def _different(docs: DataFrame) -> dict[str, int]:
         for batch in batches:
             found: dict[str, set[int]] = {}
             for part in by_bytes([batch], "text", STEP):
-                code, values, row = _coded(part.column("text"))
+                code, terms, row = _coded(part.column("text"))
+                values = hashes(terms)
                 few = np.flatnonzero((values % np.uint64(ESTIMATE) == 0)[code])
                 langs = part.column("lang").take(pa.array(row[few])).to_pylist()
                 for lang, value in zip(langs, values[code[few]].tolist()):
@@ -141,68 +143,138 @@ def _different(docs: DataFrame) -> dict[str, int]:
     return {row["lang"]: row["n"] * ESTIMATE for row in every.collect()}
 
 
-def _dealt(docs: DataFrame, places: dict[str, tuple[int, int]]) -> DataFrame:
-    """place, source, weight, terms: the documents with the terms of each shard.
+def _merged(keys: list[np.ndarray], sums: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    key, total = np.concatenate(keys), np.concatenate(sums)
+    order = np.argsort(key, kind="stable")
+    key, total = key[order], total[order]
+    if not len(key):
+        return key, total
+    starts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+    return key[starts], np.add.reduceat(total, starts)
+
+
+def _tally(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different keys, in order, and how often each occurs."""
+    key = np.sort(key)
+    starts = np.flatnonzero(np.append(True, key[1:] != key[:-1])[: len(key)])
+    return key[starts], np.diff(starts, append=len(key))
+
+
+class _Block:
+    """The terms of documents that a task has read: how many documents of a language
+    have each, and how often each source has it. A key is a number and a term's code."""
+
+    def __init__(self) -> None:
+        self.langs: dict[str, int] = {}
+        self.groups: dict[tuple[str, str], int] = {}
+        self.terms = pa.array([], pa.string())
+        self.documents = self.counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.new: list[tuple] = []
+        self.size = 0
+
+    def add(self, part: pa.RecordBatch) -> None:
+        code, terms, row = _coded(part.column("text"))
+        groups = list(zip(part.column("lang").to_pylist(), part.column("source").to_pylist()))
+        lang = np.array([self.langs.setdefault(name, len(self.langs)) for name, _ in groups])
+        group = np.array([self.groups.setdefault(name, len(self.groups)) for name in groups])
+        one, _ = _tally(row << 32 | code)
+        documents = _tally(lang[one >> 32] << 32 | one & LARGEST)
+        counts = _tally(group[row] << 32 | code)
+        self.new.append((terms, documents, counts))
+        self.size += len(documents[0]) + len(counts[0])
+
+    def merge(self) -> None:
+        parts = [(self.terms, self.documents, self.counts), *self.new]
+        coded = pa.concat_arrays([terms for terms, _, _ in parts]).dictionary_encode()
+        codes = coded.indices.to_numpy().astype(np.int64)
+        codes = np.split(codes, np.cumsum([len(terms) for terms, _, _ in parts])[:-1])
+        self.terms, self.new = coded.dictionary, []
+        self.documents, self.counts = (
+            _merged(
+                [p[k][0] >> 32 << 32 | code[p[k][0] & LARGEST] for p, code in zip(parts, codes)],
+                [p[k][1] for p in parts],
+            )
+            for k in (1, 2)
+        )
+        self.size = len(self.documents[0]) + len(self.counts[0])
+
+    def rows(self, places: dict[str, tuple[int, int]], min_documents: int) -> Iterator[pa.RecordBatch]:
+        if not self.size:
+            return
+        values = hashes(self.terms)
+        start, shards = np.array([places[name] for name in self.langs]).T
+        own = np.array([self.langs[name] for name, _ in self.groups])
+        sources = pa.array([name for _, name in self.groups], pa.string())
+        words = pa.concat_arrays([self.terms, pa.array([ALWAYS])])
+
+        def gathered(lang: np.ndarray, kind: np.ndarray, weight: np.ndarray, code: np.ndarray, always: bool) -> tuple:
+            """Terms of one place, kind and weight as a row."""
+            place = start[lang] + (values[code] % shards[lang].astype(np.uint64)).astype(np.int64)
+            order = np.lexsort((weight, kind, place))
+            place, kind, weight, code = place[order], kind[order], weight[order], code[order]
+            new = (place[1:] != place[:-1]) | (kind[1:] != kind[:-1]) | (weight[1:] != weight[:-1])
+            starts = np.flatnonzero(np.append(True, new))
+            ends = np.append(starts, len(code))
+            if always:
+                code, ends = np.insert(code, starts, len(words) - 1), ends + np.arange(len(ends))
+            lists = pa.ListArray.from_arrays(ends.astype(np.int32), words.take(pa.array(code)))
+            return place[starts], kind[starts], weight[starts], lists
+
+        key, documents = self.documents
+        copies = np.minimum(documents, min_documents)
+        level = np.arange(copies.sum()) - np.repeat(np.cumsum(copies) - copies, copies)
+        key = np.repeat(key, copies)
+        place, _, weight, terms = gathered(key >> 32, level, np.ones_like(key), key & LARGEST, always=True)
+        yield _row_batch(FIT, place, pa.nulls(len(place), pa.string()), weight, terms)
+        key, weight = self.counts
+        place, group, weight, terms = gathered(own[key >> 32], key >> 32, weight, key & LARGEST, always=False)
+        yield _row_batch(SUM, place, sources.take(pa.array(group)), weight, terms)
+
+
+def _row_batch(part: str, place: np.ndarray, source: pa.Array, weight: np.ndarray, terms: pa.ListArray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [pa.array(place, pa.int64()), pa.array([part] * len(place), pa.string()), source, pa.array(weight, pa.int64()), terms],
+        names=["place", "part", "source", "weight", "terms"],
+    )
+
+
+def _dealt(docs: DataFrame, places: dict[str, tuple[int, int]], min_documents: int) -> DataFrame:
+    """place, part, source, weight, terms: the terms of each shard, by blocks of documents.
 
-    `places` has the first place of a language and how many shards it has. A document
-    has a row for the terms that it has once, one for those it has twice, and so on:
-    its vector is the sum of theirs, by weight, and a term is in one of them.
+    `places` has the first place of a language and how many shards it has. A block is what
+    a task holds at once. Part `fit` has a row for the terms in one and more documents of
+    the block, one for those in two and more, and so on to `min_documents`: over all
+    blocks a term is in that many rows exactly if it is in that many documents. Part `sum`
+    has the terms of a source in the block, with a row for those it has once, one for
+    those it has twice, and so on: the vector of its documents is their sum by weight.
     """
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = _Block()
         for part in by_bytes(batches, "text", STEP):
-            code, values, row, terms = _coded(part.column("text"), names=True)
-            if not len(code):
-                continue
-            one, weight = np.unique(row * len(terms) + code, return_counts=True)
-            row, code = one // len(terms), one % len(terms)
-            first, shards = np.array([places[lang] for lang in part.column("lang").to_pylist()]).T
-            place = first[row] + (values[code] % shards[row].astype(np.uint64)).astype(np.int64)
-            most, last = int(weight.max()) + 1, int(place.max()) + 1
-            if part.num_rows * last * most < 2**62:
-                order = np.argsort((row * last + place) * most + weight, kind="stable")
-            else:
-                order = np.lexsort((weight, place, row))
-            row, code, place, weight = row[order], code[order], place[order], weight[order]
-            new = (row[1:] != row[:-1]) | (place[1:] != place[:-1]) | (weight[1:] != weight[:-1])
-            starts = np.flatnonzero(np.append(True, new))
-            # Every row begins with the term that is always there.
-            code = np.insert(code, starts, len(terms))
-            ends = np.append(starts, len(row)) + np.arange(len(starts) + 1)
-            words = pa.concat_arrays([terms, pa.array([ALWAYS])]).take(pa.array(code))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(place[starts], pa.int64()),
-                    part.column("source").take(pa.array(row[starts])),
-                    pa.array(weight[starts].astype(np.int64)),
-                    pa.ListArray.from_arrays(ends.astype(np.int32), words),
-                ],
-                names=["place", "source", "weight", "terms"],
-            )
-
-    schema = "place long, source string, weight long, terms array<string>"
+            block.add(part)
+            if block.size > HELD:
+                block.merge()
+                if block.size > HELD // 2:
+                    yield from block.rows(places, min_documents)
+                    block = _Block()
+        block.merge()
+        yield from block.rows(places, min_documents)
+
+    schema = "place long, part string, source string, weight long, terms array<string>"
     dealt = docs.select("lang", "source", "text").mapInArrow(deal, schema)
     path = fresh_folder(docs.sparkSession, "divergence-terms")
     if sum(shards for _, shards in places.values()) > FEW:
-        dealt = dealt.hint("rebalance", "place")
-    dealt.write.partitionBy("place").parquet(path)
-    schema = "source string, weight long, terms array<string>, place long"
+        dealt = dealt.hint("rebalance", "place", "part")
+    dealt.write.partitionBy("place", "part").parquet(path)
+    schema = "source string, weight long, terms array<string>, place long, part string"
     return docs.sparkSession.read.schema(schema).parquet(path)
 
 
-def _merged(keys: list[np.ndarray], sums: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    key, total = np.concatenate(keys), np.concatenate(sums)
-    order = np.argsort(key, kind="stable")
-    key, total = key[order], total[order]
-    if not len(key):
-        return key, total
-    starts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-    return key[starts], np.add.reduceat(total, starts)
-
-
 def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sums of weighted sparse vectors by source: source, index, count."""
+    """Sums of weighted sparse vectors of one place by source: source, id, count."""
     names: dict[str, int] = {}
+    place = 0
     keys, sums = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     waiting = 0
 
@@ -213,13 +285,16 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays(
                 [
                     sources.take(pa.array(key[part] >> 32)),
-                    pa.array((key[part] & LARGEST).astype(np.int32)),
+                    pa.array((key[part] & LARGEST) + (place << 31)),
                     pa.array(total[part]),
                 ],
-                names=["source", "index", "count"],
+                names=["source", "id", "count"],
             )
 
     for batch in batches:
+        if not batch.num_rows:
+            continue
+        place = batch.column("place")[0].as_py()
         indices, values = batch.column("indices"), batch.column("values")
         code = np.array([names.setdefault(s, len(names)) for s in batch.column("source").to_pylist()], np.int64)
         lengths = pc.list_value_length(indices).to_numpy(zero_copy_only=False)
@@ -236,28 +311,35 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from rows(*_merged(keys, sums))
 
 
-def _counts(rows: DataFrame, place: int, min_documents: int) -> tuple[DataFrame, int] | None:
-    """Kept terms per source with a number and their counts, and how many terms are kept."""
-    if len(rows.limit(min_documents).select(F.lit(1)).collect()) < min_documents:
+def _counts(rows: DataFrame, lang: str, place: int, min_documents: int) -> tuple[str, str, int] | None:
+    """Kept terms by number, their counts per source and task, and how many terms are kept.
+
+    The first two are paths of tables. Numbers hold for all places, and the place is read
+    from the rows and not from the plan, so that all shards share their generated code.
+    """
+    spark = rows.sparkSession
+    fit = rows.filter(F.col("part") == FIT).select("terms")
+    # A term is in a row once: with fewer rows none is kept.
+    if len(fit.select(F.lit(1)).limit(min_documents).collect()) < min_documents:
         return None
     model = CountVectorizer(
         inputCol="terms", outputCol="vector", minDF=float(min_documents), vocabSize=LARGEST
-    ).fit(rows)
-    vocabulary = model.vocabulary
-    names = rows.sparkSession.createDataFrame(
-        pa.table({"index": pa.array(range(len(vocabulary)), pa.int32()), "term": vocabulary})
-    )
+    ).fit(fit)
+    vocabulary = pa.array(model.vocabulary, pa.string())
+    kept = pa.table({"id": pa.array(np.arange(len(vocabulary)) + (place << 31)), "term": vocabulary})
+    kept = kept.filter(pc.not_equal(vocabulary, ALWAYS))
+    if not len(kept):
+        return None
+    names = fresh_folder(spark, "divergence-names")
+    spark.createDataFrame(kept).write.parquet(names)
     vector = F.unwrap_udt("vector")
-    vectors = model.transform(rows).select(
-        "source", "weight", vector["indices"].alias("indices"), vector["values"].alias("values")
+    vectors = model.transform(rows.filter(F.col("part") == SUM)).select(
+        "place", "source", "weight", vector["indices"].alias("indices"), vector["values"].alias("values")
     )
-    # Dealt by term once: that serves the sums, the totals of terms and their names.
-    sums = vectors.mapInArrow(_summed, "source string, index int, count long").repartition("index")
-    sums = sums.groupBy("index", "source").agg(F.sum("count").alias("count"))
-    sums = sums.withColumn("lang_count", F.sum("count").over(Window.partitionBy("index")))
-    kept = sums.join(names, "index").filter(F.col("term") != ALWAYS)
-    number = F.lit(place).cast("long") * 2**31 + F.col("index")
-    return kept.select("source", number.alias("id"), "term", "count", "lang_count"), len(vocabulary) - 1
+    sums = vectors.mapInArrow(_summed, "source string, id long, count long")
+    path = fresh_folder(spark, "divergence-sums")
+    sums.select(F.lit(lang).alias("lang"), "source", "id", "count").write.parquet(path)
+    return names, path, len(kept)
 
 
 def compare_block(rows: pd.DataFrame) -> pd.DataFrame:
@@ -379,22 +461,28 @@ def source_divergence(
     for name, different in sorted(_different(rows).items()):
         places[name] = (at, max(1, math.ceil(different / shard)))
         at += places[name][1]
-    dealt = _dealt(rows, places)
-    schema = "lang string, source string, id long, term string, count long, lang_count long"
-    tables, kept = [], []
+    dealt = _dealt(rows, places, min_documents)
+    names, tables, kept = [], [], []
     for name, (start, shards) in places.items():
         found = 0
         for place in range(start, start + shards):
-            part = dealt.filter(F.col("place") == place).select("source", "weight", "terms")
-            counted = _counts(part, place, min_documents)
+            counted = _counts(dealt.filter(F.col("place") == place), name, place, min_documents)
             if counted is None:
                 continue
-            path = fresh_folder(spark, "divergence")
-            counted[0].select(F.lit(name).alias("lang"), "source", "id", "term", "count", "lang_count").write.parquet(path)
-            tables.append(path)
-            found += counted[1]
+            names.append(counted[0])
+            tables.append(counted[1])
+            found += counted[2]
         kept.append((name, found))
-    counts = spark.read.schema(schema).parquet(*tables) if tables else spark.createDataFrame([], schema)
+    schema = "lang string, source string, id long, term string, count long, lang_count long"
+    if tables:
+        parts = spark.read.schema("lang string, source string, id long, count long").parquet(*tables)
+        # Dealt by term once: that serves the sums, the totals of terms and their names.
+        counts = parts.repartition("id").groupBy("id", "lang", "source").agg(F.sum("count").alias("count"))
+        counts = counts.withColumn("lang_count", F.sum("count").over(Window.partitionBy("id")))
+        counts = counts.join(spark.read.schema("id long, term string").parquet(*names), "id")
+        counts = stored(counts, "divergence")
+    else:
+        counts = spark.createDataFrame([], schema)
     vocabulary = spark.createDataFrame([(*k, n) for n, k in enumerate(kept)], "lang string, terms long, number int")
 
     sums = counts.groupBy("lang", "source").agg(F.sum("count").alias("total"))

@@ -115,3 +115,40 @@ def test_terms_of_texts():
     terms, _ = terms_of(pa.array(["ab ba ab c abc", "ab"]))
     a, b, again, *_, last = hashes(terms).tolist()
     assert a == again == last != b
+
+
+def test_terms_are_dealt_by_blocks_of_documents(spark):
+    """What the fits and the sums read grows with the different terms, not with the documents."""
+    from labmesh.llm.divergence import _dealt
+
+    rows = [(" ".join(f"w{'xyz'[k % 3]}{chr(97 + j)}" for j in range(20)), "en", "s") for k in range(300)]
+    docs = documents(spark, rows).select("lang", "source", "text").coalesce(1)
+    dealt = _dealt(docs, {"en": (0, 1)}, 3)
+    entries = {part: sum(len(t) for t, p in dealt.select("terms", "part").collect() if p == part) for part in ("fit", "sum")}
+    assert entries == {"fit": 3 * (60 + 1), "sum": 60}
+    assert rows_of(source_divergence(documents(spark, rows))) == plain(rows)
+
+
+def test_a_block_holds_what_its_documents_hold():
+    import pyarrow as pa
+
+    from labmesh.llm.divergence import LARGEST, _Block
+
+    rows = [(t or "", lang or "", source or "") for t, lang, source in corpus(3)]
+    block = _Block()
+    for at in range(0, len(rows), 7):
+        columns = [pa.array(c, pa.string()) for c in zip(*rows[at : at + 7])]
+        block.add(pa.RecordBatch.from_arrays(columns, names=["text", "lang", "source"]))
+        if at % 3 == 0:
+            block.merge()
+    block.merge()
+    documents, counts = collections.Counter(), collections.Counter()
+    for text, lang, source in rows:
+        found = TERM.findall(text.translate(LOWER))
+        documents.update((lang, t) for t in set(found))
+        counts.update(((lang, source), t) for t in found)
+    terms = block.terms.to_pylist()
+    for names, held, want in ((block.langs, block.documents, documents), (block.groups, block.counts, counts)):
+        name = list(names)
+        keys, numbers = (x.tolist() for x in held)
+        assert {(name[k >> 32], terms[k & LARGEST]): n for k, n in zip(keys, numbers)} == want
