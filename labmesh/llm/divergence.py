@@ -22,7 +22,7 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.ml.feature import CountVectorizer
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from labmesh.llm.common import by_bytes, in_groups, stored
@@ -128,19 +128,21 @@ def _different(docs: DataFrame) -> dict[str, int]:
                 code, terms, row = _coded(part.column("text"))
                 values = hashes(terms)
                 few = np.flatnonzero((values % np.uint64(ESTIMATE) == 0)[code])
+                for lang in part.column("lang").unique().to_pylist():
+                    found.setdefault(lang, set())
                 langs = part.column("lang").take(pa.array(row[few])).to_pylist()
                 for lang, value in zip(langs, values[code[few]].tolist()):
-                    found.setdefault(lang, set()).add(value)
-            rows = [(lang, value) for lang, held in found.items() for value in held]
+                    found[lang].add(value >> 1)
+            # One more row, which counts nothing, for a language without any.
+            rows = [(lang, value) for lang, held in found.items() for value in [None, *held]]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] >> 1 for r in rows], pa.int64())],
+                [pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64())],
                 names=["lang", "hash"],
             )
 
     seen = docs.select("lang", "text").mapInArrow(sampled, "lang string, hash long")
     counted = seen.groupBy("lang").agg(F.count_distinct("hash").alias("n"))
-    every = docs.select("lang").distinct().join(counted, "lang", "left").fillna(0, ["n"])
-    return {row["lang"]: row["n"] * ESTIMATE for row in every.collect()}
+    return {row["lang"]: row["n"] * ESTIMATE for row in counted.collect()}
 
 
 def _merged(keys: list[np.ndarray], sums: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -255,7 +257,7 @@ def _dealt(docs: DataFrame, places: dict[str, tuple[int, int]], min_documents: i
             block.add(part)
             if block.size > HELD:
                 block.merge()
-                if block.size > HELD // 2:
+                if block.size > HELD * 3 // 4:
                     yield from block.rows(places, min_documents)
                     block = _Block()
         block.merge()
@@ -326,7 +328,8 @@ def _counts(rows: DataFrame, lang: str, place: int, min_documents: int) -> tuple
         inputCol="terms", outputCol="vector", minDF=float(min_documents), vocabSize=LARGEST
     ).fit(fit)
     vocabulary = pa.array(model.vocabulary, pa.string())
-    kept = pa.table({"id": pa.array(np.arange(len(vocabulary)) + (place << 31)), "term": vocabulary})
+    ids = pa.array(np.arange(len(vocabulary)) + (place << 31))
+    kept = pa.table({"id": ids, "lang": pa.array([lang] * len(ids), pa.string()), "term": vocabulary})
     kept = kept.filter(pc.not_equal(vocabulary, ALWAYS))
     if not len(kept):
         return None
@@ -338,7 +341,7 @@ def _counts(rows: DataFrame, lang: str, place: int, min_documents: int) -> tuple
     )
     sums = vectors.mapInArrow(_summed, "source string, id long, count long")
     path = fresh_folder(spark, "divergence-sums")
-    sums.select(F.lit(lang).alias("lang"), "source", "id", "count").write.parquet(path)
+    sums.write.parquet(path)
     return names, path, len(kept)
 
 
@@ -475,11 +478,11 @@ def source_divergence(
         kept.append((name, found))
     schema = "lang string, source string, id long, term string, count long, lang_count long"
     if tables:
-        parts = spark.read.schema("lang string, source string, id long, count long").parquet(*tables)
+        parts = spark.read.schema("source string, id long, count long").parquet(*tables)
         # Dealt by term once: that serves the sums, the totals of terms and their names.
-        counts = parts.repartition("id").groupBy("id", "lang", "source").agg(F.sum("count").alias("count"))
+        counts = parts.repartition("id").groupBy("id", "source").agg(F.sum("count").alias("count"))
         counts = counts.withColumn("lang_count", F.sum("count").over(Window.partitionBy("id")))
-        counts = counts.join(spark.read.schema("id long, term string").parquet(*names), "id")
+        counts = counts.join(spark.read.schema("id long, lang string, term string").parquet(*names), "id")
         counts = stored(counts, "divergence")
     else:
         counts = spark.createDataFrame([], schema)
@@ -502,14 +505,16 @@ def source_divergence(
         .withColumn("q", share(F.col("lang_count"), F.col("lang_total"), F.col("terms")))
         .select("lang", "source", "group", "number", "id", "term", "p", "q", "terms", "sources")
     )
-    by_value = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")
+    def by_value(*group: str) -> WindowSpec:
+        return Window.partitionBy(*group).orderBy(F.desc("value"), "item")
+
     more = entries.filter("p > q").select(
-        "lang", "source", F.lit("term").alias("part"), F.col("term").alias("item"), divergence(F.col("p"), F.col("q")).alias("value")
+        "group", "lang", "source", F.lit("term").alias("part"), F.col("term").alias("item"), divergence(F.col("p"), F.col("q")).alias("value")
     )
-    apart = more.withColumn("rank", F.row_number().over(by_value)).filter(F.col("rank") <= top_terms)
+    apart = more.withColumn("rank", F.row_number().over(by_value("group"))).filter(F.col("rank") <= top_terms)
     pairs = (
         _pairs(entries, groups, block, tile)
         .select("lang", "source", F.lit("pair").alias("part"), "item", "value")
-        .withColumn("rank", F.row_number().over(by_value))
+        .withColumn("rank", F.row_number().over(by_value("lang", "source")))
     )
-    return pairs.unionByName(apart)
+    return pairs.unionByName(apart.drop("group"))
