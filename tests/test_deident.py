@@ -3,8 +3,14 @@
 from __future__ import annotations
 
 import hashlib
+import os
 import re
+import shutil
+import subprocess
+import time
+import zipfile
 
+import pyspark
 import pytest
 from pyspark.sql import functions as F
 
@@ -37,6 +43,57 @@ def test_stretched_hash_default_cost(spark):
     assert row.hashed_id == hashlib.pbkdf2_hmac("sha256", b"1", SALT.encode(), 100_000).hex()
 
 
+def test_stretched_hash_of_odd_values(spark):
+    values = ["", "a" * 63, "a" * 64, "a" * 65, "\u00e9" * 40, None, "x", "x", None, "\u0000", "\U0001f600" * 200]
+    rows = spark.createDataFrame(list(enumerate(values)), "i int, v string")
+    for salt, iterations in ((SALT, 1), ("\u00fc" * 70, 7)):
+        out = deident.add_stretched_hash(rows, "v", salt, iterations)
+        assert out.columns == ["i", "v", "hashed_id"]
+        hashes = [v and hashlib.pbkdf2_hmac("sha256", v.encode(), salt.encode(), iterations).hex() for v in values]
+        hashes[0] = hashlib.pbkdf2_hmac("sha256", b"", salt.encode(), iterations).hex()
+        assert sorted(out.collect()) == [(i, v, h) for i, (v, h) in enumerate(zip(values, hashes))]
+    nothing = deident.add_stretched_hash(rows.where("v IS NULL"), "v", SALT).collect()
+    assert [r.hashed_id for r in nothing] == [None, None]
+
+
+def test_stretched_hash_of_many_batches(spark):
+    n = 2 * deident.LANES + 1
+    out = deident.add_stretched_hash(spark.range(n), "id", SALT, iterations=2, tasks=1).collect()
+    assert sorted(r.id for r in out) == list(range(n))
+    for r in out:
+        assert r.hashed_id == hashlib.pbkdf2_hmac("sha256", str(r.id).encode(), SALT.encode(), 2).hex()
+
+
+def test_stretched_hash_runs_side_by_side(spark):
+    plan = deident.add_stretched_hash(people(spark), "ParticipantID", SALT)._jdf.queryExecution().toString()
+    physical = plan.split("== Physical Plan ==")[1]
+    assert "EvalPython" not in physical and physical.count("labmesh_stretched_hashes") == 1
+
+
+def test_a_frequent_id_is_stretched_once_a_batch(spark):
+    start = time.perf_counter()
+    for _ in range(10):
+        hashlib.pbkdf2_hmac("sha256", b"7", SALT.encode(), 100_000)
+    one = (time.perf_counter() - start) / 10
+    rows = spark.range(deident.LANES).select(F.lit(7).alias("id"))
+    start = time.perf_counter()
+    assert len({r.hashed_id for r in deident.add_stretched_hash(rows, "id", SALT).collect()}) == 1
+    assert time.perf_counter() - start < one * deident.LANES / 3
+
+
+@pytest.mark.skipif(shutil.which("javac") is None, reason="no Java compiler")
+def test_the_jar_is_built_from_its_source(tmp_path):
+    jars = os.path.join(os.path.dirname(pyspark.__file__), "jars", "*")
+    source = keyed.STRETCHED_JAR.with_name("StretchedHash.java")
+    subprocess.run(["javac", "--release", "17", "-proc:none", "-cp", jars, "-d", tmp_path, source], check=True)
+    with zipfile.ZipFile(keyed.STRETCHED_JAR) as jar:
+        classes = [name for name in jar.namelist() if not name.endswith("/")]
+        assert classes == ["labmesh/StretchedHash.class"]
+        # Other compilers of Java may write other bytes; that of Java 17 built the jar.
+        if b" 17." in subprocess.run(["javac", "-version"], capture_output=True).stdout:
+            assert jar.read(classes[0]) == (tmp_path / classes[0]).read_bytes()
+
+
 def test_fast_hash(spark):
     (row,) = deident.add_hash(people(spark, 1), "ParticipantID", SALT).collect()
     assert row.hashed_id == hashlib.sha256(b"a-salt1").hexdigest()
