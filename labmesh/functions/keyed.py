@@ -18,8 +18,9 @@ DIGITS = 6
 ROUNDS = 8
 LARGEST = 2**63 - 1
 
-# Built from the source beside it, see the README.
+# Built from the sources beside them, see the README.
 STRETCHED_JAR = Path(__file__).resolve().parent / "java" / "stretched_hash.jar"
+KERNELS_JAR = STRETCHED_JAR.with_name("stretched_kernels.jar")
 
 
 def readable_factors(groups: int) -> tuple[int, int]:
@@ -123,10 +124,12 @@ def stretched_hashes(salt: str, values: Column, iterations: int, spark: SparkSes
     """PBKDF2-HMAC-SHA256 of each binary value of an array, each as 64 hex digits.
 
     Spark has no such function, so a Java function comes with the package and Spark
-    sends it to the executors. It derives the values of an array side by side;
-    a thousand or more keep it busiest. NULL stays NULL.
+    sends it to the executors, together with machine code for the processors that
+    it knows. It derives the values of an array side by side; a thousand or more
+    keep it busiest. NULL stays NULL.
     """
     key = secret(spark, salt)
-    spark.sql(f"ADD JAR '{STRETCHED_JAR.as_uri()}'")
+    for jar in (STRETCHED_JAR, KERNELS_JAR):
+        spark.sql(f"ADD JAR '{jar.as_uri()}'")
     spark.udf.registerJavaFunction("labmesh_stretched_hashes", "labmesh.StretchedHash", "array<string>")
     return F.call_function("labmesh_stretched_hashes", values, key, F.lit(iterations))

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import hashlib
 import os
+import platform
+import random
 import re
 import shutil
 import subprocess
@@ -94,6 +96,67 @@ def test_the_jar_is_built_from_its_source(tmp_path):
             assert jar.read(classes[0]) == (tmp_path / classes[0]).read_bytes()
 
 
+def machine_code() -> bytes:
+    with zipfile.ZipFile(keyed.KERNELS_JAR) as jar:
+        (name,) = [name for name in jar.namelist() if not name.endswith("/")]
+        assert name == "labmesh/stretched_kernels.so"
+        return jar.read(name)
+
+
+@pytest.mark.skipif(not all(map(shutil.which, ("rustc", "ld"))), reason="no Rust compiler or linker")
+def test_the_machine_code_is_built_from_its_source(tmp_path):
+    source = keyed.KERNELS_JAR.with_name("stretched_kernels.rs")
+    built = tmp_path / "stretched_kernels.so"
+    options = "--edition 2021 --crate-type lib -C opt-level=3 -C panic=abort -C relocation-model=pic"
+    target = ["--target", "x86_64-unknown-linux-gnu"]
+    emit = f"--emit=obj={tmp_path / 'kernels.o'}"
+    subprocess.run(["rustc", *options.split(), *target, emit, source], check=True)
+    link = "ld -shared -s --gc-sections -z noexecstack --build-id=none -o"
+    subprocess.run([*link.split(), built, tmp_path / "kernels.o"], check=True)
+    # Other compilers and linkers may write other bytes.
+    rustc, ld = (subprocess.run([name, "--version"], capture_output=True).stdout for name in ("rustc", "ld"))
+    if rustc.split(b"rustc ")[1].strip() in machine_code() and b" 2.40\n" in ld:
+        assert built.read_bytes() == machine_code()
+
+
+@pytest.mark.skipif((platform.system(), platform.machine()) != ("Linux", "x86_64"), reason="no machine code")
+def test_every_kernel_does_as_the_loops(spark):
+    deident.add_stretched_hash(people(spark, 1), "ParticipantID", SALT)  # the jars are there from now on
+    gateway, jvm = spark.sparkContext._gateway, spark._jvm
+    loader = spark._jsparkSession.artifactManager().classloader()
+    kind = jvm.java.lang.Class.forName("labmesh.StretchedHash", True, loader)
+    methods = {m.getName(): m for m in kind.getDeclaredMethods()}
+
+    def call(name, *values):
+        methods[name].setAccessible(True)
+        given = gateway.new_array(jvm.Object, len(values))
+        for i, value in enumerate(values):
+            given[i] = value
+        return methods[name].invoke(None, given)
+
+    def words(draw, n):
+        out = gateway.new_array(jvm.int, 8, n)
+        for row in out:
+            for i in range(n):
+                row[i] = draw.randrange(-(2**31), 2**31)
+        return out
+
+    # The loops are number -1.
+    kernel = call("kernel")
+    supported = [kernel for kernel in range(3) if call("width", kernel) > 0]
+    assert kernel in (supported or [-1])
+    for kernel in supported:
+        for n in (1, call("width", kernel), 2 * call("width", kernel) + 1):
+            draw = random.Random(n)
+            inner, outer = words(draw, n), words(draw, n)
+            results = []
+            for how in (-1, kernel):
+                total = words(random.Random(5), n)
+                call("iterate", how, inner, outer, total, 3)
+                results.append([list(row) for row in total])
+            assert results[0] == results[1]
+
+
 def test_fast_hash(spark):
     (row,) = deident.add_hash(people(spark, 1), "ParticipantID", SALT).collect()
     assert row.hashed_id == hashlib.sha256(b"a-salt1").hexdigest()
